@@ -72,8 +72,170 @@ means AS (SELECT q.query_id, amin.article_id, {mean} AS distance
 SEARCH_ARTICLES = "WITH " + _LOOKUP_DISTANCES + "," + _TOPK
 
 
+# --- text helpers (DuckDB spellings of the Python string rules) ----------------------------
+
+_WS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+       "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
+_NL = "chr(10)"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _period(x: str) -> str:
+    return (f"CASE WHEN starts_with({x}, '@highlight') OR right({x}, 1) IN "
+            f"('.', '!', '?', '''', '`', '\"', '’', ')') THEN {x} ELSE {x} || '.' END")
+
+
+def _lines(raw: str) -> str:
+    return (f"list_transform(list_filter(list_transform(string_split({raw}, {_NL}), lambda x: {_strip('x')}), "
+            f"lambda x: x <> ''), lambda x: {_period('x')})")
+
+
+def _join(lst: str, sep: str) -> str:
+    return f"coalesce(array_to_string({lst}, {sep}), '')"
+
+
+def _wordsf(t: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({t}), '[ \\n]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def _pieces(ws: str) -> str:
+    return (f"flatten(list_transform({ws}, lambda w: CASE WHEN length(w) > 6 "
+            f"THEN [substr(w, 1, 4), '##' || substr(w, 5)] ELSE [w] END))")
+
+
+_ARTICLES = f"""
+d AS (SELECT doc_id, lang, source, string_split(text, {_NL}) AS l FROM documents),
+a AS (SELECT doc_id, lang, source, CAST(doc_id AS VARCHAR) AS paper_id,
+        CASE WHEN doc_id % 7 = 6 THEN NULL ELSE [l[1]] END AS abstract,
+        CASE WHEN doc_id % 5 = 4 THEN NULL ELSE list_slice(l, 2, len(l)) END AS body FROM d),
+t AS (SELECT *, {_join('abstract', _NL)} AS full_abstract, {_join('body', _NL)} AS full_text FROM a),
+r AS (SELECT *, CASE WHEN body IS NULL THEN '' ELSE {_strip(f"full_abstract || {_NL} || full_text")} END
+               AS concat_text,
+             CASE doc_id % 3 WHEN 0 THEN lang || ' ' || lang || ' ' || source || ' ' || source
+                  ELSE lang || '  ' || source END AS authors FROM t)
+"""
+
+_STORIES = f"""
+st AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '@highlight' || {_NL} || text ELSE text END,
+                                  {_NL} ORDER BY turn) AS raw FROM conversations GROUP BY conv_id),
+ln AS (SELECT conv_id, {_lines('raw')} AS lines FROM st),
+mk AS (SELECT conv_id, lines,
+              coalesce(list_position(list_transform(lines, lambda x: starts_with(x, '@highlight')), true), 0) AS p
+       FROM ln),
+ss AS (SELECT conv_id, lines,
+              CASE WHEN p = 0 THEN lines ELSE list_slice(lines, 1, p - 1) END AS story,
+              CASE WHEN p = 0 THEN []::VARCHAR[]
+                   ELSE list_filter(list_slice(lines, p + 1, len(lines)), lambda x: NOT starts_with(x, '@highlight'))
+              END AS summary
+       FROM mk)
+"""
+
+_PAIR_RE = "(?s)^(.*) \\|\\|\\| (.*)$"
+_PAIRS = f"""
+pl0 AS (SELECT conv_id, turn, replace(text, {_NL}, ' ') AS flat,
+               lead(replace(text, {_NL}, ' ')) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+pl AS (SELECT conv_id, turn, {_strip("CASE WHEN nxt IS NULL THEN flat ELSE flat || ' ||| ' || nxt END")} AS s
+       FROM pl0),
+sp AS (SELECT conv_id, turn,
+              CASE WHEN regexp_matches(s, '{_PAIR_RE}') THEN regexp_extract(s, '{_PAIR_RE}', 1) ELSE s END AS text_a,
+              CASE WHEN regexp_matches(s, '{_PAIR_RE}') THEN regexp_extract(s, '{_PAIR_RE}', 2) END AS text_b
+       FROM pl)
+"""
+
+_NA_LIST = ", ".join("'" + v.replace("'", "''") + "'" for v in [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+    "NA", "NULL", "NaN", "None", "n/a", "nan", "null"])
+
+
+def _na(x: str) -> str:
+    return f"CASE WHEN {x} IN ({_NA_LIST}) THEN NULL ELSE {x} END"
+
+
+_META = f"""
+m0 AS (SELECT d.doc_id AS ord, d.source AS title, string_split(d.text, {_NL})[1] AS abstract,
+              CASE WHEN d.doc_id % 11 = 0 THEN d.lang || {_NL} || '"' || d.source || '"' ELSE d.lang END AS authors,
+              CASE WHEN d.doc_id % 13 = 0 THEN 'NA' ELSE CAST(d.doc_id AS VARCHAR) END AS doi,
+              CAST(l.quality AS VARCHAR) AS publish_time
+       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+m AS (SELECT ord, {_na('title')} AS title, {_na('abstract')} AS abstract, {_na('authors')} AS authors,
+             {_na('doi')} AS doi, {_na('publish_time')} AS publish_time FROM m0),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY abstract ORDER BY ord) AS rn FROM m) WHERE rn = 1),
+mc AS (SELECT * FROM dd WHERE title IS NOT NULL AND abstract IS NOT NULL AND authors IS NOT NULL
+                          AND doi IS NOT NULL AND publish_time IS NOT NULL)
+"""
+_MCOLS = "title, abstract, authors, doi, publish_time"
+
+_SPECIALS = ["[PAD]", "[unused0]", "[unused1]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
+_VOCAB = ("vocab AS (SELECT token, CAST(id AS INTEGER) AS id FROM ("
+          + " UNION ALL ".join(f"SELECT '{t}' AS token, {i} AS id" for i, t in enumerate(_SPECIALS))
+          + f" UNION ALL SELECT token, {len(_SPECIALS) - 1} + row_number() OVER (ORDER BY token) AS id FROM "
+          f"(SELECT DISTINCT unnest({_wordsf('text')}) AS token FROM documents)))")
+
+TEXT_SQL = {
+    "scan_article_json": "WITH " + _ARTICLES + """
+SELECT paper_id, source AS title,
+       CAST(CASE WHEN abstract IS NULL THEN -1 ELSE len(abstract) END AS INTEGER) AS n_abstract,
+       CAST(CASE WHEN body IS NULL THEN -1 ELSE len(body) END AS INTEGER) AS n_body,
+       CAST(1 AS INTEGER) AS n_authors FROM a""",
+    "scan_article_bodies": "WITH " + _ARTICLES + f""",
+b AS (SELECT paper_id, {_lines(_join('body', _NL))} AS lines FROM a),
+bm AS (SELECT paper_id, lines,
+              coalesce(list_position(list_transform(lines, lambda x: starts_with(x, '@highlight')), true), 0) AS p
+       FROM b),
+bs AS (SELECT paper_id, CASE WHEN p = 0 THEN lines ELSE list_slice(lines, 1, p - 1) END AS story,
+              CASE WHEN p = 0 THEN []::VARCHAR[]
+                   ELSE list_filter(list_slice(lines, p + 1, len(lines)), lambda x: NOT starts_with(x, '@highlight'))
+              END AS summary FROM bm)
+SELECT paper_id, CAST(len(story) AS INTEGER) AS n_story_lines, CAST(len(summary) AS INTEGER) AS n_summary_lines,
+       {_join('story', _NL)} AS story FROM bs""",
+    "article_text": "WITH " + _ARTICLES + "SELECT paper_id, full_abstract, full_text, concat_text FROM r",
+    "article_record": "WITH " + _ARTICLES +
+    "SELECT paper_id, concat_text, source AS title, full_abstract, authors, full_text FROM r",
+    "author_names": "WITH " + _ARTICLES + "SELECT paper_id, authors FROM r",
+    "drop_empty_articles": "WITH " + _ARTICLES + f"SELECT paper_id FROM r WHERE {_strip('concat_text')} <> ''",
+    "lower_case": "SELECT doc_id, lower(text) AS text_lower FROM documents",
+    "document_name": "SELECT page_id, string_split(url, '/')[-1] AS document_name FROM pages",
+    "story_lines": "WITH " + _STORIES +
+    f"SELECT conv_id, CAST(len(lines) AS INTEGER) AS n_lines, {_join('lines', _NL)} AS lines FROM ln",
+    "add_missing_period": f"SELECT conv_id, turn, {_join(_lines('text'), _NL)} AS text FROM conversations",
+    "split_story_summary": "WITH " + _STORIES +
+    f"SELECT conv_id, {_join('story', _NL)} AS story, {_join('summary', _NL)} AS summary FROM ss",
+    "join_summary": "WITH " + _STORIES + f"SELECT conv_id, {_join('summary', chr(39) + ' ' + chr(39))} AS tgt_str FROM ss",
+    "drop_empty_stories": "WITH " + _STORIES + "SELECT conv_id FROM ss WHERE len(story) > 0",
+    "count_documents": "WITH " + _STORIES + "SELECT count(*) AS n_documents FROM ss WHERE len(story) > 0",
+    "scan_story_files": "WITH " + _STORIES +
+    "SELECT conv_id, CAST(len(story) AS INTEGER) AS n_story, CAST(len(summary) AS INTEGER) AS n_summary FROM ss",
+    "normalize_whitespace": f"SELECT doc_id, regexp_replace({_strip('text')}, '{_WS}+', ' ', 'g') AS text FROM documents",
+    "strip_text": f"SELECT conv_id, turn, {_strip('text')} AS text FROM conversations",
+    "detokenize": f"SELECT doc_id, replace({_join(_pieces(_wordsf('text')), chr(39) + ' ' + chr(39))}, ' ##', '') AS text "
+                  "FROM documents",
+    "split_pair": "WITH " + _PAIRS + "SELECT conv_id, turn, text_a, text_b FROM sp",
+    "scan_pair_lines": "WITH " + _PAIRS +
+    "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS unique_id, text_a, text_b FROM sp",
+    "sequence_ids": "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS seq_id FROM conversations",
+    "word_trigrams": f"""
+WITH w AS (SELECT doc_id, {_wordsf('text')} AS w FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN
+        list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))
+        ELSE []::VARCHAR[] END AS t FROM w)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_trigrams, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct FROM t""",
+    "scan_metadata_csv": "WITH " + _META + f"SELECT {_MCOLS} FROM m",
+    "dedup_keep_first": "WITH " + _META + f"SELECT {_MCOLS} FROM dd",
+    "drop_null_rows": "WITH " + _META + f"""SELECT {_MCOLS} FROM m WHERE title IS NOT NULL AND abstract IS NOT NULL
+        AND authors IS NOT NULL AND doi IS NOT NULL AND publish_time IS NOT NULL""",
+    "metadata_clean": "WITH " + _META + f"SELECT {_MCOLS} FROM mc",
+    "head_rows": "WITH " + _META + f"SELECT {_MCOLS} FROM mc ORDER BY ord LIMIT 5",
+    "load_vocabulary": "WITH " + _VOCAB + " SELECT token, id FROM vocab",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {
         "search_vectors": SEARCH_VECTORS,
         "search_articles": SEARCH_ARTICLES,
     }
+    out.update(TEXT_SQL)
+    return out

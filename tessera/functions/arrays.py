@@ -95,12 +95,15 @@ def segment_ids(seq, separator) -> Column:
 
 
 def word_trigrams(words) -> Column:
-    """Every run of three words, in order, joined by a space; [] when fewer than three."""
+    """Every run of three words, in order, joined by a space; [] when fewer than three.
+
+    Built from three shifted copies zipped together, so the lambda touches only its own
+    element (a lambda that slices the outer array would re-evaluate it per position).
+    """
     w = _c(words)
-    n = F.size(w)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2),
-                                      lambda i: F.array_join(F.slice(w, i, 3), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+    z = F.arrays_zip(w.alias("a"), F.slice(w, 2, 1 << 30).alias("b"), F.slice(w, 3, 1 << 30).alias("c"))
+    full = F.filter(z, lambda t: t["c"].isNotNull())
+    return F.transform(full, lambda t: F.concat_ws(" ", t["a"], t["b"], t["c"]))
 
 
 def source_excerpt(tokens, n: int = 500) -> Column:

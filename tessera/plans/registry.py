@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import search, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "search_vectors": search.search_vectors,
         "search_articles": search.search_articles,
+        **text_queries.QUERIES,
     }
