@@ -232,10 +232,199 @@ SELECT doc_id, CAST(len(t) AS INTEGER) AS n_trigrams, CAST(len(list_distinct(t))
 }
 
 
+# --- tokens, embeddings, search variants, n-best rules -----------------------------------
+
+def _vocab_cte(source: str) -> str:
+    return ("vocab AS (SELECT token, CAST(id AS INTEGER) AS id FROM ("
+            + " UNION ALL ".join(f"SELECT '{t}' AS token, {i} AS id" for i, t in enumerate(_SPECIALS))
+            + f" UNION ALL SELECT token, {len(_SPECIALS) - 1} + row_number() OVER (ORDER BY token) AS id FROM "
+            f"(SELECT DISTINCT unnest({_wordsf('text')}) AS token FROM {source})))")
+
+
+def _bert(lst: str) -> str:
+    return f"list_concat(list_concat(['[CLS]'], list_slice({lst}, 1, 126)), ['[SEP]'])"
+
+
+_TK = f"tk AS (SELECT doc_id, {_wordsf('text')} AS w FROM documents)"
+
+_ENC = _STORIES + ", " + _vocab_cte("documents") + f""",
+enc AS (SELECT conv_id, story, summary,
+               flatten(list_transform(story, lambda l: list_concat(list_concat(['[CLS]'], {_wordsf('l')}), ['[SEP]'])))
+               AS toks FROM ss),
+ex AS (SELECT conv_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos FROM enc),
+ids AS (SELECT ex.conv_id, ex.pos, coalesce(v.id, 3) AS id FROM ex LEFT JOIN vocab v ON v.token = ex.tok),
+src AS (SELECT conv_id, pos, id FROM ids WHERE pos <= 512
+        UNION ALL
+        SELECT conv_id, pos, 0 AS id FROM (SELECT conv_id, unnest(generate_series(len(toks) + 1, 512)) AS pos
+                                          FROM enc WHERE len(toks) < 512)),
+seg AS (SELECT s.conv_id, s.pos, s.id,
+               (((sum(CASE WHEN s.id = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id ORDER BY s.pos
+                  ROWS UNBOUNDED PRECEDING) - 1) % 2) + 2) % 2 AS sg,
+               CASE WHEN s.id = 0 THEN 0 ELSE 1 END AS mk
+        FROM src s JOIN enc e ON e.conv_id = s.conv_id WHERE len(e.story) > 0),
+col AS (SELECT conv_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS src,
+               string_agg(CAST(sg AS VARCHAR), '' ORDER BY pos) AS segs,
+               string_agg(CAST(mk AS VARCHAR), '' ORDER BY pos) AS mask, sum(mk) AS mask_sum FROM seg GROUP BY conv_id)
+"""
+
+_EMB = """
+nrows AS (SELECT count(*) AS n FROM embeddings),
+emb AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, embedding FROM embeddings),
+ec AS (SELECT r, unnest(embedding) AS x FROM emb),
+rs AS (SELECT r, sum({m}) AS s FROM ec GROUP BY r)
+""".format(m=_MICRO.format(x="x"))
+
+_DOC_TOKS = f"""
+docs AS (SELECT doc_id AS article_id, {_bert(_WORDS.format(t='text'))} AS toks FROM documents WHERE text IS NOT NULL),
+dex AS (SELECT article_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM docs)
+"""
+
+_EMBED_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + f"""
+SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum(rs.s) AS BIGINT) AS vec_sum
+FROM dex JOIN rs ON rs.r = {_BUCKET.format(tok='tok')} GROUP BY article_id""")
+
+_NBEST = f"""
+nb0 AS (SELECT doc_id, n_chars, unnest(generate_series(0, len(l) - 1)) AS beam, unnest(l) AS line
+        FROM (SELECT doc_id, n_chars, string_split(text, {_NL}) AS l FROM documents)),
+nb1 AS (SELECT doc_id, n_chars, CAST(beam AS INTEGER) AS beam,
+               list_concat(['[unused0]'], {_pieces(_wordsf('line'))}) AS alive FROM nb0),
+nb2 AS (SELECT *, 0 AS cand, '[unused1]' AS token FROM nb1
+        UNION ALL SELECT *, 1 AS cand, coalesce(alive[2], '[unused0]') AS token FROM nb1),
+nb AS (SELECT doc_id, len(alive) - 1 AS step, beam, cand, token, alive,
+              CASE WHEN cand = 0 THEN 2 ELSE 7 + length(token) % 100 END AS token_id,
+              -CAST((n_chars + beam) % 13 AS DOUBLE) / 4.0::DOUBLE AS beam_logprob,
+              CASE WHEN cand = 0 THEN -1.5::DOUBLE
+                   ELSE -CAST(length(token) % 5 AS DOUBLE) / 2.0::DOUBLE - 0.25::DOUBLE END AS token_logprob
+       FROM nb2),
+sup AS (SELECT *, CASE WHEN step < 50 AND token = '[unused1]' THEN -1e20 ELSE token_logprob END AS tlp FROM nb),
+sc AS (SELECT *, beam_logprob + tlp AS log_prob,
+              pow((5.0::DOUBLE + (step + 1)) / 6.0::DOUBLE, 0.95::DOUBLE) AS penalty FROM sup),
+sc2 AS (SELECT *, log_prob / penalty AS score0 FROM sc),
+tg AS (SELECT *, list_filter(string_split(replace(array_to_string(alive, ' '), ' ##', ''), ' '), lambda w: w <> '')
+              AS w FROM sc2),
+tg2 AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2),
+              lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) ELSE []::VARCHAR[] END AS tri FROM tg),
+bl AS (SELECT *, (len(alive) > 3 AND len(w) > 3 AND list_contains(list_slice(tri, 1, len(tri) - 1), tri[-1]))
+              AS blocked FROM tg2),
+fin AS (SELECT *, CASE WHEN blocked THEN -10e20 ELSE score0 END AS score FROM bl),
+tk5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, beam, token_id) AS cand_rank FROM fin)
+"""
+_HTEXT = ("replace(array_to_string(list_filter(list_concat(alive, [token]), lambda t: t <> '[unused0]'), ' '), "
+          "' ##', '')")
+
+_TOPK3 = _TOPK.replace("rnk <= 10", "rnk <= 3")
+
+MODEL_SQL = {
+    "truncate_tokens": f"WITH {_TK} SELECT doc_id, {_join('list_slice(w, 1, 126)', chr(39) + ' ' + chr(39))} AS tokens FROM tk",
+    "add_special_tokens": f"WITH {_TK} SELECT doc_id, {_join(_bert('w'), chr(39) + ' ' + chr(39))} AS tokens FROM tk",
+    "model_input_rows": f"""WITH {_vocab_cte('documents')}, {_TK},
+bt AS (SELECT doc_id, {_bert('w')} AS toks FROM tk),
+ex AS (SELECT doc_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos FROM bt),
+ids AS (SELECT ex.doc_id, ex.pos, coalesce(v.id, 3) AS id FROM ex LEFT JOIN vocab v ON v.token = ex.tok),
+ag AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS s, count(*) AS n FROM ids GROUP BY doc_id)
+SELECT doc_id, s || repeat(',0', CAST(128 - n AS INTEGER)) AS ids, CAST(n AS INTEGER) AS mask_sum,
+       CAST(0 AS INTEGER) AS type_sum FROM ag""",
+    "token_to_id": f"""WITH {_vocab_cte('benchmark')}, {_TK},
+ex AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM tk),
+ids AS (SELECT ex.doc_id, ex.pos, coalesce(v.id, 3) AS id FROM ex LEFT JOIN vocab v ON v.token = ex.tok)
+SELECT doc_id, count(*) AS n_tokens, CAST(sum(CASE WHEN id = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_unknown,
+       CAST(sum(id) AS BIGINT) AS id_sum FROM ids GROUP BY doc_id""",
+    "id_to_token": f"""WITH {_vocab_cte('benchmark')}, {_TK},
+ex AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM tk),
+ids AS (SELECT ex.doc_id, ex.pos, coalesce(v.id, 3) AS id FROM ex LEFT JOIN vocab v ON v.token = ex.tok)
+SELECT ids.doc_id, md5(string_agg(v2.token, ' ' ORDER BY ids.pos)) AS text_md5
+FROM ids LEFT JOIN vocab v2 ON v2.id = ids.id GROUP BY ids.doc_id""",
+    "truncate_pair": f"""
+WITH p AS (SELECT conv_id, turn, len({_wordsf('text')}) AS la,
+                  lead(len({_wordsf('text')})) OVER (PARTITION BY conv_id ORDER BY turn) AS lb FROM conversations),
+k AS (SELECT conv_id, turn, la, lb, CASE WHEN la + lb <= 64 THEN la ELSE least(la, greatest(64 - lb, 32)) END AS ka
+      FROM p WHERE lb IS NOT NULL)
+SELECT conv_id, turn, CAST(ka AS INTEGER) AS ka,
+       CAST(CASE WHEN la + lb <= 64 THEN lb ELSE 64 - ka END AS INTEGER) AS kb FROM k""",
+    "encode_story": "WITH " + _ENC + """,
+ag AS (SELECT conv_id, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS s FROM ids GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(ag.n, 0) AS INTEGER) AS n_ids, md5(coalesce(ag.s, '')) AS ids_md5
+FROM enc e LEFT JOIN ag ON ag.conv_id = e.conv_id""",
+    "collate_rows": "WITH " + _ENC + f"""
+SELECT col.conv_id, md5(col.src) AS src_md5, col.segs, CAST(col.mask_sum AS INTEGER) AS mask_sum,
+       {_join('e.summary', chr(39) + ' ' + chr(39))} AS tgt_str
+FROM col JOIN enc e ON e.conv_id = col.conv_id""",
+    "segment_ids": "WITH " + _ENC + " SELECT conv_id, segs FROM col",
+    "truncate_or_pad": "WITH " + _ENC + " SELECT conv_id, src FROM col",
+    "build_mask": "WITH " + _ENC + " SELECT conv_id, mask FROM col",
+    "source_excerpt": "WITH " + _ENC + """
+SELECT seg.conv_id, string_agg(v.token, ' ' ORDER BY seg.pos) AS excerpt
+FROM seg LEFT JOIN vocab v ON v.id = seg.id WHERE seg.pos <= 500 GROUP BY seg.conv_id""",
+    "embed_tokens": _EMBED_SUM,
+    "micro_batch": _EMBED_SUM,
+    "flatten_vectors": _EMBED_SUM,
+    "vectors_by_token": "WITH " + _DOC_TOKS + """
+SELECT article_id, tok AS token, CAST(min(pos) AS INTEGER) AS first_pos, CAST(count(*) AS INTEGER) AS n_vectors
+FROM dex GROUP BY ALL""",
+    "first_vector_per_token": "WITH " + _EMB + f""",
+qd AS (SELECT item_id AS query_id, {_bert(_WORDS.format(t='text'))} AS toks FROM benchmark),
+qe AS (SELECT query_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM qd),
+qf AS (SELECT query_id, tok, min(pos) AS p FROM qe GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) - 1 AS BIGINT) AS tok_no,
+       tok AS token, CAST(rs.s AS BIGINT) AS vec_sum
+FROM qf JOIN rs ON rs.r = {_BUCKET.format(tok='tok')}""",
+    "nearest_token_distance": "WITH " + _VECTOR_INPUTS + f""",
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, tok_no, article_id ORDER BY s, pos) AS rn,
+              row_number() OVER (PARTITION BY query_id, tok_no, article_id ORDER BY pos) - 1 AS idx FROM d2)
+SELECT query_id, tok_no, article_id, CAST(idx AS INTEGER) AS nearest_pos,
+       {_PICO.format(s='s')} / 1e12 AS min_distance FROM rk WHERE rn = 1""",
+    "min_distance_per_query_token": "WITH " + _VECTOR_INPUTS + f"""
+SELECT query_id, tok_no, article_id, p / 1e12 AS min_distance FROM mins""",
+    "mean_best_distance": "WITH " + _VECTOR_INPUTS + f"""
+SELECT query_id, article_id, round({_MEAN}, 6) AS distance FROM mins GROUP BY ALL""",
+    "topk_closest": "WITH " + _VECTOR_INPUTS + f""",
+means AS (SELECT query_id, article_id, {_MEAN} AS distance FROM mins GROUP BY ALL),
+""" + _TOPK3,
+    "ranked_order": SEARCH_VECTORS,
+    "selected_articles": "WITH " + _LOOKUP_DISTANCES + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance ASC, article_id DESC) AS rnk FROM means)
+SELECT r.query_id, CAST(r.rnk AS INTEGER) AS rank, r.article_id, d.source
+FROM r JOIN documents d ON d.doc_id = r.article_id WHERE r.rnk <= 10""",
+    "l2_distance": f"""
+WITH e AS (SELECT vec_id, embedding, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id,
+                  lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nv FROM embeddings),
+x AS (SELECT vec_id, next_id, unnest(embedding) AS a, unnest(nv) AS b FROM e WHERE next_id IS NOT NULL),
+y AS (SELECT vec_id, next_id, {_MICRO.format(x='a')} AS ma, {_MICRO.format(x='b')} AS mb FROM x)
+SELECT vec_id, next_id, sqrt(CAST(sum((ma - mb) * (ma - mb)) AS DOUBLE)) / 1000000.0 AS distance FROM y GROUP BY ALL""",
+    "round_vector": """
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(CAST(x AS DOUBLE), 6) AS value
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)""",
+    "suppress_early_end": "WITH " + _NBEST + "SELECT doc_id, beam, cand, tlp AS token_logprob FROM sup",
+    "length_penalty": "WITH " + _NBEST + """
+SELECT doc_id, beam, cand,
+       round(pow(5.0::DOUBLE + (step + 1), 0.95::DOUBLE) / pow(6.0::DOUBLE, 0.95::DOUBLE), 12) AS lp_wu,
+       round(CAST(step + 1 AS DOUBLE), 12) AS lp_avg, round(1.0::DOUBLE, 12) AS lp_none FROM nb""",
+    "candidate_score": "WITH " + _NBEST + "SELECT doc_id, beam, cand, CAST(score0 AS FLOAT) AS score FROM sc2",
+    "block_repeated_trigram": "WITH " + _NBEST + "SELECT doc_id, beam, cand, blocked FROM bl",
+    "candidate_topk": "WITH " + _NBEST + """
+SELECT doc_id, CAST(cand_rank AS INTEGER) AS cand_rank, beam, cand, CAST(score AS FLOAT) AS score
+FROM tk5 WHERE cand_rank <= 5""",
+    "best_hypothesis": "WITH " + _NBEST + f"""
+SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, {_HTEXT} AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, step, beam, token_id) AS rk
+  FROM fin WHERE token = '[unused1]') WHERE rk = 1""",
+    "rerank_hypotheses": "WITH " + _NBEST + f"""
+SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, {_HTEXT} AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, step, cand_rank) AS rk
+  FROM tk5 WHERE cand_rank <= 5 AND token = '[unused1]') WHERE rk = 1""",
+    "split_flat_index": "WITH " + _NBEST + """
+SELECT doc_id, beam, cand, CAST((beam * 1000 + token_id) // 1000 AS INTEGER) AS beam_rec,
+       CAST((beam * 1000 + token_id) % 1000 AS INTEGER) AS token_rec FROM nb""",
+}
+MODEL_SQL["embed_query"] = MODEL_SQL["first_vector_per_token"]
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "search_vectors": SEARCH_VECTORS,
         "search_articles": SEARCH_ARTICLES,
     }
     out.update(TEXT_SQL)
+    out.update(MODEL_SQL)
     return out
+
+

@@ -74,24 +74,21 @@ def truncate_pair(a, b, max_length: int):
 def segment_ids(seq, separator) -> Column:
     """Running count of separators minus one, modulo 2 (Python ``%``: -1 -> 1).
 
-    Built in linear time: one run of equal values per separator, ``array_repeat`` for its
-    length, then ``flatten``. Positions before the first separator get 1, padding continues
-    the last segment.
+    Linear time: one run of equal values per separator (``array_repeat`` of the run's
+    length), then ``flatten``. Positions before the first separator get 1; padding continues
+    the last segment. Lambdas touch only their own elements.
     """
     seq = _c(seq)
     sep = _lit(separator)
     n = F.size(seq)
     # 0-based positions of the separators
     pos = F.filter(F.transform(seq, lambda x, i: F.when(x == sep, i)), lambda p: p.isNotNull())
-    k = F.size(pos)
-
-    def run(j):
-        end = F.when(j == k, n).otherwise(F.try_element_at(pos, (j + 1).cast("int")))
-        start = F.when(j == 0, F.lit(0)).otherwise(F.try_element_at(pos, F.greatest(j, F.lit(1)).cast("int")))
-        return F.array_repeat(F.pmod(j - 1, F.lit(2)), (end - start).cast("int"))
-
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.flatten(F.transform(F.sequence(F.lit(0), k), run)))
+    starts = F.concat(F.array(F.lit(0)), pos)
+    ends = F.concat(pos, F.array(n))
+    lengths = F.zip_with(starts, ends, lambda s, e: e - s)
+    values = F.transform(starts, lambda s, j: F.pmod(j - 1, F.lit(2)))
+    runs = F.zip_with(values, lengths, lambda v, l: F.array_repeat(v, l))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(runs))
 
 
 def word_trigrams(words) -> Column:

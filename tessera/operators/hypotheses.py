@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import EOS
+from ..functions.arrays import EOS, word_trigrams
 from ..functions.strings import PY_WS_CLASS, detokenize
 from ..functions.vectors import length_penalty
 
@@ -54,11 +54,10 @@ def repeats_last_trigram(seq: Column) -> Column:
     """True if the sequence (longer than 3 tokens, begin token counted) has more than 3
     detokenized words and its last trigram occurs earlier."""
     w = _py_words(detokenize(seq))
+    tri = word_trigrams(w)
     n = F.size(w)
-    last = F.slice(w, F.greatest(n - 2, F.lit(1)), 3)
-    seen = F.exists(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))),
-                    lambda i: F.slice(w, i, 3) == last)
-    return (F.size(seq) > 3) & (n > 3) & seen
+    earlier = F.slice(tri, 1, F.greatest(F.size(tri) - 1, F.lit(0)))
+    return (F.size(seq) > 3) & (n > 3) & F.array_contains(earlier, F.try_element_at(tri, F.lit(-1)))
 
 
 def block_repeated_trigram(df: DataFrame, seq_col: str = "alive") -> DataFrame:

@@ -244,7 +244,9 @@ def min_distance_per_query_token(articles: DataFrame, queries: DataFrame, **kw)
 
 def mean_best_distance(minima: DataFrame) -> DataFrame:
     """Average of the per-token minima over the query's tokens (partial + final aggregate)."""
-    return minima.groupBy("query_id", "article_id").agg(F.avg("min_distance").alias("distance"))
+    pico = F.round(F.col("min_distance") * PICO).cast("long")  # exact integer sum, order-free
+    return minima.groupBy("query_id", "article_id").agg(
+        (F.sum(pico).cast("double") / F.count(F.lit(1)).cast("double") / PICO).alias("distance"))
 
 
 def selected_articles(articles: DataFrame, topk: DataFrame, id_col: str = "article_id") -> DataFrame:

@@ -7,6 +7,8 @@ a broadcast vocabulary (no explode/regroup shuffle); on long tables it is a broa
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,7 +50,9 @@ class Vocabulary:
         if self._bc is None:
             _ = self.size
             tbl = self.table.toArrow().sort_by("id")
-            self._bc = spark.sparkContext.broadcast((tbl.column("token").to_pylist(), tbl.column("id").to_pylist()))
+            # the key names this vocabulary in each worker's cache
+            self._bc = spark.sparkContext.broadcast((uuid.uuid4().hex, tbl.column("token").to_pylist(),
+                                                     tbl.column("id").to_pylist()))
         return self._bc
 
     def id_of(self, token: str) -> int:
@@ -59,9 +63,9 @@ class Vocabulary:
 
 
 def _vocab_arrays(bc):
-    key = ("vocab", bc.id)
+    name, toks, ids = bc.value
+    key = ("vocab", name)
     if key not in _WORKER_CACHE:
-        toks, ids = bc.value
         _WORKER_CACHE[key] = (pa.array(toks, pa.string()), pa.array(ids, pa.int32()))
     return _WORKER_CACHE[key]
 
@@ -173,10 +177,10 @@ def collate_rows(stories: DataFrame, vocab: Vocabulary, block_size: int = 512, k
 # --- WordPiece ------------------------------------------------------------------------
 
 def _wordpiece_tokenizer(bc):
-    key = ("wordpiece", bc.id)
+    name, toks, ids = bc.value
+    key = ("wordpiece", name)
     if key not in _WORKER_CACHE:
         from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
-        toks, ids = bc.value
         tok = Tokenizer(models.WordPiece(vocab=dict(zip(toks, ids)), unk_token=UNK, max_input_chars_per_word=100))
         tok.normalizer = normalizers.BertNormalizer(clean_text=True, handle_chinese_chars=True,
                                                     strip_accents=None, lowercase=True)

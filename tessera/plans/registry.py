@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search, text_queries
+from . import model_queries, search, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,4 +14,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_vectors": search.search_vectors,
         "search_articles": search.search_articles,
         **text_queries.QUERIES,
+        **model_queries.QUERIES,
     }

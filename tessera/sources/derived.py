@@ -208,7 +208,7 @@ def nbest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = word_pieces(F.filter(words(F.col("line")), lambda w: w != ""))
     beams = beams.select("doc_id", "n_chars", "beam",
                          F.concat(F.array(F.lit(BOS_TOKEN)), pieces).alias("alive"))
-    first = F.coalesce(F.element_at(F.col("alive"), 2), F.lit(BOS_TOKEN))
+    first = F.coalesce(F.try_element_at(F.col("alive"), F.lit(2)), F.lit(BOS_TOKEN))
     cands = beams.select("*", F.explode(F.array(
         F.struct(F.lit(0).alias("cand"), F.lit(EOS_TOKEN).alias("token")),
         F.struct(F.lit(1).alias("cand"), first.alias("token")))).alias("c"))
@@ -222,3 +222,16 @@ def nbest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-((F.col("n_chars") + F.col("beam")) % 13) / F.lit(4.0)).alias("beam_logprob"),
         token_lp.cast("double").alias("token_logprob"),
         (F.col("beam") * FLAT_VOCAB + token_id).cast("long").alias("flat_index"))
+
+
+def vocabulary_table(spark: SparkSession, sf_dir: str, source: str = "documents") -> DataFrame:
+    """``(token, id)``: special tokens, then the distinct whitespace words of ``source``
+    (``documents`` or ``benchmark``) in sorted order; dense ids computed in parallel."""
+    from ..functions.strings import words
+    from ..operators.ids import sequence_ids
+    specials = spark.createDataFrame([(i, t) for i, t in enumerate(SPECIAL_TOKENS)], "k int, token string")
+    t = read_table(spark, sf_dir, source)
+    ws = (t.select(F.explode(words(F.col("text"))).alias("token")).filter(F.col("token") != "").distinct()
+          .select(F.lit(len(SPECIAL_TOKENS)).alias("k"), "token"))
+    return sequence_ids(specials.unionByName(ws), ["k", "token"], "id").select(
+        "token", F.col("id").cast("int").alias("id"))
