@@ -425,6 +425,12 @@ def oracle_sql() -> dict[str, str]:
     }
     out.update(TEXT_SQL)
     out.update(MODEL_SQL)
+    out.update({
+        "running_topk": SEARCH_VECTORS,
+        "stream_resume": SEARCH_VECTORS,
+        "stream_topk": SEARCH_ARTICLES,
+        "stream_articles": "SELECT CAST(doc_id AS VARCHAR) AS paper_id, source AS title FROM documents",
+    })
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model_queries, search, text_queries
+from . import flow_queries, model_queries, search, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,4 +15,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_articles": search.search_articles,
         **text_queries.QUERIES,
         **model_queries.QUERIES,
+        **flow_queries.QUERIES,
     }
