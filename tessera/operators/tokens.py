@@ -37,6 +37,7 @@ class Vocabulary:
         self.max_entries = max_entries
         self._bc = None
         self._size = None
+        self._index = None
 
     @property
     def size(self) -> int:
@@ -56,6 +57,13 @@ class Vocabulary:
         return self._bc
 
     def id_of(self, token: str) -> int:
+        if self._bc is not None:  # the driver already holds the (bounded) vocabulary
+            _, toks, ids = self._bc.value
+            if self._index is None:
+                self._index = dict(zip(toks, ids))
+            if token not in self._index:
+                raise KeyError(token)
+            return int(self._index[token])
         row = self.table.filter(F.col("token") == token).select("id").first()
         if row is None:
             raise KeyError(token)
@@ -162,6 +170,7 @@ def collate_rows(stories: DataFrame, vocab: Vocabulary, block_size: int = 512, k
     ``src`` = story lines encoded and cut or padded to ``block_size``; ``segs`` alternate at
     every ``[CLS]``; ``mask_src`` is 0 on padding.
     """
+    vocab.broadcast(stories.sparkSession)
     pad_id, cls_id = vocab.id_of(PAD), vocab.id_of(CLS)
     pre = (stories.filter(F.size("story_lines") > 0)
            .select(key_col, encode_lines(F.col("story_lines")).alias("_tok"),
