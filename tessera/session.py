@@ -40,8 +40,13 @@ def get_spark(master: str | None = None, app: str = "tessera",
     return spark
 
 
+# corpus tables carry the per-row text work; spread them when they arrive too thin
+CORPUS_TABLES = ("documents", "conversations", "pages")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in CORPUS_TABLES else df
 
 
 def checkpoint_root(spark: SparkSession) -> str:
