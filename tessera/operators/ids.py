@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW33 = (1 << 33) - 1  # monotonically_increasing_id = (partition << 33) + row within partition
-
 
 def sequence_ids(df: DataFrame, order_cols: list, id_col: str = "seq_id") -> DataFrame:
     """Add ``id_col`` = 0-based rank of each row in ``order_cols`` order (dense, no gaps).
 
-    A global ``row_number()`` would run in one task. Instead: range-sort, cut lineage with a
-    reliable checkpoint (so both passes below see identical partitions), count rows per
-    partition (one small row per partition), turn the counts into offsets, and add each row's
-    position inside its partition. Survives executor loss: the checkpoint lives in the
-    shared ``spark.checkpoint.dir``.
+    A global ``row_number()`` would run in one task. Instead: range-sort, tag every row with
+    its partition and its increasing position inside the partition, and write that to a
+    table in the shared ``spark.checkpoint.dir`` (this cuts the lineage, so the two passes
+    below agree even if executors are lost and work is redone). Then count rows per
+    partition (one small row per partition), turn the counts into offsets and add each
+    row's position inside its partition.
     """
-    from ..session import checkpoint_root
+    from ..session import scratch_path
 
-    checkpoint_root(df.sparkSession)
-    ordered = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_mono", F.monotonically_increasing_id()).checkpoint(eager=True)
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
+    spark = df.sparkSession
+    path = scratch_path(spark, "seq")
+    (df.orderBy(*order_cols)
+     .withColumn("_pid", F.spark_partition_id())
+     .withColumn("_mono", F.monotonically_increasing_id())
+     .write.parquet(path))
+    tagged = spark.read.parquet(path)
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # one row per partition: a bounded broadcast
-    return (ordered.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
+    return (tagged.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
             .withColumn(id_col, (F.col("_off") + F.col("_mono") - F.col("_first")).cast("long"))
             .drop("_pid", "_mono", "_off", "_first"))

@@ -139,15 +139,24 @@ def _vec_sum(vec):
     return _sum_array(micro_units(vec))
 
 
+def _vector_checksum(df: DataFrame, key: str, vecs_col: str) -> DataFrame:
+    """``(key, n_tokens, vec_sum)``: token count and the sum of all components in micro-units.
+
+    Components are exploded (code-generated) and summed by a partial + final aggregate.
+    """
+    flat = df.select(key, F.size(vecs_col).alias("n_tokens"), F.explode_outer(F.flatten(vecs_col)).alias("x"))
+    micro = F.round(F.col("x").cast("double") * 1_000_000).cast("long")
+    return flat.groupBy(key).agg(F.first("n_tokens").alias("n_tokens"),
+                                 F.coalesce(F.sum(micro), F.lit(0).cast("long")).alias(VEC_SUM))
+
+
 def _text_embeddings(spark, sf_dir):
     enc = P.lookup_encoder(spark, sf_dir)
     return P.embed_texts(P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull()), enc, "article_id")
 
 
 def embed_tokens(spark, sf_dir):
-    e = _text_embeddings(spark, sf_dir)
-    return e.select("article_id", F.size("vecs").alias("n_tokens"),
-                    _sum_array(F.transform("vecs", _vec_sum)).alias(VEC_SUM))
+    return _vector_checksum(_text_embeddings(spark, sf_dir), "article_id", "vecs")
 
 
 def micro_batch(spark, sf_dir):
@@ -168,8 +177,7 @@ def micro_batch(spark, sf_dir):
         return predict
 
     out = E.embed_model_inputs(ids, E.BatchEncoder(make_predict_fn, f"lookup-table-{uuid.uuid4().hex}", batch_size=32))
-    return out.select("article_id", F.size("vecs").alias("n_tokens"),
-                      _sum_array(F.transform("vecs", _vec_sum)).alias(VEC_SUM))
+    return _vector_checksum(out, "article_id", "vecs")
 
 
 def flatten_vectors(spark, sf_dir):
@@ -177,9 +185,7 @@ def flatten_vectors(spark, sf_dir):
     long = E.token_vectors_long(e, "article_id")
     m = E.token_vector_map(E.vectors_by_token(long, "article_id"), "article_id")
     flat = m.select("article_id", E.flatten_vectors(F.col("token_vectors")).alias("v"))
-    return flat.select("article_id", F.size("v").alias("n_tokens"),
-                       _sum_array(F.transform("v", lambda x: _sum_array(
-                           F.transform(x, lambda y: F.round(y * 1_000_000).cast("long"))))).alias(VEC_SUM))
+    return _vector_checksum(flat, "article_id", "v")
 
 
 def vectors_by_token(spark, sf_dir):
