@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import EOS, word_trigrams
-from ..functions.strings import PY_WS_CLASS, detokenize
+from ..functions.arrays import EOS
+from ..functions.strings import PY_WS_CLASS, detokenize, py_strip
 from ..functions.vectors import length_penalty
 
 BEAM_SIZE = 5
@@ -45,19 +45,20 @@ def candidate_score(df: DataFrame, alpha: float = ALPHA, penalty: str = "loop")
             .withColumn("score", F.col("log_prob") / F.col("penalty")))
 
 
-def _py_words(text: Column) -> Column:
-    """Python ``str.split()``: split on whitespace runs, no empty pieces."""
-    return F.filter(F.split(text, f"{PY_WS_CLASS}+", -1), lambda w: w != "")
-
-
 def repeats_last_trigram(seq: Column) -> Column:
     """True if the sequence (longer than 3 tokens, begin token counted) has more than 3
-    detokenized words and its last trigram occurs earlier."""
-    w = _py_words(detokenize(seq))
-    tri = word_trigrams(w)
-    n = F.size(w)
-    earlier = F.slice(tri, 1, F.greatest(F.size(tri) - 1, F.lit(0)))
-    return (F.size(seq) > 3) & (n > 3) & F.array_contains(earlier, F.try_element_at(tri, F.lit(-1)))
+    detokenized words and its last trigram occurs earlier.
+
+    String form, no array lambdas: words are joined by single spaces, so the last trigram
+    repeats exactly when `` a b c `` (its words framed by spaces) first occurs before the
+    end of `` w0 w1 ... `` .
+    """
+    norm = F.regexp_replace(py_strip(detokenize(seq)), f"{PY_WS_CLASS}+", " ")
+    n_words = F.when(norm == "", F.lit(0)).otherwise(F.size(F.split(norm, " ", -1)))
+    framed = F.concat(F.lit(" "), norm, F.lit(" "))
+    target = F.concat(F.lit(" "), F.substring_index(norm, " ", -3), F.lit(" "))
+    first = F.call_function("instr", framed, target)  # 1-based position of the first occurrence
+    return (F.size(seq) > 3) & (n_words > 3) & (first < F.length(framed) - F.length(target) + 1)
 
 
 def block_repeated_trigram(df: DataFrame, seq_col: str = "alive") -> DataFrame:
