@@ -71,6 +71,16 @@ class LookupEncoder:
     def token_ids(self, tokens: Column) -> Column:
         return lookup_token_ids(tokens, self.n_rows)
 
+    def gather_fn(self):
+        """Worker-side function: flat token ids -> (tokens x dim) float32 vectors."""
+        bc = self._bc
+        if bc is None:
+            raise RuntimeError("call broadcast(spark) first")
+
+        def gather(flat, bc=bc):
+            return bc.value[flat]
+        return gather
+
     def broadcast(self, spark):
         if self._bc is None:
             _ = self.n_rows  # size check before anything reaches the driver

@@ -101,11 +101,24 @@ def _partial_sq_dist(X: np.ndarray, Q: np.ndarray) -> np.ndarray:
     return G
 
 
-def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode: str = "mean"):
-    Q, qn = qp["Q"], qp["qn"]
-    X, counts = _article_matrix(vecs, qp["dim"])
+def _encoded_matrix(tok_ids: pa.Array, gather, dim: int):
+    """Token id lists -> (tokens x dim) micro-units via the encoder's gather, plus counts."""
+    counts = pc.fill_null(pc.list_value_length(tok_ids), 0).to_numpy(zero_copy_only=False)
+    flat = tok_ids.flatten().to_numpy(zero_copy_only=False)
+    V = gather(flat) if len(flat) else np.zeros((0, dim), np.float32)
+    if V.shape[1] != dim:
+        raise ValueError(f"encoder vectors must have {dim} components")
+    return _to_micro(V), counts
+
+
+def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode: str = "mean", gather=None):
+    # identical query token vectors (a word shared by many queries) are scored once
+    Q, qn = qp["Qu"], qp["qnu"]
+    if gather is None:
+        X, counts = _article_matrix(vecs, qp["dim"])
+    else:  # token ids: the encoder runs here, its vectors never leave the task
+        X, counts = _encoded_matrix(vecs, gather, qp["dim"])
     keep = counts > 0  # an article without tokens has no distance
-    tok_starts_all = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
     if not keep.all():
         X = X[np.repeat(keep, counts)]
     ids, counts = ids[keep], counts[keep]
@@ -136,7 +149,9 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
     np.maximum(mins, 0.0, out=mins)
     # per-token distances as integer pico-units: sums are exact, so the mean (and every tie)
     # is the same whatever the summation order or engine
-    dist_tok = np.floor(np.sqrt(mins) * MICRO + 0.5)
+    dist_tok = np.floor(np.sqrt(mins) * MICRO + 0.5)[:, qp["inv"]]
+    if argpos is not None:
+        argpos = argpos[:, qp["inv"]]
     if mode == "tokens":
         na, nt = dist_tok.shape
         rows = np.repeat(np.arange(na), nt)
@@ -179,28 +194,36 @@ def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
 
 def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | None = None,
                             id_col: str = "article_id", vecs_col: str = "vecs", mode: str = "mean",
-                            max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
+                            max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES, encoder=None) -> DataFrame:
     """``(query_id, article_id, distance)``: mean over query tokens of the nearest article token.
 
-    ``articles``: one row per article, ``vecs`` = ``array<array<float>>`` (one vector per token).
+    ``articles``: one row per article, ``vecs`` = ``array<array<float>>`` (one vector per token);
+    or, with a token-wise ``encoder`` (``gather_fn()``), ``vecs_col`` holds token ids and the
+    encoder runs inside the scoring task (vectors never travel through the JVM).
     ``queries``: long table ``(query_id, tok_no, vec)``, one row per distinct query token.
     With ``k``, each Arrow batch keeps its ``k`` best per query, by (distance, later id first).
     """
     spark = articles.sparkSession
     art = articles.select(F.col(id_col).cast("long").alias("article_id"), F.col(vecs_col).alias("vecs"))
+    gather = encoder.gather_fn() if encoder is not None else None
     outs = []
     for block in _query_blocks(queries, max_block_bytes):
         table = block.select(F.col("query_id").cast("long"), F.col("tok_no").cast("long"),
                              F.col("vec")).toArrow()
         qp = _query_payload(table)
-        qp["qn"] = np.einsum("ij,ij->i", qp["Q"], qp["Q"]) if qp["Q"].size else np.zeros(0)
+        if qp["Q"].size:
+            Qu, inv = np.unique(qp["Q"], axis=0, return_inverse=True)
+        else:
+            Qu, inv = qp["Q"], np.zeros(0, dtype=np.int64)
+        qp["Qu"], qp["inv"] = Qu, np.asarray(inv).reshape(-1)
+        qp["qnu"] = np.einsum("ij,ij->i", Qu, Qu) if Qu.size else np.zeros(0)
         bc = spark.sparkContext.broadcast(qp)
 
-        def kernel(batches, bc=bc, k=k, mode=mode):
+        def kernel(batches, bc=bc, k=k, mode=mode, gather=gather):
             payload = bc.value
             for rb in batches:
                 out = _score_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload,
-                                   k, mode)
+                                   k, mode, gather)
                 if out is not None:
                     yield out
 

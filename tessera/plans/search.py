@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.articles import drop_empty_articles
 from ..operators.embed import LookupEncoder, embed_tokens, first_vector_per_token, word_tokens
 from ..operators.search import nearest_articles
-from ..session import read_table, spread
+from ..session import read_table
 from ..sources.derived import articles_from_long, text_articles, text_queries, vector_search_inputs
 
 K = 10  # articles kept per query
@@ -28,7 +28,7 @@ def lookup_encoder(spark: SparkSession, sf_dir: str) -> LookupEncoder:
 def embed_texts(texts: DataFrame, encoder: LookupEncoder, key_col: str) -> DataFrame:
     """``(key, tokens, vecs)``: the encoder's tokens of each text and one vector per token."""
     tokens = texts.select(key_col, word_tokens(F.col("text"), SEQ_LENGTH).alias("tokens"))
-    return embed_tokens(spread(tokens), encoder, "tokens", "vecs")
+    return embed_tokens(tokens, encoder, "tokens", "vecs")
 
 
 def query_vectors(queries: DataFrame, encoder: LookupEncoder) -> DataFrame:
@@ -37,9 +37,15 @@ def query_vectors(queries: DataFrame, encoder: LookupEncoder) -> DataFrame:
 
 
 def search_texts(articles: DataFrame, queries: DataFrame, encoder: LookupEncoder, k: int = K) -> DataFrame:
-    """``article_text`` -> ``drop_empty_articles`` -> ``embed_tokens`` -> distances -> top-k."""
-    arts = embed_texts(drop_empty_articles(articles, "text").select("article_id", "text"), encoder, "article_id")
-    return nearest_articles(arts, query_vectors(queries, encoder), k=k)
+    """``article_text`` -> ``drop_empty_articles`` -> ``embed_tokens`` -> distances -> top-k.
+
+    The article side carries only token ids; the encoder's gather runs inside the scoring
+    task, so one Arrow round trip per batch and no vectors materialised as rows.
+    """
+    encoder.broadcast(articles.sparkSession)
+    arts = drop_empty_articles(articles, "text").select(
+        "article_id", encoder.token_ids(word_tokens(F.col("text"), SEQ_LENGTH)).alias("tok_ids"))
+    return nearest_articles(arts, query_vectors(queries, encoder), k=k, vecs_col="tok_ids", encoder=encoder)
 
 
 def search_articles(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:

@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # nested token vectors make rows large; keep Arrow batches bounded
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.driver.memory": "8g",  # only used when this module starts the JVM (local runs)
 }
 
 
@@ -37,6 +38,7 @@ def get_spark(master: str | None = None, app: str = "tessera",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -44,7 +46,30 @@ def get_spark(master: str | None = None, app: str = "tessera",
 CORPUS_TABLES = ("documents", "conversations", "pages")
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker (``addPyFile`` of a zip).
+
+    Functions passed to Arrow/pandas UDFs are pickled by reference to ``tessera``; the zip
+    travels with the job like ``--py-files``, whatever the workers' working directory.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tessera-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "tessera"), "zip", os.path.dirname(pkg_dir), "tessera")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df) if name in CORPUS_TABLES else df
 
@@ -75,7 +100,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a thin input over the cluster before costly per-row work.
 
     A large input already arrives in many partitions and is left alone (no shuffle); only an
-    input with fewer partitions than the cluster's task slots is spread out.
+    input with fewer partitions than the cluster's task slots is spread out. Call it on a
+    scan (no exchange below), where counting partitions plans but runs nothing.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
