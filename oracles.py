@@ -418,6 +418,49 @@ SELECT doc_id, beam, cand, CAST((beam * 1000 + token_id) // 1000 AS INTEGER) AS
 }
 MODEL_SQL["embed_query"] = MODEL_SQL["first_vector_per_token"]
 
+# --- summaries (stand-in lead generator: hypothesis j = the j-th encoded line, j < 3) ------
+
+_SUMMARIES = "WITH " + _LOOKUP_DISTANCES + f""",
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance ASC, article_id DESC) AS rnk FROM means),
+chosen AS (SELECT article_id, min(rnk) AS best_rank FROM r WHERE rnk <= 10 GROUP BY article_id),
+sel AS (SELECT d.doc_id AS article_id, d.text, d.source, c.best_rank
+        FROM documents d JOIN chosen c ON c.article_id = d.doc_id),
+sln AS (SELECT article_id, {_lines('text')} AS lines FROM sel),
+smk AS (SELECT article_id, lines,
+               coalesce(list_position(list_transform(lines, lambda x: starts_with(x, '@highlight')), true), 0) AS p
+        FROM sln),
+sst AS (SELECT article_id, CASE WHEN p = 0 THEN lines ELSE list_slice(lines, 1, p - 1) END AS story FROM smk),
+slw AS (SELECT article_id, unnest(generate_series(1, len(story))) AS j,
+               unnest(list_transform(story, lambda l: {_wordsf('l')})) AS w
+        FROM sst WHERE len(story) > 0),
+slp AS (SELECT article_id, j, w,
+               1 + coalesce(sum(len(w) + 2) OVER (PARTITION BY article_id ORDER BY j
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pj
+        FROM slw),
+shy AS (SELECT article_id, j, list_slice(w, 1, least(len(w), 512 - pj)) AS body FROM slp WHERE j <= 3 AND pj <= 512),
+sbh AS (SELECT article_id, body, row_number() OVER (PARTITION BY article_id ORDER BY len(body), j) AS rk FROM shy),
+best AS (SELECT article_id, body FROM sbh WHERE rk = 1),
+known AS (SELECT DISTINCT unnest({_wordsf('text')}) AS token FROM documents),
+bw AS (SELECT article_id, unnest(body) AS w, unnest(generate_series(1, len(body))) AS i FROM best),
+bt AS (SELECT bw.article_id, string_agg(CASE WHEN k.token IS NULL THEN '[UNK]' ELSE bw.w END, ' ' ORDER BY bw.i) AS s
+       FROM bw LEFT JOIN known k ON k.token = bw.w GROUP BY bw.article_id),
+sm AS (SELECT b.article_id, CAST(-len(b.body) AS DOUBLE) AS score,
+              replace(CASE WHEN bt.s IS NULL THEN '[unused1]' ELSE bt.s || ' [unused1]' END, ' ##', '') AS summary,
+              s.source, s.best_rank
+       FROM best b JOIN sel s ON s.article_id = b.article_id LEFT JOIN bt ON bt.article_id = b.article_id)
+"""
+
+_SINK = _SUMMARIES + """
+SELECT CAST(row_number() OVER (ORDER BY best_rank, article_id) - 1 AS BIGINT) AS "index",
+       CAST(article_id AS VARCHAR) AS "Paper id", source AS "Title", summary AS "Summary" FROM sm"""
+
+SUMMARY_SQL = {
+    "summarize": _SUMMARIES + "SELECT article_id, score, summary FROM sm",
+    "attach_summaries": _SUMMARIES + "SELECT CAST(article_id AS VARCHAR) AS paper_id, source AS title, summary FROM sm",
+    "sink_summaries_csv": _SINK,
+    "summarize_articles": _SINK,
+}
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "search_vectors": SEARCH_VECTORS,
@@ -425,6 +468,7 @@ def oracle_sql() -> dict[str, str]:
     }
     out.update(TEXT_SQL)
     out.update(MODEL_SQL)
+    out.update(SUMMARY_SQL)
     out.update({
         "running_topk": SEARCH_VECTORS,
         "stream_resume": SEARCH_VECTORS,
@@ -434,3 +478,5 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
+
+
