@@ -461,6 +461,24 @@ SUMMARY_SQL = {
     "summarize_articles": _SINK,
 }
 
+
+def _basic(t: str) -> str:
+    """BERT basic tokenizer for ASCII punctuation: lower, strip accents, split punctuation."""
+    return ("list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(" + t + ")), "
+            "'([!-/:-@\\[-`{-~])', ' \\1 ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')")
+
+
+WORDPIECE_SQL = f"""
+WITH known AS (SELECT DISTINCT unnest({_basic('text')}) AS token FROM documents),
+bw AS (SELECT item_id, unnest({_basic('text')}) AS w, unnest(generate_series(1, len({_basic('text')}))) AS i
+       FROM benchmark),
+bp AS (SELECT bw.item_id, bw.i,
+              CASE WHEN length(bw.w) > 100 OR k.token IS NULL THEN '[UNK]' ELSE bw.w END AS piece
+       FROM bw LEFT JOIN known k ON k.token = bw.w)
+SELECT b.item_id, CAST(count(bp.piece) AS INTEGER) AS n_pieces,
+       coalesce(string_agg(bp.piece, ' ' ORDER BY bp.i), '') AS pieces
+FROM benchmark b LEFT JOIN bp ON bp.item_id = b.item_id GROUP BY b.item_id"""
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "search_vectors": SEARCH_VECTORS,
@@ -469,6 +487,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(TEXT_SQL)
     out.update(MODEL_SQL)
     out.update(SUMMARY_SQL)
+    out["wordpiece_tokenize"] = WORDPIECE_SQL
     out.update({
         "running_topk": SEARCH_VECTORS,
         "stream_resume": SEARCH_VECTORS,
@@ -480,3 +499,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 
+

@@ -220,3 +220,30 @@ def wordpiece_tokenize(df: DataFrame, vocab: Vocabulary, text_col: str = "text",
 
 def special_ids(vocab: Vocabulary) -> dict:
     return {t: vocab.id_of(t) for t in (PAD, UNK, CLS, SEP)}
+
+
+def _basic_tokenizer():
+    key = ("basic",)
+    if key not in _WORKER_CACHE:
+        from tokenizers import normalizers, pre_tokenizers
+        _WORKER_CACHE[key] = (normalizers.BertNormalizer(clean_text=True, handle_chinese_chars=True,
+                                                         strip_accents=None, lowercase=True),
+                              pre_tokenizers.BertPreTokenizer())
+    return _WORKER_CACHE[key]
+
+
+def basic_tokenize(df: DataFrame, text_col: str = "text", out_col: str = "words") -> DataFrame:
+    """BERT's basic tokenizer (clean, lower-case, strip accents, split on whitespace and
+    punctuation) in Arrow batches: the words WordPiece then matches against a vocabulary."""
+    keep = list(df.columns)
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        norm, pre = _basic_tokenizer()
+        for rb in batches:
+            out = [[w for w, _ in pre.pre_tokenize_str(norm.normalize_str(t))] if t is not None else []
+                   for t in rb.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [pa.array(out, pa.list_(pa.string()))],
+                                             names=keep + [out_col])
+
+    return df.mapInArrow(run, schema)

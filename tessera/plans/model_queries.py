@@ -129,7 +129,8 @@ def source_excerpt(spark, sf_dir):
 
 def wordpiece_tokenize(spark, sf_dir):
     d = read_table(spark, sf_dir, "benchmark")
-    pieces = TK.wordpiece_tokenize(d.select("item_id", "text"), _vocab(spark, sf_dir), "text", "pieces")
+    vocab = TK.Vocabulary(D.wordpiece_vocabulary(spark, sf_dir))
+    pieces = TK.wordpiece_tokenize(d.select("item_id", "text"), vocab, "text", "pieces")
     return pieces.select("item_id", F.size("pieces").alias("n_pieces"), F.array_join("pieces", " ").alias("pieces"))
 
 
