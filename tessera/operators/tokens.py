@@ -39,6 +39,25 @@ class Vocabulary:
         self._size = None
         self._index = None
 
+    @classmethod
+    def from_words(cls, words: DataFrame, specials: list[str], max_entries: int = MAX_VOCAB_ENTRIES) -> "Vocabulary":
+        """Special tokens (ids 0..), then the distinct ``token`` values of ``words`` in sorted
+        (byte) order. The vocabulary is model data bound for a broadcast anyway, so after its
+        size is checked it is sorted and numbered once on the driver."""
+        spark = words.sparkSession
+        n = words.count()
+        if n + len(specials) > max_entries:
+            raise ValueError(f"vocabulary of {n + len(specials)} entries exceeds {max_entries}")
+        toks = words.select("token").toArrow().column("token").combine_chunks()
+        toks = pc.take(toks, pc.sort_indices(toks))
+        all_toks = pa.concat_arrays([pa.array(specials, pa.string()), toks.cast(pa.string())])
+        ids = pa.array(np.arange(len(all_toks), dtype=np.int32))
+        table = spark.createDataFrame(pa.table({"token": all_toks, "id": ids}))
+        vocab = cls(table, max_entries)
+        vocab._size = len(all_toks)
+        vocab._bc = spark.sparkContext.broadcast((uuid.uuid4().hex, all_toks.to_pylist(), ids.to_pylist()))
+        return vocab
+
     @property
     def size(self) -> int:
         if self._size is None:

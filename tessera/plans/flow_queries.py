@@ -63,7 +63,7 @@ def _summaries(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text", "source")
     sel = docs.join(chosen, "article_id", "left_semi")  # the chosen set is at most k per query
     stories = ST.process_story(sel.select("article_id", F.col("text").alias("raw_story")))
-    vocab = TK.Vocabulary(D.vocabulary_table(spark, sf_dir))
+    vocab = D.corpus_vocabulary(spark, sf_dir)
     enc = TK.collate_rows(stories, vocab, 512, "article_id")
     gen = SM.lead_generator(vocab.id_of(CLS), vocab.id_of(SEP), vocab.id_of(EOS))
     nbest = SM.summarize(enc, gen, name="lead", key_col="article_id", batch_size=1)

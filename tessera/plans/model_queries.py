@@ -23,7 +23,7 @@ VEC_SUM = "vec_sum"
 
 
 def _vocab(spark, sf_dir, source="documents") -> TK.Vocabulary:
-    return TK.Vocabulary(D.vocabulary_table(spark, sf_dir, source))
+    return D.corpus_vocabulary(spark, sf_dir, source)
 
 
 def _doc_tokens(spark, sf_dir) -> DataFrame:
@@ -129,7 +129,7 @@ def source_excerpt(spark, sf_dir):
 
 def wordpiece_tokenize(spark, sf_dir):
     d = read_table(spark, sf_dir, "benchmark")
-    vocab = TK.Vocabulary(D.wordpiece_vocabulary(spark, sf_dir))
+    vocab = D.wordpiece_vocabulary(spark, sf_dir)
     pieces = TK.wordpiece_tokenize(d.select("item_id", "text"), vocab, "text", "pieces")
     return pieces.select("item_id", F.size("pieces").alias("n_pieces"), F.array_join("pieces", " ").alias("pieces"))
 

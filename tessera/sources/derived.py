@@ -237,14 +237,20 @@ def vocabulary_table(spark: SparkSession, sf_dir: str, source: str = "documents"
         "token", F.col("id").cast("int").alias("id"))
 
 
-def wordpiece_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(token, id)``: special tokens, then the sorted distinct basic-tokenizer words of
+def wordpiece_vocabulary(spark: SparkSession, sf_dir: str):
+    """``Vocabulary``: special tokens, then the sorted distinct basic-tokenizer words of
     ``documents`` (a whole-word WordPiece vocabulary)."""
-    from ..operators.ids import sequence_ids
-    from ..operators.tokens import basic_tokenize
-    specials = spark.createDataFrame([(i, t) for i, t in enumerate(SPECIAL_TOKENS)], "k int, token string")
+    from ..operators.tokens import Vocabulary, basic_tokenize
     d = read_table(spark, sf_dir, "documents").select("text")
-    ws = (basic_tokenize(d, "text", "w").select(F.explode("w").alias("token")).distinct()
-          .select(F.lit(len(SPECIAL_TOKENS)).alias("k"), "token"))
-    return sequence_ids(specials.unionByName(ws), ["k", "token"], "id").select(
-        "token", F.col("id").cast("int").alias("id"))
+    ws = basic_tokenize(d, "text", "w").select(F.explode("w").alias("token")).distinct()
+    return Vocabulary.from_words(ws, SPECIAL_TOKENS)
+
+
+def corpus_vocabulary(spark: SparkSession, sf_dir: str, source: str = "documents"):
+    """``Vocabulary``: special tokens, then the sorted distinct whitespace words of ``source``
+    (same ids as ``vocabulary_table``)."""
+    from ..functions.strings import words
+    from ..operators.tokens import Vocabulary
+    t = read_table(spark, sf_dir, source)
+    ws = t.select(F.explode(words(F.col("text"))).alias("token")).filter(F.col("token") != "").distinct()
+    return Vocabulary.from_words(ws, SPECIAL_TOKENS)
