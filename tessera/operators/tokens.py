@@ -32,12 +32,22 @@ def whitespace_tokens(text) -> Column:
 class Vocabulary:
     """``(token, id)`` table; size checked before it is broadcast."""
 
-    def __init__(self, table: DataFrame, max_entries: int = MAX_VOCAB_ENTRIES):
-        self.table = table.select("token", F.col("id").cast("int").alias("id"))
+    def __init__(self, table: DataFrame | None, max_entries: int = MAX_VOCAB_ENTRIES):
+        self._table = None if table is None else table.select("token", F.col("id").cast("int").alias("id"))
         self.max_entries = max_entries
         self._bc = None
         self._size = None
         self._index = None
+        self._arrays = None  # (tokens, ids) when the vocabulary was numbered on the driver
+        self._spark = None
+
+    @property
+    def table(self) -> DataFrame:
+        """``(token, id)`` as a DataFrame (built from the driver copy when there is one)."""
+        if self._table is None:
+            toks, ids = self._arrays
+            self._table = self._spark.createDataFrame(pa.table({"token": toks, "id": ids}))
+        return self._table
 
     @classmethod
     def from_words(cls, words: DataFrame, specials: list[str], max_entries: int = MAX_VOCAB_ENTRIES) -> "Vocabulary":
@@ -45,15 +55,19 @@ class Vocabulary:
         (byte) order. The vocabulary is model data bound for a broadcast anyway, so after its
         size is checked it is sorted and numbered once on the driver."""
         spark = words.sparkSession
-        n = words.count()
-        if n + len(specials) > max_entries:
-            raise ValueError(f"vocabulary of {n + len(specials)} entries exceeds {max_entries}")
-        toks = words.select("token").toArrow().column("token").combine_chunks()
+        words = words.select("token").persist()  # counted, then collected: computed once
+        try:
+            n = words.count()
+            if n + len(specials) > max_entries:
+                raise ValueError(f"vocabulary of {n + len(specials)} entries exceeds {max_entries}")
+            toks = words.toArrow().column("token").combine_chunks()
+        finally:
+            words.unpersist()
         toks = pc.take(toks, pc.sort_indices(toks))
         all_toks = pa.concat_arrays([pa.array(specials, pa.string()), toks.cast(pa.string())])
         ids = pa.array(np.arange(len(all_toks), dtype=np.int32))
-        table = spark.createDataFrame(pa.table({"token": all_toks, "id": ids}))
-        vocab = cls(table, max_entries)
+        vocab = cls(None, max_entries)
+        vocab._arrays, vocab._spark = (all_toks, ids), spark
         vocab._size = len(all_toks)
         vocab._bc = spark.sparkContext.broadcast((uuid.uuid4().hex, all_toks.to_pylist(), ids.to_pylist()))
         return vocab
