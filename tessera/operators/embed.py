@@ -32,6 +32,16 @@ MAX_MODEL_BYTES = 1 << 30  # a lookup table must fit comfortably in every worker
 _WORKER_MODELS: dict = {}  # one model per Python worker process, by name
 
 
+OUTPUT_BATCH_BYTES = 64 * 1024 * 1024  # cap of one Arrow batch of vectors sent back to the JVM
+
+
+def row_slices(rb: pa.RecordBatch, bytes_per_row: float, cap: int = OUTPUT_BATCH_BYTES):
+    """Slices of ``rb`` whose output stays under ``cap`` bytes (at least one row each)."""
+    step = max(1, int(cap // max(1.0, bytes_per_row)))
+    for s in range(0, rb.num_rows, step):
+        yield rb.slice(s, step)
+
+
 def _nested_vectors(V: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """(T x D) matrix + per-row token counts -> list<list<float>>."""
     T_, D = V.shape
@@ -102,17 +112,23 @@ def embed_tokens(df: DataFrame, encoder: LookupEncoder, tokens_col: str = "token
 
     def gather(batches, bc=bc, keep=keep):
         W = bc.value
-        for rb in batches:
-            ids = rb.column("_tok_ids")
-            lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            vecs = _nested_vectors(W[flat] if len(flat) else np.zeros((0, W.shape[1]), np.float32), lengths)
-            cols = [rb.column(c) for c in keep] + [vecs]
-            yield pa.RecordBatch.from_arrays(cols, names=keep + [out_col])
+        for big in batches:
+            n_tok = pc.sum(pc.list_value_length(big.column("_tok_ids"))).as_py() or 0
+            for rb in row_slices(big, n_tok * W.shape[1] * 4 / max(1, big.num_rows)):
+                yield _gather_batch(rb, W, keep, out_col)
 
     return tmp.mapInArrow(gather, out_schema)
 
 
+def _gather_batch(rb: pa.RecordBatch, W: np.ndarray, keep: list, out_col: str) -> pa.RecordBatch:
+    """Rows of ``W`` for every token id of the batch, as one nested vector list per row."""
+    ids = rb.column("_tok_ids")
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    vecs = _nested_vectors(W[flat] if len(flat) else np.zeros((0, W.shape[1]), np.float32), lengths)
+    return pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [vecs], names=keep + [out_col])
+
+
 class BatchEncoder:
     """A user's encoder model run in micro-batches on padded model input rows.
 
@@ -138,24 +154,29 @@ def embed_model_inputs(df: DataFrame, encoder: BatchEncoder, ids_col: str = "inp
         fn = _WORKER_MODELS.get(name)
         if fn is None:
             fn = _WORKER_MODELS[name] = make()
-        for rb in batches:
-            ids_a, mask_a = rb.column(ids_col), rb.column(mask_col)
-            n = len(ids_a)
-            if n == 0:
+        for big in batches:
+            if big.num_rows == 0:
                 continue
-            L = int(pc.max(pc.list_value_length(ids_a)).as_py())
-            ids = ids_a.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, L)
-            mask = mask_a.flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, L)
-            parts = [np.asarray(fn(ids[s:s + bs], mask[s:s + bs]), dtype=np.float32) for s in range(0, n, bs)]
-            out = np.concatenate(parts, axis=0)  # [n, L, D]
-            real = mask.astype(bool)
-            V = out[real]  # row-major: tokens of row 0, then row 1, ...
-            vecs = _nested_vectors(V, real.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [vecs], names=keep + [out_col])
+            L = int(pc.max(pc.list_value_length(big.column(ids_col))).as_py())
+            # output bytes per row are unknown before the model runs: budget 1024 floats a token
+            for rb in row_slices(big, L * 1024 * 4):
+                yield _infer_batch(rb, fn, bs, L, ids_col, mask_col, keep, out_col)
 
     return df.mapInArrow(infer, out_schema)
 
 
+def _infer_batch(rb, fn, bs, L, ids_col, mask_col, keep, out_col) -> pa.RecordBatch:
+    """Run the model on micro-batches of ``bs`` rows; keep the vectors of real positions."""
+    n = rb.num_rows
+    ids = rb.column(ids_col).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, L)
+    mask = rb.column(mask_col).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, L)
+    parts = [np.asarray(fn(ids[s:s + bs], mask[s:s + bs]), dtype=np.float32) for s in range(0, n, bs)]
+    out = np.concatenate(parts, axis=0)  # [n, L, D]
+    real = mask.astype(bool)
+    vecs = _nested_vectors(out[real], real.sum(axis=1))  # row-major: row 0's tokens, then row 1's
+    return pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [vecs], names=keep + [out_col])
+
+
 def word_tokens(text: Column, seq_length: int = 128) -> Column:
     """Lookup-encoder tokens: ``[CLS]`` + first ``seq_length - 2`` words + ``[SEP]``."""
     return add_special_tokens(truncate_tokens(words(text), seq_length))

@@ -34,6 +34,8 @@ PICO = 1e12  # per-token distances are summed as integer pico-units
 DEFAULT_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 # cap of the (article tokens x query tokens) distance tile held at once in a task
 TILE_ELEMENTS = 1024 * 1024
+# cap of the (articles x query tokens) result matrices of one kernel call
+BATCH_CELLS = 8 * 1024 * 1024
 
 
 def _to_micro(x: np.ndarray) -> np.ndarray:
@@ -221,11 +223,15 @@ def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | No
 
         def kernel(batches, bc=bc, k=k, mode=mode, gather=gather):
             payload = bc.value
-            for rb in batches:
-                out = _score_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload,
-                                   k, mode, gather)
-                if out is not None:
-                    yield out
+            # articles per call so that (articles x query tokens) matrices stay bounded
+            step = max(1, BATCH_CELLS // max(1, len(payload["inv"])))
+            for big in batches:
+                for s0 in range(0, big.num_rows, step):
+                    rb = big.slice(s0, step)
+                    out = _score_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload,
+                                       k, mode, gather)
+                    if out is not None:
+                        yield out
 
         outs.append(art.mapInArrow(kernel, TOKEN_SCHEMA if mode == "tokens" else DIST_SCHEMA))
     result = outs[0]

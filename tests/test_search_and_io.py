@@ -108,3 +108,16 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.columns == ["query_id", "rank", "article_id", "distance"]
     assert df.count() > 0
+
+
+def test_query_blocks_and_article_chunks_give_same_answer(spark, monkeypatch):
+    import tessera.operators.search as S
+    rng = np.random.default_rng(5)
+    arts = [(i, rng.normal(size=(rng.integers(1, 5), 3)).round(2).astype(np.float32).tolist()) for i in range(30)]
+    qs = [(q, t, rng.normal(size=3).round(2).astype(np.float32).tolist()) for q in range(7) for t in range(2)]
+    a = spark.createDataFrame(arts, "article_id long, vecs array<array<float>>")
+    q = spark.createDataFrame(qs, "query_id long, tok_no long, vec array<float>")
+    one = sorted(tuple(r) for r in S.nearest_articles(a, q, k=4).collect())
+    monkeypatch.setattr(S, "BATCH_CELLS", 3)      # a few articles per kernel call
+    many = sorted(tuple(r) for r in S.nearest_articles(a, q, k=4, max_block_bytes=100).collect())
+    assert one == many and len(one) == 28
