@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as AR
-from ..functions.strings import detokenize as detok_col
 from ..functions.vectors import l2_distance_exact, micro_units, round_vector
 from ..operators import embed as E
 from ..operators import hypotheses as H

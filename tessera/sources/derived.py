@@ -224,19 +224,6 @@ def nbest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("beam") * FLAT_VOCAB + token_id).cast("long").alias("flat_index"))
 
 
-def vocabulary_table(spark: SparkSession, sf_dir: str, source: str = "documents") -> DataFrame:
-    """``(token, id)``: special tokens, then the distinct whitespace words of ``source``
-    (``documents`` or ``benchmark``) in sorted order; dense ids computed in parallel."""
-    from ..functions.strings import words
-    from ..operators.ids import sequence_ids
-    specials = spark.createDataFrame([(i, t) for i, t in enumerate(SPECIAL_TOKENS)], "k int, token string")
-    t = read_table(spark, sf_dir, source)
-    ws = (t.select(F.explode(words(F.col("text"))).alias("token")).filter(F.col("token") != "").distinct()
-          .select(F.lit(len(SPECIAL_TOKENS)).alias("k"), "token"))
-    return sequence_ids(specials.unionByName(ws), ["k", "token"], "id").select(
-        "token", F.col("id").cast("int").alias("id"))
-
-
 def wordpiece_vocabulary(spark: SparkSession, sf_dir: str):
     """``Vocabulary``: special tokens, then the sorted distinct basic-tokenizer words of
     ``documents`` (a whole-word WordPiece vocabulary)."""
@@ -248,7 +235,7 @@ def wordpiece_vocabulary(spark: SparkSession, sf_dir: str):
 
 def corpus_vocabulary(spark: SparkSession, sf_dir: str, source: str = "documents"):
     """``Vocabulary``: special tokens, then the sorted distinct whitespace words of ``source``
-    (same ids as ``vocabulary_table``)."""
+    (the same ids as the vocabulary file written by ``write_vocabulary``)."""
     from ..functions.strings import words
     from ..operators.tokens import Vocabulary
     t = read_table(spark, sf_dir, source)
