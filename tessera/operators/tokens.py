@@ -3,6 +3,8 @@
 Array-valued steps (padding, masks, segments, special tokens) are JVM expressions. The
 vocabulary lookup on token arrays runs as a vectorised Arrow hash lookup per batch against
 a broadcast vocabulary (no explode/regroup shuffle); on long tables it is a broadcast join.
+A vocabulary beyond the broadcast bound is never broadcast: lookups then become shuffle
+joins on the token (AQE splits a hot token's partition) and ids are numbered in parallel.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from ..functions.arrays import (CLS, PAD, SEP, UNK, add_special_tokens, build_ma
                                 truncate_or_pad, truncate_tokens, zeros)
 from ..functions.strings import words
 
-MAX_VOCAB_ENTRIES = 5_000_000  # a vocabulary is model data and must fit in every worker
+MAX_VOCAB_ENTRIES = 5_000_000  # largest vocabulary that is broadcast to every worker
 _WORKER_CACHE: dict = {}
 
 
@@ -52,14 +54,21 @@ class Vocabulary:
     @classmethod
     def from_words(cls, words: DataFrame, specials: list[str], max_entries: int = MAX_VOCAB_ENTRIES) -> "Vocabulary":
         """Special tokens (ids 0..), then the distinct ``token`` values of ``words`` in sorted
-        (byte) order. The vocabulary is model data bound for a broadcast anyway, so after its
-        size is checked it is sorted and numbered once on the driver."""
+        (byte) order. Counted first: within the broadcast bound it is sorted and numbered once
+        on the driver (it is broadcast anyway); beyond it, ids are numbered in parallel and
+        the vocabulary stays a distributed table."""
         spark = words.sparkSession
-        words = words.select("token").persist()  # counted, then collected: computed once
+        words = words.select("token").persist()  # counted, then collected or numbered: computed once
         try:
             n = words.count()
             if n + len(specials) > max_entries:
-                raise ValueError(f"vocabulary of {n + len(specials)} entries exceeds {max_entries}")
+                from .ids import sequence_ids
+                head = spark.createDataFrame([(i, t) for i, t in enumerate(specials)], "k int, token string")
+                body = words.select(F.lit(len(specials)).alias("k"), "token")
+                table = sequence_ids(head.unionByName(body), ["k", "token"], "id").select("token", "id")
+                vocab = cls(table, max_entries)
+                vocab._size = n + len(specials)
+                return vocab
             toks = words.toArrow().column("token").combine_chunks()
         finally:
             words.unpersist()
@@ -76,19 +85,27 @@ class Vocabulary:
     def size(self) -> int:
         if self._size is None:
             self._size = self.table.count()
-            if self._size > self.max_entries:
-                raise ValueError(f"vocabulary of {self._size} entries exceeds {self.max_entries}")
         return self._size
 
+    @property
+    def fits_broadcast(self) -> bool:
+        return self.size <= self.max_entries
+
     def broadcast(self, spark):
         if self._bc is None:
-            _ = self.size
+            if not self.fits_broadcast:
+                raise ValueError(f"vocabulary of {self.size} entries exceeds the broadcast bound {self.max_entries}")
             tbl = self.table.toArrow().sort_by("id")
             # the key names this vocabulary in each worker's cache
             self._bc = spark.sparkContext.broadcast((uuid.uuid4().hex, tbl.column("token").to_pylist(),
                                                      tbl.column("id").to_pylist()))
         return self._bc
 
+    def prepare(self, spark) -> None:
+        """Broadcast when within the bound (cheap lookups); otherwise leave it distributed."""
+        if self.fits_broadcast:
+            self.broadcast(spark)
+
     def id_of(self, token: str) -> int:
         if self._bc is not None:  # the driver already holds the (bounded) vocabulary
             _, toks, ids = self._bc.value
@@ -103,6 +120,29 @@ class Vocabulary:
         return int(row["id"])
 
 
+def _lookup_by_join(df: DataFrame, vocab_table: DataFrame, src_col: str, out_col: str, key: str, value: str,
+                    default=None) -> DataFrame:
+    """Array lookup through a shuffle join (vocabulary too large to broadcast).
+
+    Explode with positions, join on the element (a hot element is split by AQE's skew
+    handling), regroup by row in position order, join the arrays back to their rows. The
+    row-keyed input is written to the shared checkpoint folder first, so both branches
+    see the same row keys even when work is redone.
+    """
+    from ..session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, "rows")
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    keyed = spark.read.parquet(path)
+    long = keyed.select("_row", F.posexplode_outer(src_col).alias("_pos", key))
+    got = long.join(vocab_table.select(key, value), key, "left")
+    val = F.col(value) if default is None else F.coalesce(F.col(value), F.lit(default))
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", val.alias("v")))
+    arrays = got.groupBy("_row").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    return (keyed.join(arrays, "_row").withColumn(out_col, F.col("_items.v"))
+            .drop("_row", "_items"))
+
+
 def _vocab_arrays(bc):
     name, toks, ids = bc.value
     key = ("vocab", name)
@@ -120,8 +160,11 @@ def _rebuild_list(orig: pa.Array, values: pa.Array) -> pa.Array:
 def tokens_to_ids(df: DataFrame, vocab: Vocabulary, tokens_col: str = "tokens", out_col: str = "input_ids",
                   unk_token: str = UNK) -> DataFrame:
     """Token arrays -> id arrays; unknown tokens get the id of ``unk_token``."""
-    bc = vocab.broadcast(df.sparkSession)
+    vocab.prepare(df.sparkSession)
     unk_id = vocab.id_of(unk_token)
+    if not vocab.fits_broadcast:
+        return _lookup_by_join(df, vocab.table, tokens_col, out_col, "token", "id", unk_id)
+    bc = vocab.broadcast(df.sparkSession)
     keep = list(df.columns)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
@@ -139,6 +182,9 @@ def tokens_to_ids(df: DataFrame, vocab: Vocabulary, tokens_col: str = "tokens",
 
 def ids_to_tokens(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out_col: str = "tokens") -> DataFrame:
     """Id arrays -> token arrays (an unknown id gives null)."""
+    vocab.prepare(df.sparkSession)
+    if not vocab.fits_broadcast:
+        return _lookup_by_join(df, vocab.table, ids_col, out_col, "id", "token")
     bc = vocab.broadcast(df.sparkSession)
     keep = list(df.columns)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.StringType()))])
@@ -155,18 +201,20 @@ def ids_to_tokens(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out_co
 
 
 def token_ids_long(long: DataFrame, vocab: Vocabulary, unk_token: str = UNK) -> DataFrame:
-    """Long table ``(..., token)`` -> adds ``id`` by a left join to the broadcast vocabulary."""
-    _ = vocab.size  # bounded before broadcasting
+    """Long table ``(..., token)`` -> adds ``id`` by a left join to the vocabulary (broadcast
+    when within the bound, else a shuffle join)."""
     unk_id = vocab.id_of(unk_token)
-    v = F.broadcast(vocab.table.withColumnRenamed("token", "_vt"))
+    v = vocab.table.withColumnRenamed("token", "_vt")
+    v = F.broadcast(v) if vocab.fits_broadcast else v
     return (long.join(v, long["token"] == v["_vt"], "left")
             .withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int")).drop("_vt"))
 
 
 def id_tokens_long(long: DataFrame, vocab: Vocabulary, id_col: str = "id") -> DataFrame:
-    """Long table ``(..., id)`` -> adds ``token`` by a left join to the broadcast vocabulary."""
-    _ = vocab.size
-    v = F.broadcast(vocab.table.withColumnRenamed("id", "_vid"))
+    """Long table ``(..., id)`` -> adds ``token`` by a left join to the vocabulary (broadcast
+    when within the bound, else a shuffle join)."""
+    v = vocab.table.withColumnRenamed("id", "_vid")
+    v = F.broadcast(v) if vocab.fits_broadcast else v
     return long.join(v, long[id_col] == v["_vid"], "left").drop("_vid")
 
 
@@ -203,7 +251,7 @@ def collate_rows(stories: DataFrame, vocab: Vocabulary, block_size: int = 512, k
     ``src`` = story lines encoded and cut or padded to ``block_size``; ``segs`` alternate at
     every ``[CLS]``; ``mask_src`` is 0 on padding.
     """
-    vocab.broadcast(stories.sparkSession)
+    vocab.prepare(stories.sparkSession)
     pad_id, cls_id = vocab.id_of(PAD), vocab.id_of(CLS)
     pre = (stories.filter(F.size("story_lines") > 0)
            .select(key_col, encode_lines(F.col("story_lines")).alias("_tok"),

@@ -77,3 +77,17 @@ def test_summaries_csv_roundtrip_with_quotes(spark):
     FS.sink_summaries_csv(df, path)
     back = FS.read_summaries_csv(spark, path).orderBy("index").collect()
     assert [tuple(r) for r in back] == [(0, "p1", 'Title "q"', "line1\nline2"), (1, "p2", "T2", "s, with comma")]
+
+
+def test_large_vocabulary_falls_back_to_joins(spark):
+    words = spark.createDataFrame([(w,) for w in ["a", "b", "c"]], "token string")
+    small = TK.Vocabulary.from_words(words, SPECIALS)
+    big = TK.Vocabulary.from_words(words, SPECIALS, max_entries=5)  # beyond the bound: no broadcast
+    assert small.fits_broadcast and not big.fits_broadcast and big._bc is None
+    assert sorted(tuple(r) for r in big.table.collect()) == sorted(tuple(r) for r in small.table.collect())
+    df = spark.createDataFrame([(1, ["a", "zz", "c"]), (2, []), (3, ["b", "b"])], "k int, tokens array<string>")
+    via_join = {r["k"]: list(r["ids"]) for r in TK.tokens_to_ids(df, big, "tokens", "ids").collect()}
+    via_arrow = {r["k"]: list(r["ids"]) for r in TK.tokens_to_ids(df, small, "tokens", "ids").collect()}
+    assert via_join == via_arrow == {1: [7, 3, 9], 2: [], 3: [8, 8]}
+    back = TK.ids_to_tokens(TK.tokens_to_ids(df, big, "tokens", "ids"), big, "ids", "t")
+    assert {r["k"]: list(r["t"]) for r in back.collect()} == {1: ["a", UNK, "c"], 2: [], 3: ["b", "b"]}
