@@ -281,7 +281,8 @@ def mean_best_distance(minima: DataFrame) -> DataFrame:
 def selected_articles(articles: DataFrame, topk: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Chosen ids back to their articles, by key (never by list position).
 
-    The top-k side holds at most k rows per query, a bounded broadcast.
+    The top-k side holds ``k`` rows per query; no broadcast is forced: AQE broadcasts it when
+    its measured size is under the threshold and keeps a shuffle join otherwise.
     """
-    return articles.join(F.broadcast(topk), articles[id_col] == topk["article_id"], "inner") \
-        .drop(topk["article_id"]) if id_col != "article_id" else articles.join(F.broadcast(topk), "article_id")
+    top = topk.withColumnRenamed("article_id", "_chosen")
+    return articles.join(top, articles[id_col] == top["_chosen"], "inner").drop("_chosen")
