@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PY_WS_CLASS = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
                "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")
 
+NOT_PY_WS_CLASS = "[^" + PY_WS_CLASS[1:]  # any character Python's strip() keeps
+
 # Line endings after which no period is added
 # (".", "!", "?", "...", "'", "`", '"', "’", "’", ")"); only one-character
 # entries can equal a last character, so "..." and the repeated "’" change nothing.
@@ -31,6 +33,11 @@ def py_strip(c) -> Column:
 strip_text = py_strip
 
 
+def has_text(c) -> Column:
+    """``strip(s) != ''`` without rewriting the string: true at the first non-space character."""
+    return _c(c).rlike(NOT_PY_WS_CLASS)
+
+
 def normalize_whitespace(c) -> Column:
     """``" ".join(s.split())``: whitespace runs become one space, ends trimmed."""
     return F.regexp_replace(py_strip(c), f"{PY_WS_CLASS}+", " ")

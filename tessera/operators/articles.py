@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import py_strip
+from ..functions.strings import has_text, py_strip
 
 
 def _texts(arr: Column) -> Column:
@@ -64,4 +64,4 @@ def article_record(articles: DataFrame) -> DataFrame:
 
 def drop_empty_articles(df: DataFrame, text_col: str = "concat_text") -> DataFrame:
     """Drop articles without text before any costly work (embedding)."""
-    return df.filter(py_strip(F.col(text_col)) != "")
+    return df.filter(has_text(F.col(text_col)))

@@ -52,8 +52,10 @@ def test_story_rules_property(spark, parts):
 def test_strip_and_normalize(spark):
     texts = ["  a b ", "\x1c\x1dx\x1e\x1f", " y ", "a \t\n b　c", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    rows = df.select(S.py_strip("t").alias("s"), S.normalize_whitespace("t").alias("n")).collect()
+    rows = df.select(S.py_strip("t").alias("s"), S.normalize_whitespace("t").alias("n"),
+                     S.has_text("t").alias("h")).collect()
     assert [r["s"] for r in rows] == [t.strip() for t in texts]
+    assert [r["h"] for r in rows] == [t.strip() != "" for t in texts]
     assert [r["n"] for r in rows] == [" ".join(t.split()) for t in texts]
 
 
