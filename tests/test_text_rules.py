@@ -50,7 +50,7 @@ def test_story_rules_property(spark, parts):
 
 
 def test_strip_and_normalize(spark):
-    texts = ["  a b ", "\x1c\x1dx\x1e\x1f", " y ", "a \t\n b\u3000c", "", " \x85\u3000\n", " "]
+    texts = ["  a b ", "\x1c\x1dx\x1e\x1f", "\u2028y\u2029", "a \t\n b\u3000c", "", " \x85\u3000\n", " "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select(S.py_strip("t").alias("s"), S.normalize_whitespace("t").alias("n"),
                      S.has_text("t").alias("h")).collect()
