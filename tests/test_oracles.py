@@ -14,7 +14,7 @@ SAMPLE = ["search_vectors", "search_articles", "article_record", "metadata_clean
 
 def _rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(None if v != v else v for v in r) for r in df.itertuples(index=False))
+    return sorted((tuple(None if v != v else v for v in r) for r in df.itertuples(index=False)), key=repr)
 
 
 @pytest.fixture(scope="module")
