@@ -32,7 +32,7 @@ MAX_MODEL_BYTES = 1 << 30  # a lookup table must fit comfortably in every worker
 _WORKER_MODELS: dict = {}  # one model per Python worker process, by name
 
 
-OUTPUT_BATCH_BYTES = 64 * 1024 * 1024  # cap of one Arrow batch of vectors sent back to the JVM
+OUTPUT_BATCH_BYTES = 16 * 1024 * 1024  # cap of one Arrow batch of vectors sent back to the JVM
 
 
 def row_slices(rb: pa.RecordBatch, bytes_per_row: float, cap: int = OUTPUT_BATCH_BYTES):

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # nested token vectors make rows large; keep Arrow batches bounded
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # Arrow buffers live in direct memory (bounded by the heap size): keep batches small
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
     "spark.driver.memory": "8g",  # only used when this module starts the JVM (local runs)
 }
 
