@@ -121,3 +121,13 @@ def test_query_blocks_and_article_chunks_give_same_answer(spark, monkeypatch):
     monkeypatch.setattr(S, "BATCH_CELLS", 3)      # a few articles per kernel call
     many = sorted(tuple(r) for r in S.nearest_articles(a, q, k=4, max_block_bytes=100).collect())
     assert one == many and len(one) == 28
+
+
+def test_nan_component_and_fewer_than_k(spark):
+    arts = [(1, [[0.0, 0.0]]), (2, [[float("nan"), 0.0], [1.0, 1.0]]), (3, [[0.5, 0.0]])]
+    a = spark.createDataFrame(arts, "article_id long, vecs array<array<float>>")
+    q = spark.createDataFrame([(7, 0, [0.0, 0.0])], "query_id long, tok_no long, vec array<float>")
+    rows = nearest_articles(a, q, k=10).orderBy("rank").collect()
+    assert [r["article_id"] for r in rows] == [1, 3, 2]  # NaN sorts last, as numpy's argmax evicts it first
+    assert rows[2]["distance"] != rows[2]["distance"]
+    assert [r["rank"] for r in rows] == [1, 2, 3]  # fewer than k articles: all kept
