@@ -181,14 +181,17 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
 def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     """Split the query table so each broadcast block stays under ``max_block_bytes``.
 
-    The size is measured, not assumed: token count times vector length.
+    The size is measured, not assumed: token count times vector length. Beyond the budget,
+    whole queries are hashed into blocks of half the budget on average; one query (a few
+    hundred vectors at most) is small against a block, so hash blocks stay close to their
+    mean and well under the budget.
     """
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
     size = n * max(dim, 1) * 8
-    blocks = max(1, math.ceil(size / max_block_bytes))
-    if blocks == 1:
+    if size <= max_block_bytes:
         return [queries]
+    blocks = math.ceil(2 * size / max_block_bytes)
     # whole queries per block (a query never spans blocks: its mean needs all its tokens)
     keyed = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     return [keyed.filter(F.col("_blk") == b).drop("_blk") for b in range(blocks)]
