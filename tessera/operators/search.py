@@ -215,6 +215,8 @@ def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | No
     for block in _query_blocks(queries, max_block_bytes):
         table = block.select(F.col("query_id").cast("long"), F.col("tok_no").cast("long"),
                              F.col("vec")).toArrow()
+        if table.num_rows == 0:  # a hash block without queries
+            continue
         qp = _query_payload(table)
         if qp["Q"].size:
             Qu, inv = np.unique(qp["Q"], axis=0, return_inverse=True)
@@ -237,6 +239,8 @@ def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | No
                         yield out
 
         outs.append(art.mapInArrow(kernel, TOKEN_SCHEMA if mode == "tokens" else DIST_SCHEMA))
+    if not outs:
+        return spark.createDataFrame([], TOKEN_SCHEMA if mode == "tokens" else DIST_SCHEMA)
     result = outs[0]
     for o in outs[1:]:
         result = result.unionByName(o)
