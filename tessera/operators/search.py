@@ -104,28 +104,48 @@ def _partial_sq_dist(X: np.ndarray, Q: np.ndarray) -> np.ndarray:
 
 
 def _encoded_matrix(tok_ids: pa.Array, gather, dim: int):
-    """Token id lists -> (tokens x dim) micro-units via the encoder's gather, plus counts."""
+    """Token id lists -> distinct ids' vectors in micro-units, each token's row, counts.
+
+    A token-wise encoder gives equal vectors to equal ids, so each distinct id of the batch
+    is encoded (and later scored) once.
+    """
     counts = pc.fill_null(pc.list_value_length(tok_ids), 0).to_numpy(zero_copy_only=False)
     flat = tok_ids.flatten().to_numpy(zero_copy_only=False)
-    V = gather(flat) if len(flat) else np.zeros((0, dim), np.float32)
+    if len(flat) == 0:
+        return np.zeros((0, dim)), np.zeros(0, dtype=np.int64), counts
+    uniq, inv = np.unique(flat, return_inverse=True)
+    V = gather(uniq)
     if V.shape[1] != dim:
         raise ValueError(f"encoder vectors must have {dim} components")
-    return _to_micro(V), counts
+    return _to_micro(V), np.asarray(inv).reshape(-1), counts
 
 
-def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode: str = "mean", gather=None):
+def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode: str = "mean", gather=None,
+                 cells_cap: int = BATCH_CELLS):
     # identical query token vectors (a word shared by many queries) are scored once
     Q, qn = qp["Qu"], qp["qnu"]
+    rows_of = None  # token -> row of the distinct-vector matrix (token-wise encoders)
     if gather is None:
         X, counts = _article_matrix(vecs, qp["dim"])
     else:  # token ids: the encoder runs here, its vectors never leave the task
-        X, counts = _encoded_matrix(vecs, gather, qp["dim"])
+        X, rows_of, counts = _encoded_matrix(vecs, gather, qp["dim"])
     keep = counts > 0  # an article without tokens has no distance
     if not keep.all():
-        X = X[np.repeat(keep, counts)]
+        if rows_of is None:
+            X = X[np.repeat(keep, counts)]
+        else:
+            rows_of = rows_of[np.repeat(keep, counts)]
     ids, counts = ids[keep], counts[keep]
     if len(ids) == 0 or Q.shape[0] == 0:
         return None
+    # distinct vectors are scored once and tiles gather their rows, while that matrix stays
+    # small; otherwise every token row is scored in tiles as for given vectors
+    G_all = None
+    if rows_of is not None:
+        if X.shape[0] * Q.shape[0] <= cells_cap:
+            G_all = _partial_sq_dist(X, Q)
+        else:
+            X = X[rows_of]
     tok_starts = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
     # tile over articles so that (tokens x query tokens) stays bounded
     per_tile = max(1, TILE_ELEMENTS // max(1, Q.shape[0]))
@@ -139,7 +159,7 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
             a1 += 1
         t0 = tok_starts[a0]
         starts = tok_starts[a0:a1] - t0
-        G = _partial_sq_dist(X[t0:t0 + tok], Q)
+        G = G_all[rows_of[t0:t0 + tok]] if G_all is not None else _partial_sq_dist(X[t0:t0 + tok], Q)
         m = np.minimum.reduceat(G, starts, axis=0)
         mins[a0:a1] = m
         if argpos is not None:  # first token position reaching the minimum
@@ -226,15 +246,15 @@ def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | No
         qp["qnu"] = np.einsum("ij,ij->i", Qu, Qu) if Qu.size else np.zeros(0)
         bc = spark.sparkContext.broadcast(qp)
 
-        def kernel(batches, bc=bc, k=k, mode=mode, gather=gather):
+        def kernel(batches, bc=bc, k=k, mode=mode, gather=gather, cap=BATCH_CELLS):
             payload = bc.value
             # articles per call so that (articles x query tokens) matrices stay bounded
-            step = max(1, BATCH_CELLS // max(1, len(payload["inv"])))
+            step = max(1, cap // max(1, len(payload["inv"])))
             for big in batches:
                 for s0 in range(0, big.num_rows, step):
                     rb = big.slice(s0, step)
                     out = _score_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload,
-                                       k, mode, gather)
+                                       k, mode, gather, cap)
                     if out is not None:
                         yield out
 

@@ -131,3 +131,18 @@ def test_nan_component_and_fewer_than_k(spark):
     assert [r["article_id"] for r in rows] == [1, 3, 2]  # NaN sorts last, as numpy's argmax evicts it first
     assert rows[2]["distance"] != rows[2]["distance"]
     assert [r["rank"] for r in rows] == [1, 2, 3]  # fewer than k articles: all kept
+
+
+def test_fused_encoder_matches_given_vectors(spark, monkeypatch):
+    """Token ids + encoder inside the kernel == vectors materialised first (both tile paths)."""
+    import tessera.operators.search as S
+    from tessera.plans import search as P
+    enc = P.lookup_encoder(spark, SF)
+    arts = P.text_articles(spark, SF)
+    queries = P.query_vectors(P.text_queries(spark, SF), enc)
+    with_vecs = P.embed_texts(arts, enc, "article_id")
+    base = sorted(tuple(r) for r in S.nearest_articles(with_vecs, queries, k=5).collect())
+    fused = sorted(tuple(r) for r in P.search_texts(arts, P.text_queries(spark, SF), enc, k=5).collect())
+    monkeypatch.setattr(S, "BATCH_CELLS", 2000)  # distinct-vector matrix too big: per-token tiles
+    small = sorted(tuple(r) for r in P.search_texts(arts, P.text_queries(spark, SF), enc, k=5).collect())
+    assert base == fused == small
