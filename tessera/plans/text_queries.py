@@ -152,11 +152,9 @@ def sequence_ids(spark, sf_dir):
 def word_trigrams(spark, sf_dir):
     from ..operators.tokens import whitespace_tokens
     d = read_table(spark, sf_dir, "documents")
-    # long form: one row per trigram, then a distinct count per document (partial aggregates,
-    # shuffled on (doc, trigram), so one huge document is spread over many tasks)
-    t = d.select("doc_id", F.explode_outer(trigrams_of(whitespace_tokens(F.col("text")))).alias("t"))
-    return t.groupBy("doc_id").agg(F.count("t").cast("int").alias("n_trigrams"),
-                                   F.countDistinct("t").cast("int").alias("n_distinct"))
+    # per row: a document's trigrams never leave its task (no shuffle); a document is one row
+    t = d.select("doc_id", trigrams_of(whitespace_tokens(F.col("text"))).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_trigrams"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
 # --- metadata -----------------------------------------------------------------------------
