@@ -107,7 +107,7 @@ def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     abstract = first line, title = source, doi = doc_id (``NA`` when id mod 13 = 0),
     authors = lang (with a quoted line break when id mod 11 = 0), publish_time = quality.
-    Extra columns ``cord_uid`` and ``url`` are written but never read.
+    Extra columns ``row_uid`` and ``url`` are written but never read.
     """
     d = read_table(spark, sf_dir, "documents")
     lab = read_table(spark, sf_dir, "labels")
@@ -117,7 +117,7 @@ def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     doi = F.when(F.col("doc_id") % 13 == 0, F.lit("NA")).otherwise(F.col("doc_id").cast("string"))
     return j.select(
         F.col("doc_id"),
-        F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("cord_uid"),
+        F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("row_uid"),
         F.col("source").alias("title"),
         F.element_at(_lines(F.col("text")), 1).alias("abstract"),
         authors.alias("authors"), doi.alias("doi"),
