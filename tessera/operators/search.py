@@ -217,6 +217,24 @@ def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     return [keyed.filter(F.col("_blk") == b).drop("_blk") for b in range(blocks)]
 
 
+def _broadcast_blocks(queries: DataFrame, max_block_bytes: int):
+    """Broadcast each query block's matrix (distinct vectors once) for the kernels."""
+    spark = queries.sparkSession
+    for block in _query_blocks(queries, max_block_bytes):
+        table = block.select(F.col("query_id").cast("long"), F.col("tok_no").cast("long"),
+                             F.col("vec")).toArrow()
+        if table.num_rows == 0:  # a hash block without queries
+            continue
+        qp = _query_payload(table)
+        if qp["Q"].size:
+            Qu, inv = np.unique(qp["Q"], axis=0, return_inverse=True)
+        else:
+            Qu, inv = qp["Q"], np.zeros(0, dtype=np.int64)
+        qp["Qu"], qp["inv"] = Qu, np.asarray(inv).reshape(-1)
+        qp["qnu"] = np.einsum("ij,ij->i", Qu, Qu) if Qu.size else np.zeros(0)
+        yield spark.sparkContext.broadcast(qp)
+
+
 def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | None = None,
                             id_col: str = "article_id", vecs_col: str = "vecs", mode: str = "mean",
                             max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES, encoder=None) -> DataFrame:
@@ -232,19 +250,7 @@ def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | No
     art = articles.select(F.col(id_col).cast("long").alias("article_id"), F.col(vecs_col).alias("vecs"))
     gather = encoder.gather_fn() if encoder is not None else None
     outs = []
-    for block in _query_blocks(queries, max_block_bytes):
-        table = block.select(F.col("query_id").cast("long"), F.col("tok_no").cast("long"),
-                             F.col("vec")).toArrow()
-        if table.num_rows == 0:  # a hash block without queries
-            continue
-        qp = _query_payload(table)
-        if qp["Q"].size:
-            Qu, inv = np.unique(qp["Q"], axis=0, return_inverse=True)
-        else:
-            Qu, inv = qp["Q"], np.zeros(0, dtype=np.int64)
-        qp["Qu"], qp["inv"] = Qu, np.asarray(inv).reshape(-1)
-        qp["qnu"] = np.einsum("ij,ij->i", Qu, Qu) if Qu.size else np.zeros(0)
-        bc = spark.sparkContext.broadcast(qp)
+    for bc in _broadcast_blocks(queries, max_block_bytes):
 
         def kernel(batches, bc=bc, k=k, mode=mode, gather=gather, cap=BATCH_CELLS):
             payload = bc.value
@@ -313,3 +319,61 @@ def selected_articles(articles: DataFrame, topk: DataFrame, id_col: str = "artic
     """
     top = topk.withColumnRenamed("article_id", "_chosen")
     return articles.join(top, articles[id_col] == top["_chosen"], "inner").drop("_chosen")
+
+
+LONG_SCHEMA = "query_id long, tok_no long, article_id long, p long"
+
+
+def _long_batch(art: np.ndarray, vec: pa.Array, qp: dict):
+    """Per-batch minimum per (article, query token) over the article's rows in this batch."""
+    if len(art) == 0:
+        return None
+    Q, qn = qp["Qu"], qp["qnu"]
+    order = np.argsort(art, kind="stable")
+    art = art[order]
+    lengths = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
+    if lengths.min() != qp["dim"] or lengths.max() != qp["dim"]:
+        raise ValueError(f"token vectors must have {qp['dim']} components")
+    X = _to_micro(vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, qp["dim"]))[order]
+    starts = np.flatnonzero(np.r_[True, art[1:] != art[:-1]])
+    m = np.minimum.reduceat(_partial_sq_dist(X, Q), starts, axis=0) + qn[None, :]
+    pico = np.floor(np.sqrt(np.maximum(m, 0.0)) * MICRO + 0.5)[:, qp["inv"]]
+    na, nt = pico.shape
+    rows, cols = np.repeat(np.arange(na), nt), np.tile(np.arange(nt), na)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(qp["tok_query"][cols], pa.int64()), pa.array(qp["tok_no"][cols], pa.int64()),
+         pa.array(art[starts][rows], pa.int64()), pa.array(pico[rows, cols].astype(np.int64), pa.int64())],
+        names=["query_id", "tok_no", "article_id", "p"])
+
+
+def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "article_id", vec_col: str = "vec",
+                      max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
+    """``(query_id, tok_no, article_id, min_distance)`` from a long token table (one row per
+    article token), without grouping the vectors by article first.
+
+    Each Arrow batch takes its own minimum per (article, query token) - an article split over
+    batches or partitions yields several partial minima - and a ``min`` aggregate (partial,
+    then final) combines them, so a very large article costs one row per partition.
+    """
+    src = tokens.select(F.col(id_col).cast("long").alias("article_id"), F.col(vec_col).alias("vec"))
+    outs = []
+    for bc in _broadcast_blocks(queries, max_block_bytes):
+
+        def kernel(batches, bc=bc, cap=BATCH_CELLS):
+            payload = bc.value
+            step = max(1, cap // max(1, len(payload["inv"])))
+            for big in batches:
+                for s0 in range(0, big.num_rows, step):
+                    rb = big.slice(s0, step)
+                    out = _long_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload)
+                    if out is not None:
+                        yield out
+
+        outs.append(src.mapInArrow(kernel, LONG_SCHEMA))
+    if not outs:
+        return tokens.sparkSession.createDataFrame([], TOKEN_SCHEMA).drop("nearest_pos")
+    parts = outs[0]
+    for o in outs[1:]:
+        parts = parts.unionByName(o)
+    return (parts.groupBy("query_id", "tok_no", "article_id")
+            .agg((F.min("p").cast("double") / PICO).alias("min_distance")))

@@ -204,7 +204,10 @@ def nearest_token_distance(spark, sf_dir):
 
 
 def min_distance_per_query_token(spark, sf_dir):
-    return nearest_token_distance(spark, sf_dir).drop("nearest_pos")
+    """Long-table form: token rows are scored where they are, partial minima are combined by
+    a min aggregate (no grouping of vectors by article)."""
+    art_long, queries = D.vector_search_inputs(spark, sf_dir)
+    return SR.min_distance_long(art_long, queries)
 
 
 def _mean_best(spark, sf_dir):

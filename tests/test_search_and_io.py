@@ -146,3 +146,14 @@ def test_fused_encoder_matches_given_vectors(spark, monkeypatch):
     monkeypatch.setattr(S, "BATCH_CELLS", 2000)  # distinct-vector matrix too big: per-token tiles
     small = sorted(tuple(r) for r in P.search_texts(arts, P.text_queries(spark, SF), enc, k=5).collect())
     assert base == fused == small
+
+
+def test_long_form_minima_equal_nested_form(spark):
+    """Article tokens spread over many partitions: partial minima + min aggregate == nested."""
+    import tessera.operators.search as S
+    from tessera.sources.derived import articles_from_long, vector_search_inputs
+    art_long, queries = vector_search_inputs(spark, SF)
+    nested = S.min_distance_per_query_token(articles_from_long(art_long), queries).drop("nearest_pos")
+    long = S.min_distance_long(art_long.repartition(7), queries)
+    assert sorted(tuple(r) for r in nested.collect()) == \
+        sorted(tuple(r) for r in long.select(*nested.columns).collect())
