@@ -141,3 +141,23 @@ def sink_summaries_csv(summaries: DataFrame, path: str, order_col: str = "rank")
 def read_summaries_csv(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return df.select(F.col("index").cast("long").alias("index"), "Paper id", "Title", "Summary")
+
+
+def articles_to_parquet(spark: SparkSession, root: str, out: str, multi_line: bool = True,
+                        glob: str = "*.json") -> str:
+    """Convert a corpus of small JSON files once into Parquet article records.
+
+    One-article JSON files are not splittable and cost a file open each; the Parquet copy is
+    columnar (the search reads two of its columns) and splits into even partitions.
+    """
+    from ..operators import articles as A
+    arts = scan_article_json(spark, root, multi_line, glob)
+    (arts.select("paper_id",
+                 A.concat_text(F.col("abstract"), F.col("body_text")).alias("concat_text"),
+                 F.col("metadata.title").alias("title"),
+                 A.full_abstract(F.col("abstract")).alias("full_abstract"),
+                 A.author_names(F.col("metadata.authors")).alias("authors"),
+                 A.full_text(F.col("body_text")).alias("full_text"),
+                 "file_path")
+     .write.parquet(out))
+    return out

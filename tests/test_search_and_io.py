@@ -157,3 +157,13 @@ def test_long_form_minima_equal_nested_form(spark):
     long = S.min_distance_long(art_long.repartition(7), queries)
     assert sorted(tuple(r) for r in nested.collect()) == \
         sorted(tuple(r) for r in long.select(*nested.columns).collect())
+
+
+def test_articles_to_parquet(spark):
+    from tessera.session import scratch_path
+    from tessera.sources.derived import write_article_json
+    src = write_article_json(spark, SF, scratch_path(spark, "t-json"))
+    out = FS.articles_to_parquet(spark, src, scratch_path(spark, "t-pq"), multi_line=False, glob="*.txt")
+    df = spark.read.parquet(out)
+    assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert {"paper_id", "concat_text", "title", "full_abstract", "authors", "full_text", "file_path"} == set(df.columns)
