@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import CLS, EOS, SEP
 from ..operators import stories as ST
+from ..operators.articles import drop_empty_articles
+from ..operators.embed import word_tokens
 from ..operators import summaries as SM
 from ..operators import tokens as TK
 from ..session import read_table, scratch_path
@@ -31,11 +33,15 @@ def running_topk(spark, sf_dir):
 def stream_topk(spark, sf_dir):
     """Running top-10 of the text search (documents x benchmark) over four arriving files."""
     enc = P.lookup_encoder(spark, sf_dir)
-    arts = P.embed_texts(P.text_articles(spark, sf_dir), enc, "article_id").select("article_id", "vecs")
+    arts = P.text_articles(spark, sf_dir)
+    # arrivals carry token ids; the encoder runs inside the scoring task of each micro-batch
+    tok_ids = (drop_empty_articles(arts, "text")
+               .select("article_id", enc.token_ids(word_tokens(F.col("text"), P.SEQ_LENGTH)).alias("tok_ids")))
     queries = P.query_vectors(P.text_queries(spark, sf_dir), enc)
     src = scratch_path(spark, "arrivals")
-    arts.repartition(4).write.parquet(src)
-    return STR.stream_topk(spark, src, queries, scratch_path(spark, "state"), scratch_path(spark, "ckpt"), k=10)
+    tok_ids.repartition(4).write.parquet(src)
+    return STR.stream_topk(spark, src, queries, scratch_path(spark, "state"), scratch_path(spark, "ckpt"), k=10,
+                           encoder=enc)
 
 
 def stream_resume(spark, sf_dir):

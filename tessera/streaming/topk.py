@@ -20,6 +20,8 @@ from ..sources.files import ARTICLE_SCHEMA
 STATE_COLS = ["query_id", "article_id", "distance"]
 VECTOR_ARTICLES = T.StructType([T.StructField("article_id", T.LongType()),
                                 T.StructField("vecs", T.ArrayType(T.ArrayType(T.FloatType())))])
+TOKEN_ID_ARTICLES = T.StructType([T.StructField("article_id", T.LongType()),
+                                  T.StructField("tok_ids", T.ArrayType(T.LongType()))])
 
 
 def _latest_version(spark: SparkSession, state_dir: str, before: int | None = None):
@@ -51,14 +53,20 @@ def merge_topk(previous: DataFrame | None, batch_topk: DataFrame, k: int) -> Dat
 
 def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_dir: str, checkpoint_dir: str,
                 k: int = 10, max_files_per_trigger: int = 1, schema: T.StructType = VECTOR_ARTICLES,
-                fmt: str = "parquet") -> DataFrame:
+                fmt: str = "parquet", encoder=None) -> DataFrame:
     """Run the running top-k over every file in ``source_dir`` not seen by ``checkpoint_dir``.
 
-    ``queries``: ``(query_id, tok_no, vec)``; the source holds ``(article_id, vecs)``.
+    ``queries``: ``(query_id, tok_no, vec)``; the source holds ``(article_id, vecs)``, or with
+    a token-wise ``encoder`` ``(article_id, tok_ids)`` (the encoder runs in the scoring task).
     Returns the current result ``(query_id, rank, article_id, distance)``.
     """
+    if encoder is not None:
+        encoder.broadcast(spark)
+        schema = TOKEN_ID_ARTICLES
+
     def merge(batch_df: DataFrame, batch_id: int) -> None:
-        best = topk_closest(article_query_distances(batch_df, queries, k=k), k)
+        vecs_col = "tok_ids" if encoder is not None else "vecs"
+        best = topk_closest(article_query_distances(batch_df, queries, k=k, vecs_col=vecs_col, encoder=encoder), k)
         prev_v = _latest_version(spark, state_dir, before=batch_id)
         prev = None if prev_v is None else (
             spark.read.parquet(state_dir).filter(F.col("v") == prev_v).select(*STATE_COLS))
