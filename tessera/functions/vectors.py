@@ -17,9 +17,21 @@ def round_vector(v, places: int = 6) -> Column:
     return F.transform(_c(v), lambda x: F.round(x.cast("double"), places))
 
 
+def round_half_away(y) -> Column:
+    """Nearest integer, halves away from zero, in plain double arithmetic (code-generated;
+    ``round`` on doubles goes through BigDecimal and costs far more per value)."""
+    y = _c(y)
+    return (F.signum(y) * F.floor(F.abs(y) + F.lit(0.5))).cast("long")
+
+
+def to_micro(x) -> Column:
+    """One component as integer micro-units."""
+    return round_half_away(_c(x).cast("double") * MICRO)
+
+
 def micro_units(v) -> Column:
     """Components as integer micro-units: exact, order-free arithmetic downstream."""
-    return F.transform(_c(v), lambda x: F.round(x.cast("double") * MICRO).cast("long"))
+    return F.transform(_c(v), to_micro)
 
 
 def squared_l2(a, b) -> Column:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import MICRO
+from ..functions.vectors import MICRO, round_half_away
 
 DIST_SCHEMA = "query_id long, article_id long, distance double"
 TOKEN_SCHEMA = ("query_id long, tok_no long, article_id long, nearest_pos int, "
@@ -306,7 +306,7 @@ def min_distance_per_query_token(articles: DataFrame, queries: DataFrame, **kw)
 
 def mean_best_distance(minima: DataFrame) -> DataFrame:
     """Average of the per-token minima over the query's tokens (partial + final aggregate)."""
-    pico = F.round(F.col("min_distance") * PICO).cast("long")  # exact integer sum, order-free
+    pico = round_half_away(F.col("min_distance") * PICO)  # exact integer sum, order-free
     return minima.groupBy("query_id", "article_id").agg(
         (F.sum(pico).cast("double") / F.count(F.lit(1)).cast("double") / PICO).alias("distance"))
 

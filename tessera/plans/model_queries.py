@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as AR
-from ..functions.vectors import l2_distance_exact, micro_units, round_vector
+from ..functions.vectors import l2_distance_exact, micro_units, round_vector, to_micro
 from ..operators import embed as E
 from ..operators import hypotheses as H
 from ..operators import search as SR
@@ -145,7 +145,7 @@ def _vector_checksum(df: DataFrame, key: str, vecs_col: str) -> DataFrame:
     Components are exploded (code-generated) and summed by a partial + final aggregate.
     """
     flat = df.select(key, F.size(vecs_col).alias("n_tokens"), F.explode_outer(F.flatten(vecs_col)).alias("x"))
-    micro = F.round(F.col("x").cast("double") * 1_000_000).cast("long")
+    micro = to_micro(F.col("x"))
     return flat.groupBy(key).agg(F.first("n_tokens").alias("n_tokens"),
                                  F.coalesce(F.sum(micro), F.lit(0).cast("long")).alias(VEC_SUM))
 
