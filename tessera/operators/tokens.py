@@ -114,11 +114,17 @@ class Vocabulary:
             if token not in self._index:
                 raise KeyError(token)
             return int(self._index[token])
-        row = self.table.filter(F.col("token") == token).select("id").first()
-        if row is None:
+        row = self.table.filter(F.col("token") == token).agg(F.max("id").alias("id")).first()
+        if row is None or row["id"] is None:
             raise KeyError(token)
         return int(row["id"])
 
+    @property
+    def token_table(self) -> DataFrame:
+        """``(token, id)`` with one id per token: a token listed twice keeps its last line, as
+        a dictionary built line by line would."""
+        return self.table.groupBy("token").agg(F.max("id").alias("id"))
+
 
 def _lookup_by_join(df: DataFrame, vocab_table: DataFrame, src_col: str, out_col: str, key: str, value: str,
                     default=None) -> DataFrame:
@@ -144,10 +150,13 @@ def _lookup_by_join(df: DataFrame, vocab_table: DataFrame, src_col: str, out_col
 
 
 def _vocab_arrays(bc):
+    """Worker copy: tokens and ids in id order, and reversed for token lookups (so that a
+    token listed twice resolves to its last id)."""
     name, toks, ids = bc.value
     key = ("vocab", name)
     if key not in _WORKER_CACHE:
-        _WORKER_CACHE[key] = (pa.array(toks, pa.string()), pa.array(ids, pa.int32()))
+        t, i = pa.array(toks, pa.string()), pa.array(ids, pa.int32())
+        _WORKER_CACHE[key] = (t, i, pa.array(toks[::-1], pa.string()), pa.array(ids[::-1], pa.int32()))
     return _WORKER_CACHE[key]
 
 
@@ -163,17 +172,17 @@ def tokens_to_ids(df: DataFrame, vocab: Vocabulary, tokens_col: str = "tokens",
     vocab.prepare(df.sparkSession)
     unk_id = vocab.id_of(unk_token)
     if not vocab.fits_broadcast:
-        return _lookup_by_join(df, vocab.table, tokens_col, out_col, "token", "id", unk_id)
+        return _lookup_by_join(df, vocab.token_table, tokens_col, out_col, "token", "id", unk_id)
     bc = vocab.broadcast(df.sparkSession)
     keep = list(df.columns)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
     def lookup(batches):
-        toks, ids = _vocab_arrays(bc)
+        _, _, toks_rev, ids_rev = _vocab_arrays(bc)
         for rb in batches:
             col = rb.column(tokens_col)
-            idx = pc.index_in(col.flatten(), value_set=toks)
-            got = pc.fill_null(pc.take(ids, idx), pa.scalar(unk_id, pa.int32()))
+            idx = pc.index_in(col.flatten(), value_set=toks_rev)
+            got = pc.fill_null(pc.take(ids_rev, idx), pa.scalar(unk_id, pa.int32()))
             yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [_rebuild_list(col, got)],
                                              names=keep + [out_col])
 
@@ -190,7 +199,7 @@ def ids_to_tokens(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out_co
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.StringType()))])
 
     def lookup(batches):
-        toks, ids = _vocab_arrays(bc)
+        toks, ids, _, _ = _vocab_arrays(bc)
         for rb in batches:
             col = rb.column(ids_col)
             pos = pc.index_in(pc.cast(col.flatten(), pa.int32()), value_set=ids)
@@ -204,7 +213,7 @@ def token_ids_long(long: DataFrame, vocab: Vocabulary, unk_token: str = UNK) ->
     """Long table ``(..., token)`` -> adds ``id`` by a left join to the vocabulary (broadcast
     when within the bound, else a shuffle join)."""
     unk_id = vocab.id_of(unk_token)
-    v = vocab.table.withColumnRenamed("token", "_vt")
+    v = vocab.token_table.withColumnRenamed("token", "_vt")
     v = F.broadcast(v) if vocab.fits_broadcast else v
     return (long.join(v, long["token"] == v["_vt"], "left")
             .withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int")).drop("_vt"))

@@ -91,3 +91,17 @@ def test_large_vocabulary_falls_back_to_joins(spark):
     assert via_join == via_arrow == {1: [7, 3, 9], 2: [], 3: [8, 8]}
     back = TK.ids_to_tokens(TK.tokens_to_ids(df, big, "tokens", "ids"), big, "ids", "t")
     assert {r["k"]: list(r["t"]) for r in back.collect()} == {1: ["a", UNK, "c"], 2: [], 3: ["b", "b"]}
+
+
+def test_vocabulary_file_duplicate_token_keeps_last_line(spark):
+    root = tempfile.mkdtemp(prefix="tessera-vocab-")
+    path = os.path.join(root, "vocab.txt")
+    with open(path, "w") as f:
+        f.write("[PAD]\n[UNK]\na\nb\na\n")
+    vocab = TK.Vocabulary(FS.load_vocabulary(spark, path))
+    assert vocab.id_of("a") == 4
+    df = spark.createDataFrame([(1, ["a", "b", "zz"])], "k int, tokens array<string>")
+    assert list(TK.tokens_to_ids(df, vocab, "tokens", "ids").first()["ids"]) == [4, 3, 1]
+    long = df.select("k", F.posexplode("tokens").alias("pos", "token"))
+    rows = sorted((r["pos"], r["id"]) for r in TK.token_ids_long(long, vocab).collect())
+    assert rows == [(0, 4), (1, 3), (2, 1)]  # one row per token, no duplicate from the repeated line
