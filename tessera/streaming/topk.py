@@ -10,7 +10,6 @@ keeps the state it had. Nothing is lost between saves (the state is written ever
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.articles import article_record
@@ -24,22 +23,22 @@ TOKEN_ID_ARTICLES = T.StructType([T.StructField("article_id", T.LongType()),
                                   T.StructField("tok_ids", T.ArrayType(T.LongType()))])
 
 
-def _latest_version(spark: SparkSession, state_dir: str, before: int | None = None):
+def _versions(spark: SparkSession, state_dir: str) -> set[int]:
+    """Complete state versions on storage (read once per run, then tracked in the driver)."""
     try:
-        versions = spark.read.parquet(state_dir).select("v").distinct()
+        rows = spark.read.parquet(state_dir).select("v").distinct().collect()
     except Exception:  # noqa: BLE001 - no state written yet
-        return None
-    if before is not None:
-        versions = versions.filter(F.col("v") < before)
-    row = versions.agg(F.max("v").alias("v")).first()
-    return None if row is None or row["v"] is None else int(row["v"])
+        return set()
+    return {int(r["v"]) for r in rows}
+
+
+def _state_version(spark: SparkSession, state_dir: str, v: int) -> DataFrame:
+    return spark.read.parquet(f"{state_dir}/v={v}").select(*STATE_COLS)
 
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame | None:
-    v = _latest_version(spark, state_dir)
-    if v is None:
-        return None
-    return spark.read.parquet(state_dir).filter(F.col("v") == v).select(*STATE_COLS)
+    versions = _versions(spark, state_dir)
+    return _state_version(spark, state_dir, max(versions)) if versions else None
 
 
 def merge_topk(previous: DataFrame | None, batch_topk: DataFrame, k: int) -> DataFrame:
@@ -64,21 +63,26 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
         encoder.broadcast(spark)
         schema = TOKEN_ID_ARTICLES
 
+    versions = _versions(spark, state_dir)  # one listing per run; batches then add theirs
+
     def merge(batch_df: DataFrame, batch_id: int) -> None:
         vecs_col = "tok_ids" if encoder is not None else "vecs"
         best = topk_closest(article_query_distances(batch_df, queries, k=k, vecs_col=vecs_col, encoder=encoder), k)
-        prev_v = _latest_version(spark, state_dir, before=batch_id)
-        prev = None if prev_v is None else (
-            spark.read.parquet(state_dir).filter(F.col("v") == prev_v).select(*STATE_COLS))
+        earlier = [v for v in versions if v < batch_id]
+        prev = _state_version(spark, state_dir, max(earlier)) if earlier else None
         out = merge_topk(prev, best, k)
         out.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
+        versions.add(batch_id)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .format(fmt).load(source_dir))
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    state = read_state(spark, state_dir)
+    if not versions:  # nothing has arrived yet
+        state = spark.createDataFrame([], "query_id long, article_id long, distance double")
+    else:
+        state = _state_version(spark, state_dir, max(versions))
     return ranked_order(topk_closest(state, k))
 
 
