@@ -337,3 +337,13 @@ def basic_tokenize(df: DataFrame, text_col: str = "text", out_col: str = "words"
                                              names=keep + [out_col])
 
     return df.mapInArrow(run, schema)
+
+
+def segment_ids_long(long: DataFrame, key_col: str, pos_col: str, id_col: str, separator) -> DataFrame:
+    """``segment_ids`` on a long table ``(key, pos, id)``: running count of separators up to
+    each position, minus one, modulo 2 (``pmod``: -1 -> 1). A window per key, so one block
+    (at most ``block_size`` rows) per group."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(key_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum(F.when(F.col(id_col) == F.lit(separator), 1).otherwise(0)).over(w)
+    return long.withColumn("seg", F.pmod(running - 1, F.lit(2)).cast("int"))

@@ -96,3 +96,16 @@ def test_topk_matches_eviction_loop(spark):
     for r in topk_closest(df, 5).collect():
         got.setdefault(r["query_id"], []).append(r["article_id"])
     assert {q: sorted(v) for q, v in got.items()} == expect
+
+
+def test_segment_ids_window_form_equals_row_form(spark):
+    from tessera.operators.tokens import segment_ids_long
+    rows = [(0, [1, 5, 1, 7, 7, 0, 0]), (1, [5, 5, 1]), (2, [1])]
+    df = spark.createDataFrame(rows, "k int, s array<int>")
+    per_row = {r["k"]: list(r["g"]) for r in df.select("k", A.segment_ids(F.col("s"), 1).alias("g")).collect()}
+    long = df.select("k", F.posexplode("s").alias("pos", "id"))
+    win = segment_ids_long(long, "k", "pos", "id", 1).orderBy("k", "pos").collect()
+    by_key = {}
+    for r in win:
+        by_key.setdefault(r["k"], []).append(r["seg"])
+    assert by_key == per_row == {k: py_segments(s, 1) for k, s in rows}
