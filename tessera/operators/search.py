@@ -217,6 +217,15 @@ def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     return [keyed.filter(F.col("_blk") == b).drop("_blk") for b in range(blocks)]
 
 
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back (cuts lineage, so
+    several passes over it do not redo the work upstream)."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _broadcast_blocks(queries: DataFrame, max_block_bytes: int):
     """Broadcast each query block's matrix (distinct vectors once) for the kernels."""
     spark = queries.sparkSession
@@ -250,7 +259,10 @@ def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | No
     art = articles.select(F.col(id_col).cast("long").alias("article_id"), F.col(vecs_col).alias("vecs"))
     gather = encoder.gather_fn() if encoder is not None else None
     outs = []
-    for bc in _broadcast_blocks(queries, max_block_bytes):
+    bcs = list(_broadcast_blocks(queries, max_block_bytes))
+    if len(bcs) > 1:  # one pass per block: read the prepared article side from storage
+        art = _written(art, "articles")
+    for bc in bcs:
 
         def kernel(batches, bc=bc, k=k, mode=mode, gather=gather, cap=BATCH_CELLS):
             payload = bc.value
@@ -357,7 +369,10 @@ def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "arti
     """
     src = tokens.select(F.col(id_col).cast("long").alias("article_id"), F.col(vec_col).alias("vec"))
     outs = []
-    for bc in _broadcast_blocks(queries, max_block_bytes):
+    bcs = list(_broadcast_blocks(queries, max_block_bytes))
+    if len(bcs) > 1:
+        src = _written(src, "tokens")
+    for bc in bcs:
 
         def kernel(batches, bc=bc, cap=BATCH_CELLS):
             payload = bc.value

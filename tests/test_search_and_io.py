@@ -155,8 +155,10 @@ def test_long_form_minima_equal_nested_form(spark):
     art_long, queries = vector_search_inputs(spark, SF)
     nested = S.min_distance_per_query_token(articles_from_long(art_long), queries).drop("nearest_pos")
     long = S.min_distance_long(art_long.repartition(7), queries)
-    assert sorted(tuple(r) for r in nested.collect()) == \
-        sorted(tuple(r) for r in long.select(*nested.columns).collect())
+    blocks = S.min_distance_long(art_long, queries, max_block_bytes=2000)  # several query blocks
+    want = sorted(tuple(r) for r in nested.collect())
+    assert want == sorted(tuple(r) for r in long.select(*nested.columns).collect())
+    assert want == sorted(tuple(r) for r in blocks.select(*nested.columns).collect())
 
 
 def test_articles_to_parquet(spark):
