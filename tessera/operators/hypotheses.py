@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import EOS
-from ..functions.strings import PY_WS_CLASS, detokenize, py_strip
+from ..functions.strings import detokenize, normalize_whitespace
 from ..functions.vectors import length_penalty
 
 BEAM_SIZE = 5
@@ -53,7 +53,7 @@ def repeats_last_trigram(seq: Column) -> Column:
     repeats exactly when `` a b c `` (its words framed by spaces) first occurs before the
     end of `` w0 w1 ... `` .
     """
-    norm = F.regexp_replace(py_strip(detokenize(seq)), f"{PY_WS_CLASS}+", " ")
+    norm = normalize_whitespace(detokenize(seq))
     n_words = F.when(norm == "", F.lit(0)).otherwise(F.size(F.split(norm, " ", -1)))
     framed = F.concat(F.lit(" "), norm, F.lit(" "))
     target = F.concat(F.lit(" "), F.substring_index(norm, " ", -3), F.lit(" "))
