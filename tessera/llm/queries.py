@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import mixing, oracles, quality, sentence_pieces, simhash, token_counts
+from .common import table, tokenizer_path
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,37 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("component").alias("component_id"))
 
 
+def op5_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests, under ``piece_bpe_32k.model``."""
+    out = sentence_pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict under cutoffs certified per language."""
+    out = quality.quality_verdicts(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
+
+
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix of sources weighing 3, 1, 2, ... takes."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document under ``byte_bpe_50k.json``."""
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_sentencepiece_encoding": op5_sentencepiece_encoding,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_mixing_sources": op8_mixing_sources,
+    "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict = {}
+ORACLES = oracles.ORACLES
