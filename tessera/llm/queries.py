@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, oracles, quality, sentence_pieces, simhash, token_counts
+from . import archives, embedding_dedup, mixing, oracles, quality, sentence_pieces, simhash, token_counts
 from .common import table, tokenizer_path
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page (converted from ARC), written as archives and read back."""
+    out = archives.archive_pages(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, links at 4 or fewer differing bits."""
     out = simhash.near_copy_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -29,6 +35,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.98 and more between all embeddings of equal label."""
+    out = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix of sources weighing 3, 1, 2, ... takes."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
@@ -42,9 +54,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_arc_to_warc": op1_arc_to_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_sentencepiece_encoding": op5_sentencepiece_encoding,
     "op6_quality_rules": op6_quality_rules,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_token_counts": op9_token_counts,
 }
