@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, embedding_dedup, mixing, oracles, quality, sentence_pieces, simhash, token_counts
+from . import archives, embedding_dedup, mixing, oracles, quality, sentence_pieces, simhash, substring_dedup, token_counts
 from .common import table, tokenizer_path
 
 
@@ -53,6 +53,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without its repeats of 100 bytes and more."""
+    return substring_dedup.remaining(table(spark, sf_dir, "documents"), length=100).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
@@ -61,6 +66,7 @@ QUERIES = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES = oracles.ORACLES
