@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, embedding_dedup, mixing, oracles, quality, sentence_pieces, simhash, substring_dedup, token_counts
+from . import archives, embedding_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts
 from .common import table, tokenizer_path
 
 
@@ -15,6 +15,12 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page under the wrapper of its host."""
+    out = page_text.main_text(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, links at 4 or fewer differing bits."""
     out = simhash.near_copy_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -60,6 +66,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_html_main_text": op2_html_main_text,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_sentencepiece_encoding": op5_sentencepiece_encoding,
     "op6_quality_rules": op6_quality_rules,
