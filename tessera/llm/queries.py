@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, embedding_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts
+from . import archives, embedding_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files
 from .common import table, tokenizer_path
 
 
@@ -21,6 +21,12 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under ``word_bpe_49k.json``, written as token files and read back."""
+    out = token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, links at 4 or fewer differing bits."""
     out = simhash.near_copy_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -67,6 +73,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_html_main_text": op2_html_main_text,
+    "op3_token_id_files": op3_token_id_files,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_sentencepiece_encoding": op5_sentencepiece_encoding,
     "op6_quality_rules": op6_quality_rules,
