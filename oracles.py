@@ -43,8 +43,15 @@ SEARCH_VECTORS = "WITH " + _VECTOR_INPUTS + """,
 means AS (SELECT query_id, article_id, {mean} AS distance FROM mins GROUP BY ALL),
 """.format(mean=_MEAN) + _TOPK
 
-# token rule of the lookup encoder: [CLS] + first 126 words + [SEP]; word = whitespace run split
-_WORDS = "string_split(regexp_replace(lower({t}), '[ \\n]+', ' ', 'g'), ' ')"
+# Python's whitespace, as a class of its own for the SQL side
+_WS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+       "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
+
+# token rule of the lookup encoder: windows of 126 words, each between [CLS] and [SEP]
+_WORDS = ("list_filter(string_split(regexp_replace(lower({t}), '" + _WS.replace("{", "{{").replace("}", "}}")
+          + "+', ' ', 'g'), ' '), lambda w: w <> '')")
+_WINDOWS = ("list_transform(generate_series(0, greatest(CAST(ceil(len({w}) / 126.0) AS BIGINT), 1) - 1), "
+            "lambda i: list_concat(list_concat(['[CLS]'], list_slice({w}, i * 126 + 1, (i + 1) * 126)), ['[SEP]']))")
 _BUCKET = "CAST(('0x' || substr(md5({tok}), 1, 8))::BIGINT % (SELECT n FROM nrows) AS BIGINT)"
 
 _LOOKUP_DISTANCES = """
@@ -54,10 +61,10 @@ ec AS (SELECT r, unnest(generate_series(1, len(embedding))) AS i, unnest(embeddi
 em AS (SELECT r, i, {m} AS m FROM ec),
 docs AS (SELECT doc_id AS article_id, {words} AS w FROM documents
          WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
-atok AS (SELECT article_id, unnest(list_concat(['[CLS]'], w[1:126], ['[SEP]'])) AS tok FROM docs),
+atok AS (SELECT article_id, unnest(list_concat(['[CLS]'], w, ['[SEP]'])) AS tok FROM docs),
 arow AS (SELECT DISTINCT article_id, {bucket_a} AS r FROM atok),
 qw AS (SELECT item_id AS query_id, {qwords} AS w FROM benchmark),
-qtok0 AS (SELECT query_id, unnest(list_concat(['[CLS]'], w[1:126], ['[SEP]'])) AS tok FROM qw),
+qtok0 AS (SELECT query_id, unnest(list_concat(['[CLS]'], w, ['[SEP]'])) AS tok FROM qw),
 qtok AS (SELECT DISTINCT query_id, tok FROM qtok0),
 qrow AS (SELECT query_id, tok, {bucket_q} AS r FROM qtok),
 qr AS (SELECT DISTINCT r FROM qrow),
@@ -74,8 +81,6 @@ SEARCH_ARTICLES = "WITH " + _LOOKUP_DISTANCES + "," + _TOPK
 
 # --- text helpers (DuckDB spellings of the Python string rules) ----------------------------
 
-_WS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
-       "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
 _NL = "chr(10)"
 
 
@@ -98,7 +103,7 @@ def _join(lst: str, sep: str) -> str:
 
 
 def _wordsf(t: str) -> str:
-    return f"list_filter(string_split(regexp_replace(lower({t}), '[ \\n]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return _WORDS.format(t=t)
 
 
 def _pieces(ws: str) -> str:
@@ -275,14 +280,30 @@ rs AS (SELECT r, sum({m}) AS s FROM ec GROUP BY r)
 """.format(m=_MICRO.format(x="x"))
 
 _DOC_TOKS = f"""
-docs AS (SELECT doc_id AS article_id, {_bert(_WORDS.format(t='text'))} AS toks FROM documents WHERE text IS NOT NULL),
-dex AS (SELECT article_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM docs)
+docs AS (SELECT doc_id AS article_id, {_WORDS.format(t='text')} AS w FROM documents WHERE text IS NOT NULL),
+dwin AS (SELECT article_id, {_WINDOWS.format(w='w')} AS wins FROM docs),
+dtok AS (SELECT article_id, flatten(wins) AS toks FROM dwin),
+dex AS (SELECT article_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM dtok)
 """
 
 _EMBED_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + f"""
-SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum(rs.s) AS BIGINT) AS vec_sum
+SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum((pos + 1) * rs.s) AS BIGINT) AS vec_sum
 FROM dex JOIN rs ON rs.r = {_BUCKET.format(tok='tok')} GROUP BY article_id""")
 
+# one row per window: key = article id * 1000000 + number of the window
+_WINDOW_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + f""",
+wx AS (SELECT article_id, unnest(wins) AS toks, unnest(generate_series(0, len(wins) - 1)) AS win FROM dwin),
+we AS (SELECT article_id * 1000000 + win AS article_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM wx)
+SELECT CAST(article_id AS BIGINT) AS article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum((pos + 1) * rs.s) AS BIGINT) AS vec_sum
+FROM we JOIN rs ON rs.r = {_BUCKET.format(tok='tok')} GROUP BY article_id""")
+
+# tokens in order of first appearance, each token's vectors in order of position
+_FLAT_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + f""",
+df AS (SELECT article_id, tok, pos, min(pos) OVER (PARTITION BY article_id, tok) AS fp FROM dex),
+dn AS (SELECT article_id, tok, row_number() OVER (PARTITION BY article_id ORDER BY fp, pos) AS k FROM df)
+SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum(k * rs.s) AS BIGINT) AS vec_sum
+FROM dn JOIN rs ON rs.r = {_BUCKET.format(tok='tok')} GROUP BY article_id""")
+
 _NBEST = f"""
 nb0 AS (SELECT doc_id, n_chars, unnest(generate_series(0, len(l) - 1)) AS beam, unnest(l) AS line
         FROM (SELECT doc_id, n_chars, string_split(text, {_NL}) AS l FROM documents)),
@@ -307,16 +328,16 @@ tg2 AS (SELECT *, CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, l
 bl AS (SELECT *, (len(alive) > 3 AND len(w) > 3 AND list_contains(list_slice(tri, 1, len(tri) - 1), tri[-1]))
               AS blocked FROM tg2),
 fin AS (SELECT *, CASE WHEN blocked THEN -10e20 ELSE score0 END AS score FROM bl),
-tk5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, beam, token_id) AS cand_rank FROM fin)
+tk5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, step ORDER BY score DESC, beam, token_id) AS cand_rank
+        FROM fin),
+fi5 AS (SELECT *, (token = '[unused1]' OR step + 1 >= 200) AS finished FROM tk5 WHERE cand_rank <= 5)
 """
 _HTEXT = ("replace(array_to_string(list_filter(list_concat(alive, [token]), lambda t: t <> '[unused0]'), ' '), "
           "' ##', '')")
 
-_TOPK3 = _TOPK.replace("rnk <= 10", "rnk <= 3")
-
 MODEL_SQL = {
     "truncate_tokens": f"WITH {_TK} SELECT doc_id, {_join('list_slice(w, 1, 126)', chr(39) + ' ' + chr(39))} AS tokens FROM tk",
-    "add_special_tokens": f"WITH {_TK} SELECT doc_id, {_join(_bert('w'), chr(39) + ' ' + chr(39))} AS tokens FROM tk",
+    "add_special_tokens": f"WITH {_TK} SELECT doc_id, {_join("list_concat(list_concat(['[CLS]'], w), ['[SEP]'])", chr(39) + ' ' + chr(39))} AS tokens FROM tk",
     "model_input_rows": f"""WITH {_vocab_cte('documents')}, {_TK},
 bt AS (SELECT doc_id, {_bert('w')} AS toks FROM tk),
 ex AS (SELECT doc_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos FROM bt),
@@ -328,7 +349,7 @@ SELECT doc_id, s || repeat(',0', CAST(128 - n AS INTEGER)) AS ids, CAST(n AS INT
 ex AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM tk),
 ids AS (SELECT ex.doc_id, ex.pos, coalesce(v.id, 3) AS id FROM ex LEFT JOIN vocab v ON v.token = ex.tok)
 SELECT doc_id, count(*) AS n_tokens, CAST(sum(CASE WHEN id = 3 THEN 1 ELSE 0 END) AS BIGINT) AS n_unknown,
-       CAST(sum(id) AS BIGINT) AS id_sum FROM ids GROUP BY doc_id""",
+       CAST(sum(id) AS BIGINT) AS id_sum, CAST(sum((pos + 1) * id) AS BIGINT) AS id_place_sum FROM ids GROUP BY doc_id""",
     "id_to_token": f"""WITH {_vocab_cte('benchmark')}, {_TK},
 ex AS (SELECT doc_id, unnest(w) AS tok, unnest(generate_series(0, len(w) - 1)) AS pos FROM tk),
 ids AS (SELECT ex.doc_id, ex.pos, coalesce(v.id, 3) AS id FROM ex LEFT JOIN vocab v ON v.token = ex.tok)
@@ -349,20 +370,25 @@ FROM enc e LEFT JOIN ag ON ag.conv_id = e.conv_id""",
 SELECT col.conv_id, md5(col.src) AS src_md5, col.segs, CAST(col.mask_sum AS INTEGER) AS mask_sum,
        {_join('e.summary', chr(39) + ' ' + chr(39))} AS tgt_str
 FROM col JOIN enc e ON e.conv_id = col.conv_id""",
-    "segment_ids": "WITH " + _ENC + " SELECT conv_id, segs FROM col",
+    "segment_ids": "WITH " + _ENC + """,
+fs AS (SELECT conv_id, pos, (((sum(CASE WHEN id = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos
+               ROWS UNBOUNDED PRECEDING) - 1) % 2) + 2) % 2 AS sg FROM ids)
+SELECT conv_id, string_agg(CAST(sg AS VARCHAR), '' ORDER BY pos) AS segs FROM fs GROUP BY conv_id""",
     "truncate_or_pad": "WITH " + _ENC + " SELECT conv_id, src FROM col",
-    "build_mask": "WITH " + _ENC + " SELECT conv_id, mask FROM col",
+    "build_mask": "WITH " + _ENC + """
+SELECT conv_id, string_agg(CASE WHEN id = 0 THEN '0' ELSE '1' END, '' ORDER BY pos) || '0' AS mask FROM ids GROUP BY conv_id""",
     "source_excerpt": "WITH " + _ENC + """
 SELECT seg.conv_id, string_agg(v.token, ' ' ORDER BY seg.pos) AS excerpt
 FROM seg LEFT JOIN vocab v ON v.id = seg.id WHERE seg.pos <= 500 GROUP BY seg.conv_id""",
     "embed_tokens": _EMBED_SUM,
-    "micro_batch": _EMBED_SUM,
-    "flatten_vectors": _EMBED_SUM,
+    "micro_batch": _WINDOW_SUM,
+    "flatten_vectors": _FLAT_SUM,
     "vectors_by_token": "WITH " + _DOC_TOKS + """
 SELECT article_id, tok AS token, CAST(min(pos) AS INTEGER) AS first_pos, CAST(count(*) AS INTEGER) AS n_vectors
 FROM dex GROUP BY ALL""",
     "first_vector_per_token": "WITH " + _EMB + f""",
-qd AS (SELECT item_id AS query_id, {_bert(_WORDS.format(t='text'))} AS toks FROM benchmark),
+qw AS (SELECT item_id AS query_id, {_WORDS.format(t='text')} AS w FROM benchmark),
+qd AS (SELECT query_id, flatten({_WINDOWS.format(w='w')}) AS toks FROM qw),
 qe AS (SELECT query_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM qd),
 qf AS (SELECT query_id, tok, min(pos) AS p FROM qe GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) - 1 AS BIGINT) AS tok_no,
@@ -377,18 +403,15 @@ SELECT query_id, tok_no, article_id, CAST(idx AS INTEGER) AS nearest_pos,
 SELECT query_id, tok_no, article_id, p / 1e12 AS min_distance FROM mins""",
     "mean_best_distance": "WITH " + _VECTOR_INPUTS + f"""
 SELECT query_id, article_id, round({_MEAN}, 6) AS distance FROM mins GROUP BY ALL""",
-    "topk_closest": "WITH " + _VECTOR_INPUTS + f""",
-means AS (SELECT query_id, article_id, {_MEAN} AS distance FROM mins GROUP BY ALL),
-""" + _TOPK3,
+    "topk_closest": SEARCH_VECTORS,
     "ranked_order": SEARCH_VECTORS,
     "selected_articles": "WITH " + _LOOKUP_DISTANCES + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance ASC, article_id DESC) AS rnk FROM means)
 SELECT r.query_id, CAST(r.rnk AS INTEGER) AS rank, r.article_id, d.source
 FROM r JOIN documents d ON d.doc_id = r.article_id WHERE r.rnk <= 10""",
     "l2_distance": f"""
-WITH e AS (SELECT vec_id, embedding, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id,
-                  lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nv FROM embeddings),
-x AS (SELECT vec_id, next_id, unnest(embedding) AS a, unnest(nv) AS b FROM e WHERE next_id IS NOT NULL),
+WITH x AS (SELECT e.vec_id, n.vec_id AS next_id, unnest(e.embedding) AS a, unnest(n.embedding) AS b
+           FROM embeddings e JOIN embeddings n ON n.vec_id = e.vec_id + 1),
 y AS (SELECT vec_id, next_id, {_MICRO.format(x='a')} AS ma, {_MICRO.format(x='b')} AS mb FROM x)
 SELECT vec_id, next_id, sqrt(CAST(sum((ma - mb) * (ma - mb)) AS DOUBLE)) / 1000000.0 AS distance FROM y GROUP BY ALL""",
     "round_vector": """
@@ -402,16 +425,16 @@ SELECT doc_id, beam, cand,
     "candidate_score": "WITH " + _NBEST + "SELECT doc_id, beam, cand, CAST(score0 AS FLOAT) AS score FROM sc2",
     "block_repeated_trigram": "WITH " + _NBEST + "SELECT doc_id, beam, cand, blocked FROM bl",
     "candidate_topk": "WITH " + _NBEST + """
-SELECT doc_id, CAST(cand_rank AS INTEGER) AS cand_rank, beam, cand, CAST(score AS FLOAT) AS score
+SELECT doc_id, CAST(step AS INTEGER) AS step, CAST(cand_rank AS INTEGER) AS cand_rank, beam, cand, CAST(score AS FLOAT) AS score
 FROM tk5 WHERE cand_rank <= 5""",
     "best_hypothesis": "WITH " + _NBEST + f"""
 SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, {_HTEXT} AS text FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, step, beam, token_id) AS rk
   FROM fin WHERE token = '[unused1]') WHERE rk = 1""",
     "rerank_hypotheses": "WITH " + _NBEST + f"""
-SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, {_HTEXT} AS text FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, step, cand_rank) AS rk
-  FROM tk5 WHERE cand_rank <= 5 AND token = '[unused1]') WHERE rk = 1""",
+SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, finished, {_HTEXT} AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY finished DESC, score DESC, step, cand_rank) AS rk
+  FROM fi5) WHERE rk = 1""",
     "split_flat_index": "WITH " + _NBEST + """
 SELECT doc_id, beam, cand, CAST((beam * 1000 + token_id) // 1000 AS INTEGER) AS beam_rec,
        CAST((beam * 1000 + token_id) % 1000 AS INTEGER) AS token_rec FROM nb""",

@@ -109,7 +109,7 @@ def source_excerpt(tokens, n: int = 500) -> Column:
 
 
 def split_flat_index(idx, vocab_size):
-    """Flat candidate index -> (beam, token id)."""
-    idx = _c(idx)
-    v = _lit(vocab_size)
-    return F.floor(idx / v).cast("long"), F.pmod(idx, v)
+    """Flat candidate index -> (beam, token id); integer division, exact for any 64-bit index."""
+    idx = _c(idx).cast("long")
+    v = _lit(vocab_size).cast("long")
+    return F.call_function("div", idx, v), F.pmod(idx, v)

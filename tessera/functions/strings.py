@@ -111,5 +111,5 @@ def split_pair_b(line) -> Column:
 
 
 def words(text) -> Column:
-    """Whitespace words of lower-cased text (the lookup encoder's word rule)."""
-    return F.split(F.regexp_replace(F.lower(_c(text)), "[ \n]+", " "), " ", -1)
+    """Words of lower-cased text: runs of anything but Python's whitespace (no empty words)."""
+    return F.array_remove(F.split(normalize_whitespace(F.lower(_c(text))), " ", -1), "")

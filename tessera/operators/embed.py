@@ -15,6 +15,8 @@ article side is never shuffled.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,14 +24,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import add_special_tokens, truncate_tokens
+from ..functions.arrays import CLS, SEP
 from ..functions.strings import words
 from ..functions.vectors import round_vector
 
 VECS_TYPE = T.ArrayType(T.ArrayType(T.FloatType()))
 MAX_MODEL_BYTES = 1 << 30  # a lookup table must fit comfortably in every worker
 
-_WORKER_MODELS: dict = {}  # one model per Python worker process, by name
+_WORKER_MODELS: dict = {}  # one model per Python worker process, by the encoder's own id
+
+
+def worker_model(key: str, make):
+    """``make()`` once per Python worker and key. Kept at module level: a task finds it by
+    import, whereas a dictionary named inside a shipped function would travel with each task."""
+    if key not in _WORKER_MODELS:
+        _WORKER_MODELS[key] = make()
+    return _WORKER_MODELS[key]
 
 
 OUTPUT_BATCH_BYTES = 16 * 1024 * 1024  # cap of one Arrow batch of vectors sent back to the JVM
@@ -132,54 +142,69 @@ def _gather_batch(rb: pa.RecordBatch, W: np.ndarray, keep: list, out_col: str) -
 class BatchEncoder:
     """A user's encoder model run in micro-batches on padded model input rows.
 
-    ``make_predict_fn`` must be picklable; it is called once per Python worker (cached under
-    ``name``). The returned function maps ``input_ids``/``input_mask`` int32 matrices
-    ``[B, L]`` to float vectors ``[B, L, D]``.
+    ``make_predict_fn`` must be picklable; it is called once per Python worker and encoder
+    object (``name`` is only a label). The returned function maps ``input_ids``/``input_mask``
+    int32 matrices ``[B, L]`` - and ``input_type_ids`` if ``with_types`` - to float vectors
+    ``[B, L, D]``.
     """
 
-    def __init__(self, make_predict_fn, name: str, batch_size: int = 32):
+    def __init__(self, make_predict_fn, name: str = "model", batch_size: int = 32, with_types: bool = False):
         self.make_predict_fn = make_predict_fn
         self.name = name
         self.batch_size = batch_size
+        self.with_types = with_types
+        self.key = f"{name}-{uuid.uuid4().hex}"
 
 
 def embed_model_inputs(df: DataFrame, encoder: BatchEncoder, ids_col: str = "input_ids",
-                       mask_col: str = "input_mask", out_col: str = "vecs") -> DataFrame:
+                       mask_col: str = "input_mask", out_col: str = "vecs",
+                       type_col: str = "input_type_ids") -> DataFrame:
     """Vectors of the real (mask = 1) positions of fixed-length model input rows."""
     keep = list(df.columns)
     out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, VECS_TYPE)])
-    make, name, bs = encoder.make_predict_fn, encoder.name, encoder.batch_size
+    make, key, bs = encoder.make_predict_fn, encoder.key, encoder.batch_size
+    inputs = [ids_col, mask_col] + ([type_col] if encoder.with_types else [])
 
     def infer(batches):
-        fn = _WORKER_MODELS.get(name)
-        if fn is None:
-            fn = _WORKER_MODELS[name] = make()
+        fn = worker_model(key, make)
         for big in batches:
             if big.num_rows == 0:
                 continue
             L = int(pc.max(pc.list_value_length(big.column(ids_col))).as_py())
             # output bytes per row are unknown before the model runs: budget 1024 floats a token
             for rb in row_slices(big, L * 1024 * 4):
-                yield _infer_batch(rb, fn, bs, L, ids_col, mask_col, keep, out_col)
+                yield _infer_batch(rb, fn, bs, L, inputs, keep, out_col)
 
     return df.mapInArrow(infer, out_schema)
 
 
-def _infer_batch(rb, fn, bs, L, ids_col, mask_col, keep, out_col) -> pa.RecordBatch:
+def _infer_batch(rb, fn, bs, L, inputs, keep, out_col) -> pa.RecordBatch:
     """Run the model on micro-batches of ``bs`` rows; keep the vectors of real positions."""
     n = rb.num_rows
-    ids = rb.column(ids_col).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, L)
-    mask = rb.column(mask_col).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, L)
-    parts = [np.asarray(fn(ids[s:s + bs], mask[s:s + bs]), dtype=np.float32) for s in range(0, n, bs)]
+    mats = [rb.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, L) for c in inputs]
+    parts = [np.asarray(fn(*(m[s:s + bs] for m in mats)), dtype=np.float32) for s in range(0, n, bs)]
     out = np.concatenate(parts, axis=0)  # [n, L, D]
-    real = mask.astype(bool)
+    real = mats[1].astype(bool)
     vecs = _nested_vectors(out[real], real.sum(axis=1))  # row-major: row 0's tokens, then row 1's
     return pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [vecs], names=keep + [out_col])
 
 
+def word_windows(text: Column, seq_length: int = 128) -> Column:
+    """The whole text as consecutive windows of at most ``seq_length - 2`` words, each one
+    string of words joined by spaces (a text without words is one empty window).
+
+    One regular expression marks the cuts in the joined words; no lambda slices the array.
+    """
+    n = seq_length - 2
+    joined = F.array_join(words(text), " ")
+    return F.split(F.regexp_replace(joined, "\\G((?:[^ ]++ ){%d}[^ ]++) " % (n - 1), "$1\n"), "\n", -1)
+
+
 def word_tokens(text: Column, seq_length: int = 128) -> Column:
-    """Lookup-encoder tokens: ``[CLS]`` + first ``seq_length - 2`` words + ``[SEP]``."""
-    return add_special_tokens(truncate_tokens(words(text), seq_length))
+    """Lookup-encoder tokens of a whole text: every window of ``seq_length - 2`` words between
+    its own ``[CLS]`` and ``[SEP]``. ``seq_length`` is the model's window, never a limit."""
+    framed = F.array_join(word_windows(text, seq_length), f" {SEP} {CLS} ")
+    return F.array_remove(F.split(F.concat(F.lit(f"{CLS} "), framed, F.lit(f" {SEP}")), " ", -1), "")
 
 
 def first_vector_per_token(df: DataFrame, key_col: str = "query_id", tokens_col: str = "tokens",

@@ -16,6 +16,7 @@ from ..functions.vectors import length_penalty
 
 BEAM_SIZE = 5
 MIN_LENGTH = 50
+MAX_LENGTH = 200
 ALPHA = 0.95
 SUPPRESSED = -1e20  # end token before the minimum length
 BLOCKED = -10e20  # repeated trigram
@@ -67,19 +68,25 @@ def block_repeated_trigram(df: DataFrame, seq_col: str = "alive") -> DataFrame:
             .withColumn("score", F.when(F.col("blocked"), F.lit(BLOCKED)).otherwise(F.col("score"))))
 
 
-def candidate_topk(df: DataFrame, beam_size: int = BEAM_SIZE, group_cols=("doc_id",)) -> DataFrame:
-    """The ``beam_size`` best candidates per document: score descending, then flat index
+def candidate_topk(df: DataFrame, beam_size: int = BEAM_SIZE, group_cols=("doc_id", "step")) -> DataFrame:
+    """The ``beam_size`` best candidates per document and step: score descending, then flat index
     (beam, then token id) ascending. ``topk_log_probs`` = score times the penalty again."""
     w = Window.partitionBy(*group_cols).orderBy(F.col("score").desc(), F.col("beam"), F.col("token_id"))
     return (df.withColumn("cand_rank", F.row_number().over(w)).filter(F.col("cand_rank") <= beam_size)
             .withColumn("topk_log_prob", F.col("score") * F.col("penalty")))
 
 
-def best_hypothesis(df: DataFrame, finished_col: str = "finished", order_cols=("step", "cand_rank")) -> DataFrame:
-    """Highest score per document among finished hypotheses; ties keep the first finished."""
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), *[F.col(c) for c in order_cols])
-    return (df.filter(F.col(finished_col)).withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") == 1).drop("_rn"))
+def best_hypothesis(df: DataFrame, finished_col: str = "finished", order_cols=("step", "cand_rank"),
+                    keep_unfinished: bool = False) -> DataFrame:
+    """Highest score per document among finished hypotheses; ties keep the first finished.
+
+    With ``keep_unfinished`` a document in which nothing has finished keeps its best
+    unfinished hypothesis (``finished_col`` stays false on it).
+    """
+    first = [F.col(finished_col).desc()] if keep_unfinished else []
+    w = Window.partitionBy("doc_id").orderBy(*first, F.col("score").desc(), *[F.col(c) for c in order_cols])
+    rows = df if keep_unfinished else df.filter(F.col(finished_col))
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def hypothesis_text(seq: Column, strip_end: bool = False, begin_token: str = "[unused0]") -> Column:
@@ -91,11 +98,16 @@ def hypothesis_text(seq: Column, strip_end: bool = False, begin_token: str = "[u
 
 
 def rerank_hypotheses(cands: DataFrame, beam_size: int = BEAM_SIZE, min_length: int = MIN_LENGTH,
-                      alpha: float = ALPHA) -> DataFrame:
+                      alpha: float = ALPHA, max_length: int = MAX_LENGTH) -> DataFrame:
     """``suppress_early_end`` -> ``candidate_score`` -> ``block_repeated_trigram`` ->
-    ``candidate_topk`` -> ``best_hypothesis`` (finished = the candidate is the end token)."""
+    ``candidate_topk`` -> ``best_hypothesis``.
+
+    A hypothesis is finished by the end token, or by reaching ``max_length``; a document in
+    which nothing has finished comes back with its best unfinished one and ``finished`` false.
+    """
     scored = block_repeated_trigram(candidate_score(suppress_early_end(cands, min_length), alpha))
-    top = candidate_topk(scored, beam_size).withColumn("finished", F.col("token") == EOS)
-    best = best_hypothesis(top)
-    return best.select("doc_id", "beam", "cand", "score",
+    top = candidate_topk(scored, beam_size).withColumn(
+        "finished", (F.col("token") == EOS) | (F.col("step") + 1 >= max_length))
+    best = best_hypothesis(top, keep_unfinished=True)
+    return best.select("doc_id", "beam", "cand", "score", "finished",
                        hypothesis_text(F.concat(F.col("alive"), F.array(F.col("token")))).alias("text"))

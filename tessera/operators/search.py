@@ -79,11 +79,12 @@ def _article_matrix(vecs: pa.Array, dim: int):
 
 
 def _partial_sq_dist(X: np.ndarray, Q: np.ndarray) -> np.ndarray:
-    """(tokens x query tokens) ``|x|^2 - 2 x.q``, i.e. squared distance minus ``|q|^2``.
+    """``(G, rest)``: (tokens x query tokens) squared distances are ``G + rest``.
 
-    The ``|q|^2`` term is constant per column, so it is added after the minimum. Exact on
-    integer micro-units while every partial sum stays below 2^53; beyond that the
-    differences are formed first (int64 while it cannot overflow).
+    ``rest`` (``|q|^2``, constant per column) is added after the minimum. Exact on integer
+    micro-units while every partial sum stays below 2^53; beyond that the differences are
+    formed first (int64 while it cannot overflow), ``G`` is the squared distance itself and
+    ``rest`` is zero, so that near matches stay exact.
     """
     maxabs = max(float(np.abs(X).max(initial=0.0)), float(np.abs(Q).max(initial=0.0)))
     dim = Q.shape[1]
@@ -91,16 +92,15 @@ def _partial_sq_dist(X: np.ndarray, Q: np.ndarray) -> np.ndarray:
         G = X @ Q.T
         G *= -2.0
         G += np.einsum("ij,ij->i", X, X)[:, None]
-        return G
+        return G, np.einsum("ij,ij->i", Q, Q)
     G = np.empty((X.shape[0], Q.shape[0]), dtype=np.float64)
     step = max(1, TILE_ELEMENTS // max(1, Q.shape[0] * dim))
     exact_int = 4.0 * maxabs * maxabs * dim < 2.0 ** 62
     Xs, Qs = (X.astype(np.int64), Q.astype(np.int64)) if exact_int else (X, Q)
-    qn = np.einsum("ij,ij->i", Qs, Qs)
     for s in range(0, X.shape[0], step):
         diff = Xs[s:s + step, None, :] - Qs[None, :, :]
-        G[s:s + step] = np.einsum("ijk,ijk->ij", diff, diff) - qn[None, :]
-    return G
+        G[s:s + step] = np.einsum("ijk,ijk->ij", diff, diff)
+    return G, np.zeros(Q.shape[0])
 
 
 def _encoded_matrix(tok_ids: pa.Array, gather, dim: int):
@@ -123,7 +123,7 @@ def _encoded_matrix(tok_ids: pa.Array, gather, dim: int):
 def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode: str = "mean", gather=None,
                  cells_cap: int = BATCH_CELLS):
     # identical query token vectors (a word shared by many queries) are scored once
-    Q, qn = qp["Qu"], qp["qnu"]
+    Q = qp["Qu"]
     rows_of = None  # token -> row of the distinct-vector matrix (token-wise encoders)
     if gather is None:
         X, counts = _article_matrix(vecs, qp["dim"])
@@ -143,7 +143,7 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
     G_all = None
     if rows_of is not None:
         if X.shape[0] * Q.shape[0] <= cells_cap:
-            G_all = _partial_sq_dist(X, Q)
+            G_all, rest = _partial_sq_dist(X, Q)
         else:
             X = X[rows_of]
     tok_starts = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
@@ -159,15 +159,17 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
             a1 += 1
         t0 = tok_starts[a0]
         starts = tok_starts[a0:a1] - t0
-        G = G_all[rows_of[t0:t0 + tok]] if G_all is not None else _partial_sq_dist(X[t0:t0 + tok], Q)
+        if G_all is not None:
+            G = G_all[rows_of[t0:t0 + tok]]
+        else:
+            G, rest = _partial_sq_dist(X[t0:t0 + tok], Q)
         m = np.minimum.reduceat(G, starts, axis=0)
-        mins[a0:a1] = m
+        mins[a0:a1] = m + rest[None, :]
         if argpos is not None:  # first token position reaching the minimum
             owner = np.repeat(np.arange(a1 - a0), counts[a0:a1])
             idx = np.where(G == m[owner], np.arange(tok)[:, None], tok)
             argpos[a0:a1] = np.minimum.reduceat(idx, starts, axis=0) - starts[:, None]
         a0 = a1
-    mins += qn[None, :]
     np.maximum(mins, 0.0, out=mins)
     # per-token distances as integer pico-units: sums are exact, so the mean (and every tie)
     # is the same whatever the summation order or engine
@@ -189,7 +191,7 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
         rows = np.repeat(np.arange(len(ids)), nq)
         cols = np.tile(np.arange(nq), len(ids))
     else:
-        picks = [np.lexsort((-ids, mean[:, j]))[:k] for j in range(nq)]
+        picks = [_best_rows(mean[:, j], ids, k) for j in range(nq)]
         rows = np.concatenate(picks)
         cols = np.repeat(np.arange(nq), k)
     return pa.RecordBatch.from_arrays(
@@ -198,6 +200,14 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
         names=["query_id", "article_id", "distance"])
 
 
+def _best_rows(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest values, later ids first among equals: a partition by the k-th value,
+    then a sort of the few rows up to it."""
+    limit = np.partition(values, k - 1)[k - 1]
+    near = np.flatnonzero(values <= limit)
+    return near[np.lexsort((-ids[near], values[near]))[:k]]
+
+
 def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     """Split the query table so each broadcast block stays under ``max_block_bytes``.
 
@@ -240,7 +250,6 @@ def _broadcast_blocks(queries: DataFrame, max_block_bytes: int):
         else:
             Qu, inv = qp["Q"], np.zeros(0, dtype=np.int64)
         qp["Qu"], qp["inv"] = Qu, np.asarray(inv).reshape(-1)
-        qp["qnu"] = np.einsum("ij,ij->i", Qu, Qu) if Qu.size else np.zeros(0)
         yield spark.sparkContext.broadcast(qp)
 
 
@@ -340,7 +349,7 @@ def _long_batch(art: np.ndarray, vec: pa.Array, qp: dict):
     """Per-batch minimum per (article, query token) over the article's rows in this batch."""
     if len(art) == 0:
         return None
-    Q, qn = qp["Qu"], qp["qnu"]
+    Q = qp["Qu"]
     order = np.argsort(art, kind="stable")
     art = art[order]
     lengths = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
@@ -348,7 +357,8 @@ def _long_batch(art: np.ndarray, vec: pa.Array, qp: dict):
         raise ValueError(f"token vectors must have {qp['dim']} components")
     X = _to_micro(vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, qp["dim"]))[order]
     starts = np.flatnonzero(np.r_[True, art[1:] != art[:-1]])
-    m = np.minimum.reduceat(_partial_sq_dist(X, Q), starts, axis=0) + qn[None, :]
+    G, rest = _partial_sq_dist(X, Q)
+    m = np.minimum.reduceat(G, starts, axis=0) + rest[None, :]
     pico = np.floor(np.sqrt(np.maximum(m, 0.0)) * MICRO + 0.5)[:, qp["inv"]]
     na, nt = pico.shape
     rows, cols = np.repeat(np.arange(na), nt), np.tile(np.arange(nt), na)

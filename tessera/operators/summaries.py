@@ -8,6 +8,8 @@ fed in micro-batches of ``batch_size``; the n-best table comes back as rows
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,22 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import detokenize
+from .embed import worker_model
 from .tokens import Vocabulary, ids_to_tokens
 
-_GENERATORS: dict = {}
-
 
 def summarize(encoded: DataFrame, make_generator, name: str, key_col: str = "document_name",
               batch_size: int = 1) -> DataFrame:
     """n-best table ``(key, hyp_id, ids array<int>, score double)`` per encoded row."""
     key_field = encoded.schema[key_col]
+    model_key = f"{name}-{uuid.uuid4().hex}"  # one load per worker and call, never another's model
     schema = T.StructType([key_field, T.StructField("hyp_id", T.IntegerType()),
                            T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        gen = _GENERATORS.get(name)
-        if gen is None:
-            gen = _GENERATORS[name] = make_generator()
+        gen = worker_model(model_key, make_generator)
         for rb in batches:
             n = rb.num_rows
             if n == 0:

@@ -28,7 +28,7 @@ _WORKER_CACHE: dict = {}
 
 def whitespace_tokens(text) -> Column:
     """Lower-cased whitespace words, empty pieces dropped (the whole-word tokenizer)."""
-    return F.filter(words(text), lambda w: w != "")
+    return words(text)
 
 
 class Vocabulary:
@@ -237,8 +237,10 @@ def bert_tokens(tokens, seq_length: int = 128) -> Column:
 def model_input_rows(df: DataFrame, vocab: Vocabulary, tokens_col: str = "tokens",
                      seq_length: int = 128) -> DataFrame:
     """``tokens`` (with specials), ``input_ids``/``input_mask``/``input_type_ids`` padded with 0
-    to exactly ``seq_length``."""
-    pre = df.withColumn("tokens", bert_tokens(F.col(tokens_col), seq_length))
+    to exactly ``seq_length``; the column of whole texts' tokens is not returned."""
+    # the whole word array stays behind: only the kept tokens travel to the lookup
+    pre = df.withColumn("tokens", bert_tokens(F.col(tokens_col), seq_length)).drop(
+        *[c for c in (tokens_col,) if c != "tokens"])
     ided = tokens_to_ids(pre, vocab, "tokens", "_ids")
     pad_id = 0
     return (ided.withColumn("input_ids", truncate_or_pad(F.col("_ids"), seq_length, pad_id))
@@ -262,9 +264,13 @@ def collate_rows(stories: DataFrame, vocab: Vocabulary, block_size: int = 512, k
     """
     vocab.prepare(stories.sparkSession)
     pad_id, cls_id = vocab.id_of(PAD), vocab.id_of(CLS)
-    pre = (stories.filter(F.size("story_lines") > 0)
-           .select(key_col, encode_lines(F.col("story_lines")).alias("_tok"),
-                   F.array_join("summary_lines", " ").alias("tgt_str")))
+    # a story without lines has no tokens: filtered on the encoded column, so that the line
+    # rules are not repeated in a pushed-down condition
+    pre = (stories.select(key_col, encode_lines(F.col("story_lines")).alias("_tok"),
+                          F.array_join("summary_lines", " ").alias("tgt_str"))
+           .filter(F.size("_tok") > 0))
+    # cut first: ids past the block are never looked up
+    pre = pre.withColumn("_tok", F.slice("_tok", 1, block_size))
     ided = tokens_to_ids(pre, vocab, "_tok", "_ids")
     src = truncate_or_pad(F.col("_ids"), block_size, pad_id)
     return (ided.select(key_col, src.alias("src"), "tgt_str")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as AR
-from ..functions.vectors import l2_distance_exact, micro_units, round_vector, to_micro
+from ..functions.vectors import l2_distance_exact, micro_units, round_vector
 from ..operators import embed as E
 from ..operators import hypotheses as H
 from ..operators import search as SR
@@ -19,6 +17,7 @@ from ..sources import derived as D
 from . import search as P
 
 VEC_SUM = "vec_sum"
+WINDOWS = 1_000_000  # a window's key: article id times this plus the window's number
 
 
 def _vocab(spark, sf_dir, source="documents") -> TK.Vocabulary:
@@ -43,7 +42,7 @@ def truncate_tokens(spark, sf_dir):
 
 def add_special_tokens(spark, sf_dir):
     t = _doc_tokens(spark, sf_dir)
-    return t.select("doc_id", F.array_join(TK.bert_tokens(F.col("words"), 128), " ").alias("tokens"))
+    return t.select("doc_id", F.array_join(AR.add_special_tokens(F.col("words")), " ").alias("tokens"))
 
 
 def model_input_rows(spark, sf_dir):
@@ -65,7 +64,8 @@ def token_to_id(spark, sf_dir):
     return ided.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.sum(F.when(F.col("id") == unk, 1).otherwise(0)).cast("long").alias("n_unknown"),
-        F.sum("id").cast("long").alias("id_sum"))
+        F.sum("id").cast("long").alias("id_sum"),
+        F.sum((F.col("pos") + 1) * F.col("id")).cast("long").alias("id_place_sum"))
 
 
 def id_to_token(spark, sf_dir):
@@ -105,9 +105,17 @@ def collate_rows(spark, sf_dir):
                     "tgt_str")
 
 
+def _encoded(spark, sf_dir):
+    """Ids of whole stories (no block cut) and the vocabulary."""
+    stories = ST.process_story(D.raw_stories(spark, sf_dir))
+    vocab = _vocab(spark, sf_dir)
+    pre = stories.select("conv_id", TK.encode_lines(F.col("story_lines")).alias("toks")).filter(F.size("toks") > 0)
+    return TK.tokens_to_ids(pre, vocab, "toks", "ids").select("conv_id", "ids"), vocab
+
+
 def segment_ids(spark, sf_dir):
-    c, _ = _collated(spark, sf_dir)
-    return c.select("conv_id", F.array_join("segs", "").alias("segs"))
+    e, vocab = _encoded(spark, sf_dir)
+    return e.select("conv_id", F.array_join(AR.segment_ids(F.col("ids"), vocab.id_of(AR.CLS)), "").alias("segs"))
 
 
 def truncate_or_pad(spark, sf_dir):
@@ -116,8 +124,11 @@ def truncate_or_pad(spark, sf_dir):
 
 
 def build_mask(spark, sf_dir):
-    c, _ = _collated(spark, sf_dir)
-    return c.select("conv_id", F.array_join("mask_src", "").alias("mask"))
+    """Mask of whole stories, each followed by one pad id."""
+    e, vocab = _encoded(spark, sf_dir)
+    pad = vocab.id_of(AR.PAD)
+    padded = F.concat(F.col("ids"), F.array(F.lit(pad)))
+    return e.select("conv_id", F.array_join(AR.build_mask(padded, pad), "").alias("mask"))
 
 
 def source_excerpt(spark, sf_dir):
@@ -140,14 +151,27 @@ def _vec_sum(vec):
 
 
 def _vector_checksum(df: DataFrame, key: str, vecs_col: str) -> DataFrame:
-    """``(key, n_tokens, vec_sum)``: token count and the sum of all components in micro-units.
-
-    Components are exploded (code-generated) and summed by a partial + final aggregate.
-    """
-    flat = df.select(key, F.size(vecs_col).alias("n_tokens"), F.explode_outer(F.flatten(vecs_col)).alias("x"))
-    micro = to_micro(F.col("x"))
-    return flat.groupBy(key).agg(F.first("n_tokens").alias("n_tokens"),
-                                 F.coalesce(F.sum(micro), F.lit(0).cast("long")).alias(VEC_SUM))
+    """``(key, n_tokens, vec_sum)``: token count and the sum over positions of (position + 1)
+    times the vector's components in micro-units, so the order of vectors counts."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def sums(batches):
+        for rb in batches:
+            counts = pc.fill_null(pc.list_value_length(rb.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            inner = rb.column(1).flatten()
+            flat = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            micro = np.copysign(np.floor(np.abs(flat) * 1e6 + 0.5), flat).astype(np.int64)
+            out = np.zeros(len(counts), np.int64)
+            if len(inner):
+                per = micro.reshape(len(inner), -1).sum(axis=1)
+                row = np.repeat(np.arange(len(counts)), counts)
+                pos = np.arange(len(inner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                np.add.at(out, row, (pos + 1) * per)
+            yield pa.record_batch([rb.column(0), pa.array(counts.astype(np.int32)), pa.array(out)], [key, "n_tokens", VEC_SUM])
+
+    return df.select(F.col(key).cast("long").alias(key), vecs_col).mapInArrow(sums, f"{key} long, n_tokens int, {VEC_SUM} long")
 
 
 def _text_embeddings(spark, sf_dir):
@@ -164,20 +188,24 @@ def micro_batch(spark, sf_dir):
     enc = P.lookup_encoder(spark, sf_dir)
     n = enc.n_rows
     W = enc.broadcast(spark)
-    arts = P.text_articles(spark, sf_dir)
-    toks = arts.select("article_id", E.word_tokens(F.col("text"), P.SEQ_LENGTH).alias("tokens"))
-    ids = toks.select("article_id", AR.truncate_or_pad(E.lookup_token_ids(F.col("tokens"), n), 128, 0).alias("input_ids"),
+    arts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
+    # one input row per window of the text; the windows' positions keep their order
+    windows = arts.select("article_id", F.posexplode(E.word_windows(F.col("text"), P.SEQ_LENGTH)).alias("win", "w"))
+    toks = windows.select("article_id", "win", AR.add_special_tokens(
+        F.array_remove(F.split("w", " ", -1), "")).alias("tokens"))
+    ids = toks.select("article_id", "win", AR.truncate_or_pad(E.lookup_token_ids(F.col("tokens"), n), 128, 0).alias("input_ids"),
                       AR.real_mask(F.col("tokens"), 128).alias("input_mask"))
 
     def make_predict_fn(W=W):
         table = W.value
 
-        def predict(input_ids, input_mask):
-            return table[input_ids]
+        def predict(input_ids, input_mask, input_type_ids):
+            return table[input_ids + input_type_ids]
         return predict
 
-    out = E.embed_model_inputs(ids, E.BatchEncoder(make_predict_fn, f"lookup-table-{uuid.uuid4().hex}", batch_size=32))
-    return _vector_checksum(out, "article_id", "vecs")
+    ids = ids.withColumn("input_type_ids", AR.zeros(128))
+    out = E.embed_model_inputs(ids, E.BatchEncoder(make_predict_fn, "lookup-table", batch_size=32, with_types=True))
+    return _vector_checksum(out.withColumn("article_id", F.col("article_id") * WINDOWS + F.col("win")), "article_id", "vecs")
 
 
 def flatten_vectors(spark, sf_dir):
@@ -221,21 +249,22 @@ def mean_best_distance(spark, sf_dir):
 
 
 def topk_closest(spark, sf_dir):
-    return SR.ranked_order(SR.topk_closest(_mean_best(spark, sf_dir), 3))
+    """Ten closest articles per query; each batch sends on its own ten best only."""
+    art_long, queries = D.vector_search_inputs(spark, sf_dir)
+    return SR.ranked_order(SR.topk_closest(SR.article_query_distances(D.articles_from_long(art_long), queries, k=10), 10))
 
 
 def selected_articles(spark, sf_dir):
     top = P.search_articles(spark, sf_dir)
-    docs = P.text_articles(spark, sf_dir).join(read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("article_id"), "source"), "article_id")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "source")
     return SR.selected_articles(docs, top).select("query_id", "rank", "article_id", "source")
 
 
 def l2_distance(spark, sf_dir):
-    e = read_table(spark, sf_dir, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    p = e.select("vec_id", "embedding", F.lead("vec_id").over(w).alias("next_id"),
-                 F.lead("embedding").over(w).alias("next_vec")).filter(F.col("next_id").isNotNull())
+    """Distance of each vector to the one with the next id (an equi-join on the id)."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("embedding").alias("next_vec"))
+    p = e.join(after, "vec_id")
     return p.select("vec_id", "next_id", l2_distance_exact(F.col("embedding"), F.col("next_vec")).alias("distance"))
 
 
@@ -277,7 +306,7 @@ def block_repeated_trigram(spark, sf_dir):
 
 def candidate_topk(spark, sf_dir):
     t = H.candidate_topk(_scored(spark, sf_dir))
-    return t.select("doc_id", F.col("cand_rank").cast("int").alias("cand_rank"), "beam", "cand",
+    return t.select("doc_id", "step", F.col("cand_rank").cast("int").alias("cand_rank"), "beam", "cand",
                     F.col("score").cast("float").alias("score"))
 
 
@@ -290,7 +319,7 @@ def best_hypothesis(spark, sf_dir):
 
 def rerank_hypotheses(spark, sf_dir):
     r = H.rerank_hypotheses(_cands(spark, sf_dir))
-    return r.select("doc_id", "beam", "cand", F.col("score").cast("float").alias("score"), "text")
+    return r.select("doc_id", "beam", "cand", F.col("score").cast("float").alias("score"), "finished", "text")
 
 
 def split_flat_index(spark, sf_dir):

@@ -12,7 +12,7 @@ from ..session import read_table
 from ..sources.derived import articles_from_long, text_articles, text_queries, vector_search_inputs
 
 K = 10  # articles kept per query
-SEQ_LENGTH = 128  # tokens per text, [CLS] and [SEP] included
+SEQ_LENGTH = 128  # tokens per window of a text, [CLS] and [SEP] included
 
 
 def search_vectors(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:

@@ -82,10 +82,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is read as given. Only when it is
-    unset (local runs, tests) do we point it at a fresh local folder.
+    unset in local mode (tests) do we point it at a fresh local folder; elsewhere an unset
+    folder is an error, as executors would write to their own disks.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

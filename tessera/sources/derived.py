@@ -21,13 +21,16 @@ def vector_search_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     ``(article_id, pos, token, vec)`` with ``pos`` the ``vec_id``.
     """
     emb = read_table(spark, sf_dir, "embeddings")
+    # only (label, vec_id) rows reach the window, and a group limit keeps three of each
+    # partition's labels before the shuffle; the others are what an anti-join leaves
     w = Window.partitionBy("label").orderBy("vec_id")
-    ranked = emb.withColumn("rn", F.row_number().over(w))
-    queries = ranked.filter(F.col("rn") <= QUERY_TOKENS_PER_LABEL).select(
+    firsts = (emb.select("label", "vec_id").withColumn("rn", F.row_number().over(w))
+              .filter(F.col("rn") <= QUERY_TOKENS_PER_LABEL))
+    queries = emb.join(firsts.select("vec_id", "rn"), "vec_id").select(
         F.col("label").cast("long").alias("query_id"), F.col("rn").cast("long").alias("tok_no"),
         F.col("vec_id").cast("string").alias("token"), F.col("embedding").alias("vec"))
-    article_tokens = ranked.filter(F.col("rn") > QUERY_TOKENS_PER_LABEL).select(
-        F.floor(F.col("vec_id") / 10).cast("long").alias("article_id"), F.col("vec_id").alias("pos"),
+    article_tokens = emb.join(firsts.select("vec_id"), "vec_id", "left_anti").select(
+        F.expr("vec_id div 10").alias("article_id"), F.col("vec_id").alias("pos"),
         F.col("vec_id").cast("string").alias("token"), F.col("embedding").alias("vec"))
     return article_tokens, queries
 
@@ -167,8 +170,7 @@ def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct whitespace words of ``documents`` (lower-cased)."""
     from ..functions.strings import words
     d = read_table(spark, sf_dir, "documents")
-    return (d.select(F.explode(words(F.col("text"))).alias("token"))
-            .filter(F.col("token") != "").distinct())
+    return d.select(F.explode(words(F.col("text"))).alias("token")).distinct()
 
 
 def vocabulary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,7 +211,7 @@ def nbest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.strings import words
     d = read_table(spark, sf_dir, "documents")
     beams = d.select("doc_id", "n_chars", F.posexplode(_lines(F.col("text"))).alias("beam", "line"))
-    pieces = word_pieces(F.filter(words(F.col("line")), lambda w: w != ""))
+    pieces = word_pieces(words(F.col("line")))
     beams = beams.select("doc_id", "n_chars", "beam",
                          F.concat(F.array(F.lit(BOS_TOKEN)), pieces).alias("alive"))
     first = F.coalesce(F.try_element_at(F.col("alive"), F.lit(2)), F.lit(BOS_TOKEN))
@@ -243,5 +245,5 @@ def corpus_vocabulary(spark: SparkSession, sf_dir: str, source: str = "documents
     from ..functions.strings import words
     from ..operators.tokens import Vocabulary
     t = read_table(spark, sf_dir, source)
-    ws = t.select(F.explode(words(F.col("text"))).alias("token")).filter(F.col("token") != "").distinct()
+    ws = t.select(F.explode(words(F.col("text"))).alias("token")).distinct()
     return Vocabulary.from_words(ws, SPECIAL_TOKENS)

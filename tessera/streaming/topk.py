@@ -5,6 +5,8 @@ the latest complete version before ``v`` and micro-batch ``v``, then written wit
 overwrite. A batch replayed after a failure rewrites the same version from the same
 inputs, so the result is exactly-once; a restarted query resumes from its checkpoint and
 keeps the state it had. Nothing is lost between saves (the state is written every batch).
+The last two versions are kept. State that cannot be read, or is missing although the
+checkpoint counts files as done, is an error, never an empty start.
 """
 
 from __future__ import annotations
@@ -23,13 +25,42 @@ TOKEN_ID_ARTICLES = T.StructType([T.StructField("article_id", T.LongType()),
                                   T.StructField("tok_ids", T.ArrayType(T.LongType()))])
 
 
+KEPT_VERSIONS = 2  # a replayed batch needs the version before its own
+
+
+def _folder(spark: SparkSession, path: str):
+    """The store that holds ``path``, and ``path`` in it (whatever Spark itself can reach)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def _versions(spark: SparkSession, state_dir: str) -> set[int]:
-    """Complete state versions on storage (read once per run, then tracked in the driver)."""
-    try:
-        rows = spark.read.parquet(state_dir).select("v").distinct().collect()
-    except Exception:  # noqa: BLE001 - no state written yet
+    """Complete state versions on storage (read once per run, then tracked in the driver).
+
+    No folder means no state yet; any other trouble is raised. A version whose write did not
+    end (no ``_SUCCESS``) does not count.
+    """
+    fs, root = _folder(spark, state_dir)
+    if not fs.exists(root):
         return set()
-    return {int(r["v"]) for r in rows}
+    found = set()
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.add(int(name[2:]))
+    return found
+
+
+def _has_commits(spark: SparkSession, checkpoint_dir: str) -> bool:
+    fs, commits = _folder(spark, f"{checkpoint_dir}/commits")
+    return fs.exists(commits) and any(s.getPath().getName().isdigit() for s in fs.listStatus(commits))
+
+
+def _drop_old(spark: SparkSession, state_dir: str, versions: set[int]) -> None:
+    for v in sorted(versions)[:-KEPT_VERSIONS]:
+        fs, old = _folder(spark, f"{state_dir}/v={v}")
+        fs.delete(old, True)
+        versions.discard(v)
 
 
 def _state_version(spark: SparkSession, state_dir: str, v: int) -> DataFrame:
@@ -51,7 +82,7 @@ def merge_topk(previous: DataFrame | None, batch_topk: DataFrame, k: int) -> Dat
 
 
 def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_dir: str, checkpoint_dir: str,
-                k: int = 10, max_files_per_trigger: int = 1, schema: T.StructType = VECTOR_ARTICLES,
+                k: int = 10, max_files_per_trigger: int = 1000, schema: T.StructType = VECTOR_ARTICLES,
                 fmt: str = "parquet", encoder=None) -> DataFrame:
     """Run the running top-k over every file in ``source_dir`` not seen by ``checkpoint_dir``.
 
@@ -64,6 +95,8 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
         schema = TOKEN_ID_ARTICLES
 
     versions = _versions(spark, state_dir)  # one listing per run; batches then add theirs
+    if not versions and _has_commits(spark, checkpoint_dir):
+        raise RuntimeError(f"{checkpoint_dir} counts files as done, but {state_dir} holds no complete state")
 
     def merge(batch_df: DataFrame, batch_id: int) -> None:
         vecs_col = "tok_ids" if encoder is not None else "vecs"
@@ -73,6 +106,7 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
         out = merge_topk(prev, best, k)
         out.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
         versions.add(batch_id)
+        _drop_old(spark, state_dir, versions)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .format(fmt).load(source_dir))
@@ -87,10 +121,11 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
 
 
 def stream_articles(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
-                    glob: str = "*.json", multi_line: bool = True, max_files_per_trigger: int = 1) -> DataFrame:
-    """Read articles as they arrive, build the article record, append to a Parquet table."""
+                    glob: str = "*.json", multi_line: bool = True, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Read articles as they arrive (in any sub-folder), build the article record, append to a
+    Parquet table."""
     stream = (spark.readStream.schema(ARTICLE_SCHEMA).option("multiLine", multi_line)
-              .option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
+              .option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
     q = (article_record(stream).writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     q.awaitTermination()
