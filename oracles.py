@@ -383,9 +383,10 @@ FROM seg LEFT JOIN vocab v ON v.id = seg.id WHERE seg.pos <= 500 GROUP BY seg.co
     "embed_tokens": _EMBED_SUM,
     "micro_batch": _WINDOW_SUM,
     "flatten_vectors": _FLAT_SUM,
-    "vectors_by_token": "WITH " + _DOC_TOKS + """
-SELECT article_id, tok AS token, CAST(min(pos) AS INTEGER) AS first_pos, CAST(count(*) AS INTEGER) AS n_vectors
-FROM dex GROUP BY ALL""",
+    "vectors_by_token": "WITH " + _EMB + "," + _DOC_TOKS + """
+SELECT article_id, tok AS token, CAST(min(pos) AS INTEGER) AS first_pos, CAST(count(*) AS INTEGER) AS n_vectors,
+       CAST(sum(rs.s) AS BIGINT) AS vec_sum
+FROM dex JOIN rs ON rs.r = """ + _BUCKET.format(tok='tok') + " GROUP BY article_id, tok",
     "first_vector_per_token": "WITH " + _EMB + f""",
 qw AS (SELECT item_id AS query_id, {_WORDS.format(t='text')} AS w FROM benchmark),
 qd AS (SELECT query_id, flatten({_WINDOWS.format(w='w')}) AS toks FROM qw),

@@ -9,8 +9,9 @@ An *encoder* turns token lists into vectors. Two are provided:
   worker and returns ``fn(input_ids[B,L], input_mask[B,L]) -> vectors[B,L,D]``; rows are fed
   in micro-batches of ``batch_size`` (the last short batch is kept).
 
-Either way the weights travel once per executor (broadcast, size checked) and the
-article side is never shuffled.
+A model's weights, and a lookup table within its measured bound, travel once per executor
+and the article side is not shuffled. A larger lookup table stays distributed: each document's
+distinct token ids are joined to it (``token_vectors``), so its size has no limit.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..functions.strings import words
 from ..functions.vectors import round_vector
 
 VECS_TYPE = T.ArrayType(T.ArrayType(T.FloatType()))
-MAX_MODEL_BYTES = 1 << 30  # a lookup table must fit comfortably in every worker
+MAX_MODEL_BYTES = 256 << 20  # a larger lookup table is joined instead of broadcast
 
 _WORKER_MODELS: dict = {}  # one model per Python worker process, by the encoder's own id
 
@@ -78,16 +79,28 @@ class LookupEncoder:
         self.max_bytes = max_bytes
         self._n = None
         self._bc = None
+        self._rows = None
 
     @property
     def n_rows(self) -> int:
         if self._n is None:
             stats = self.table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(self.vec_col)).alias("d")).first()
             self._n, self._dim = int(stats["n"]), int(stats["d"] or 0)
-            if self._n * self._dim * 4 > self.max_bytes:
-                raise ValueError(f"lookup table of {self._n}x{self._dim} floats exceeds {self.max_bytes} bytes")
         return self._n
 
+    @property
+    def fits(self) -> bool:
+        """Whether the table is within the broadcast bound (measured: rows x width)."""
+        return self.n_rows * self._dim * 4 <= self.max_bytes
+
+    def rows(self) -> DataFrame:
+        """``(tok_id, vec)``: the table under its row numbers, numbered by Spark."""
+        if self._rows is None:
+            from .ids import sequence_ids
+            self._rows = (sequence_ids(self.table.select(self.order_col, self.vec_col), [self.order_col], "tok_id")
+                          .select("tok_id", F.col(self.vec_col).alias("vec")))
+        return self._rows
+
     def token_ids(self, tokens: Column) -> Column:
         return lookup_token_ids(tokens, self.n_rows)
 
@@ -103,7 +116,8 @@ class LookupEncoder:
 
     def broadcast(self, spark):
         if self._bc is None:
-            _ = self.n_rows  # size check before anything reaches the driver
+            if not self.fits:  # callers take the join then
+                raise RuntimeError("the lookup table is beyond the broadcast bound")
             tbl = self.table.select(self.order_col, self.vec_col).toArrow().sort_by(self.order_col)
             vec = tbl.column(self.vec_col).combine_chunks()
             W = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(vec), -1)
@@ -114,6 +128,8 @@ class LookupEncoder:
 def embed_tokens(df: DataFrame, encoder: LookupEncoder, tokens_col: str = "tokens",
                  out_col: str = "vecs") -> DataFrame:
     """Add ``out_col`` = one float vector per token of ``tokens_col`` (lookup encoder)."""
+    if not encoder.fits:
+        return _embed_by_join(df, encoder, tokens_col, out_col)
     spark = df.sparkSession
     bc = encoder.broadcast(spark)
     tmp = df.withColumn("_tok_ids", encoder.token_ids(F.col(tokens_col)))
@@ -130,6 +146,30 @@ def embed_tokens(df: DataFrame, encoder: LookupEncoder, tokens_col: str = "token
     return tmp.mapInArrow(gather, out_schema)
 
 
+def token_vectors(df: DataFrame, encoder: LookupEncoder, key_col: str, ids_col: str = "tok_ids") -> DataFrame:
+    """``(key, vec)`` for each distinct token id of each row, by a join on the id.
+
+    A frequent id is one row per document on this side only; adaptive execution splits its
+    partition, the table side has one row per id.
+    """
+    long = df.select(key_col, F.explode(F.array_distinct(ids_col)).alias("tok_id"))
+    return long.join(encoder.rows(), "tok_id").select(key_col, "vec")
+
+
+def _embed_by_join(df: DataFrame, encoder: LookupEncoder, tokens_col: str, out_col: str) -> DataFrame:
+    """Vectors of every token through the join, put back in order per row (a group is one
+    row's tokens)."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, "rows")
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    keyed = df.sparkSession.read.parquet(path)
+    long = keyed.select("_row", F.posexplode(encoder.token_ids(F.col(tokens_col))).alias("_pos", "tok_id"))
+    got = (long.join(encoder.rows(), "tok_id").groupBy("_row")
+           .agg(F.sort_array(F.collect_list(F.struct("_pos", "vec"))).alias("_v")))
+    return (keyed.join(got, "_row", "left").withColumn(out_col, F.coalesce(F.col("_v.vec"), F.array().cast(VECS_TYPE)))
+            .drop("_row", "_v"))
+
+
 def _gather_batch(rb: pa.RecordBatch, W: np.ndarray, keep: list, out_col: str) -> pa.RecordBatch:
     """Rows of ``W`` for every token id of the batch, as one nested vector list per row."""
     ids = rb.column("_tok_ids")

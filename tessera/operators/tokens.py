@@ -22,7 +22,7 @@ from ..functions.arrays import (CLS, PAD, SEP, UNK, add_special_tokens, build_ma
                                 truncate_or_pad, truncate_tokens, zeros)
 from ..functions.strings import words
 
-MAX_VOCAB_ENTRIES = 5_000_000  # largest vocabulary that is broadcast to every worker
+MAX_VOCAB_ENTRIES = 1_000_000  # largest vocabulary that is broadcast to every worker
 _WORKER_CACHE: dict = {}
 
 
@@ -40,45 +40,24 @@ class Vocabulary:
         self._bc = None
         self._size = None
         self._index = None
-        self._arrays = None  # (tokens, ids) when the vocabulary was numbered on the driver
-        self._spark = None
+        self._known: dict = {}  # ids known without looking: the special tokens of ``from_words``
 
     @property
     def table(self) -> DataFrame:
-        """``(token, id)`` as a DataFrame (built from the driver copy when there is one)."""
-        if self._table is None:
-            toks, ids = self._arrays
-            self._table = self._spark.createDataFrame(pa.table({"token": toks, "id": ids}))
+        """``(token, id)`` as a DataFrame."""
         return self._table
 
     @classmethod
     def from_words(cls, words: DataFrame, specials: list[str], max_entries: int = MAX_VOCAB_ENTRIES) -> "Vocabulary":
         """Special tokens (ids 0..), then the distinct ``token`` values of ``words`` in sorted
-        (byte) order. Counted first: within the broadcast bound it is sorted and numbered once
-        on the driver (it is broadcast anyway); beyond it, ids are numbered in parallel and
-        the vocabulary stays a distributed table."""
+        (byte) order, numbered by Spark at every size. Whether the result is broadcast is
+        decided later, by its measured number of entries."""
         spark = words.sparkSession
-        words = words.select("token").persist()  # counted, then collected or numbered: computed once
-        try:
-            n = words.count()
-            if n + len(specials) > max_entries:
-                from .ids import sequence_ids
-                head = spark.createDataFrame([(i, t) for i, t in enumerate(specials)], "k int, token string")
-                body = words.select(F.lit(len(specials)).alias("k"), "token")
-                table = sequence_ids(head.unionByName(body), ["k", "token"], "id").select("token", "id")
-                vocab = cls(table, max_entries)
-                vocab._size = n + len(specials)
-                return vocab
-            toks = words.toArrow().column("token").combine_chunks()
-        finally:
-            words.unpersist()
-        toks = pc.take(toks, pc.sort_indices(toks))
-        all_toks = pa.concat_arrays([pa.array(specials, pa.string()), toks.cast(pa.string())])
-        ids = pa.array(np.arange(len(all_toks), dtype=np.int32))
-        vocab = cls(None, max_entries)
-        vocab._arrays, vocab._spark = (all_toks, ids), spark
-        vocab._size = len(all_toks)
-        vocab._bc = spark.sparkContext.broadcast((uuid.uuid4().hex, all_toks.to_pylist(), ids.to_pylist()))
+        from .ids import sequence_ids
+        head = spark.createDataFrame([(i, t) for i, t in enumerate(specials)], "k int, token string")
+        body = words.select(F.lit(len(specials)).alias("k"), "token")
+        vocab = cls(sequence_ids(head.unionByName(body), ["k", "token"], "id").select("token", "id"), max_entries)
+        vocab._known = {t: i for i, t in enumerate(specials)}
         return vocab
 
     @property
@@ -107,6 +86,8 @@ class Vocabulary:
             self.broadcast(spark)
 
     def id_of(self, token: str) -> int:
+        if token in self._known:
+            return self._known[token]
         if self._bc is not None:  # the driver already holds the (bounded) vocabulary
             _, toks, ids = self._bc.value
             if self._index is None:
@@ -149,17 +130,24 @@ def _lookup_by_join(df: DataFrame, vocab_table: DataFrame, src_col: str, out_col
             .drop("_row", "_items"))
 
 
-def _vocab_arrays(bc):
-    """Worker copy: tokens and ids in id order, and reversed for token lookups (so that a
-    token listed twice resolves to its last id)."""
+def _vocab_index(bc):
+    """Worker copy, built once per worker: token -> id (a token listed twice resolves to its
+    last id) and id -> token."""
     name, toks, ids = bc.value
     key = ("vocab", name)
     if key not in _WORKER_CACHE:
-        t, i = pa.array(toks, pa.string()), pa.array(ids, pa.int32())
-        _WORKER_CACHE[key] = (t, i, pa.array(toks[::-1], pa.string()), pa.array(ids[::-1], pa.int32()))
+        _WORKER_CACHE[key] = (dict(zip(toks, ids)), dict(zip(reversed(ids), reversed(toks))))
     return _WORKER_CACHE[key]
 
 
+def _looked_up(values: pa.Array, index: dict, kind: pa.DataType, default=None) -> pa.Array:
+    """Each value's entry in the index; only a batch's distinct values are looked up."""
+    coded = pc.dictionary_encode(values)
+    got = pa.array([index.get(v, default) for v in coded.dictionary.to_pylist()], kind)
+    out = pc.take(got, coded.indices)
+    return pc.fill_null(out, pa.scalar(default, kind)) if default is not None else out
+
+
 def _rebuild_list(orig: pa.Array, values: pa.Array) -> pa.Array:
     lengths = pc.fill_null(pc.list_value_length(orig), 0).to_numpy(zero_copy_only=False)
     offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
@@ -178,11 +166,10 @@ def tokens_to_ids(df: DataFrame, vocab: Vocabulary, tokens_col: str = "tokens",
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
 
     def lookup(batches):
-        _, _, toks_rev, ids_rev = _vocab_arrays(bc)
+        index, _ = _vocab_index(bc)
         for rb in batches:
             col = rb.column(tokens_col)
-            idx = pc.index_in(col.flatten(), value_set=toks_rev)
-            got = pc.fill_null(pc.take(ids_rev, idx), pa.scalar(unk_id, pa.int32()))
+            got = _looked_up(col.flatten(), index, pa.int32(), unk_id)
             yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [_rebuild_list(col, got)],
                                              names=keep + [out_col])
 
@@ -199,11 +186,11 @@ def ids_to_tokens(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out_co
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.StringType()))])
 
     def lookup(batches):
-        toks, ids, _, _ = _vocab_arrays(bc)
+        _, back = _vocab_index(bc)
         for rb in batches:
             col = rb.column(ids_col)
-            pos = pc.index_in(pc.cast(col.flatten(), pa.int32()), value_set=ids)
-            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [_rebuild_list(col, pc.take(toks, pos))],
+            toks = _looked_up(pc.cast(col.flatten(), pa.int32()), back, pa.string())
+            yield pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [_rebuild_list(col, toks)],
                                              names=keep + [out_col])
 
     return df.mapInArrow(lookup, schema)

@@ -218,7 +218,8 @@ def flatten_vectors(spark, sf_dir):
 
 def vectors_by_token(spark, sf_dir):
     long = E.token_vectors_long(_text_embeddings(spark, sf_dir), "article_id")
-    return E.vectors_by_token(long, "article_id").select("article_id", "token", "first_pos", "n_vectors")
+    by = E.vectors_by_token(long, "article_id")
+    return by.select("article_id", "token", "first_pos", "n_vectors", _vec_sum(F.flatten("vectors")).alias(VEC_SUM))
 
 
 def first_vector_per_token(spark, sf_dir):

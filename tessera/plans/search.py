@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.articles import drop_empty_articles
-from ..operators.embed import LookupEncoder, embed_tokens, first_vector_per_token, word_tokens
-from ..operators.search import nearest_articles
+from ..operators.embed import LookupEncoder, embed_tokens, first_vector_per_token, token_vectors, word_tokens
+from ..operators.search import mean_best_distance, min_distance_long, nearest_articles, ranked_order, topk_closest
 from ..session import read_table
 from ..sources.derived import articles_from_long, text_articles, text_queries, vector_search_inputs
 
@@ -42,10 +42,20 @@ def search_texts(articles: DataFrame, queries: DataFrame, encoder: LookupEncoder
     The article side carries only token ids; the encoder's gather runs inside the scoring
     task, so one Arrow round trip per batch and no vectors materialised as rows.
     """
-    encoder.broadcast(articles.sparkSession)
     arts = drop_empty_articles(articles, "text").select(
         "article_id", encoder.token_ids(word_tokens(F.col("text"), SEQ_LENGTH)).alias("tok_ids"))
-    return nearest_articles(arts, query_vectors(queries, encoder), k=k, vecs_col="tok_ids", encoder=encoder)
+    return nearest_by_token_ids(arts, query_vectors(queries, encoder), encoder, k)
+
+
+def nearest_by_token_ids(articles: DataFrame, query_vecs: DataFrame, encoder: LookupEncoder, k: int) -> DataFrame:
+    """Top-k for articles given as token ids ``(article_id, tok_ids)``: gathered in the scoring
+    task from a broadcast table, or, for a table beyond the bound, joined to it and scored
+    as long rows. Both give the same rows."""
+    if encoder.fits:
+        encoder.broadcast(articles.sparkSession)
+        return nearest_articles(articles, query_vecs, k=k, vecs_col="tok_ids", encoder=encoder)
+    minima = min_distance_long(token_vectors(articles, encoder, "article_id"), query_vecs)
+    return ranked_order(topk_closest(mean_best_distance(minima), k))
 
 
 def search_articles(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:

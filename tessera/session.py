@@ -100,7 +100,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new, unique path under the shared checkpoint folder (never reused)."""
     root = checkpoint_root(spark)
-    return f"{root}/tessera-{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/tessera-{tag}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list = []
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Deletes every scratch path that this driver has handed out; returns how many there were.
+
+    Results are read lazily from their scratch tables, so call it when they have been used.
+    """
+    n = 0
+    while _SCRATCH:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

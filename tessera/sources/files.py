@@ -23,6 +23,7 @@ ARTICLE_SCHEMA = T.StructType([
     T.StructField("body_text", TEXT_ENTRY),
 ])
 
+# The metadata columns that are read
 METADATA_COLUMNS = ["title", "abstract", "authors", "doi", "publish_time"]
 
 # The strings pandas.read_csv reads as missing by default
@@ -32,29 +33,35 @@ PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Add ``_file``, ``_block``, ``_row``: sorting by them gives the order rows have in the files.
+    """Add the ``FILE_ORDER`` columns: sorting by them gives the order rows have in the files.
 
     Within one split rows are read in file order, so the increasing row id orders them; the
     file path and split start order the splits.
     """
-    return df.select("*", F.col("_metadata.file_path").alias("_file"),
+    return df.select("*", F.length("_metadata.file_path").alias("_file_length"), F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.monotonically_increasing_id().alias("_row"))
 
 
-FILE_ORDER = ["_file", "_block", "_row"]
+# part numbers of any width sort as numbers: shorter paths come first
+FILE_ORDER = ["_file_length", "_file", "_block", "_row"]
 
 
-def scan_article_json(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "*.json") -> DataFrame:
+def scan_article_json(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "*.json",
+                      mode: str = "FAILFAST") -> DataFrame:
     """Every ``*.json`` below ``root`` (recursive), one article per file, explicit schema.
 
-    The schema prunes nested fields at the scan; no inference pass over the corpus.
+    The schema prunes nested fields at the scan; no inference pass over the corpus. A
+    malformed file is an error; with ``mode="PERMISSIVE"`` it becomes a row whose
+    ``_corrupt_record`` holds its text (null on good rows), never an empty article unseen.
     """
-    return (spark.read.schema(ARTICLE_SCHEMA)
+    schema = ARTICLE_SCHEMA if mode == "FAILFAST" else T.StructType(
+        ARTICLE_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
+    return (spark.read.schema(schema)
             .option("multiLine", multi_line)
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", glob)
-            .option("mode", "PERMISSIVE")
+            .option("mode", mode)
             .json(root)
             .select("*", F.col("_metadata.file_path").alias("file_path"),
                     F.col("_metadata.file_name").alias("document_name")))
@@ -76,13 +83,16 @@ def pandas_na_to_null(c: str):
     return F.when(F.col(c).isin(PANDAS_NA_VALUES), F.lit(None)).otherwise(F.col(c))
 
 
-def scan_metadata_csv(spark: SparkSession, path: str, columns: list[str] = METADATA_COLUMNS) -> DataFrame:
+def scan_metadata_csv(spark: SparkSession, path: str, columns: list[str] = METADATA_COLUMNS,
+                      mode: str = "FAILFAST") -> DataFrame:
     """Header CSV, only the named columns (pruned at the scan), all as text, pandas null rules.
 
+    Malformed rows are an error unless ``mode`` says otherwise.
+
     Adds the file-order columns so that "first row" keeps its meaning downstream.
     """
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", mode).csv(path))
     df = with_file_order(df.select(*columns))
     return df.select(*[pandas_na_to_null(c).alias(c) for c in columns], *FILE_ORDER)
 

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.articles import article_record
-from ..operators.search import article_query_distances, ranked_order, topk_closest
+from ..operators.embed import token_vectors
+from ..operators.search import (article_query_distances, mean_best_distance, min_distance_long, ranked_order,
+                                topk_closest)
 from ..sources.files import ARTICLE_SCHEMA
 
 STATE_COLS = ["query_id", "article_id", "distance"]
@@ -91,8 +93,9 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
     Returns the current result ``(query_id, rank, article_id, distance)``.
     """
     if encoder is not None:
-        encoder.broadcast(spark)
         schema = TOKEN_ID_ARTICLES
+        if encoder.fits:
+            encoder.broadcast(spark)
 
     versions = _versions(spark, state_dir)  # one listing per run; batches then add theirs
     if not versions and _has_commits(spark, checkpoint_dir):
@@ -100,7 +103,11 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
 
     def merge(batch_df: DataFrame, batch_id: int) -> None:
         vecs_col = "tok_ids" if encoder is not None else "vecs"
-        best = topk_closest(article_query_distances(batch_df, queries, k=k, vecs_col=vecs_col, encoder=encoder), k)
+        if encoder is not None and not encoder.fits:  # the table is joined, not broadcast
+            near = mean_best_distance(min_distance_long(token_vectors(batch_df, encoder, "article_id"), queries))
+        else:
+            near = article_query_distances(batch_df, queries, k=k, vecs_col=vecs_col, encoder=encoder)
+        best = topk_closest(near, k)
         earlier = [v for v in versions if v < batch_id]
         prev = _state_version(spark, state_dir, max(earlier)) if earlier else None
         out = merge_topk(prev, best, k)
@@ -121,10 +128,11 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
 
 
 def stream_articles(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
-                    glob: str = "*.json", multi_line: bool = True, max_files_per_trigger: int = 1000) -> DataFrame:
+                    glob: str = "*.json", multi_line: bool = True, max_files_per_trigger: int = 1000,
+                    mode: str = "FAILFAST") -> DataFrame:
     """Read articles as they arrive (in any sub-folder), build the article record, append to a
-    Parquet table."""
-    stream = (spark.readStream.schema(ARTICLE_SCHEMA).option("multiLine", multi_line)
+    Parquet table. A malformed file stops the stream (its batch is not counted as done)."""
+    stream = (spark.readStream.schema(ARTICLE_SCHEMA).option("mode", mode).option("multiLine", multi_line)
               .option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
     q = (article_record(stream).writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())

@@ -151,3 +151,53 @@ def test_unset_folder_is_an_error_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         checkpoint_root(Session())
+
+
+def test_flagship_is_the_same_without_a_broadcast_table(spark, monkeypatch):
+    from tessera.plans import search as P
+    want = sorted(map(tuple, P.search_articles(spark, SF).collect()))
+    monkeypatch.setattr(E.LookupEncoder.__init__, "__defaults__", ("embedding", "vec_id", 1))
+    enc = P.lookup_encoder(spark, SF)
+    assert not enc.fits
+    assert sorted(map(tuple, P.search_articles(spark, SF).collect())) == want
+
+
+def test_joined_vectors_equal_gathered_ones(spark):
+    from tessera.plans import search as P
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["c"])], "k long, tokens array<string>")
+    got = [{r.k: r.vecs for r in E.embed_tokens(df, E.LookupEncoder(table, max_bytes=b)).collect()} for b in (1, 1 << 28)]
+    assert got[0] == got[1] and len(got[0][1]) == 3 and got[0][2] == []
+    assert P.K == 10
+
+
+def test_vocabulary_gives_the_same_ids_at_every_size(spark):
+    from tessera.operators.tokens import Vocabulary, ids_to_tokens, tokens_to_ids
+    words = spark.createDataFrame([(w,) for w in ["b", "a", "é", "z"]], "token string")
+    df = spark.createDataFrame([(1, ["z", "nope", "a"]), (2, [])], "k long, tokens array<string>")
+    for bound in (2, 100):
+        vocab = Vocabulary.from_words(words, ["[PAD]", "[UNK]"], max_entries=bound)
+        ided = tokens_to_ids(df, vocab)
+        assert {r.k: r.input_ids for r in ided.collect()} == {1: [4, 1, 2], 2: []}
+        assert {r.k: r.back for r in ids_to_tokens(ided, vocab, "input_ids", "back").collect()} == {1: ["z", "[UNK]", "a"], 2: []}
+
+
+def test_malformed_articles_are_never_silent(spark, tmp_path):
+    from tessera.sources.files import scan_article_json
+    (tmp_path / "bad.json").write_text('{"paper_id": "x", "abstract": [')
+    (tmp_path / "good.json").write_text('{"paper_id": "y"}')
+    with pytest.raises(Exception):
+        scan_article_json(spark, str(tmp_path)).collect()
+    rows = scan_article_json(spark, str(tmp_path), mode="PERMISSIVE").cache().collect()
+    assert {r.document_name: r._corrupt_record is not None for r in rows} == {"bad.json": True, "good.json": False}
+
+
+def test_scratch_is_discarded(spark):
+    from tessera.session import discard_scratch
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(_local(path))
+    kept = _local(path)
+    from tessera import session
+    session._SCRATCH[:] = [path]
+    assert discard_scratch(spark) == 1 and not os.path.exists(kept)
