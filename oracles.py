@@ -213,6 +213,9 @@ SELECT paper_id, CAST(len(story) AS INTEGER) AS n_story_lines, CAST(len(summary)
     "count_documents": "WITH " + _STORIES + "SELECT count(*) AS n_documents FROM ss WHERE len(story) > 0",
     "scan_story_files": "WITH " + _STORIES +
     "SELECT conv_id, CAST(len(story) AS INTEGER) AS n_story, CAST(len(summary) AS INTEGER) AS n_summary FROM ss",
+    "scan_story_folder": "WITH " + _STORIES + f"""
+SELECT CAST(len(story) AS INTEGER) AS n_story, CAST(len(summary) AS INTEGER) AS n_summary,
+       md5({_join('story', _NL)}) AS story_md5 FROM ss""",
     "normalize_whitespace": f"SELECT doc_id, regexp_replace({_strip('text')}, '{_WS}+', ' ', 'g') AS text FROM documents",
     "strip_text": f"SELECT conv_id, turn, {_strip('text')} AS text FROM conversations",
     "detokenize": f"SELECT doc_id, replace({_join(_pieces(_wordsf('text')), chr(39) + ' ' + chr(39))}, ' ##', '') AS text "
@@ -512,6 +515,8 @@ def oracle_sql() -> dict[str, str]:
     out.update(MODEL_SQL)
     out.update(SUMMARY_SQL)
     out["wordpiece_tokenize"] = WORDPIECE_SQL
+    out["search_model"] = SEARCH_ARTICLES
+    out["scan_article_files"] = TEXT_SQL["scan_article_json"]
     out.update({
         "running_topk": SEARCH_VECTORS,
         "stream_resume": SEARCH_VECTORS,

@@ -349,13 +349,17 @@ def _long_batch(art: np.ndarray, vec: pa.Array, qp: dict):
     """Per-batch minimum per (article, query token) over the article's rows in this batch."""
     if len(art) == 0:
         return None
-    Q = qp["Qu"]
-    order = np.argsort(art, kind="stable")
-    art = art[order]
     lengths = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
     if lengths.min() != qp["dim"] or lengths.max() != qp["dim"]:
         raise ValueError(f"token vectors must have {qp['dim']} components")
-    X = _to_micro(vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, qp["dim"]))[order]
+    return _long_minima(art, _to_micro(vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, qp["dim"])), qp)
+
+
+def _long_minima(art: np.ndarray, X: np.ndarray, qp: dict) -> pa.RecordBatch:
+    """Minimum per (article, query token) over token vectors in micro-units."""
+    Q = qp["Qu"]
+    order = np.argsort(art, kind="stable")
+    art, X = art[order], X[order]
     starts = np.flatnonzero(np.r_[True, art[1:] != art[:-1]])
     G, rest = _partial_sq_dist(X, Q)
     m = np.minimum.reduceat(G, starts, axis=0) + rest[None, :]
@@ -368,6 +372,47 @@ def _long_batch(art: np.ndarray, vec: pa.Array, qp: dict):
         names=["query_id", "tok_no", "article_id", "p"])
 
 
+def _combined(parts: list, spark) -> DataFrame:
+    """Partial minima of all blocks, combined by a ``min`` aggregate (partial, then final)."""
+    if not parts:
+        return spark.createDataFrame([], TOKEN_SCHEMA).drop("nearest_pos")
+    out = parts[0]
+    for o in parts[1:]:
+        out = out.unionByName(o)
+    return (out.groupBy("query_id", "tok_no", "article_id")
+            .agg((F.min("p").cast("double") / PICO).alias("min_distance")))
+
+
+def min_distance_model(inputs: DataFrame, queries: DataFrame, encoder, id_col: str = "article_id",
+                       max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
+    """Like ``min_distance_long`` for model input rows (``input_ids``, ``input_mask``,
+    ``input_type_ids``; an article may have several): the encoder runs inside the scoring
+    task on micro-batches, so its vectors never become JVM rows."""
+    from .embed import worker_model
+    src = inputs.select(F.col(id_col).cast("long").alias("article_id"), "input_ids", "input_mask", "input_type_ids")
+    make, key, size, typed = encoder.make_predict_fn, encoder.key, encoder.batch_size, encoder.with_types
+    parts = []
+    bcs = list(_broadcast_blocks(queries, max_block_bytes))
+    if len(bcs) > 1:
+        src = _written(src, "inputs")
+    for bc in bcs:
+
+        def kernel(batches, bc=bc):
+            payload, fn = bc.value, worker_model(key, make)
+            for rb in batches:
+                art = rb.column(0).to_numpy(zero_copy_only=False)
+                mats = [np.stack([np.asarray(r, np.int32) for r in rb.column(c).to_pylist()]) for c in (1, 2, 3)] if len(art) else []
+                for s in range(0, len(art), size):
+                    ids, mask, types = (m[s:s + size] for m in mats)
+                    vecs = np.asarray(fn(ids, mask, types) if typed else fn(ids, mask), dtype=np.float32)
+                    real = mask.astype(bool)
+                    if real.any():
+                        yield _long_minima(np.repeat(art[s:s + size], real.sum(axis=1)), _to_micro(vecs[real]), payload)
+
+        parts.append(src.mapInArrow(kernel, LONG_SCHEMA))
+    return _combined(parts, inputs.sparkSession)
+
+
 def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "article_id", vec_col: str = "vec",
                       max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
     """``(query_id, tok_no, article_id, min_distance)`` from a long token table (one row per
@@ -395,10 +440,4 @@ def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "arti
                         yield out
 
         outs.append(src.mapInArrow(kernel, LONG_SCHEMA))
-    if not outs:
-        return tokens.sparkSession.createDataFrame([], TOKEN_SCHEMA).drop("nearest_pos")
-    parts = outs[0]
-    for o in outs[1:]:
-        parts = parts.unionByName(o)
-    return (parts.groupBy("query_id", "tok_no", "article_id")
-            .agg((F.min("p").cast("double") / PICO).alias("min_distance")))
+    return _combined(outs, tokens.sparkSession)

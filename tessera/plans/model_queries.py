@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as AR
 from ..functions.vectors import l2_distance_exact, micro_units, round_vector
 from ..operators import embed as E
+from ..operators.articles import drop_empty_articles
 from ..operators import hypotheses as H
 from ..operators import search as SR
 from ..operators import stories as ST
@@ -183,18 +184,17 @@ def embed_tokens(spark, sf_dir):
     return _vector_checksum(_text_embeddings(spark, sf_dir), "article_id", "vecs")
 
 
-def micro_batch(spark, sf_dir):
-    """Same vectors through the generic batch-inference path (micro-batches of 32)."""
+def _windowed_inputs(spark, sf_dir, arts):
+    """Model input rows of whole texts, one per window, and a model over the lookup table."""
     enc = P.lookup_encoder(spark, sf_dir)
     n = enc.n_rows
     W = enc.broadcast(spark)
-    arts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
     # one input row per window of the text; the windows' positions keep their order
     windows = arts.select("article_id", F.posexplode(E.word_windows(F.col("text"), P.SEQ_LENGTH)).alias("win", "w"))
     toks = windows.select("article_id", "win", AR.add_special_tokens(
         F.array_remove(F.split("w", " ", -1), "")).alias("tokens"))
     ids = toks.select("article_id", "win", AR.truncate_or_pad(E.lookup_token_ids(F.col("tokens"), n), 128, 0).alias("input_ids"),
-                      AR.real_mask(F.col("tokens"), 128).alias("input_mask"))
+                      AR.real_mask(F.col("tokens"), 128).alias("input_mask"), AR.zeros(128).alias("input_type_ids"))
 
     def make_predict_fn(W=W):
         table = W.value
@@ -203,8 +203,22 @@ def micro_batch(spark, sf_dir):
             return table[input_ids + input_type_ids]
         return predict
 
-    ids = ids.withColumn("input_type_ids", AR.zeros(128))
-    out = E.embed_model_inputs(ids, E.BatchEncoder(make_predict_fn, "lookup-table", batch_size=32, with_types=True))
+    return ids, E.BatchEncoder(make_predict_fn, "lookup-table", batch_size=32, with_types=True)
+
+
+def search_model(spark, sf_dir):
+    """The search with a model encoder: input rows, inference and scoring in one Arrow step."""
+    inputs, model = _windowed_inputs(spark, sf_dir, drop_empty_articles(P.text_articles(spark, sf_dir), "text"))
+    queries = P.query_vectors(P.text_queries(spark, sf_dir), P.lookup_encoder(spark, sf_dir))
+    minima = SR.min_distance_model(inputs, queries, model)
+    return SR.ranked_order(SR.topk_closest(SR.mean_best_distance(minima), P.K))
+
+
+def micro_batch(spark, sf_dir):
+    """Same vectors through the generic batch-inference path (micro-batches of 32)."""
+    arts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
+    ids, model = _windowed_inputs(spark, sf_dir, arts)
+    out = E.embed_model_inputs(ids, model)
     return _vector_checksum(out.withColumn("article_id", F.col("article_id") * WINDOWS + F.col("win")), "article_id", "vecs")
 
 
@@ -345,6 +359,7 @@ QUERIES = {
     "wordpiece_tokenize": wordpiece_tokenize,
     "embed_tokens": embed_tokens,
     "micro_batch": micro_batch,
+    "search_model": search_model,
     "flatten_vectors": flatten_vectors,
     "vectors_by_token": vectors_by_token,
     "first_vector_per_token": first_vector_per_token,

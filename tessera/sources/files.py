@@ -115,7 +115,7 @@ def scan_story_files(spark: SparkSession, folder: str, partitioned: bool = False
     root = folder.rstrip("/")
     df = spark.read.text(folder, wholetext=True)
     parent = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    norm_root = F.regexp_replace(F.lit(root), "^file:", "")
+    norm_root = F.regexp_replace(F.lit(root), "^file:(//(?=/))?", "")
     extra = [c for c in df.columns if c != "value"]  # partition columns, if any
     df = df.select(*extra, F.col("_metadata.file_name").alias("document_name"),
                    F.col("_metadata.file_path").alias("file_path"),
@@ -123,7 +123,7 @@ def scan_story_files(spark: SparkSession, folder: str, partitioned: bool = False
                    parent.alias("_parent"))
     df = df.filter(~F.col("document_name").contains("summary"))
     if not partitioned:
-        df = df.filter(F.regexp_replace("_parent", "^file:", "") == norm_root)
+        df = df.filter(F.regexp_replace("_parent", "^file:(//(?=/))?", "") == norm_root)
     return df.drop("_parent")
 
 
