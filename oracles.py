@@ -443,7 +443,12 @@ SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, finished, {_HTEXT} AS
 SELECT doc_id, beam, cand, CAST((beam * 1000 + token_id) // 1000 AS INTEGER) AS beam_rec,
        CAST((beam * 1000 + token_id) % 1000 AS INTEGER) AS token_rec FROM nb""",
 }
-MODEL_SQL["embed_query"] = MODEL_SQL["first_vector_per_token"]
+MODEL_SQL["embed_query"] = "WITH " + _EMB + f""",
+qw AS (SELECT item_id AS query_id, {_WORDS.format(t='text')} AS w FROM benchmark),
+qd AS (SELECT query_id, flatten({_WINDOWS.format(w='w')}) AS toks FROM qw),
+qe AS (SELECT query_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM qd)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, tok AS token, CAST(rs.s AS BIGINT) AS vec_sum
+FROM qe JOIN rs ON rs.r = {_BUCKET.format(tok='tok')}"""
 
 # --- summaries (stand-in lead generator: hypothesis j = the j-th encoded line, j < 3) ------
 

@@ -241,6 +241,13 @@ def first_vector_per_token(spark, sf_dir):
     return q.select("query_id", "tok_no", "token", _vec_sum(F.col("vec")).alias(VEC_SUM))
 
 
+def embed_query(spark, sf_dir):
+    """Every token vector of a query in order, ``[CLS]`` and ``[SEP]`` included."""
+    e = P.embed_texts(P.text_queries(spark, sf_dir), P.lookup_encoder(spark, sf_dir), "query_id")
+    long = E.token_vectors_long(e, "query_id")
+    return long.select("query_id", "pos", "token", _vec_sum(F.col("vec")).alias(VEC_SUM))
+
+
 def nearest_token_distance(spark, sf_dir):
     art_long, queries = D.vector_search_inputs(spark, sf_dir)
     return SR.min_distance_per_query_token(D.articles_from_long(art_long), queries)
@@ -269,6 +276,11 @@ def topk_closest(spark, sf_dir):
     return SR.ranked_order(SR.topk_closest(SR.article_query_distances(D.articles_from_long(art_long), queries, k=10), 10))
 
 
+def ranked_order(spark, sf_dir):
+    """Ranks over the averaged minima of a whole (query, article) table."""
+    return SR.ranked_order(SR.topk_closest(_mean_best(spark, sf_dir), P.K))
+
+
 def selected_articles(spark, sf_dir):
     top = P.search_articles(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "source")
@@ -363,12 +375,12 @@ QUERIES = {
     "flatten_vectors": flatten_vectors,
     "vectors_by_token": vectors_by_token,
     "first_vector_per_token": first_vector_per_token,
-    "embed_query": first_vector_per_token,
+    "embed_query": embed_query,
     "nearest_token_distance": nearest_token_distance,
     "min_distance_per_query_token": min_distance_per_query_token,
     "mean_best_distance": mean_best_distance,
     "topk_closest": topk_closest,
-    "ranked_order": P.search_vectors,
+    "ranked_order": ranked_order,
     "selected_articles": selected_articles,
     "l2_distance": l2_distance,
     "round_vector": round_vector_rows,
