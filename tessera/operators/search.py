@@ -227,7 +227,7 @@ def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     return [keyed.filter(F.col("_blk") == b).drop("_blk") for b in range(blocks)]
 
 
-def _written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back (cuts lineage, so
     several passes over it do not redo the work upstream)."""
     from ..session import scratch_path
@@ -270,7 +270,7 @@ def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | No
     outs = []
     bcs = list(_broadcast_blocks(queries, max_block_bytes))
     if len(bcs) > 1:  # one pass per block: read the prepared article side from storage
-        art = _written(art, "articles")
+        art = written(art, "articles")
     for bc in bcs:
 
         def kernel(batches, bc=bc, k=k, mode=mode, gather=gather, cap=BATCH_CELLS):
@@ -394,7 +394,7 @@ def min_distance_model(inputs: DataFrame, queries: DataFrame, encoder, id_col: s
     parts = []
     bcs = list(_broadcast_blocks(queries, max_block_bytes))
     if len(bcs) > 1:
-        src = _written(src, "inputs")
+        src = written(src, "inputs")
     for bc in bcs:
 
         def kernel(batches, bc=bc):
@@ -426,7 +426,7 @@ def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "arti
     outs = []
     bcs = list(_broadcast_blocks(queries, max_block_bytes))
     if len(bcs) > 1:
-        src = _written(src, "tokens")
+        src = written(src, "tokens")
     for bc in bcs:
 
         def kernel(batches, bc=bc, cap=BATCH_CELLS):

@@ -8,6 +8,7 @@ from ..functions.arrays import CLS, EOS, SEP
 from ..operators import stories as ST
 from ..operators.articles import drop_empty_articles
 from ..operators.embed import word_tokens
+from ..operators.search import written
 from ..operators import summaries as SM
 from ..operators import tokens as TK
 from ..session import read_table, scratch_path
@@ -67,16 +68,17 @@ def _summaries(spark, sf_dir):
     top = P.search_articles(spark, sf_dir)
     chosen = top.groupBy("article_id").agg(F.min("rank").alias("best_rank"))
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text", "source")
-    sel = docs.join(chosen, "article_id", "left_semi")  # the chosen set is at most k per query
+    # at most k per query: written once, so that texts and titles come from one corpus scan
+    sel = written(docs.join(chosen, "article_id"), "chosen")
     stories = ST.process_story(sel.select("article_id", F.col("text").alias("raw_story")))
     vocab = D.corpus_vocabulary(spark, sf_dir)
     enc = TK.collate_rows(stories, vocab, 512, "article_id")
     gen = SM.lead_generator(vocab.id_of(CLS), vocab.id_of(SEP), vocab.id_of(EOS))
     nbest = SM.summarize(enc, gen, name="lead", key_col="article_id", batch_size=1)
     best = SM.best_summary(nbest, vocab, "article_id")
-    meta = docs.select("article_id", F.col("article_id").cast("string").alias("paper_id"),
-                       F.col("source").alias("title"))
-    return SM.attach_summaries(best, meta, "article_id").join(chosen, "article_id")
+    meta = sel.select("article_id", F.col("article_id").cast("string").alias("paper_id"),
+                      F.col("source").alias("title"), "best_rank")
+    return SM.attach_summaries(best, meta, "article_id")
 
 
 def summarize(spark, sf_dir):
