@@ -289,23 +289,29 @@ dtok AS (SELECT article_id, flatten(wins) AS toks FROM dwin),
 dex AS (SELECT article_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM dtok)
 """
 
-_EMBED_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + f"""
-SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum((pos + 1) * rs.s) AS BIGINT) AS vec_sum
-FROM dex JOIN rs ON rs.r = {_BUCKET.format(tok='tok')} GROUP BY article_id""")
+# vector sum of each distinct token (needs _EMB and a relation of tokens)
+_TOKEN_SUMS = """
+tb AS MATERIALIZED (SELECT tok, {bucket} AS r FROM (SELECT DISTINCT tok FROM {source})),
+tv AS MATERIALIZED (SELECT tok, s FROM tb JOIN rs ON rs.r = tb.r)
+"""
+
+_EMBED_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + "," + _TOKEN_SUMS.format(bucket=_BUCKET.format(tok="tok"), source="dex") + """
+SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum((pos + 1) * tv.s) AS BIGINT) AS vec_sum
+FROM dex JOIN tv ON tv.tok = dex.tok GROUP BY article_id""")
 
 # one row per window: key = article id * 1000000 + number of the window
-_WINDOW_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + f""",
+_WINDOW_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + "," + _TOKEN_SUMS.format(bucket=_BUCKET.format(tok="tok"), source="dex") + """,
 wx AS (SELECT article_id, unnest(wins) AS toks, unnest(generate_series(0, len(wins) - 1)) AS win FROM dwin),
 we AS (SELECT article_id * 1000000 + win AS article_id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS pos FROM wx)
-SELECT CAST(article_id AS BIGINT) AS article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum((pos + 1) * rs.s) AS BIGINT) AS vec_sum
-FROM we JOIN rs ON rs.r = {_BUCKET.format(tok='tok')} GROUP BY article_id""")
+SELECT CAST(article_id AS BIGINT) AS article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum((pos + 1) * tv.s) AS BIGINT) AS vec_sum
+FROM we JOIN tv ON tv.tok = we.tok GROUP BY article_id""")
 
 # tokens in order of first appearance, each token's vectors in order of position
-_FLAT_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + f""",
+_FLAT_SUM = ("WITH " + _EMB + "," + _DOC_TOKS + "," + _TOKEN_SUMS.format(bucket=_BUCKET.format(tok="tok"), source="dex") + """,
 df AS (SELECT article_id, tok, pos, min(pos) OVER (PARTITION BY article_id, tok) AS fp FROM dex),
 dn AS (SELECT article_id, tok, row_number() OVER (PARTITION BY article_id ORDER BY fp, pos) AS k FROM df)
-SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum(k * rs.s) AS BIGINT) AS vec_sum
-FROM dn JOIN rs ON rs.r = {_BUCKET.format(tok='tok')} GROUP BY article_id""")
+SELECT article_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(sum(k * tv.s) AS BIGINT) AS vec_sum
+FROM dn JOIN tv ON tv.tok = dn.tok GROUP BY article_id""")
 
 _NBEST = f"""
 nb0 AS (SELECT doc_id, n_chars, unnest(generate_series(0, len(l) - 1)) AS beam, unnest(l) AS line
@@ -386,10 +392,11 @@ FROM seg LEFT JOIN vocab v ON v.id = seg.id WHERE seg.pos <= 500 GROUP BY seg.co
     "embed_tokens": _EMBED_SUM,
     "micro_batch": _WINDOW_SUM,
     "flatten_vectors": _FLAT_SUM,
-    "vectors_by_token": "WITH " + _EMB + "," + _DOC_TOKS + """
-SELECT article_id, tok AS token, CAST(min(pos) AS INTEGER) AS first_pos, CAST(count(*) AS INTEGER) AS n_vectors,
-       CAST(sum(rs.s) AS BIGINT) AS vec_sum
-FROM dex JOIN rs ON rs.r = """ + _BUCKET.format(tok='tok') + " GROUP BY article_id, tok",
+    "vectors_by_token": "WITH " + _EMB + "," + _DOC_TOKS + "," + _TOKEN_SUMS.format(
+        bucket=_BUCKET.format(tok="tok"), source="dex") + """
+SELECT article_id, dex.tok AS token, CAST(min(pos) AS INTEGER) AS first_pos, CAST(count(*) AS INTEGER) AS n_vectors,
+       CAST(sum(tv.s) AS BIGINT) AS vec_sum
+FROM dex JOIN tv ON tv.tok = dex.tok GROUP BY article_id, dex.tok""",
     "first_vector_per_token": "WITH " + _EMB + f""",
 qw AS (SELECT item_id AS query_id, {_WORDS.format(t='text')} AS w FROM benchmark),
 qd AS (SELECT query_id, flatten({_WINDOWS.format(w='w')}) AS toks FROM qw),
