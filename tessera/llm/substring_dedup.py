@@ -3,7 +3,8 @@
 A byte goes if some ``length``-byte string that covers it also starts earlier (a smaller
 document id, or the same document further up). The work is done in four steps:
 
-1. documents are packed into shards and written to the shared folder;
+1. documents are packed into shards and written to the shared folder; a document whose whole
+   text came up under a smaller id goes entirely, so only its size is packed;
 2. every window of ``length`` bytes picks the smallest hash of the ``GRAM``-byte strings in it.
    Equal windows pick equal hashes, so a window whose hash occurs nowhere else in the corpus
    is proven unique and never enters an array;
@@ -43,35 +44,50 @@ PLACE_MASK = np.uint64((1 << 21) - 1)
 
 # -- 1. shards
 
-def write_shards(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(shard, ids, sizes, blob)``: texts of some documents, compressed, one after another."""
+def whole_copies(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """``(id)`` of documents of at least ``length`` bytes whose text a smaller id has as well:
+    all their windows start earlier there, and whatever repeats theirs repeats the other's."""
+    rows = written(docs.where((F.octet_length(text_col) >= length) & F.col(id_col).isNotNull())
+                   .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("digest")), "digests")
+    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(rows.join(first, "digest").where("id > first").select("id").distinct(), "copies")
+
+
+def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """``(shard, ids, sizes, full, flags, blob)``: texts of some documents, compressed, one after
+    another; ``flags`` has 1 for a null id and 2 for a whole copy, whose text is left out."""
+    copies = whole_copies(docs, id_col, text_col, length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         pack = zstandard.ZstdCompressor(level=3)
-        count, ids, texts, size = TaskContext.get().partitionId() << 31, [], [], 0
+        count, ids, full, flags, texts, size = TaskContext.get().partitionId() << 31, [], [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal count, ids, texts, size
+            nonlocal count, ids, full, flags, texts, size
             order = np.array([LAST if i is None else i for i in ids], np.int64)
-            out = pa.record_batch([pa.array([count], pa.int64()), pa.array([order.tobytes()], pa.binary()),
-                                   pa.array([np.array(list(map(len, texts)), np.int64).tobytes()], pa.binary()),
-                                   pa.array([np.array([i is None for i in ids], np.uint8).tobytes()], pa.binary()),
-                                   pa.array([pack.compress(b"".join(texts))], pa.binary())], ["shard", "ids", "sizes", "nulls", "blob"])
-            count, ids, texts, size = count + 1, [], [], 0
+            parts = [order.tobytes(), np.array(list(map(len, texts)), np.int64).tobytes(), np.array(full, np.int64).tobytes(),
+                     bytes(flags), pack.compress(b"".join(texts))]
+            out = pa.record_batch([pa.array([count], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)],
+                                  ["shard", "ids", "sizes", "full", "flags", "blob"])
+            count, ids, full, flags, texts, size = count + 1, [], [], [], [], 0
             return out
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                if ids and (size + len(text) > SHARD_BYTES or len(ids) >= MAX_DOCS):
+            for i, text, copy in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+                if ids and (size + (0 if copy else len(text)) > SHARD_BYTES or len(ids) >= MAX_DOCS):
                     yield shard()
                 ids.append(i)
-                texts.append(text)
-                size += len(text)
+                full.append(len(text))
+                flags.append((i is None) + 2 * bool(copy))
+                texts.append(b"" if copy else text)
+                size += len(texts[-1])
         if ids:
             yield shard()
 
-    return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                   .mapInArrow(run, "shard long, ids binary, sizes binary, nulls binary, blob binary"), "shards")
+    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+            .join(copies.withColumn("copy", F.lit(True)), "id", "left"))
+    return written(rows.mapInArrow(run, "shard long, ids binary, sizes binary, full binary, flags binary, blob binary"), "shards")
 
 
 class Shard:
@@ -209,12 +225,15 @@ def settle_block(shard: Shard, lo: int, hi: int, hashes: np.ndarray, modes: np.n
     Returns ``(starts to remove, earliest starts, their hashes, their modes)``.
     """
     none = np.empty(0, np.int64)
-    starts, picked, _ = block_windows(shard, lo, hi, length)
+    starts, picked, place = block_windows(shard, lo, hi, length)
     if not len(starts) or not len(hashes):
         return none, none, np.empty(0, np.uint64), none
-    at = np.minimum(np.searchsorted(hashes, picked), len(hashes) - 1)
-    maybe = hashes[at] == picked
-    starts, picked, mode = starts[maybe], picked[maybe], modes[at[maybe]]
+    # one look-up per run of windows that picked the same place
+    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    runs = np.diff(np.append(head, len(place)))
+    at = np.minimum(np.searchsorted(hashes, picked[head]), len(hashes) - 1)
+    maybe = np.repeat(hashes[at] == picked[head], runs)
+    starts, picked, mode = starts[maybe], picked[maybe], np.repeat(modes[at], runs)[maybe]
     if not len(starts):
         return none, none, np.empty(0, np.uint64), none
     # only stretches covered by these windows enter the suffix array, one after another
@@ -236,7 +255,9 @@ def settle_block(shard: Shard, lo: int, hi: int, hashes: np.ndarray, modes: np.n
     for a, b in parts:
         text = shard.text[source[local[a]:local[b - 1] + length]]
         where, classes = window_classes(text, local[a:b] - local[a], length)
-        index = a + np.searchsorted(local[a:b] - local[a], where)
+        number = np.empty(len(text), np.int64)
+        number[local[a:b] - local[a]] = np.arange(a, b)
+        index = number[where]
         heads = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
         oldest = np.minimum.reduceat(age[index], heads)
         is_first = age[index] == np.repeat(oldest, np.diff(np.append(heads, len(index))))
@@ -422,7 +443,8 @@ def cross_shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> tuple:
     """``(shards, gone)``: the packed documents and the windows to remove per shard."""
-    shards = write_shards(docs, id_col, text_col)
+    shards = write_shards(docs, id_col, text_col, length)
+    _let_go(docs)
     hashes = repeated_hashes(shards, length)
     _let_go(docs)
     pieces = settled_pieces(shards, hashes, length)
@@ -456,7 +478,7 @@ def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             for r in _unpacked(batch):
                 yield _finish(r, length, texts)
 
-    joined = shards.join(gone, "shard", "left").select("shard", "ids", "sizes", "nulls", "blob", "rows", "starts", "ns")
+    joined = shards.join(gone, "shard", "left").select("shard", "ids", "sizes", "full", "flags", "blob", "rows", "starts", "ns")
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if texts else "")
     return joined.mapInArrow(run, ddl)
 
@@ -470,14 +492,17 @@ def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
         np.add.at(change, start, 1)
         np.add.at(change, start + np.array(r["ns"], np.int64) + length - 1, -1)
     covered = np.cumsum(change)[:-1] > 0
-    nulls = np.frombuffer(r["nulls"], np.uint8)
+    flags, full = r["flags"], np.frombuffer(r["full"], np.int64).tolist()
     out: list = [[], [], [], [], [], []]
     for i, (lo, hi) in enumerate(zip(shard.begins.tolist(), shard.ends.tolist())):
         hit = covered[lo:hi]
-        n = int(hit.sum())
-        spans = 0 if n == 0 else int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
-        kept = raw[lo:hi] if n == 0 else shard.text[lo:hi][~hit].tobytes()
-        row = (None if nulls[i] else int(shard.ids[i]), hi - lo, n, spans, hashlib.sha256(kept).hexdigest(),
+        if flags[i] & 2:  # a whole copy: one run of removed bytes
+            n, spans, kept = full[i], 1, b""
+        else:
+            n = int(hit.sum())
+            spans = 0 if n == 0 else int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
+            kept = raw[lo:hi] if n == 0 else shard.text[lo:hi][~hit].tobytes()
+        row = (None if flags[i] & 1 else int(shard.ids[i]), full[i], n, spans, hashlib.sha256(kept).hexdigest(),
                kept.decode("utf-8", "ignore") if texts else None)
         for c, v in zip(out, row):
             c.append(v)

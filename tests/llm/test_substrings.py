@@ -136,7 +136,7 @@ def test_tiny_blocks_and_hot_hashes(monkeypatch):
     got = []
     for s in shards:
         g = [(row, a, n) for (sh, row), x in removed.items() if sh == s.shard for a, n in x]
-        r = {"shard": s.shard, "ids": s.ids.tobytes(), "sizes": s.sizes.tobytes(), "nulls": bytes(int(i == substring_dedup.LAST) for i in s.ids),
+        r = {"shard": s.shard, "ids": s.ids.tobytes(), "sizes": s.sizes.tobytes(), "full": s.sizes.tobytes(), "flags": bytes(int(i == substring_dedup.LAST) for i in s.ids),
              "rows": [x[0] for x in g], "starts": [x[1] for x in g], "ns": [x[2] for x in g]}
         import zstandard
         r["blob"] = zstandard.ZstdCompressor().compress(s.text.tobytes())
