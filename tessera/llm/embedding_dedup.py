@@ -19,7 +19,7 @@ from ..operators.ids import sequence_ids
 from .common import written
 from .components import connected_components, local_roots
 
-PASSES, HASH_BITS, WINDOW, BLOCK_ROWS, TILE_ROWS = 10, 48, 24, 4096, 1024
+PASSES, HASH_BITS, WINDOW, BLOCK_ROWS, TILE_ROWS = 10, 48, 24, 4096, 128
 THRESHOLD, SEED = 0.98, 20_011
 
 
