@@ -49,7 +49,8 @@ def whole_copies(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
     all their windows start earlier there, and whatever repeats theirs repeats the other's."""
     rows = written(docs.where((F.octet_length(text_col) >= length) & F.col(id_col).isNotNull())
                    .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("digest")), "digests")
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # one row per repeated text, written: the join below can then split a text of very many copies
+    first = written(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     return written(rows.join(first, "digest").where("id > first").select("id").distinct(), "copies")
 
 
