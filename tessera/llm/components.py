@@ -48,7 +48,9 @@ def _mark(state: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, one row per node: the join below can then split the links of a node that very many
+    # others hang on (in one stage with the aggregate it could not)
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc")
     # each larger neighbour of u is linked to the smallest node around u
     ends = edges.select(F.col("v").alias("u"), F.col("u").alias("big"))
     return _tidy(ends.join(least, "u").select(F.col("big").alias("u"), F.col("m").alias("v")))
