@@ -1,9 +1,10 @@
-"""Near copies among embeddings by sorted projection passes.
+"""Near copies among embeddings by tiled comparison of all pairs within a label.
 
-Every pass puts the vectors in the order of their concatenated random hashes (signs of
-random projections) and compares each with a bounded window of followers; links found and
-verified in any pass are united into components. Inside a component, which may be dense,
-links are then counted exactly, tile by tile, so that the window bounds no vector's links.
+The distinct vectors of a label are dealt into parts; each pair of parts is one cell of work.
+A cell cuts its vectors into blocks along their principal directions, skips pairs of blocks
+that the triangle inequality proves too far apart, and multiplies out all others, so every
+link is found and counted however the vectors lie. Cells return a spanning forest of their
+links, which are united into components, and one count per vector.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ids import sequence_ids
 from .common import written
 from .components import connected_components, local_roots
 
-PASSES, HASH_BITS, WINDOW, BLOCK_ROWS, TILE_ROWS = 10, 48, 24, 4096, 128
-THRESHOLD, SEED = 0.98, 20_011
+#: a label is cut into parts of at least TILE_ROWS vectors, up to PARTS of them; into more only
+#: where a part would have over MAX_TILE_ROWS. Blocks inside a cell have at most BLOCK_ROWS
+TILE_ROWS, PARTS, MAX_TILE_ROWS, BLOCK_ROWS = 128, 12, 32_768, 256
+THRESHOLD = 0.98
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -46,131 +48,134 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _hashed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """One row per vector and pass with the pass's concatenated random hashes as sort key."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                part = batch.take(pa.array(rows))
-                unit = _unit(_matrix(batch.column(1), rows))
-                for p in range(passes):
-                    planes = np.random.default_rng([seed, p, int(size)]).standard_normal((int(size), bits))
-                    key = ((unit @ planes > 0) << np.arange(bits - 1, -1, -1)).sum(axis=1)
-                    n = len(rows)
-                    yield pa.record_batch([pa.array(np.full(n, p, np.int32)), part.column(0), pa.array(np.full(n, size, np.int32)),
-                                           pa.array(key.astype(np.int64)), part.column(2), part.column(1)],
-                                          ["pass", "label", "width", "key", "rep", "vec"])
-
-    kind = classes.schema["label"].dataType.simpleString()
-    return classes.select("label", "vec", "rep").mapInArrow(run, f"pass int, label {kind}, width int, key long, rep long, vec array<double>")
-
-
-def window_links(classes: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = HASH_BITS,
-                 window: int = WINDOW, block: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
-    """Links ``(u, v)`` between ``rep`` ids that connect what the passes found at ``threshold``.
-
-    The sorted rows are numbered and cut into blocks; a block also gets the ``window`` rows
-    before it, so no neighbours are lost at a cut, and returns a spanning forest of its links.
-    """
-    order = ["pass", "label", "width", "key", "rep"]
-    placed = sequence_ids(_hashed(classes, passes, bits, seed), order, "seq")
-    block_no = F.floor(F.col("seq") / block).cast("long")
-    placed = placed.withColumn("block", F.explode(F.when(
-        F.col("seq") % block >= block - window, F.array(block_no, block_no + 1)).otherwise(F.array(block_no))))
-
-    def links(batch):
-        pdf = batch.sort_values("seq", ignore_index=True)
-        rep, found_a, found_b = pdf["rep"].to_numpy(), [], []
-        group = pdf.groupby(["pass", "label", "width"], sort=False).ngroup().to_numpy()
-        cuts = np.flatnonzero(np.diff(group)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(pdf)]):
-            unit = _unit(np.stack(pdf["vec"].iloc[lo:hi].to_numpy()))
-            for w in range(1, min(window, hi - lo - 1) + 1):
-                near = np.flatnonzero((unit[:-w] * unit[w:]).sum(axis=1) >= threshold)
-                found_a.append(near + lo)
-                found_b.append(near + lo + w)
-        import pandas as pd
-        if not found_a:
-            return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
-        root = local_roots(len(rep), np.concatenate(found_a), np.concatenate(found_b))
-        moved = np.flatnonzero(root != np.arange(len(rep)))
-        return pd.DataFrame({"u": rep[moved], "v": rep[root[moved]]})
-
-    return placed.groupBy("block").applyInPandas(links, "u long, v long")
-
-
-def _counted(members: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """``(rep, links)``: for each member of ``(component, rep, copies, vec)`` how many vectors
-    of its component it links with, other copies of itself included. A component of n vectors is cut
-    into n / ``tile`` parts; each pair of parts is one cell of work with at most about two
-    tiles of rows, and a cell returns one number per row."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
-    rows = (members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-            .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))))
-    cell = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
-    rows = rows.select(cell.alias("cell"), "component", (F.col("part") > F.col("other")).alias("second"),
-                       (F.col("part") == F.col("other")).alias("own"), "rep", "copies", "vec")
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", "component", "second")
-
-    def count(cols: list) -> pa.RecordBatch:
-        key, second, own, rep, copies, vecs = cols
-        cuts = np.flatnonzero(np.any(np.diff(key, axis=0) != 0, axis=1)) + 1
-        totals = np.zeros(len(rep), np.int64)
-        for lo, hi in zip([0, *cuts], [*cuts, len(rep)]):
-            unit, mult = _unit(np.stack(vecs[lo:hi])), copies[lo:hi]
-            if own[lo]:
-                near = unit @ unit.T >= threshold
-                np.fill_diagonal(near, False)
-                totals[lo:hi] = near @ mult + mult - 1
+def _blocks(unit: np.ndarray) -> list:
+    """Row numbers in blocks of at most ``BLOCK_ROWS``, halved along the principal direction."""
+    todo, out = [np.arange(len(unit))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BLOCK_ROWS:
+            out.append(rows)
+            continue
+        x = unit[rows] - unit[rows].mean(axis=0)
+        way = x[np.argmax((x * x).sum(axis=1))]
+        for _ in range(3):
+            way = x.T @ (x @ way)
+            way = way / max(np.abs(way).max(), 1e-300)
+        order = np.argsort(x @ way, kind="stable")
+        todo += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
+    return out
+
+
+def _balls(unit: np.ndarray, blocks: list) -> tuple:
+    """Centre and radius of each block."""
+    centres = np.stack([unit[b].mean(axis=0) for b in blocks])
+    return centres, np.array([np.sqrt(((unit[b] - c) ** 2).sum(axis=1).max()) for b, c in zip(blocks, centres)])
+
+
+def cell_links(unit: np.ndarray, copies: np.ndarray, first: int, threshold: float) -> tuple:
+    """``(links, root)``: for each of the rows of ``unit`` how many vectors it links with and its
+    smallest row under these links. Rows from ``first`` on are the second part and are
+    compared with the rows before only; without such rows the first part is compared with itself."""
+    n, own = len(unit), first == len(unit)
+    links = (copies - 1 if own else np.zeros(n)).astype(np.int64)
+    left = _blocks(unit[:first])
+    right = left if own else [b + first for b in _blocks(unit[first:])]
+    (centre_a, radius_a), (centre_b, radius_b) = _balls(unit, left), _balls(unit, right)
+    # unit vectors that link are at most so far apart; single precision may err by so much
+    reach, margin = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6, 1e-7 * (unit.shape[1] + 10)
+    short = unit.astype(np.float32)
+    found, held = [], 0
+    for i, a in enumerate(left):
+        apart = np.sqrt(((centre_b - centre_a[i]) ** 2).sum(axis=1)) - radius_a[i] - radius_b
+        for j in np.flatnonzero(apart <= reach):
+            if own and j < i:
+                continue
+            b = right[j]
+            maybe = short[a] @ short[b].T >= threshold - margin
+            rows, cols = a[maybe.any(axis=1)], b[maybe.any(axis=0)]
+            if not len(rows):
+                continue
+            near = unit[rows] @ unit[cols].T >= threshold
+            if own and i == j:
+                near &= rows[:, None] != cols
+                links[rows] += near @ copies[cols]
             else:
-                at = int(np.searchsorted(second[lo:hi], 1))
-                near = unit[:at] @ unit[at:].T >= threshold
-                totals[lo:lo + at], totals[lo + at:hi] = near @ mult[at:], near.T @ mult[:at]
-        return pa.record_batch([pa.array(rep), pa.array(totals)], ["rep", "links"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            num = [batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(6)]
-            vecs = np.empty(batch.num_rows, object)
-            vecs[:] = [np.asarray(v) for v in batch.column(6).to_pylist()]
-            held.append([np.stack(num[:2], axis=1), *num[2:], vecs])
-            if sum(len(h[1]) for h in held) >= 4 * tile:
-                cols = [np.concatenate(x) for x in zip(*held)]
-                last = np.flatnonzero(np.any(cols[0] != cols[0][-1], axis=1))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                if cut:
-                    yield count([c[:cut] for c in cols])
-                held = [[c[cut:] for c in cols]]
-        if held and len(held[0][1]):
-            yield count([np.concatenate(x) for x in zip(*held)])
-
-    return dealt.mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+                links[rows] += near @ copies[cols]
+                links[cols] += near.T @ copies[rows]
+            x, y = np.nonzero(near)
+            if len(x):
+                root = local_roots(len(rows) + len(cols), x, y + len(rows))
+                both, moved = np.concatenate([rows, cols]), np.flatnonzero(root != np.arange(len(root)))
+                found.append((both[moved], both[root[moved]]))
+                held += len(moved)
+                if held > 16 * n + (1 << 16):
+                    found, held = [_forest(n, found)], 0
+    root = np.arange(n)
+    if found:
+        moved, to = _forest(n, found)
+        root[moved] = to
+    return links, root
+
+
+def _forest(n: int, found: list) -> tuple:
+    root = local_roots(n, *(np.concatenate(x) for x in zip(*found)))
+    moved = np.flatnonzero(root != np.arange(n))
+    return moved, root[moved]
+
+
+def all_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(u, v, links)``: links ``(u, v)`` between ``rep`` ids that connect all vectors of a label
+    with a cosine of at least ``threshold``, and, where ``v`` is null, with how many vectors of
+    one cell ``u`` links, other copies of itself included. Each row goes to as many cells as
+    its label has parts; a cell holds at most about two parts."""
+    rows = classes.withColumn("width", F.size("vec"))
+    n = F.count(F.lit(1))
+    parts = F.greatest(F.least(F.ceil(n / TILE_ROWS), F.lit(PARTS)), F.ceil(n / MAX_TILE_ROWS)).cast("int")
+    sizes = written(rows.groupBy("label", "width").agg(parts.alias("parts")), "label-parts")
+    dealt = (rows.join(sizes, ["label", "width"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+             .select("label", "width", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+                     (F.col("part") > F.col("other")).alias("second"), "rep", "copies", "vec"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        batch = table.select(["second", "rep", "copies", "vec", "low", "high"]).combine_chunks()
+        second = batch.column(0).to_numpy().astype(bool)
+        order = np.argsort(second, kind="stable")
+        rep, copies = (batch.column(k).to_numpy()[order] for k in (1, 2))
+        first = int(len(order) - second.sum())
+        own = batch.column(4)[0].as_py() == batch.column(5)[0].as_py()
+        if not own and first in (0, len(order)):  # the other part is empty
+            rep, links, root = rep[:0], np.empty(0, np.int64), np.empty(0, np.int64)
+        else:
+            links, root = cell_links(_unit(_matrix(batch.column(3).combine_chunks(), order)), copies, first, threshold)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        none = pa.nulls
+        return pa.table({"u": np.concatenate([rep, rep[moved]]),
+                         "v": pa.chunked_array([none(len(rep), pa.int64()), pa.array(rep[root[moved]], pa.int64())]),
+                         "links": pa.chunked_array([pa.array(links, pa.int64()), none(len(moved), pa.int64())])})
+
+    return dealt.groupBy("label", "width", "low", "high").applyInArrow(cell, "u long, v long, links long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                    threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+                    threshold: float = THRESHOLD) -> DataFrame:
     """``(id, n_links, component, kept)`` per row of ``vectors``.
 
-    Only vectors with equal labels (and widths) are compared, by cosine in double precision.
+    Only vectors with equal labels (and widths) are compared, all pairs of them, by cosine in
+    double precision; the work grows with the square of a label's distinct vectors.
     Null labels, null, zero or non-finite vectors have no links and are their own component.
     Repeated rows with one id count as one vector; a null id links with nothing and has a
     null component. Equal vectors are one member with a number of copies until the end. An
     empty table gives an empty result; other columns are ignored.
     """
-    kind = vectors.schema[label_col].dataType.simpleString()
     classes = written(usable_vectors(vectors, id_col, vector_col, label_col), "vectors")
-    found = connected_components(window_links(classes, threshold, passes, window=window))
-    found = written(found, "vector-groups")
-    members = classes.join(found, classes["rep"] == found["node"]).select("component", "rep", "copies", "vec")
-    counts = _counted(members, threshold, TILE_ROWS)
+    links = written(all_links(classes, threshold), "vector-links")
+    found = written(connected_components(links.where("v is not null").select("u", "v")), "vector-groups")
+    counts = links.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     answers = (classes.join(found, classes["rep"] == found["node"], "left").drop("node").join(counts, "rep", "left")
                .select(F.col("label").alias("_label"), F.col("vec").alias("_vec"),
                        F.coalesce("component", "rep").alias("_component"),
                        F.coalesce("links", F.col("copies") - 1).alias("_links")))
-    del kind
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"),
                           F.col(vector_col).cast("array<double>").alias("vec"))
     linked = rows.where("id is not null").join(

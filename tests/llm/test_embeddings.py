@@ -67,3 +67,19 @@ def test_odd_rows(spark):
     rows = [(1, v, 1, "", ""), (1, v, 1, "", ""), (None, v, 1, "", ""), (2, v, 1, "", "")]
     got = sorted(map(tuple, embedding_dedup.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()), key=str)
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False)]
+
+
+def test_dense_topic_in_a_large_label_keeps_all_links(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.standard_normal(64)
+    centre *= np.sqrt(0.95) / np.linalg.norm(centre)
+    m = centre + rng.standard_normal((3000, 64)) * np.sqrt(0.05 / 64)
+    m[2700:] = m[:300] + rng.standard_normal((300, 64)) * np.sqrt(0.03 / 64)  # pairs closer than the topic
+    m = m.astype(np.float32)
+    unit = m.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    assert near.sum() > 3000
+    rows = [(i, v.tolist(), 1, "c", "c") for i, v in enumerate(m)]
+    got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == {i: int(x) for i, x in enumerate(near.sum(axis=1) - 1)}
