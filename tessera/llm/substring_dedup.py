@@ -45,13 +45,14 @@ PLACE_MASK = np.uint64((1 << 21) - 1)
 # -- 1. shards
 
 def whole_copies(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """``(id)`` of documents of at least ``length`` bytes whose text a smaller id has as well:
-    all their windows start earlier there, and whatever repeats theirs repeats the other's."""
+    """``(id, digest)`` of documents of at least ``length`` bytes whose text a smaller id has as
+    well: all their windows start earlier there, and whatever repeats theirs repeats the
+    other's. Other texts of the same id are not meant."""
     rows = written(docs.where((F.octet_length(text_col) >= length) & F.col(id_col).isNotNull())
                    .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("digest")), "digests")
     # one row per repeated text, written: the join below can then split a text of very many copies
     first = written(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
-    return written(rows.join(first, "digest").where("id > first").select("id").distinct(), "copies")
+    return written(rows.join(first, "digest").where("id > first").select("id", "digest").distinct(), "copies")
 
 
 def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
@@ -87,7 +88,8 @@ def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
             yield shard()
 
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .join(copies.withColumn("copy", F.lit(True)), "id", "left"))
+            .withColumn("digest", F.unhex(F.sha2("text", 256)))
+            .join(copies.withColumn("copy", F.lit(True)), ["id", "digest"], "left").select("id", "text", "copy"))
     return written(rows.mapInArrow(run, "shard long, ids binary, sizes binary, full binary, flags binary, blob binary"), "shards")
 
 

@@ -153,3 +153,11 @@ def test_text_is_cut_and_rows_stay(spark):
     assert substring_dedup.remaining(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "q" * 150, "", "", "")] * 2, DOCS)
     assert sorted(r.n_removed for r in substring_dedup.remaining(twice).collect()) == [149, 150]
+
+
+def test_a_copy_does_not_take_other_texts_of_its_id(spark):
+    rnd = random.Random(9)
+    a, b = ("".join(rnd.choices("abcdefgh ", k=400)) for _ in range(2))
+    rows = [(3, a, "", "", ""), (5, a, "", "", ""), (5, b, "", "", ""), (7, b, "", "", "")]
+    got = sorted((r.id, r.n_removed, r.kept) for r in substring_dedup.remaining(spark.createDataFrame(rows, DOCS), texts=True).collect())
+    assert got == [(3, 0, a), (5, 0, b), (5, 400, ""), (7, 400, "")]
