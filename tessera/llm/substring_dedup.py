@@ -52,7 +52,9 @@ def whole_copies(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
                    .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("digest")), "digests")
     # one row per repeated text, written: the join below can then split a text of very many copies
     first = written(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
-    return written(rows.join(first, "digest").where("id > first").select("id", "digest").distinct(), "copies")
+    # also written: a distinct in the join's stage would keep it from being split
+    later = written(rows.join(first, "digest").where("id > first").select("id", "digest"), "later")
+    return written(later.distinct(), "copies")
 
 
 def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
