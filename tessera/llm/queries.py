@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, embedding_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files
+from . import archives, cross_tokenizer, embedding_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files
 from .common import table, tokenizer_path
 
 
@@ -70,6 +70,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remaining(table(spark, sf_dir, "documents"), length=100).withColumnRenamed("id", "doc_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under ``byte_bpe_50k.json`` and ``piece_bpe_32k.model``."""
+    out = cross_tokenizer.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                tokenizer_path("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_html_main_text": op2_html_main_text,
@@ -81,6 +88,7 @@ QUERIES = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
 }
 
 ORACLES = oracles.ORACLES
