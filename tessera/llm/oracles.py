@@ -96,9 +96,16 @@ SELECT d.doc_id, d.n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
 FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id LEFT JOIN heads ON heads.doc_id = d.doc_id
 """
 
+_OP12 = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON g.t = d.t
+"""
+
 ORACLES: dict = {
     "op1_arc_to_warc": _OP1,
     "op7_embedding_near_dedup": _OP7,
     "op8_mixing_sources": _OP8,
     "op10_suffix_array_dedup": _OP10,
+    "op12_exact_dedup": _OP12,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, cross_tokenizer, embedding_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files
+from . import archives, cross_tokenizer, embedding_dedup, exact_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files
 from .common import table, tokenizer_path
 
 
@@ -77,6 +77,11 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal after lower-casing A-Z, and the row of each that stays."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_html_main_text": op2_html_main_text,
@@ -89,6 +94,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 ORACLES = oracles.ORACLES
