@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, cross_tokenizer, embedding_dedup, exact_dedup, mixing, oracles, page_text, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files
+from . import archives, cross_tokenizer, embedding_dedup, exact_dedup, mixing, oracles, page_text, periodic_runs, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files
 from .common import table, tokenizer_path
 
 
@@ -82,6 +82,11 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, repetition planted in one of ten."""
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_html_main_text": op2_html_main_text,
@@ -95,6 +100,7 @@ QUERIES = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = oracles.ORACLES
