@@ -339,7 +339,10 @@ bl AS (SELECT *, (len(alive) > 3 AND len(w) > 3 AND list_contains(list_slice(tri
 fin AS (SELECT *, CASE WHEN blocked THEN -10e20 ELSE score0 END AS score FROM bl),
 tk5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, step ORDER BY score DESC, beam, token_id) AS cand_rank
         FROM fin),
-fi5 AS (SELECT *, (token = '[unused1]' OR step + 1 >= 200) AS finished FROM tk5 WHERE cand_rank <= 5)
+fi5 AS (SELECT *, (token = '[unused1]' OR step + 1 >= 200) AS finished FROM tk5 WHERE cand_rank <= 5),
+shut AS (SELECT doc_id, min(step) AS closing FROM fi5 WHERE cand_rank = 1 AND finished GROUP BY doc_id),
+fi6 AS (SELECT fi5.* REPLACE (finished OR coalesce(step = closing, false) AS finished)
+        FROM fi5 LEFT JOIN shut ON shut.doc_id = fi5.doc_id WHERE closing IS NULL OR step <= closing)
 """
 _HTEXT = ("replace(array_to_string(list_filter(list_concat(alive, [token]), lambda t: t <> '[unused0]'), ' '), "
           "' ##', '')")
@@ -445,7 +448,7 @@ SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, {_HTEXT} AS text FROM
     "rerank_hypotheses": "WITH " + _NBEST + f"""
 SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, finished, {_HTEXT} AS text FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY finished DESC, score DESC, step, cand_rank) AS rk
-  FROM fi5) WHERE rk = 1""",
+  FROM fi6) WHERE rk = 1""",
     "split_flat_index": "WITH " + _NBEST + """
 SELECT doc_id, beam, cand, CAST((beam * 1000 + token_id) // 1000 AS INTEGER) AS beam_rec,
        CAST((beam * 1000 + token_id) % 1000 AS INTEGER) AS token_rec FROM nb""",

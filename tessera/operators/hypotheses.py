@@ -97,17 +97,34 @@ def hypothesis_text(seq: Column, strip_end: bool = False, begin_token: str = "[u
     return detokenize(body)
 
 
+def close_documents(top: DataFrame, finished_col: str = "finished") -> DataFrame:
+    """The end rule over steps, on the ``candidate_topk`` rows of every step.
+
+    A document is closed by the first step whose best candidate (``cand_rank`` 1) is finished: all
+    candidates of that step then count as finished, and later steps never took place. What
+    finished in earlier steps stays. A document that no step closes keeps all its rows.
+    One window over a document's ``beam_size`` rows per step, on the partitioning the
+    top-k has already.
+    """
+    closing = F.min(F.when((F.col("cand_rank") == 1) & F.col(finished_col), F.col("step"))).over(Window.partitionBy("doc_id"))
+    return (top.withColumn("_closing", closing)
+            .filter(F.col("_closing").isNull() | (F.col("step") <= F.col("_closing")))
+            .withColumn(finished_col, F.col(finished_col) | F.coalesce(F.col("step") == F.col("_closing"), F.lit(False)))
+            .drop("_closing"))
+
+
 def rerank_hypotheses(cands: DataFrame, beam_size: int = BEAM_SIZE, min_length: int = MIN_LENGTH,
                       alpha: float = ALPHA, max_length: int = MAX_LENGTH) -> DataFrame:
     """``suppress_early_end`` -> ``candidate_score`` -> ``block_repeated_trigram`` ->
-    ``candidate_topk`` -> ``best_hypothesis``.
+    ``candidate_topk`` -> ``close_documents`` -> ``best_hypothesis``.
 
-    A hypothesis is finished by the end token, or by reaching ``max_length``; a document in
-    which nothing has finished comes back with its best unfinished one and ``finished`` false.
+    A hypothesis is finished by the end token, by reaching ``max_length``, or by standing in the
+    step that closes its document; a document in which nothing has finished comes back with
+    its best unfinished one and ``finished`` false.
     """
     scored = block_repeated_trigram(candidate_score(suppress_early_end(cands, min_length), alpha))
     top = candidate_topk(scored, beam_size).withColumn(
         "finished", (F.col("token") == EOS) | (F.col("step") + 1 >= max_length))
-    best = best_hypothesis(top, keep_unfinished=True)
+    best = best_hypothesis(close_documents(top), keep_unfinished=True)
     return best.select("doc_id", "beam", "cand", "score", "finished",
                        hypothesis_text(F.concat(F.col("alive"), F.array(F.col("token")))).alias("text"))

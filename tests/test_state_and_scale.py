@@ -3,6 +3,8 @@
 import os
 import shutil
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,49 @@ def test_every_document_keeps_a_hypothesis(spark):
     assert got == {1: (0, True), 2: (1, False), 3: (1, True)}
 
 
+def _decoding_loop(rows, beam=3, least=2, most=7, alpha=0.95):
+    """The decoder's loop over the candidates of one document, step by step."""
+    kept = []
+    for step in range(most):
+        here = [r for r in rows if r["step"] == step]
+        if not here:
+            continue
+        for r in here:
+            lp = -1e20 if step < least and r["token"] == "[unused1]" else r["token_logprob"]
+            r["score"] = (r["beam_logprob"] + lp) / ((5.0 + (step + 1)) / 6.0) ** alpha
+        best = sorted(here, key=lambda r: (-r["score"], r["beam"], r["token_id"]))[:beam]
+        done = [r["token"] == "[unused1]" or step + 1 == most for r in best]
+        closed = done[0]
+        kept += [r for r, d in zip(best, done) if d or closed]
+        if closed:
+            return max(kept, key=lambda r: r["score"]), True  # the first of equals
+    return None, False
+
+
+def test_first_closing_step_ends_a_document(spark):
+    rnd = random.Random(4)
+    table = []
+    for doc in range(200):
+        for step in range(rnd.randint(1, 7)):
+            for beam in range(3):
+                for cand in range(2):
+                    token = rnd.choice(["[unused1]", "a", "b", "c"])
+                    table.append((doc, step, beam, cand, token, 2 if token == "[unused1]" else 10 + cand + 2 * beam, ["[unused0]", f"w{beam}{cand}"],
+                                  -rnd.randint(0, 6) / 4, -rnd.randint(0, 8) / 2))
+    names = ["doc_id", "step", "beam", "cand", "token", "token_id", "alive", "beam_logprob", "token_logprob"]
+    table = list({(r[0], r[1], r[2], r[5]): r for r in table}.values())  # a beam lists a token once
+    df = spark.createDataFrame(table, "doc_id long, step int, beam int, cand int, token string, token_id int, alive array<string>, beam_logprob double, token_logprob double")
+    got = {r.doc_id: r for r in H.rerank_hypotheses(df.repartition(5), beam_size=3, min_length=2, max_length=7).collect()}
+    closed = 0
+    for doc in range(200):
+        best, end = _decoding_loop([dict(zip(names, r)) for r in table if r[0] == doc])
+        if end:
+            closed += 1
+            assert got[doc].finished and (got[doc].beam, got[doc].cand) == (best["beam"], best["cand"])
+            assert abs(got[doc].score - best["score"]) < 1e-9 * max(1, abs(best["score"]))
+    assert 50 < closed < 200 and len(got) == 200
+
+
 def test_no_window_by_label_over_vectors(spark):
     art_long, queries = D.vector_search_inputs(spark, SF)
     plan = art_long._jdf.queryExecution().optimizedPlan().toString()
