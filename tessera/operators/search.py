@@ -6,10 +6,11 @@ to 6 decimal places (the reference rounds them so), which lets the kernel work o
 micro-units: squared distances are then exact integers whatever the summation order, so
 Spark, numpy and an SQL oracle agree bit for bit.
 
-Physical plan: the article side is never shuffled before scoring. One Arrow batch of
-articles meets the broadcast query matrix in numpy; each batch emits only its own k best
-per query (an exact pre-filter of the global top-k), then a window top-k finishes the job
-after a shuffle on ``query_id`` that carries at most ``k`` rows per batch and query.
+Physical plan: the article side is never shuffled before scoring. Arrow batches of
+articles meet the broadcast query matrix in numpy; each task keeps its own k best per query
+over all its batches, skips pairs that a lower bound rules out (``pruning``), and sends the k
+best once; a window top-k finishes the job after a shuffle on ``query_id`` that carries at
+most ``k`` rows per task and query.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import MICRO, round_half_away
+from .pruning import RunningTopK
 
 DIST_SCHEMA = "query_id long, article_id long, distance double"
 TOKEN_SCHEMA = ("query_id long, tok_no long, article_id long, nearest_pos int, "
@@ -120,8 +122,27 @@ def _encoded_matrix(tok_ids: pa.Array, gather, dim: int):
     return _to_micro(V), np.asarray(inv).reshape(-1), counts
 
 
-def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode: str = "mean", gather=None,
-                 cells_cap: int = BATCH_CELLS):
+def _distinct_tokens(row_of: np.ndarray, counts: np.ndarray, n: int) -> tuple:
+    """Each article's distinct vectors only (rows of ``n``): a repeated one changes no minimum."""
+    code = np.unique(np.repeat(np.arange(len(counts)), counts) * n + row_of)
+    return code % n, np.bincount(code // n, minlength=len(counts))
+
+
+def _add_batch(best: RunningTopK, ids: np.ndarray, vecs: pa.Array, gather=None) -> None:
+    """One Arrow batch of articles into a task's running top-k."""
+    if gather is None:
+        X, counts = _article_matrix(vecs, best.payload["dim"])
+        row_of = np.arange(len(X))
+    else:
+        X, row_of, counts = _encoded_matrix(vecs, gather, best.payload["dim"])
+        if len(row_of):
+            row_of, counts = _distinct_tokens(row_of, counts, len(X))
+    keep = counts > 0  # an article without tokens has no distance
+    if keep.any():
+        best.add(ids[keep], X, row_of, counts[keep])
+
+
+def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, mode: str = "mean", gather=None, cells_cap: int = BATCH_CELLS):
     # identical query token vectors (a word shared by many queries) are scored once
     Q = qp["Qu"]
     rows_of = None  # token -> row of the distinct-vector matrix (token-wise encoders)
@@ -187,27 +208,14 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, k: int | None, mode:
             names=["query_id", "tok_no", "article_id", "nearest_pos", "min_distance"])
     mean = (np.add.reduceat(dist_tok, qp["starts"], axis=1) / qp["counts"][None, :]) / PICO
     nq = mean.shape[1]
-    if k is None or len(ids) <= k:
-        rows = np.repeat(np.arange(len(ids)), nq)
-        cols = np.tile(np.arange(nq), len(ids))
-    else:
-        picks = [_best_rows(mean[:, j], ids, k) for j in range(nq)]
-        rows = np.concatenate(picks)
-        cols = np.repeat(np.arange(nq), k)
+    rows = np.repeat(np.arange(len(ids)), nq)
+    cols = np.tile(np.arange(nq), len(ids))
     return pa.RecordBatch.from_arrays(
         [pa.array(qp["query_ids"][cols], pa.int64()), pa.array(ids[rows], pa.int64()),
          pa.array(mean[rows, cols], pa.float64())],
         names=["query_id", "article_id", "distance"])
 
 
-def _best_rows(values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The k smallest values, later ids first among equals: a partition by the k-th value,
-    then a sort of the few rows up to it."""
-    limit = np.partition(values, k - 1)[k - 1]
-    near = np.flatnonzero(values <= limit)
-    return near[np.lexsort((-ids[near], values[near]))[:k]]
-
-
 def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     """Split the query table so each broadcast block stays under ``max_block_bytes``.
 
@@ -216,15 +224,17 @@ def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     hundred vectors at most) is small against a block, so hash blocks stay close to their
     mean and well under the budget.
     """
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"),
+                        F.approx_count_distinct("query_id").alias("queries")).first()
     n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
     size = n * max(dim, 1) * 8
     if size <= max_block_bytes:
         return [queries]
-    blocks = math.ceil(2 * size / max_block_bytes)
+    blocks = max(2, min(math.ceil(2 * size / max_block_bytes), 2 * int(stats["queries"])))
     # whole queries per block (a query never spans blocks: its mean needs all its tokens)
-    keyed = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    return [keyed.filter(F.col("_blk") == b).drop("_blk") for b in range(blocks)]
+    keyed = written(queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    filled = sorted(r["_blk"] for r in keyed.select("_blk").distinct().collect())
+    return [keyed.filter(F.col("_blk") == b).drop("_blk") for b in filled]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -236,62 +246,96 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _broadcast_blocks(queries: DataFrame, max_block_bytes: int):
-    """Broadcast each query block's matrix (distinct vectors once) for the kernels."""
-    spark = queries.sparkSession
-    for block in _query_blocks(queries, max_block_bytes):
-        table = block.select(F.col("query_id").cast("long"), F.col("tok_no").cast("long"),
-                             F.col("vec")).toArrow()
-        if table.num_rows == 0:  # a hash block without queries
+def _broadcast_block(block: DataFrame):
+    """Broadcast of one query block's matrix (distinct vectors once); None without queries."""
+    table = block.select(F.col("query_id").cast("long"), F.col("tok_no").cast("long"), F.col("vec")).toArrow()
+    if table.num_rows == 0:
+        return None
+    qp = _query_payload(table)
+    if qp["Q"].size:
+        Qu, inv = np.unique(qp["Q"], axis=0, return_inverse=True)
+    else:
+        Qu, inv = qp["Q"], np.zeros(0, dtype=np.int64)
+    qp["Qu"], qp["inv"] = Qu, np.asarray(inv).reshape(-1)
+    return block.sparkSession.sparkContext.broadcast(qp)
+
+
+def _passes(source: DataFrame, queries: DataFrame, max_block_bytes: int, schema: str, make_kernel, tag: str) -> DataFrame:
+    """``source`` through ``make_kernel(broadcast query block)``, one block after another.
+
+    A single block is scored lazily. Of several, each is collected and broadcast alone, its pass
+    written to the shared folder and the broadcast destroyed before the next block is fetched,
+    so the driver and the executors hold one block at a time; the source is written once.
+    """
+    blocks = _query_blocks(queries, max_block_bytes)
+    out = None
+    if len(blocks) > 1:
+        source = written(source, tag)
+    for block in blocks:
+        bc = _broadcast_block(block)
+        if bc is None:
             continue
-        qp = _query_payload(table)
-        if qp["Q"].size:
-            Qu, inv = np.unique(qp["Q"], axis=0, return_inverse=True)
-        else:
-            Qu, inv = qp["Q"], np.zeros(0, dtype=np.int64)
-        qp["Qu"], qp["inv"] = Qu, np.asarray(inv).reshape(-1)
-        yield spark.sparkContext.broadcast(qp)
+        scored = source.mapInArrow(make_kernel(bc), schema)
+        if len(blocks) > 1:
+            scored = written(scored, "scored")
+            bc.destroy()
+        out = scored if out is None else out.unionByName(scored)
+    return source.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def article_query_distances(articles: DataFrame, queries: DataFrame, k: int | None = None,
                             id_col: str = "article_id", vecs_col: str = "vecs", mode: str = "mean",
-                            max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES, encoder=None) -> DataFrame:
+                            max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES, encoder=None,
+                            counters: tuple | None = None) -> DataFrame:
     """``(query_id, article_id, distance)``: mean over query tokens of the nearest article token.
 
     ``articles``: one row per article, ``vecs`` = ``array<array<float>>`` (one vector per token);
     or, with a token-wise ``encoder`` (``gather_fn()``), ``vecs_col`` holds token ids and the
     encoder runs inside the scoring task (vectors never travel through the JVM).
     ``queries``: long table ``(query_id, tok_no, vec)``, one row per distinct query token.
-    With ``k``, each Arrow batch keeps its ``k`` best per query, by (distance, later id first).
+    With ``k``, each task keeps its ``k`` best per query over all its batches, by (distance,
+    later id first), scores no pair whose lower bound is above them (``pruning``) and sends them
+    once; ``counters`` (accumulators of pairs scored and seen) then tell how much was spared.
     """
-    spark = articles.sparkSession
     art = articles.select(F.col(id_col).cast("long").alias("article_id"), F.col(vecs_col).alias("vecs"))
     gather = encoder.gather_fn() if encoder is not None else None
-    outs = []
-    bcs = list(_broadcast_blocks(queries, max_block_bytes))
-    if len(bcs) > 1:  # one pass per block: read the prepared article side from storage
-        art = written(art, "articles")
-    for bc in bcs:
 
-        def kernel(batches, bc=bc, k=k, mode=mode, gather=gather, cap=BATCH_CELLS):
+    def make_kernel(bc):
+        return topk_kernel(bc, k, gather, counters) if k is not None and mode == "mean" else all_pairs(bc)
+
+    def all_pairs(bc):
+        def kernel(batches, bc=bc, mode=mode, gather=gather, cap=BATCH_CELLS):
             payload = bc.value
             # articles per call so that (articles x query tokens) matrices stay bounded
             step = max(1, cap // max(1, len(payload["inv"])))
             for big in batches:
                 for s0 in range(0, big.num_rows, step):
                     rb = big.slice(s0, step)
-                    out = _score_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload,
-                                       k, mode, gather, cap)
+                    out = _score_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload, mode, gather, cap)
                     if out is not None:
                         yield out
-
-        outs.append(art.mapInArrow(kernel, TOKEN_SCHEMA if mode == "tokens" else DIST_SCHEMA))
-    if not outs:
-        return spark.createDataFrame([], TOKEN_SCHEMA if mode == "tokens" else DIST_SCHEMA)
-    result = outs[0]
-    for o in outs[1:]:
-        result = result.unionByName(o)
-    return result
+        return kernel
+
+    schema = TOKEN_SCHEMA if mode == "tokens" else DIST_SCHEMA
+    return _passes(art, queries, max_block_bytes, schema, make_kernel, "articles")
+
+
+def topk_kernel(bc, k: int, gather=None, counters=None):
+    """A task's ``k`` best articles per query of the broadcast block, sent once at its end."""
+    def kernel(batches, tile=TILE_ELEMENTS, cells=BATCH_CELLS):
+        best = RunningTopK(bc.value, k, tile, cells, _partial_sq_dist, MICRO, PICO)
+        # articles per call so that (articles x query tokens) matrices stay bounded
+        step = max(1, cells // max(1, len(best.payload["inv"])))
+        for big in batches:
+            for s0 in range(0, big.num_rows, step):
+                rb = big.slice(s0, step)
+                _add_batch(best, rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), gather)
+        if counters is not None:
+            for counter, n in zip(counters, (best.scored, best.seen)):
+                counter.add(n)
+        if best.real.any():
+            yield best.rows()
+    return kernel
 
 
 def topk_closest(distances: DataFrame, k: int = 10, partition_col: str = "query_id",
@@ -314,7 +358,7 @@ def ranked_order(topk: DataFrame, places: int | None = 6) -> DataFrame:
 
 
 def nearest_articles(articles: DataFrame, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
-    """Top-k articles per query (``search``): distances, batch pre-filter, window top-k."""
+    """Top-k articles per query (``search``): distances, each task's best, window top-k."""
     return ranked_order(topk_closest(article_query_distances(articles, queries, k=k, **kw), k))
 
 
@@ -372,13 +416,8 @@ def _long_minima(art: np.ndarray, X: np.ndarray, qp: dict) -> pa.RecordBatch:
         names=["query_id", "tok_no", "article_id", "p"])
 
 
-def _combined(parts: list, spark) -> DataFrame:
-    """Partial minima of all blocks, combined by a ``min`` aggregate (partial, then final)."""
-    if not parts:
-        return spark.createDataFrame([], TOKEN_SCHEMA).drop("nearest_pos")
-    out = parts[0]
-    for o in parts[1:]:
-        out = out.unionByName(o)
+def _combined(out: DataFrame) -> DataFrame:
+    """Partial minima, combined by a ``min`` aggregate (partial, then final)."""
     return (out.groupBy("query_id", "tok_no", "article_id")
             .agg((F.min("p").cast("double") / PICO).alias("min_distance")))
 
@@ -391,12 +430,8 @@ def min_distance_model(inputs: DataFrame, queries: DataFrame, encoder, id_col: s
     from .embed import worker_model
     src = inputs.select(F.col(id_col).cast("long").alias("article_id"), "input_ids", "input_mask", "input_type_ids")
     make, key, size, typed = encoder.make_predict_fn, encoder.key, encoder.batch_size, encoder.with_types
-    parts = []
-    bcs = list(_broadcast_blocks(queries, max_block_bytes))
-    if len(bcs) > 1:
-        src = written(src, "inputs")
-    for bc in bcs:
 
+    def make_kernel(bc):
         def kernel(batches, bc=bc):
             payload, fn = bc.value, worker_model(key, make)
             for rb in batches:
@@ -408,9 +443,9 @@ def min_distance_model(inputs: DataFrame, queries: DataFrame, encoder, id_col: s
                     real = mask.astype(bool)
                     if real.any():
                         yield _long_minima(np.repeat(art[s:s + size], real.sum(axis=1)), _to_micro(vecs[real]), payload)
+        return kernel
 
-        parts.append(src.mapInArrow(kernel, LONG_SCHEMA))
-    return _combined(parts, inputs.sparkSession)
+    return _combined(_passes(src, queries, max_block_bytes, LONG_SCHEMA, make_kernel, "inputs"))
 
 
 def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "article_id", vec_col: str = "vec",
@@ -423,12 +458,8 @@ def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "arti
     then final) combines them, so a very large article costs one row per partition.
     """
     src = tokens.select(F.col(id_col).cast("long").alias("article_id"), F.col(vec_col).alias("vec"))
-    outs = []
-    bcs = list(_broadcast_blocks(queries, max_block_bytes))
-    if len(bcs) > 1:
-        src = written(src, "tokens")
-    for bc in bcs:
 
+    def make_kernel(bc):
         def kernel(batches, bc=bc, cap=BATCH_CELLS):
             payload = bc.value
             step = max(1, cap // max(1, len(payload["inv"])))
@@ -438,6 +469,6 @@ def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "arti
                     out = _long_batch(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1), payload)
                     if out is not None:
                         yield out
+        return kernel
 
-        outs.append(src.mapInArrow(kernel, LONG_SCHEMA))
-    return _combined(outs, tokens.sparkSession)
+    return _combined(_passes(src, queries, max_block_bytes, LONG_SCHEMA, make_kernel, "tokens"))
