@@ -247,6 +247,12 @@ def word_tokens(text: Column, seq_length: int = 128) -> Column:
     return F.array_remove(F.split(F.concat(F.lit(f"{CLS} "), framed, F.lit(f" {SEP}")), " ", -1), "")
 
 
+def distinct_word_tokens(text: Column) -> Column:
+    """The distinct tokens of ``word_tokens``, without order. Enough where a token-wise encoder
+    feeds a minimum over tokens: repeated tokens and the windows' order change nothing."""
+    return F.array_distinct(F.concat(F.array(F.lit(CLS), F.lit(SEP)), words(text)))
+
+
 def first_vector_per_token(df: DataFrame, key_col: str = "query_id", tokens_col: str = "tokens",
                            vecs_col: str = "vecs") -> DataFrame:
     """One row per distinct token, first occurrence, in order of first appearance.

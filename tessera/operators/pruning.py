@@ -8,6 +8,9 @@ comparison per ball instead of one per token. Articles of the smallest bounds ar
 first; after that a pair of article and query whose bound is above the query's k-th
 distance so far is never scored.
 
+Where articles share few vectors (a token-wise encoder), the distances of those are there anyhow:
+their minima in single precision, lowered by the rounding, are a second and tight bound.
+
 The k best per query are kept over all batches of the task and sent once. Bounds are lowered by
 more than the rounding of their arithmetic, so results equal those of full scoring.
 """
@@ -19,8 +22,10 @@ import pyarrow as pa
 
 #: balls that the vectors of a batch are dealt to, and vectors that centres are picked from
 BALLS, PICKED = 64, 2048
-#: bounds must spare this share of the pairs; if they don't, only every PAUSE-th batch tries them
-WORTH, PAUSE = 0.2, 8
+#: bounds by balls must spare this share of the pairs; if they don't, only every PAUSE-th chunk tries them
+WORTH, PAUSE = 0.2, 16
+#: articles taken at a time
+CHUNK = 256
 
 
 class RunningTopK:
@@ -35,7 +40,8 @@ class RunningTopK:
         self.payload, self.k, self.tile, self.cells = payload, k, tile, cells
         self.sq_dist, self.micro, self.pico = sq_dist, micro, pico
         self.dist, self.ids, self.real = np.full((n, k), np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), bool)
-        self.scored = self.seen = self.scored_articles = self.seen_articles = self.batches = 0
+        self.scored = self.seen = self.scored_articles = self.seen_articles = self.chunks = 0
+        self.tried = self.worth = False
         ends = np.append(payload["starts"][1:], len(payload["inv"]))
         self.columns = [payload["inv"][a:b] for a, b in zip(payload["starts"], ends)]
 
@@ -66,14 +72,18 @@ class RunningTopK:
 
     # -- bounds
 
-    def _bounds(self, X: np.ndarray, row_of: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Lower bound of the distance of every article (rows) to every query (columns)."""
-        n = len(counts)
+    def _balls(self, X: np.ndarray) -> tuple:
+        """Centres among the vectors of a batch, each vector's ball and its distance from the centre."""
         centres = _spread_out(X, self.sq_dist)
         d, rest = self.sq_dist(X, centres)
         d = np.maximum(d + rest[None, :], 0)
         ball = d.argmin(axis=1)
-        away = np.sqrt(d[np.arange(len(X)), ball])
+        return centres, ball, np.sqrt(d[np.arange(len(X)), ball])
+
+    def _bounds(self, balls: tuple, row_of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Lower bound of the distance of every article (rows) to every query (columns)."""
+        n = len(counts)
+        centres, ball, away = balls
         owner = np.repeat(np.arange(n), counts)
         code = owner * len(centres) + ball[row_of]
         inner, outer = np.full(n * len(centres), np.inf), np.full(n * len(centres), -1.0)
@@ -93,9 +103,7 @@ class RunningTopK:
             centre = to_query[part % len(centres)]
             gap = np.maximum(centre - outer[part][:, None], inner[part][:, None] - centre)
             least = np.minimum.reduceat(np.maximum(gap, 0), first[a:b] - first[a], axis=0)
-            least = np.maximum(least * (1 - 1e-12) - 0.01, 0)  # in micro-units: far above the rounding errors
-            mean = np.add.reduceat(least[:, self.payload["inv"]], self.payload["starts"], axis=1) / self.payload["counts"]
-            out[a:b] = mean * (1 - 1e-12) / self.micro
+            out[a:b] = self._lowered_mean(least, 1e-12)
             a = b
         return out
 
@@ -103,30 +111,61 @@ class RunningTopK:
 
     def add(self, ids: np.ndarray, X: np.ndarray, row_of: np.ndarray, counts: np.ndarray) -> None:
         """Articles ``ids`` with ``counts`` tokens each (in turn), a token being a row of ``X``
-        (micro-units)."""
+        (micro-units). They are taken ``CHUNK`` at a time, so that the limits fall and the worth of
+        bounds is known early."""
         starts = np.append(0, np.cumsum(counts)[:-1]).astype(np.int64)
-        n, queries = len(ids), len(self.columns)
-        self.seen += n * queries
-        self.seen_articles += n
-        self.batches += 1
-        spared = 1 - self.scored / max(1, self.seen - n * queries)
-        table = None  # squared distances of all vectors of the batch, where they are shared and few
+        table = near = balls = None
         if len(X) < len(row_of) and len(X) * self.payload["Qu"].shape[0] <= self.cells:
+            # vectors that articles share, and few: squared distances of all, and their roots in single precision
             table = self.sq_dist(X, self.payload["Qu"])
-        if n <= self.k or (self.batches > 2 and spared < WORTH and self.batches % PAUSE):
-            self._score_all(np.arange(n), ids, X, row_of, starts, counts, table)
-            return
-        bounds = self._bounds(X, row_of, starts, counts)
+            near = np.sqrt(np.maximum(table[0] + table[1][None, :], 0)).astype(np.float32)
+        for a in range(0, len(ids), CHUNK):
+            some = np.arange(a, min(a + CHUNK, len(ids)))
+            tokens = row_of[starts[a]:starts[some[-1]] + counts[some[-1]]]
+            self.seen += len(some) * len(self.columns)
+            self.seen_articles += len(some)
+            self.chunks += 1
+            bounds = np.zeros((len(some), len(self.columns)))
+            if self.chunks > 1 and (self.worth or not self.tried or self.chunks % PAUSE == 0):
+                balls = balls or self._balls(X)
+                bounds = self._bounds(balls, tokens, counts[some])
+                self.tried, self.worth = True, (bounds > self.limit[None, :]).mean() >= WORTH
+            if near is not None:
+                left = np.flatnonzero(~(bounds > self.limit[None, :]).all(axis=1))
+                bounds[left] = np.fmax(bounds[left], self._single(near, tokens, counts[some], left))
+            elif self.chunks == 1 or not self.worth or len(some) <= self.k:
+                self._score_all(some, ids, X, row_of, starts, counts, table)
+                continue
+            self._score_bounded(some, bounds, ids, X, row_of, starts, counts, table)
+
+    def _score_bounded(self, some, bounds, ids, X, row_of, starts, counts, table) -> None:
+        """Scores the articles of each query's smallest bounds, then those that the limits leave."""
         open_ = ~(bounds > self.limit[None, :])
         first = np.zeros_like(open_)
-        nearest = np.argpartition(bounds, self.k - 1, axis=0)[:self.k]
-        np.put_along_axis(first, nearest, True, axis=0)
+        k = min(self.k, len(some))
+        np.put_along_axis(first, np.argpartition(bounds, k - 1, axis=0)[:k], True, axis=0)
         done = first & open_
-        self._score(done, ids, X, row_of, starts, counts, table)
+        marked = np.zeros((len(ids), len(self.columns)), bool)
+        marked[some] = done
+        self._score(marked, ids, X, row_of, starts, counts, table)
         more = open_ & ~first & ~(bounds > self.limit[None, :])
-        self._score(more, ids, X, row_of, starts, counts, table)
+        marked[some] = more
+        self._score(marked, ids, X, row_of, starts, counts, table)
         self.scored_articles += int((done | more).any(axis=1).sum())
 
+    def _single(self, near: np.ndarray, tokens: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Bounds of some articles from distances in single precision, lowered by its rounding."""
+        stops = np.cumsum(counts)
+        mins = np.empty((len(some), near.shape[1]), np.float32)
+        for i, article in enumerate(some):
+            near[tokens[stops[article] - counts[article]:stops[article]]].min(axis=0, out=mins[i])
+        return self._lowered_mean(mins.astype(np.float64), 2e-7)
+
+    def _lowered_mean(self, least: np.ndarray, relative: float) -> np.ndarray:
+        """Mean over each query's tokens (micro-units in, distances out), lowered by more than all rounding."""
+        mean = np.add.reduceat(least[:, self.payload["inv"]], self.payload["starts"], axis=1) / self.payload["counts"]
+        return np.maximum(mean * (1 - relative) - 1.0, 0) / self.micro
+
     def _score(self, pairs: np.ndarray, ids, X, row_of, starts, counts, table) -> None:
         """Scores the marked pairs: all queries of an article at once where most are marked, else query by query."""
         articles = np.flatnonzero(pairs.any(axis=1))

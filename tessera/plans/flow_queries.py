@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import CLS, EOS, SEP
 from ..operators import stories as ST
 from ..operators.articles import drop_empty_articles
-from ..operators.embed import word_tokens
+from ..operators.embed import distinct_word_tokens
 from ..operators.search import written
 from ..operators import summaries as SM
 from ..operators import tokens as TK
@@ -37,7 +37,7 @@ def stream_topk(spark, sf_dir):
     arts = P.text_articles(spark, sf_dir)
     # arrivals carry token ids; the encoder runs inside the scoring task of each micro-batch
     tok_ids = (drop_empty_articles(arts, "text")
-               .select("article_id", enc.token_ids(word_tokens(F.col("text"), P.SEQ_LENGTH)).alias("tok_ids")))
+               .select("article_id", enc.token_ids(distinct_word_tokens(F.col("text"))).alias("tok_ids")))
     queries = P.query_vectors(P.text_queries(spark, sf_dir), enc)
     src = scratch_path(spark, "arrivals")
     tok_ids.repartition(4).write.parquet(src)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.articles import drop_empty_articles
-from ..operators.embed import LookupEncoder, embed_tokens, first_vector_per_token, token_vectors, word_tokens
+from ..operators.embed import LookupEncoder, distinct_word_tokens, embed_tokens, first_vector_per_token, token_vectors, word_tokens
 from ..operators.search import mean_best_distance, min_distance_long, nearest_articles, ranked_order, topk_closest
 from ..session import read_table
 from ..sources.derived import articles_from_long, text_articles, text_queries, vector_search_inputs
@@ -39,11 +39,11 @@ def query_vectors(queries: DataFrame, encoder: LookupEncoder) -> DataFrame:
 def search_texts(articles: DataFrame, queries: DataFrame, encoder: LookupEncoder, k: int = K) -> DataFrame:
     """``article_text`` -> ``drop_empty_articles`` -> ``embed_tokens`` -> distances -> top-k.
 
-    The article side carries only token ids; the encoder's gather runs inside the scoring
+    The article side carries only its distinct token ids; the encoder's gather runs inside the scoring
     task, so one Arrow round trip per batch and no vectors materialised as rows.
     """
     arts = drop_empty_articles(articles, "text").select(
-        "article_id", encoder.token_ids(word_tokens(F.col("text"), SEQ_LENGTH)).alias("tok_ids"))
+        "article_id", encoder.token_ids(distinct_word_tokens(F.col("text"))).alias("tok_ids"))
     return nearest_by_token_ids(arts, query_vectors(queries, encoder), encoder, k)
 
 

@@ -76,3 +76,12 @@ def test_detokenize_and_document_name(spark):
     r = df.select(S.detokenize("t").alias("d"), S.document_name("p").alias("n")).first()
     assert r["d"] == " ".join(["##x", "un", "##aff", "##able", "[SEP]"]).replace(" ##", "")
     assert r["n"] == "c.json"
+
+
+def test_every_character_is_told_from_whitespace(spark):
+    chars = [chr(i) for i in range(0x3100) if i != 0x1C89 and "a{}b".format(chr(i)).lower() == "a{}b".format(chr(i))]
+    df = spark.createDataFrame([(i, f"a{c}b {c}") for i, c in enumerate(chars)], "i int, t string")
+    rows = df.select("i", S.words("t").alias("w"), S.py_strip("t").alias("s"), S.normalize_whitespace("t").alias("n"), S.has_text(F.lit("x")).alias("h")).collect()
+    for r in rows:
+        text = f"a{chars[r.i]}b {chars[r.i]}"
+        assert (r.w, r.s, r.n) == (text.split(), text.strip(), " ".join(text.split())), repr(text)
