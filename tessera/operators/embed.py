@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -157,13 +158,19 @@ def token_vectors(df: DataFrame, encoder: LookupEncoder, key_col: str, ids_col:
 
 
 def _embed_by_join(df: DataFrame, encoder: LookupEncoder, tokens_col: str, out_col: str) -> DataFrame:
-    """Vectors of every token through the join, put back in order per row (a group is one
-    row's tokens)."""
+    """Vectors of every token through the join on its id."""
+    keyed = df.withColumn("_tok_ids", encoder.token_ids(F.col(tokens_col)))
+    return vectors_of_ids(keyed, encoder, "_tok_ids", out_col).drop("_tok_ids")
+
+
+def vectors_of_ids(df: DataFrame, encoder: LookupEncoder, ids_col: str, out_col: str) -> DataFrame:
+    """``df`` with the vector of every id through a join, put back in order per row (a group is
+    one row's ids). Needs no broadcast; frequent ids are left to adaptive execution."""
     from ..session import scratch_path
     path = scratch_path(df.sparkSession, "rows")
     df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     keyed = df.sparkSession.read.parquet(path)
-    long = keyed.select("_row", F.posexplode(encoder.token_ids(F.col(tokens_col))).alias("_pos", "tok_id"))
+    long = keyed.select("_row", F.posexplode(ids_col).alias("_pos", "tok_id"))
     got = (long.join(encoder.rows(), "tok_id").groupBy("_row")
            .agg(F.sort_array(F.collect_list(F.struct("_pos", "vec"))).alias("_v")))
     return (keyed.join(got, "_row", "left").withColumn(out_col, F.coalesce(F.col("_v.vec"), F.array().cast(VECS_TYPE)))
@@ -257,16 +264,18 @@ def first_vector_per_token(df: DataFrame, key_col: str = "query_id", tokens_col:
                            vecs_col: str = "vecs") -> DataFrame:
     """One row per distinct token, first occurrence, in order of first appearance.
 
-    ``(key, tok_no, token, vec)``, ``[CLS]``/``[SEP]`` included. Works per row, no shuffle.
+    ``(key, tok_no, token, vec)``, ``[CLS]``/``[SEP]`` included. Works per row, no shuffle, and
+    takes time in proportion to the row's tokens.
     """
-    toks, vecs = F.col(tokens_col), F.col(vecs_col)
-    firsts = F.filter(
-        F.transform(toks, lambda t, i: F.struct(t.alias("token"), i.alias("pos"),
-                                                F.element_at(vecs, i + 1).alias("vec"))),
-        lambda s: F.array_position(toks, s["token"]) == s["pos"] + 1)
-    return (df.select(key_col, F.posexplode(firsts).alias("tok_no", "t"))
-            .select(key_col, F.col("tok_no").cast("long"), F.col("t.token").alias("token"),
-                    F.col("t.vec").alias("vec")))
+    @F.pandas_udf("array<int>")
+    def first_places(tokens: pd.Series) -> pd.Series:
+        # from the last token to the first, so that the first place of each is the one that stays
+        return tokens.map(lambda t: None if t is None else list(dict(zip(reversed(t), range(len(t) - 1, -1, -1))).values()))
+
+    found = df.select(key_col, tokens_col, vecs_col, F.array_sort(first_places(F.col(tokens_col))).alias("_places"))
+    return (found.select(key_col, tokens_col, vecs_col, F.posexplode("_places").alias("tok_no", "_place"))
+            .select(key_col, F.col("tok_no").cast("long"), F.get(tokens_col, "_place").alias("token"),
+                    F.get(vecs_col, "_place").alias("vec")))
 
 
 def token_vectors_long(df: DataFrame, key_col: str = "article_id", tokens_col: str = "tokens",
@@ -280,7 +289,7 @@ def token_vectors_long(df: DataFrame, key_col: str = "article_id", tokens_col: s
 def vectors_by_token(long: DataFrame, key_col: str = "article_id") -> DataFrame:
     """Per document and token, its vectors in position order (``token -> [vectors]``).
 
-    Groups are bounded by the token limit of the encoder (128 positions per document).
+    A group is one token's occurrences in one document, whose whole text is read.
     """
     return (long.groupBy(key_col, "token")
             .agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("occ"))

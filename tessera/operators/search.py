@@ -216,8 +216,9 @@ def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, mode: str = "mean",
         names=["query_id", "article_id", "distance"])
 
 
-def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
-    """Split the query table so each broadcast block stays under ``max_block_bytes``.
+def query_blocks(queries: DataFrame, max_block_bytes: int) -> list[tuple[str, DataFrame]]:
+    """Split the query table so each broadcast block stays under ``max_block_bytes``: the blocks
+    with names that depend on the queries only.
 
     The size is measured, not assumed: token count times vector length. Beyond the budget,
     whole queries are hashed into blocks of half the budget on average; one query (a few
@@ -225,16 +226,16 @@ def _query_blocks(queries: DataFrame, max_block_bytes: int) -> list[DataFrame]:
     mean and well under the budget.
     """
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"),
-                        F.approx_count_distinct("query_id").alias("queries")).first()
+                        F.count_distinct("query_id").alias("queries")).first()
     n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
     size = n * max(dim, 1) * 8
     if size <= max_block_bytes:
-        return [queries]
+        return [("0-of-1", queries)]
     blocks = max(2, min(math.ceil(2 * size / max_block_bytes), 2 * int(stats["queries"])))
     # whole queries per block (a query never spans blocks: its mean needs all its tokens)
     keyed = written(queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
     filled = sorted(r["_blk"] for r in keyed.select("_blk").distinct().collect())
-    return [keyed.filter(F.col("_blk") == b).drop("_blk") for b in filled]
+    return [(f"{b}-of-{blocks}", keyed.filter(F.col("_blk") == b).drop("_blk")) for b in filled]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -246,7 +247,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _broadcast_block(block: DataFrame):
+def broadcast_block(block: DataFrame):
     """Broadcast of one query block's matrix (distinct vectors once); None without queries."""
     table = block.select(F.col("query_id").cast("long"), F.col("tok_no").cast("long"), F.col("vec")).toArrow()
     if table.num_rows == 0:
@@ -267,12 +268,12 @@ def _passes(source: DataFrame, queries: DataFrame, max_block_bytes: int, schema:
     written to the shared folder and the broadcast destroyed before the next block is fetched,
     so the driver and the executors hold one block at a time; the source is written once.
     """
-    blocks = _query_blocks(queries, max_block_bytes)
+    blocks = query_blocks(queries, max_block_bytes)
     out = None
     if len(blocks) > 1:
         source = written(source, tag)
-    for block in blocks:
-        bc = _broadcast_block(block)
+    for _, block in blocks:
+        bc = broadcast_block(block)
         if bc is None:
             continue
         scored = source.mapInArrow(make_kernel(bc), schema)

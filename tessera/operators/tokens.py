@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import (CLS, PAD, SEP, UNK, add_special_tokens, build_mask, real_mask, segment_ids,
                                 truncate_or_pad, truncate_tokens, zeros)
 from ..functions.strings import words
+from .skew import join_with_hot_keys
 
 MAX_VOCAB_ENTRIES = 1_000_000  # largest vocabulary that is broadcast to every worker
 _WORKER_CACHE: dict = {}
@@ -197,21 +198,23 @@ def ids_to_tokens(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out_co
 
 
 def token_ids_long(long: DataFrame, vocab: Vocabulary, unk_token: str = UNK) -> DataFrame:
-    """Long table ``(..., token)`` -> adds ``id`` by a left join to the vocabulary (broadcast
-    when within the bound, else a shuffle join)."""
+    """Long table ``(..., token)`` -> adds ``id`` by a left join to the vocabulary: broadcast
+    when within the bound, else a shuffle join from which the frequent tokens are kept out."""
     unk_id = vocab.id_of(unk_token)
-    v = vocab.token_table.withColumnRenamed("token", "_vt")
-    v = F.broadcast(v) if vocab.fits_broadcast else v
-    return (long.join(v, long["token"] == v["_vt"], "left")
-            .withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int")).drop("_vt"))
+    return (_vocabulary_join(long, vocab.token_table, "token", vocab.fits_broadcast)
+            .withColumn("id", F.coalesce(F.col("id"), F.lit(unk_id)).cast("int")))
 
 
 def id_tokens_long(long: DataFrame, vocab: Vocabulary, id_col: str = "id") -> DataFrame:
-    """Long table ``(..., id)`` -> adds ``token`` by a left join to the vocabulary (broadcast
-    when within the bound, else a shuffle join)."""
-    v = vocab.table.withColumnRenamed("id", "_vid")
-    v = F.broadcast(v) if vocab.fits_broadcast else v
-    return long.join(v, long[id_col] == v["_vid"], "left").drop("_vid")
+    """Long table ``(..., id)`` -> adds ``token`` by a left join to the vocabulary, joined as
+    in ``token_ids_long``."""
+    return _vocabulary_join(long, vocab.table.withColumnRenamed("id", id_col), id_col, vocab.fits_broadcast)
+
+
+def _vocabulary_join(long: DataFrame, table: DataFrame, key: str, fits: bool) -> DataFrame:
+    columns = [*long.columns, *[c for c in table.columns if c != key]]
+    out = long.join(F.broadcast(table), key, "left") if fits else join_with_hot_keys(long, table, key)
+    return out.select(*columns)
 
 
 # --- model input rows -----------------------------------------------------------------

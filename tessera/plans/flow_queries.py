@@ -41,6 +41,8 @@ def stream_topk(spark, sf_dir):
     queries = P.query_vectors(P.text_queries(spark, sf_dir), enc)
     src = scratch_path(spark, "arrivals")
     tok_ids.repartition(4).write.parquet(src)
+    if enc.fits:
+        return STR.stream_topk_keyed(spark, src, queries, scratch_path(spark, "ckpt"), k=10, max_files_per_trigger=2, encoder=enc)
     return STR.stream_topk(spark, src, queries, scratch_path(spark, "state"), scratch_path(spark, "ckpt"), k=10,
                            encoder=enc)
 
@@ -48,12 +50,12 @@ def stream_topk(spark, sf_dir):
 def stream_resume(spark, sf_dir):
     """Stop after the first arrivals, restart on the same checkpoint with more files."""
     arts, queries = _vector_articles(spark, sf_dir)
-    src, state, ckpt = scratch_path(spark, "arrivals"), scratch_path(spark, "state"), scratch_path(spark, "ckpt")
+    src, ckpt = scratch_path(spark, "arrivals"), scratch_path(spark, "ckpt")
     keyed = arts.withColumn("_part", F.pmod(F.xxhash64("article_id"), F.lit(3)))
     keyed.filter(F.col("_part") == 0).drop("_part").write.parquet(src)  # first arrivals
-    STR.stream_topk(spark, src, queries, state, ckpt, k=10)
+    STR.stream_topk_keyed(spark, src, queries, ckpt, k=10)
     keyed.filter(F.col("_part") != 0).drop("_part").write.mode("append").parquet(src)  # the rest, later
-    return STR.stream_topk(spark, src, queries, state, ckpt, k=10)
+    return STR.stream_topk_keyed(spark, src, queries, ckpt, k=10)
 
 
 def stream_articles(spark, sf_dir):

@@ -185,10 +185,10 @@ def embed_tokens(spark, sf_dir):
 
 
 def _windowed_inputs(spark, sf_dir, arts):
-    """Model input rows of whole texts, one per window, and a model over the lookup table."""
+    """Model input rows of whole texts, one per window, the lookup encoder, and a model over its
+    table (None if the table is beyond the broadcast bound)."""
     enc = P.lookup_encoder(spark, sf_dir)
     n = enc.n_rows
-    W = enc.broadcast(spark)
     # one input row per window of the text; the windows' positions keep their order
     windows = arts.select("article_id", F.posexplode(E.word_windows(F.col("text"), P.SEQ_LENGTH)).alias("win", "w"))
     toks = windows.select("article_id", "win", AR.add_special_tokens(
@@ -196,29 +196,44 @@ def _windowed_inputs(spark, sf_dir, arts):
     ids = toks.select("article_id", "win", AR.truncate_or_pad(E.lookup_token_ids(F.col("tokens"), n), 128, 0).alias("input_ids"),
                       AR.real_mask(F.col("tokens"), 128).alias("input_mask"), AR.zeros(128).alias("input_type_ids"))
 
-    def make_predict_fn(W=W):
+    if not enc.fits:
+        return ids, enc, None
+
+    def make_predict_fn(W=enc.broadcast(spark)):
         table = W.value
 
         def predict(input_ids, input_mask, input_type_ids):
             return table[input_ids + input_type_ids]
         return predict
 
-    return ids, E.BatchEncoder(make_predict_fn, "lookup-table", batch_size=32, with_types=True)
+    return ids, enc, E.BatchEncoder(make_predict_fn, "lookup-table", batch_size=32, with_types=True)
+
+
+def _real_ids(inputs, *keys):
+    """``tok_ids``: the ids of the real positions of model input rows."""
+    real = F.filter(F.arrays_zip("input_ids", "input_mask"), lambda z: z["input_mask"] == 1)
+    return inputs.select(*keys, F.transform(real, lambda z: z["input_ids"]).alias("tok_ids"))
 
 
 def search_model(spark, sf_dir):
     """The search with a model encoder: input rows, inference and scoring in one Arrow step."""
-    inputs, model = _windowed_inputs(spark, sf_dir, drop_empty_articles(P.text_articles(spark, sf_dir), "text"))
-    queries = P.query_vectors(P.text_queries(spark, sf_dir), P.lookup_encoder(spark, sf_dir))
-    minima = SR.min_distance_model(inputs, queries, model)
+    inputs, enc, model = _windowed_inputs(spark, sf_dir, drop_empty_articles(P.text_articles(spark, sf_dir), "text"))
+    queries = P.query_vectors(P.text_queries(spark, sf_dir), enc)
+    if model is None:  # the table stays distributed: its rows are joined to each window's ids
+        minima = SR.min_distance_long(E.token_vectors(_real_ids(inputs, "article_id"), enc, "article_id"), queries)
+    else:
+        minima = SR.min_distance_model(inputs, queries, model)
     return SR.ranked_order(SR.topk_closest(SR.mean_best_distance(minima), P.K))
 
 
 def micro_batch(spark, sf_dir):
     """Same vectors through the generic batch-inference path (micro-batches of 32)."""
     arts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
-    ids, model = _windowed_inputs(spark, sf_dir, arts)
-    out = E.embed_model_inputs(ids, model)
+    ids, enc, model = _windowed_inputs(spark, sf_dir, arts)
+    if model is None:
+        out = E.vectors_of_ids(_real_ids(ids, "article_id", "win"), enc, "tok_ids", "vecs")
+    else:
+        out = E.embed_model_inputs(ids, model)
     return _vector_checksum(out.withColumn("article_id", F.col("article_id") * WINDOWS + F.col("win")), "article_id", "vecs")
 
 

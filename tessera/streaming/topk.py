@@ -1,6 +1,12 @@
-"""Incremental top-k over arriving files (Structured Streaming, ``foreachBatch``).
+"""Incremental top-k over arriving files (Structured Streaming).
 
-State is a versioned Parquet table under a shared folder: version ``v`` is built only from
+``stream_topk_keyed`` keeps the k best of every query as keyed state (``transformWithState``): a
+micro-batch reads and writes the state of the queries that it has candidates for, and nothing
+else; Spark versions, commits and restores that state with the checkpoint.
+
+``stream_topk`` (``foreachBatch``) is the form for plans that keyed state can't follow, such as
+an encoder table beyond the broadcast bound, whose join needs an aggregate of its own.
+Its state is a versioned Parquet table under a shared folder: version ``v`` is built only from
 the latest complete version before ``v`` and micro-batch ``v``, then written with
 overwrite. A batch replayed after a failure rewrites the same version from the same
 inputs, so the result is exactly-once; a restarted query resumes from its checkpoint and
@@ -11,13 +17,19 @@ checkpoint counts files as done, is an error, never an empty start.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.articles import article_record
 from ..operators.embed import token_vectors
-from ..operators.search import (article_query_distances, mean_best_distance, min_distance_long, ranked_order,
-                                topk_closest)
+from ..operators.search import (DEFAULT_QUERY_BLOCK_BYTES, DIST_SCHEMA, article_query_distances, broadcast_block,
+                                mean_best_distance, min_distance_long, query_blocks, ranked_order, topk_closest,
+                                topk_kernel, written)
 from ..sources.files import ARTICLE_SCHEMA
 
 STATE_COLS = ["query_id", "article_id", "distance"]
@@ -127,6 +139,111 @@ def stream_topk(spark: SparkSession, source_dir: str, queries: DataFrame, state_
     return ranked_order(topk_closest(state, k))
 
 
+#: the state of a query: its best articles, nearest first, the later id first among equals
+BEST = "article_ids array<long>, distances array<double>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class BestArticles(StatefulProcessor):
+    """The ``k`` best articles of each query (key ``query_id``) over all batches so far.
+
+    Emits a query's rows whenever they change. An article that arrives again counts once, with
+    its smallest distance.
+    """
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", BEST)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        old = self.best.get()
+        known = list(zip(old[1], old[0])) if old is not None else []
+        best = known
+        for part in rows:  # each part is folded in at once: never more than k of the past are held
+            nearest: dict = {}
+            for d, i in [*best, *zip(part["distance"].tolist(), part["article_id"].tolist())]:
+                if i not in nearest or not nearest[i] <= d:
+                    nearest[i] = d
+            best = sorted(((d, i) for i, d in nearest.items()), key=lambda x: (x[0] != x[0], x[0], -x[1]))[:self.k]
+        if best != known:
+            self.best.update(([i for _, i in best], [d for d, _ in best]))
+            yield pd.DataFrame({"query_id": key[0], "article_id": [i for _, i in best], "distance": [d for d, _ in best]})
+
+    def close(self) -> None:
+        pass
+
+
+class _Settings:
+    """Session settings that hold while a streaming query is started (it copies them then)."""
+
+    def __init__(self, spark: SparkSession, **settings):
+        self.spark, self.settings = spark, settings
+
+    def __enter__(self):
+        self.before = {k: self.spark.conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_):
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+
+def stream_topk_keyed(spark: SparkSession, source_dir: str, queries: DataFrame, checkpoint_dir: str, k: int = 10,
+                      max_files_per_trigger: int = 1000, schema: T.StructType = VECTOR_ARTICLES, fmt: str = "parquet",
+                      encoder=None, state_partitions: int | None = None,
+                      max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
+    """The running top-k with keyed state: ``(query_id, rank, article_id, distance)`` over every file
+    that ``checkpoint_dir`` has seen, after taking in those that it has not.
+
+    Articles are scored where they are read; a task sends its ``k`` best per query once, which are
+    dealt by ``query_id`` to the state. A batch that is replayed after a failure starts from the
+    state version before it, so each file counts once. The number of state
+    partitions (default: the task slots) is fixed at the first start. Query blocks beyond
+    ``max_block_bytes`` are streams of their own, one after another, each with its own checkpoint; they
+    start anew if the queries no longer give the same blocks.
+    """
+    if encoder is not None:
+        if not encoder.fits:
+            raise ValueError("an encoder table beyond the broadcast bound needs stream_topk")
+        encoder.broadcast(spark)
+        schema = TOKEN_ID_ARTICLES
+    gather = encoder.gather_fn() if encoder is not None else None
+    parts = str(state_partitions or spark.sparkContext.defaultParallelism)
+    states = []
+    for name, block in query_blocks(queries, max_block_bytes):
+        bc = broadcast_block(block)
+        if bc is None:
+            continue
+        folder = f"{checkpoint_dir}/{name}"
+        arrived = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).format(fmt).load(source_dir))
+        near = arrived.mapInArrow(topk_kernel(bc, k, gather), DIST_SCHEMA)
+        changed = near.groupBy("query_id").transformWithStateInPandas(BestArticles(k), DIST_SCHEMA, "Update", "None")
+        with _Settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": parts}):
+            q = (changed.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder)
+                 .trigger(availableNow=True).start())
+            q.awaitTermination()
+            if _has_commits(spark, folder):
+                states.append(written(keyed_state(spark, folder), "state"))
+        bc.destroy()
+    if not states:  # nothing has arrived yet
+        return ranked_order(topk_closest(spark.createDataFrame([], DIST_SCHEMA), k))
+    out = states[0]
+    for more in states[1:]:
+        out = out.unionByName(more)
+    return ranked_order(topk_closest(out, k))
+
+
+def keyed_state(spark: SparkSession, checkpoint_dir: str) -> DataFrame:
+    """``(query_id, article_id, distance)`` as the state store of one stream holds them."""
+    state = spark.read.format("statestore").option("path", checkpoint_dir).option("stateVarName", "best").load()
+    best = F.explode(F.arrays_zip(F.col("value.article_ids"), F.col("value.distances"))).alias("b")
+    return (state.select(F.col("key.query_id").alias("query_id"), best)
+            .select("query_id", F.col("b.article_ids").alias("article_id"), F.col("b.distances").alias("distance")))
+
+
 def stream_articles(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
                     glob: str = "*.json", multi_line: bool = True, max_files_per_trigger: int = 1000,
                     mode: str = "FAILFAST") -> DataFrame:
