@@ -31,6 +31,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number of its own for every row, and that column's name.
+
+    Verdicts on rows are taken by this number, so null ids and ids that several rows share are
+    judged row by row.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text (null or empty: no words)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

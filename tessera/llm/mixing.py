@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, words, written
+from .common import SPACE, keyed_rows, words, written
 
 WEIGHTS, BUDGET_PERCENT, MAX_COPIES = (3, 1, 2), 150, 2
 BLOCK_WORDS, SHARD_WORDS, SEED = 32, 1 << 20, "mix"
@@ -83,8 +83,9 @@ def _key(source: Column) -> Column:
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_copies: int = MAX_COPIES,
-             block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
-    """Per row of ``docs``: ``id, source, size, source_size, target, taken, copies, from_1, to_1, from_2, to_2``.
+             block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED, key_col: str | None = None) -> DataFrame:
+    """Per row of ``docs``: ``id, source, size, source_size, target, taken, copies, from_1, to_1, from_2, to_2``
+    and ``key`` (its ``key_col``, or null), by which rows without an id are dealt to shards.
 
     ``copies`` whole copies are taken, and the word ranges ``[from, to)`` once more (up to two
     where the shard's run wraps around; empty if ``from >= to``): ``taken`` words in all.
@@ -93,7 +94,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     an empty table gives an empty plan. Reruns agree: all choices hang on ids and the seed.
     """
     slim = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _key(F.col(source_col)).alias("sk"),
-                               F.size(words(F.col(text_col))).cast("long").alias("size")), "mix")
+                               F.size(words(F.col(text_col))).cast("long").alias("size"),
+                               (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key")), "mix")
     totals = slim.groupBy("sk").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, budget_percent, max_copies)
     seats = targets.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")) \
@@ -101,7 +103,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sources = written(apportion(seats, ["_all"], ["sk"], "target", "_seats", "blocks")
                       .select("sk", "source_size", "target", "blocks",
                               F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards")), "mix")
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("key").cast("string")), F.lit(""))
     dealt = (slim.join(sources.select("sk", "shards"), "sk")
              .withColumn("shard", F.pmod(_hash32(F.lit(seed), F.lit("shard"), key), F.col("shards"))).drop("shards"))
     cells = dealt.groupBy("sk", "shard").agg(F.sum("size").alias("cell_size"))
@@ -116,7 +118,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
                          (F.col("at") * block).alias("a1"), F.least((F.col("at") + F.col("more")) * block, "cell_size").alias("b1"),
                          F.lit(0).cast("long").alias("a2"),
                          F.greatest(F.lit(0), (F.col("at") + F.col("more") - F.col("n")) * block).cast("long").alias("b2"))
-    order = (Window.partitionBy("sk", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), "id", "size")
+    order = (Window.partitionBy("sk", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(seed), key)), "id", "size", "key")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = (dealt.withColumn("end", F.sum("size").over(order)).withColumn("start", F.col("end") - F.col("size"))
               .join(cells, ["sk", "shard"]))
@@ -127,24 +129,24 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     for i in ("1", "2"):
         taken = taken + F.greatest(F.lit(0), F.col(f"to_{i}") - F.col(f"from_{i}"))
     return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "copies",
-                         "from_1", "to_1", "from_2", "to_2")
+                         "from_1", "to_1", "from_2", "to_2", "key")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The mixed corpus: rows of ``docs`` as often as the plan takes them, all columns kept.
 
     Whole copies keep their text as it is; a part taken once more is the text of those words
-    with the white space between them. Nothing is returned for rows that take nothing. Of
-    rows that share an id, each copy carries that id's first plan row; ids should be unique.
-    Rows with a null id take part in the plan but cannot be looked up and are left out.
+    with the white space between them. Nothing is returned for rows that take nothing. Every
+    row is taken as its own plan row says, also where ids are null or shared.
     """
-    plan = mix_plan(docs, id_col, text_col, **settings).where("taken > 0 and id is not null").dropDuplicates(["id"])
+    rows, key = keyed_rows(docs)
+    plan = mix_plan(rows, id_col, text_col, key_col=key, **settings).where("taken > 0")
     whole = F.when(F.col("copies") > 0, F.array_repeat(F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b")),
                                                         F.col("copies").cast("int"))).otherwise(F.array())
     part = F.filter(F.array(*[F.struct(F.col(f"from_{i}").alias("a"), F.col(f"to_{i}").alias("b")) for i in ("1", "2")]),
                     lambda r: r["b"] > r["a"])
-    takes = plan.select(F.col("id").alias("_mix_id"), F.concat(whole, part).alias("_mix_takes"))
-    joined = docs.join(takes, docs[id_col] == takes["_mix_id"]).withColumn("_mix_take", F.explode("_mix_takes"))
+    takes = plan.select(F.col("key").alias(key), F.concat(whole, part).alias("_mix_takes"))
+    joined = rows.join(takes, key).withColumn("_mix_take", F.explode("_mix_takes"))
     # words, each with the white space after it (the split keeps every character)
     pieces = F.split(F.regexp_replace(F.col(text_col), f"^{SPACE}", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     text = F.when(F.col("_mix_take.a").isNull(), F.col(text_col)).otherwise(F.regexp_replace(

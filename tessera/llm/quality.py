@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import keyed_rows, utf8, written
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -86,18 +86,19 @@ def measure(text: bytes) -> tuple:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_distinct"]
 
 
-def base_counts(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    """``(id, stratum, counts…, base_failed)`` of every whole text (null: no words)."""
+def base_counts(docs: DataFrame, id_col: str, text_col: str, stratum_col: str, key_col: str | None = None) -> DataFrame:
+    """``(id, stratum, counts…, key, base_failed)`` of every whole text (null: no words); ``key`` is
+    null without a ``key_col``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [measure(t) for t in utf8(batch.column(2))]
             cols = zip(*rows) if rows else [[]] * len(COUNTS)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)],
-                                  ["id", "stratum", *COUNTS])
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols), batch.column(3)],
+                                  ["id", "stratum", *COUNTS, "key"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
-                       F.col(text_col).alias("text"))
-    out = read.mapInArrow(run, "id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+                       F.col(text_col).alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key"))
+    out = read.mapInArrow(run, "id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", key long")
     return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
 
 
@@ -192,8 +193,9 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     stratum_col: str = "lang", alpha: float = MAX_FALSE_REJECTION, delta: float = ERROR_RATE) -> DataFrame:
-    """``(id, counts…, base_failed, kept)`` per row of ``docs``.
+                     stratum_col: str = "lang", alpha: float = MAX_FALSE_REJECTION, delta: float = ERROR_RATE,
+                     key_col: str | None = None) -> DataFrame:
+    """``(id, counts…, base_failed, kept, key)`` per row of ``docs`` (``key``: its ``key_col``, or null).
 
     ``kept`` is false if the base rules fail or any rule's score is above the cutoff certified
     for the row's stratum; strata without certified cutoffs (too few labels, no labels, empty
@@ -202,22 +204,22 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     judged like any other; other columns are ignored.
     """
     rules = list(rule_steps())
-    counts = base_counts(docs, id_col, text_col, stratum_col)
+    counts = base_counts(docs, id_col, text_col, stratum_col, key_col)
     scored = written(counts.select("*", *[c.alias(r) for r, c in rule_steps().items()]), "quality")
     cutoffs = certified_cutoffs(scored, labels, id_col, alpha=alpha, delta=delta)
     fails = F.greatest(*[F.coalesce(F.expr(f"{r} > {r}_max"), F.lit(False)) for r in rules])
     return (scored.join(cutoffs, "stratum", "left")
             .withColumn("kept", ~F.col("base_failed") & ~fails)
-            .select("id", *COUNTS, "base_failed", "kept"))
+            .select("id", *COUNTS, "base_failed", "kept", "key"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stratum_col: str = "lang", alpha: float = MAX_FALSE_REJECTION, delta: float = ERROR_RATE) -> DataFrame:
     """``docs`` without the rows that :func:`quality_verdicts` rejects (all columns stay).
 
-    Verdicts are looked up by id: of rows that share an id, all go if any is rejected; rows
-    with a null id are dropped, as nothing can be said of them later.
+    Every row is judged by itself: rows with null ids or ids that several rows share stay or go by
+    their own text.
     """
-    verdicts = quality_verdicts(docs, labels, id_col, text_col, stratum_col, alpha, delta)
-    kept = verdicts.groupBy("id").agg(F.min("kept").alias("k")).where("k").select(F.col("id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    rows, key = keyed_rows(docs)
+    verdicts = quality_verdicts(rows, labels, id_col, text_col, stratum_col, alpha, delta, key)
+    return rows.join(verdicts.where("kept").select(F.col("key").alias(key)), key, "left_semi").drop(key)

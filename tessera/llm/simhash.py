@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
+from .common import keyed_rows, utf8, written
 from .components import connected_components, local_roots
 
 BITS = 64
@@ -199,11 +199,15 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                      max_bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-copy group: the one with the smallest id.
+    """``docs`` with one row of each near-copy group: the one with the smallest id (a null id is
+    larger than all others; of repeated rows with that id the first). All columns stay.
 
-    Rows with a null id are no group's smallest and are kept only when their component is
-    null as well (nothing with an id is like them). All columns stay.
+    Groups are made of rows, whatever their ids: rows with null ids link like any others, and a
+    row that is like nothing else stays.
     """
-    keep = (near_copy_groups(docs, id_col, text_col, shingle, max_bits)
-            .where("id = component").select(F.col("id").alias("_kept_id")).distinct())
-    return docs.join(keep, docs[id_col] == keep["_kept_id"], "left_semi")
+    rows, key = keyed_rows(docs)
+    groups = near_copy_groups(rows, key, text_col, shingle, max_bits).select(F.col("id").alias(key), "component")
+    ids = rows.select(key, F.col(id_col).cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key)))
+    keep = groups.join(ids, key).groupBy("component").agg(first[key].alias(key)).select(key)
+    return rows.join(keep, key, "left_semi").drop(key)

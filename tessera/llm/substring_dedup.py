@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_worker, utf8, written
+from .common import keyed_rows, per_worker, utf8, written
 from .suffix_arrays import window_classes
 
 GRAM = 32
@@ -57,31 +57,33 @@ def whole_copies(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
     return written(later.distinct(), "copies")
 
 
-def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """``(shard, ids, sizes, full, flags, blob)``: texts of some documents, compressed, one after
-    another; ``flags`` has 1 for a null id and 2 for a whole copy, whose text is left out."""
+def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int, key_col: str | None = None) -> DataFrame:
+    """``(shard, ids, sizes, full, flags, keys, blob)``: texts of some documents, compressed, one after
+    another; ``flags`` has 1 for a null id and 2 for a whole copy, whose text is left out; ``keys``
+    are the rows' ``key_col`` (0 without one)."""
     copies = whole_copies(docs, id_col, text_col, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         pack = zstandard.ZstdCompressor(level=3)
-        count, ids, full, flags, texts, size = TaskContext.get().partitionId() << 31, [], [], [], [], 0
+        count, ids, full, flags, keys, texts, size = TaskContext.get().partitionId() << 31, [], [], [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal count, ids, full, flags, texts, size
+            nonlocal count, ids, full, flags, keys, texts, size
             order = np.array([LAST if i is None else i for i in ids], np.int64)
             parts = [order.tobytes(), np.array(list(map(len, texts)), np.int64).tobytes(), np.array(full, np.int64).tobytes(),
-                     bytes(flags), pack.compress(b"".join(texts))]
+                     bytes(flags), np.array(keys, np.int64).tobytes(), pack.compress(b"".join(texts))]
             out = pa.record_batch([pa.array([count], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)],
-                                  ["shard", "ids", "sizes", "full", "flags", "blob"])
-            count, ids, full, flags, texts, size = count + 1, [], [], [], [], 0
+                                  ["shard", "ids", "sizes", "full", "flags", "keys", "blob"])
+            count, ids, full, flags, keys, texts, size = count + 1, [], [], [], [], [], 0
             return out
 
         for batch in batches:
-            for i, text, copy in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+            for i, text, copy, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3))):
                 if ids and (size + (0 if copy else len(text)) > SHARD_BYTES or len(ids) >= MAX_DOCS):
                     yield shard()
                 ids.append(i)
+                keys.append(key)
                 full.append(len(text))
                 flags.append((i is None) + 2 * bool(copy))
                 texts.append(b"" if copy else text)
@@ -89,10 +91,11 @@ def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
         if ids:
             yield shard()
 
-    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                        (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key"))
             .withColumn("digest", F.unhex(F.sha2("text", 256)))
-            .join(copies.withColumn("copy", F.lit(True)), ["id", "digest"], "left").select("id", "text", "copy"))
-    return written(rows.mapInArrow(run, "shard long, ids binary, sizes binary, full binary, flags binary, blob binary"), "shards")
+            .join(copies.withColumn("copy", F.lit(True)), ["id", "digest"], "left").select("id", "text", "copy", "key"))
+    return written(rows.mapInArrow(run, "shard long, ids binary, sizes binary, full binary, flags binary, keys binary, blob binary"), "shards")
 
 
 class Shard:
@@ -446,9 +449,9 @@ def cross_shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
     return close.unionByName(single)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> tuple:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, key_col: str | None = None) -> tuple:
     """``(shards, gone)``: the packed documents and the windows to remove per shard."""
-    shards = write_shards(docs, id_col, text_col, length)
+    shards = write_shards(docs, id_col, text_col, length, key_col)
     _let_go(docs)
     hashes = repeated_hashes(shards, length)
     _let_go(docs)
@@ -468,23 +471,25 @@ def _let_go(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, texts: bool = False) -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` per row, with ``texts`` also ``kept``.
+def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, texts: bool = False,
+              key_col: str | None = None) -> DataFrame:
+    """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` per row, with ``texts`` also ``kept`` and
+    ``key``, the row's ``key_col``.
 
     ``kept`` is the remaining bytes as a string; a character of which some bytes went is
     dropped from it (the digest is over the bytes). Null and empty texts have no bytes.
     Rows with equal ids count as separate documents, in the order in which they were packed;
     null ids come after all others. Empty tables give an empty result.
     """
-    shards, gone = repeats(docs, id_col, text_col, length)
+    shards, gone = repeats(docs, id_col, text_col, length, key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in _unpacked(batch):
                 yield _finish(r, length, texts)
 
-    joined = shards.join(gone, "shard", "left").select("shard", "ids", "sizes", "full", "flags", "blob", "rows", "starts", "ns")
-    ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if texts else "")
+    joined = shards.join(gone, "shard", "left").select("shard", "ids", "sizes", "full", "flags", "keys", "blob", "rows", "starts", "ns")
+    ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, key long" if texts else "")
     return joined.mapInArrow(run, ddl)
 
 
@@ -498,7 +503,8 @@ def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
         np.add.at(change, start + np.array(r["ns"], np.int64) + length - 1, -1)
     covered = np.cumsum(change)[:-1] > 0
     flags, full = r["flags"], np.frombuffer(r["full"], np.int64).tolist()
-    out: list = [[], [], [], [], [], []]
+    keys = np.frombuffer(r["keys"], np.int64).tolist()
+    out: list = [[], [], [], [], [], [], []]
     for i, (lo, hi) in enumerate(zip(shard.begins.tolist(), shard.ends.tolist())):
         hit = covered[lo:hi]
         if flags[i] & 2:  # a whole copy: one run of removed bytes
@@ -508,23 +514,20 @@ def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
             spans = 0 if n == 0 else int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
             kept = raw[lo:hi] if n == 0 else shard.text[lo:hi][~hit].tobytes()
         row = (None if flags[i] & 1 else int(shard.ids[i]), full[i], n, spans, hashlib.sha256(kept).hexdigest(),
-               kept.decode("utf-8", "ignore") if texts else None)
+               kept.decode("utf-8", "ignore") if texts else None, keys[i])
         for c, v in zip(out, row):
             c.append(v)
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:6 if texts else 5]
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "key"][:7 if texts else 5]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
     return pa.record_batch([pa.array(c, k) for c, k, _ in zip(out, kinds, names)], names)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """``docs`` with ``text_col`` cut down to what remains; all rows and columns stay.
 
-    Ids should be unique: rows that share an id all get the remainder of one of them, rows
-    with a null id keep their text.
+    Every row gets its own remainder, also where ids are null or shared.
     """
-    left = (remaining(docs, id_col, text_col, length, texts=True).where("id is not null")
-            .dropDuplicates(["id"]).select(F.col("id").alias("_rest_id"), F.col("kept").alias("_rest")))
-    rest = docs.drop(text_col) if docs.columns.count(text_col) == 1 else docs
-    joined = docs.where(F.col(id_col).isNotNull()).select(*rest.columns).join(left, F.col(id_col) == F.col("_rest_id"))
-    done = joined.select(*[F.col("_rest").alias(c) if c == text_col else F.col(c) for c in docs.columns])
-    return done.unionByName(docs.where(F.col(id_col).isNull()))
+    rows, key = keyed_rows(docs)
+    left = (remaining(rows, id_col, text_col, length, texts=True, key_col=key)
+            .select(F.col("key").alias(key), F.col("kept").alias("_rest")))
+    return rows.drop(text_col).join(left, key).select(*[F.col("_rest").alias(c) if c == text_col else F.col(c) for c in docs.columns])

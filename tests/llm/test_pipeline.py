@@ -63,9 +63,55 @@ def test_run_gives_the_last_stage(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
 
 
-def test_stages_take_odd_tables(spark):
+def _prose(n, start=0):
+    return " ".join(f"w{(start + 7 * i * i) % 9973}" for i in range(n))
+
+
+def _odd_docs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = docs.limit(0).unionByName(spark.createDataFrame([(1, None, None, None, None), (None, "", "en", None, 0), (1, None, None, None, None)], docs.schema))
-    for table in (docs.limit(0), odd):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, table, SF).count()
+    a, b, c, d = _prose(60), _prose(70, 3), _prose(50, 11), _prose(80, 29)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(3, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (None, c, "en", None, 0), (None, "", "en", None, 0),
+            (None, d, None, "t", 0), (6, d, "en", "t", 0), (8, None, None, None, None), (8, "x y", "en", "s", 0),
+            (9, _prose(30, 41) + passage, "en", "s", 0), (9, _prose(35, 57) + passage, "en", "s", 0),
+            (10, _prose(90, 5), "en", "s", 0), (10, _prose(90, 5), "en", "s", 0)]
+    return spark.createDataFrame(rows, docs.schema), rows
+
+
+def test_rows_of_null_and_shared_ids(spark):
+    docs, rows = _odd_docs(spark)
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+    pairs = lambda some: sorted((i is None, i or 0, t or "") for i, t, *_ in some)
+    # quality: a row goes by its own text
+    long = [r for r in rows if r[1] and len(r[1].split()) >= 20]
+    assert texts(corpus_pipeline.quality_rules(spark, docs, SF)) == pairs(long)
+    # near copies: one row of a group, the smallest id before a null one; nothing else goes
+    want = [r for k, r in enumerate(rows) if k not in (1, 5, 12) and r[1]] + [(8, None)]  # null and "" are one group
+    assert texts(corpus_pipeline.simhash_near_dedup(spark, docs, SF)) == pairs(want)
+    # passages: each row its own remainder
+    rest = [(i, t) for i, t in zip([r[0] for r in rows], brute_rest_of(rows))]
+    assert texts(corpus_pipeline.suffix_array_dedup(spark, docs, SF)) == pairs(rest)
+    # mixing: what the plan takes of every row
+    plan = mixing.mix_plan(docs).collect()
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    assert sum(len((r.text or "").split()) for r in mixed) == sum(p.taken for p in plan)
+    assert any(r.doc_id is None for r in mixed) and all(any(r.text in (t or "") for i, t, *_ in rows if i == r.doc_id) for r in mixed)
+    # ids: one row each
+    assert corpus_pipeline.sentencepiece_ids(spark, docs, SF).count() == len(rows)
+
+
+def brute_rest_of(rows):
+    """Remainders in the order of ids (null last, then as given), returned in the given order."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    rest = brute_rest([rows[k][1] or "" for k in order])
+    return [t for _, t in sorted(zip(order, rest))]
+
+
+def test_stages_take_odd_tables(spark):
+    docs, _ = _odd_docs(spark)
+    blank = docs.limit(0).unionByName(spark.createDataFrame([(1, None, None, None, None), (None, "", "en", None, 0), (1, None, None, None, None)], docs.schema))
+    counts = {}
+    for name, table in (("empty", docs.limit(0)), ("blank", blank)):
+        counts[name] = [stage(spark, table, SF).count() for _, stage in corpus_pipeline.STAGES]
+    # blank texts fail the base rules, are one group of near copies, have nothing to remove and nothing to take
+    assert counts == {"empty": [0] * 5, "blank": [0, 1, 3, 0, 3]}
