@@ -49,9 +49,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("tile", [32, 1024])
-def test_equal_to_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", tile)
+@pytest.mark.parametrize("small", [4, 1024])
+def test_equal_to_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
     rows = corpus()
     got = {r.id: (r.n_links, r.component, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()}
     want = brute(rows)
@@ -61,6 +61,39 @@ def test_equal_to_brute_force(spark, monkeypatch, tile):
     assert got == want
 
 
+@pytest.mark.parametrize("small,part", [(1024, 8192), (3, 40)])
+def test_passes_over_labels_larger_than_their_windows(spark, monkeypatch, small, part):
+    """Windows of 16: labels of about 100 to 260 vectors, one a dense group, take several passes."""
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 16)
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
+    monkeypatch.setattr(embedding_dedup, "PART_ROWS", part)
+    rows = corpus()
+    got = {r.id: (r.n_links, r.component, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, ROWS)).collect()}
+    want = brute(rows)
+    assert sum(got[i][0] for i in want) >= 0.9 * sum(n for n, *_ in want.values())
+    links = {r[0]: r for r in rows}
+    for i, (n, component, kept) in got.items():  # nothing that is no link, and components that hang together
+        assert n <= want[i][0] and component >= want[i][1] and kept == (component == i)
+        assert links[component][2] == links[i][2]
+
+
+def test_recall_in_a_label_of_many_windows(spark, monkeypatch):
+    """20,000 vectors of mutual cosine 0.95 with 1,000 closer pairs, windows of 512."""
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 512)
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(64)
+    centre *= np.sqrt(0.95) / np.linalg.norm(centre)
+    m = centre + rng.standard_normal((20_000, 64)) * np.sqrt(0.05 / 64)
+    m[19_000:] = m[:1000] + rng.standard_normal((1000, 64)) * np.sqrt(0.02 / 64)
+    m = m.astype(np.float32)
+    unit = m.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = sum(int((unit[a:a + 2000] @ unit.T >= 0.98).sum()) for a in range(0, 20_000, 2000)) - 20_000
+    df = spark.createDataFrame([(i, v.tolist(), 1, "c", "c") for i, v in enumerate(m)], ROWS).repartition(4)
+    got = embedding_dedup.near_duplicates(df).agg({"n_links": "sum"}).first()[0]
+    assert 0.9 * want <= got <= want
+
+
 def test_odd_rows(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
     v = [1.0, 2.0]
