@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +34,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def keyed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written once with a number of its own for every row, and that column's name.
+    """``docs`` with a string of its own for every row, and that column's name.
 
-    Verdicts on rows are taken by this number, so null ids and ids that several rows share are
-    judged row by row.
+    Rows of Parquet files are named by their file and their place in it, which any re-read
+    gives again; other tables are written once with numbered rows. Verdicts on rows are taken by
+    this name, so null ids and ids that several rows share are judged row by row.
     """
     name = "_row"
     while name in docs.columns:
         name += "_"
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    # only plans that give each row of a file at most once
+    nodes = set(re.findall(r"(?m)^[ :+\-]*(\w+)", docs._jdf.queryExecution().analyzed().toString()))
+    try:
+        if not nodes <= {"Project", "Filter", "Repartition", "RepartitionByExpression", "SubqueryAlias", "Relation"}:
+            raise AnalysisException("rows may have come more than once")
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        rows = docs.withColumn(name, place)
+        rows.schema  # is there such a column?
+        return rows, name
+    except AnalysisException:
+        return written(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "rows"), name
 
 
 def words(text: Column) -> Column:

@@ -95,7 +95,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     slim = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _key(F.col(source_col)).alias("sk"),
                                F.size(words(F.col(text_col))).cast("long").alias("size"),
-                               (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key")), "mix")
+                               (F.col(key_col) if key_col else F.lit(None)).cast("string").alias("key")), "mix")
     totals = slim.groupBy("sk").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, budget_percent, max_copies)
     seats = targets.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")) \
@@ -103,7 +103,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sources = written(apportion(seats, ["_all"], ["sk"], "target", "_seats", "blocks")
                       .select("sk", "source_size", "target", "blocks",
                               F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards")), "mix")
-    key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("key").cast("string")), F.lit(""))
+    key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("key")), F.lit(""))
     dealt = (slim.join(sources.select("sk", "shards"), "sk")
              .withColumn("shard", F.pmod(_hash32(F.lit(seed), F.lit("shard"), key), F.col("shards"))).drop("shards"))
     cells = dealt.groupBy("sk", "shard").agg(F.sum("size").alias("cell_size"))

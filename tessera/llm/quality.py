@@ -97,8 +97,8 @@ def base_counts(docs: DataFrame, id_col: str, text_col: str, stratum_col: str, k
                                   ["id", "stratum", *COUNTS, "key"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
-                       F.col(text_col).alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key"))
-    out = read.mapInArrow(run, "id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", key long")
+                       F.col(text_col).alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("string").alias("key"))
+    out = read.mapInArrow(run, "id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", key string")
     return out.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
 
 

@@ -45,8 +45,9 @@ def text_fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(id, fp)``: the signed 64-bit SimHash of every whole text.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                 key_col: str | None = None) -> DataFrame:
+    """``(id, fp)``, with a ``key_col`` also ``key``: the signed 64-bit SimHash of every whole text.
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles count with repeats; a
     text with fewer words is one shingle; null, empty and blank texts get fingerprint 0.
@@ -55,9 +56,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((text_fingerprint(t, shingle) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["id", "fp", "key"][:batch.num_columns])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    key = [F.col(key_col).alias("key")] if key_col else []
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *key)
+            .mapInArrow(run, "id long, fp long" + (", key string" if key else "")))
 
 
 def _blocks(max_bits: int) -> list:
@@ -202,12 +205,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each near-copy group: the one with the smallest id (a null id is
     larger than all others; of repeated rows with that id the first). All columns stay.
 
-    Groups are made of rows, whatever their ids: rows with null ids link like any others, and a
-    row that is like nothing else stays.
+    Groups are made of fingerprints, whatever the ids: rows with null ids link like any others, and
+    a row that is like nothing else stays.
     """
     rows, key = keyed_rows(docs)
-    groups = near_copy_groups(rows, key, text_col, shingle, max_bits).select(F.col("id").alias(key), "component")
-    ids = rows.select(key, F.col(id_col).cast("long").alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key)))
-    keep = groups.join(ids, key).groupBy("component").agg(first[key].alias(key)).select(key)
+    fps = written(fingerprints(rows, id_col, text_col, shingle, key), "simhash")
+    # a fingerprint stands for its rows, by its own number
+    reps = fps.select("fp").distinct().withColumn("rep", F.col("fp"))
+    found = connected_components(near_links(reps, max_bits))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    firsts = fps.groupBy("fp").agg(first.alias("first"))
+    keep = (firsts.join(found, firsts["fp"] == found["node"], "left").groupBy(F.coalesce("component", "fp"))
+            .agg(F.min("first")["key"].alias(key)).select(key))
     return rows.join(keep, key, "left_semi").drop(key)

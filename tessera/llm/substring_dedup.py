@@ -60,7 +60,7 @@ def whole_copies(docs: DataFrame, id_col: str, text_col: str, length: int) -> Da
 def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int, key_col: str | None = None) -> DataFrame:
     """``(shard, ids, sizes, full, flags, keys, blob)``: texts of some documents, compressed, one after
     another; ``flags`` has 1 for a null id and 2 for a whole copy, whose text is left out; ``keys``
-    are the rows' ``key_col`` (0 without one)."""
+    are the rows' ``key_col``, one a line."""
     copies = whole_copies(docs, id_col, text_col, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int, key_c
             nonlocal count, ids, full, flags, keys, texts, size
             order = np.array([LAST if i is None else i for i in ids], np.int64)
             parts = [order.tobytes(), np.array(list(map(len, texts)), np.int64).tobytes(), np.array(full, np.int64).tobytes(),
-                     bytes(flags), np.array(keys, np.int64).tobytes(), pack.compress(b"".join(texts))]
+                     bytes(flags), "\n".join(keys).encode(), pack.compress(b"".join(texts))]
             out = pa.record_batch([pa.array([count], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)],
                                   ["shard", "ids", "sizes", "full", "flags", "keys", "blob"])
             count, ids, full, flags, keys, texts, size = count + 1, [], [], [], [], [], 0
@@ -92,7 +92,7 @@ def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int, key_c
             yield shard()
 
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                        (F.col(key_col) if key_col else F.lit(0)).cast("long").alias("key"))
+                        (F.col(key_col) if key_col else F.lit("")).alias("key"))
             .withColumn("digest", F.unhex(F.sha2("text", 256)))
             .join(copies.withColumn("copy", F.lit(True)), ["id", "digest"], "left").select("id", "text", "copy", "key"))
     return written(rows.mapInArrow(run, "shard long, ids binary, sizes binary, full binary, flags binary, keys binary, blob binary"), "shards")
@@ -489,7 +489,7 @@ def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield _finish(r, length, texts)
 
     joined = shards.join(gone, "shard", "left").select("shard", "ids", "sizes", "full", "flags", "keys", "blob", "rows", "starts", "ns")
-    ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, key long" if texts else "")
+    ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, key string" if texts else "")
     return joined.mapInArrow(run, ddl)
 
 
@@ -503,7 +503,7 @@ def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
         np.add.at(change, start + np.array(r["ns"], np.int64) + length - 1, -1)
     covered = np.cumsum(change)[:-1] > 0
     flags, full = r["flags"], np.frombuffer(r["full"], np.int64).tolist()
-    keys = np.frombuffer(r["keys"], np.int64).tolist()
+    keys = r["keys"].decode().split("\n")
     out: list = [[], [], [], [], [], [], []]
     for i, (lo, hi) in enumerate(zip(shard.begins.tolist(), shard.ends.tolist())):
         hit = covered[lo:hi]
@@ -518,7 +518,7 @@ def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
         for c, v in zip(out, row):
             c.append(v)
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "key"][:7 if texts else 5]
-    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 3
     return pa.record_batch([pa.array(c, k) for c, k, _ in zip(out, kinds, names)], names)
 
 
