@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import types as T
 
 from tessera.llm import mixing
+from tessera.llm.common import keyed_rows
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()),
                      T.StructField("size", T.StringType()), T.StructField("shard", T.StringType())])
@@ -89,10 +90,16 @@ def test_mixed_rows_carry_the_taken_words(spark):
     words = {}
     for r in out.collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-    want = {r.id: r.taken for r in mixing.mix_plan(df, block=8, shard_words=2000).collect() if r.taken and r.id is not None}
-    assert words == want
-    texts = dict((r[0], r[1]) for r in rows())
-    assert all(r.text.strip() in texts[r.doc_id] for r in out.collect())
+    keyed, key = keyed_rows(df)  # rows without an id are dealt by their own key, and taken like any others
+    want = {}
+    for r in mixing.mix_plan(keyed, block=8, shard_words=2000, key_col=key).collect():
+        if r.taken:
+            want[r.id] = want.get(r.id, 0) + r.taken
+    assert words == want and None in want
+    texts = {}
+    for r in rows():
+        texts.setdefault(r[0], []).append(r[1] or "")
+    assert all(any(r.text.strip() in t for t in texts[r.doc_id]) for r in out.collect())
 
 
 def test_empty_table(spark):
