@@ -453,6 +453,8 @@ SELECT doc_id, beam, cand, CAST(score AS FLOAT) AS score, finished, {_HTEXT} AS
 SELECT doc_id, beam, cand, CAST((beam * 1000 + token_id) // 1000 AS INTEGER) AS beam_rec,
        CAST((beam * 1000 + token_id) % 1000 AS INTEGER) AS token_rec FROM nb""",
 }
+MODEL_SQL["segment_ids_long"] = MODEL_SQL["segment_ids"]
+MODEL_SQL["token_to_id_shuffled"] = MODEL_SQL["token_to_id"]
 MODEL_SQL["embed_query"] = "WITH " + _EMB + f""",
 qw AS (SELECT item_id AS query_id, {_WORDS.format(t='text')} AS w FROM benchmark),
 qd AS (SELECT query_id, flatten({_WINDOWS.format(w='w')}) AS toks FROM qw),

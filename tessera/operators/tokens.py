@@ -337,9 +337,47 @@ def basic_tokenize(df: DataFrame, text_col: str = "text", out_col: str = "words"
 
 def segment_ids_long(long: DataFrame, key_col: str, pos_col: str, id_col: str, separator) -> DataFrame:
     """``segment_ids`` on a long table ``(key, pos, id)``: running count of separators up to
-    each position, minus one, modulo 2 (``pmod``: -1 -> 1). A window per key, so one block
-    (at most ``block_size`` rows) per group."""
+    each position, minus one, modulo 2 (``pmod``: -1 -> 1).
+
+    A segmented prefix sum in two passes, so that a sequence may be longer than a task: rows are
+    range-sorted by (key, pos), each task counts along its own rows and the counts are written
+    (which cuts the lineage, so both passes see the same cuts); then what earlier tasks
+    counted of a sequence that a cut runs through is added. Only the sequences at the cuts
+    need that: at most two rows per task, which bounds the broadcast.
+    """
     from pyspark.sql import Window
-    w = Window.partitionBy(key_col).orderBy(pos_col).rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(F.when(F.col(id_col) == F.lit(separator), 1).otherwise(0)).over(w)
-    return long.withColumn("seg", F.pmod(running - 1, F.lit(2)).cast("int"))
+
+    from ..session import scratch_path
+    spark = long.sparkSession
+    columns = long.columns
+    schema = T.StructType([*long.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_count", T.LongType())])
+    ordered = long.repartitionByRange(key_col, pos_col).sortWithinPartitions(key_col, pos_col)
+
+    def count(batches):
+        from pyspark import TaskContext
+        task, key, carried, begun = TaskContext.get().partitionId(), None, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, found = batch.column(key_col), pc.fill_null(pc.equal(batch.column(id_col), separator), False)
+            hits = np.cumsum(found.to_numpy(zero_copy_only=False).astype(np.int64))
+            coded = pc.fill_null(pc.dictionary_encode(keys).indices, -1).to_numpy()
+            first = np.append(0, np.flatnonzero(np.diff(coded)) + 1)  # where each sequence begins
+            before = np.append(0, hits)[first]
+            if begun and keys[0].as_py() == key:
+                before[0] -= carried  # goes on from the batch before
+            counts = hits - np.repeat(before, np.diff(np.append(first, batch.num_rows)))
+            key, carried, begun = keys[batch.num_rows - 1].as_py(), int(counts[-1]), True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, task, np.int32)), pa.array(counts)],
+                                             names=[*columns, "_task", "_count"])
+
+    path = scratch_path(spark, "segments")
+    ordered.mapInArrow(count, schema).write.parquet(path)
+    counted = spark.read.schema(schema).parquet(path)
+    totals = counted.groupBy(key_col, "_task").agg(F.max("_count").alias("_n"))
+    cut = totals.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(key_col))).filter("_parts > 1")
+    earlier = Window.partitionBy(key_col).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.select(F.col(key_col).alias("_key"), F.col("_task").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    out = counted.join(F.broadcast(offsets), counted[key_col].eqNullSafe(offsets["_key"]) & (counted["_task"] == offsets["_at"]), "left")
+    seg = F.pmod(F.col("_count") + F.coalesce("_off", F.lit(0)) - 1, F.lit(2)).cast("int")
+    return out.select(*columns, seg.alias("seg"))

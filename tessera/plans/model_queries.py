@@ -53,14 +53,21 @@ def model_input_rows(spark, sf_dir):
                        _sum_array(F.col("input_type_ids")).cast("int").alias("type_sum"))
 
 
-def _token_ids_long(spark, sf_dir):
+def _token_ids_long(spark, sf_dir, max_entries=TK.MAX_VOCAB_ENTRIES):
     vocab = _vocab(spark, sf_dir, "benchmark")  # a smaller vocabulary: unknown words occur
+    vocab.max_entries = max_entries
     long = _doc_tokens(spark, sf_dir).select("doc_id", F.posexplode("words").alias("pos", "token"))
     return TK.token_ids_long(long, vocab), vocab
 
 
-def token_to_id(spark, sf_dir):
-    ided, vocab = _token_ids_long(spark, sf_dir)
+def token_to_id_shuffled(spark, sf_dir):
+    """``token_to_id`` with a vocabulary that may not be broadcast: a sketch finds the frequent
+    words, whose rows stay where they are; the others are shuffled."""
+    return token_to_id(spark, sf_dir, max_entries=0)
+
+
+def token_to_id(spark, sf_dir, max_entries=TK.MAX_VOCAB_ENTRIES):
+    ided, vocab = _token_ids_long(spark, sf_dir, max_entries)
     unk = vocab.id_of(AR.UNK)
     return ided.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
@@ -119,6 +126,16 @@ def segment_ids(spark, sf_dir):
     return e.select("conv_id", F.array_join(AR.segment_ids(F.col("ids"), vocab.id_of(AR.CLS)), "").alias("segs"))
 
 
+def segment_ids_long(spark, sf_dir):
+    """The same segments by a prefix sum over the long table of all stories' ids."""
+    e, vocab = _encoded(spark, sf_dir)
+    long = e.select("conv_id", F.posexplode("ids").alias("pos", "id"))
+    segs = TK.segment_ids_long(long, "conv_id", "pos", "id", vocab.id_of(AR.CLS))
+    # one string per story, bounded by its length
+    rows = segs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seg"))).alias("s"))
+    return rows.select("conv_id", F.array_join(F.transform("s", lambda x: x["seg"]), "").alias("segs"))
+
+
 def truncate_or_pad(spark, sf_dir):
     c, _ = _collated(spark, sf_dir)
     return c.select("conv_id", F.array_join("src", ",").alias("src"))
@@ -375,11 +392,13 @@ QUERIES = {
     "add_special_tokens": add_special_tokens,
     "model_input_rows": model_input_rows,
     "token_to_id": token_to_id,
+    "token_to_id_shuffled": token_to_id_shuffled,
     "id_to_token": id_to_token,
     "truncate_pair": truncate_pair,
     "encode_story": encode_story,
     "collate_rows": collate_rows,
     "segment_ids": segment_ids,
+    "segment_ids_long": segment_ids_long,
     "truncate_or_pad": truncate_or_pad,
     "build_mask": build_mask,
     "source_excerpt": source_excerpt,

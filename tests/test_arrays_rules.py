@@ -109,3 +109,26 @@ def test_segment_ids_window_form_equals_row_form(spark):
     for r in win:
         by_key.setdefault(r["k"], []).append(r["seg"])
     assert by_key == per_row == {k: py_segments(s, 1) for k, s in rows}
+
+
+def test_segments_of_a_sequence_over_many_tasks(spark):
+    """One sequence of 5,000 ids and some short ones (a null key too), cut into eight tasks."""
+    import random
+
+    from tessera.functions.arrays import segment_ids
+    from tessera.operators.tokens import segment_ids_long
+    rnd = random.Random(9)
+    rows = {"long": [rnd.choice([1, 2, 3, 4]) for _ in range(5000)], None: [2, 1, 3, 1], "a": [1], "b": [3, 3], "m": [1, 1, 2, None, 1]}
+    table = [(k, i, x) for k, ids in rows.items() for i, x in enumerate(ids)]
+    rnd.shuffle(table)
+    long = spark.createDataFrame(table, "k string, pos int, id int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = segment_ids_long(long, "k", "pos", "id", 1).collect()
+        whole = spark.createDataFrame([(k, [-1 if x is None else x for x in ids]) for k, ids in rows.items()], "k string, ids array<int>")
+        want = {r.k: r.s for r in whole.select("k", segment_ids(F.col("ids"), 1).alias("s")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(table) and all(r.seg == want[r.k][r.pos] for r in got)
