@@ -503,7 +503,7 @@ def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
         np.add.at(change, start + np.array(r["ns"], np.int64) + length - 1, -1)
     covered = np.cumsum(change)[:-1] > 0
     flags, full = r["flags"], np.frombuffer(r["full"], np.int64).tolist()
-    keys = r["keys"].decode().split("\n")
+    keys = r["keys"].decode().split("\n") if texts else [None] * len(full)
     out: list = [[], [], [], [], [], [], []]
     for i, (lo, hi) in enumerate(zip(shard.begins.tolist(), shard.ends.tolist())):
         hit = covered[lo:hi]
