@@ -114,17 +114,23 @@ class RunningTopK:
         (micro-units). They are taken ``CHUNK`` at a time, so that the limits fall and the worth of
         bounds is known early."""
         starts = np.append(0, np.cumsum(counts)[:-1]).astype(np.int64)
-        table = near = balls = None
+        table = near = balls = least = None
         if len(X) < len(row_of) and len(X) * self.payload["Qu"].shape[0] <= self.cells:
             # vectors that articles share, and few: squared distances of all, and their roots in single precision
             table = self.sq_dist(X, self.payload["Qu"])
             near = np.sqrt(np.maximum(table[0] + table[1][None, :], 0)).astype(np.float32)
+        elif len(X) < len(row_of):  # too many for one table: their minima a block of query tokens at a time
+            least = self._shared_minima(X, row_of, counts)
         for a in range(0, len(ids), CHUNK):
             some = np.arange(a, min(a + CHUNK, len(ids)))
             tokens = row_of[starts[a]:starts[some[-1]] + counts[some[-1]]]
             self.seen += len(some) * len(self.columns)
             self.seen_articles += len(some)
             self.chunks += 1
+            if least is not None:
+                bounds = self._lowered_mean(least[some].astype(np.float64), 2e-7)
+                self._score_bounded(some, bounds, ids, X, row_of, starts, counts, table)
+                continue
             bounds = np.zeros((len(some), len(self.columns)))
             if self.chunks > 1 and (self.worth or not self.tried or self.chunks % PAUSE == 0):
                 balls = balls or self._balls(X)
@@ -153,6 +159,28 @@ class RunningTopK:
         self._score(marked, ids, X, row_of, starts, counts, table)
         self.scored_articles += int((done | more).any(axis=1).sum())
 
+    def _shared_minima(self, X: np.ndarray, row_of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Lower bound of the smallest distance of every article (rows) to every distinct query token
+        (columns), in single precision, from tables of at most ``cells`` squared distances."""
+        Q = self.payload["Qu"]
+        xx, qq = np.einsum("ij,ij->i", X, X), np.einsum("ij,ij->i", Q, Q)
+        most = xx.max(initial=0.0)
+        kind = np.float32 if most + qq.max(initial=0.0) < 1e36 else np.float64
+        # a sum of n products is off by less than n times the rounding of the largest of them
+        slack = 2 * (Q.shape[1] + 8) * np.finfo(kind).eps * (most + qq)
+        X, Q, xx = X.astype(kind), (-2.0 * Q).astype(kind), xx.astype(kind)
+        out = np.empty((len(counts), len(qq)), np.float32)
+        stops, step = np.cumsum(counts), max(1, self.cells // max(1, len(X)))
+        for c in range(0, len(qq), step):
+            part = slice(c, c + step)
+            table = X @ Q[part].T
+            table += xx[:, None]
+            mins = np.empty((len(counts), table.shape[1]), kind)
+            for i, (n, stop) in enumerate(zip(counts, stops)):
+                table[row_of[stop - n:stop]].min(axis=0, out=mins[i])
+            out[:, part] = np.sqrt(np.maximum(mins + (qq[part] - slack[part]), 0))
+        return out
+
     def _single(self, near: np.ndarray, tokens: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np.ndarray:
         """Bounds of some articles from distances in single precision, lowered by its rounding."""
         stops = np.cumsum(counts)
@@ -181,7 +209,15 @@ class RunningTopK:
             for some in _slices(counts[mine], max(1, self.tile // len(columns))):
                 chosen = mine[some]
                 tokens = row_of[_places(starts[chosen], counts[chosen])]
-                G, rest = (part[0][tokens], part[1]) if part is not None else self.sq_dist(X[tokens], self.payload["Qu"][columns])
+                if part is not None:
+                    G, rest = part[0][tokens], part[1]
+                elif len(X) < len(tokens):  # shared vectors once
+                    used = np.zeros(len(X), bool)
+                    used[tokens] = True
+                    G, rest = self.sq_dist(X[used], self.payload["Qu"][columns])
+                    G = G[(np.cumsum(used) - 1)[tokens]]
+                else:
+                    G, rest = self.sq_dist(X[tokens], self.payload["Qu"][columns])
                 mins = np.minimum.reduceat(G, np.cumsum(counts[chosen]) - counts[chosen], axis=0) + rest[None, :]
                 dist = np.floor(np.sqrt(np.maximum(mins, 0)) * self.micro + 0.5)
                 self._offer(query, ids[chosen], dist.sum(axis=1) / len(columns) / self.pico)

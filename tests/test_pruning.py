@@ -88,3 +88,25 @@ def test_blocks_one_after_another(spark):
     arts, queries = _tables(spark, np.random.default_rng(3), 6, 200, 0.1)
     whole = {tuple(r) for r in SR.nearest_articles(arts, queries, 5).collect()}
     assert {tuple(r) for r in SR.nearest_articles(arts, queries, 5, max_block_bytes=3000).collect()} == whole
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e13])
+def test_shared_vectors_beyond_one_table_are_bounded_by_blocks(monkeypatch, scale):
+    rng = np.random.default_rng(3)
+    X = np.round(rng.normal(0, 1, (300, 8)) * 1e6 * scale)
+    Q = X[rng.integers(0, 300, 24)] + np.round(rng.normal(0, 1e3, (24, 8)))
+    payload = {"Q": Q, "Qu": Q, "inv": np.arange(24), "starts": np.arange(0, 24, 3), "counts": np.full(8, 3), "dim": 8,
+               "query_ids": np.arange(8)}
+    counts = rng.integers(1, 30, 600)
+    row_of = rng.integers(0, 300, int(counts.sum()))
+    monkeypatch.setattr(pruning, "CHUNK", 50)
+
+    def best(cells):
+        found = pruning.RunningTopK(payload, 4, 1000, cells, SR._partial_sq_dist, SR.MICRO, SR.PICO)
+        found.add(np.arange(600), X, row_of, counts)
+        return found
+
+    one, blocks = best(10 ** 6), best(100)
+    assert one.real.all() and (one.ids == blocks.ids).all() and (one.dist == blocks.dist).all()
+    if scale == 1.0:
+        assert blocks.scored < blocks.seen / 4
