@@ -17,6 +17,7 @@ distinct token ids are joined to it (``token_vectors``), so its size has no limi
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -286,19 +287,109 @@ def token_vectors_long(df: DataFrame, key_col: str = "article_id", tokens_col: s
             .select(key_col, "pos", F.col("z.token").alias("token"), round_vector("z.vec").alias("vec")))
 
 
-def vectors_by_token(long: DataFrame, key_col: str = "article_id") -> DataFrame:
+def gathered(df: DataFrame, key_col: str) -> DataFrame:
+    """``df`` with the rows of a key next to each other in one task, which later row-wise steps keep."""
+    return df.repartition(key_col).sortWithinPartitions(key_col)
+
+
+def _key_runs(batches, schema: pa.Schema, rows: int = 4096):
+    """Batches of a gathered table as tables of whole keys with the number of each row's key."""
+    held, n = [], 0
+
+    def numbered(table):
+        codes = pc.fill_null(pc.dictionary_encode(table.column(0).combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+        return np.append(0, np.cumsum(codes[1:] != codes[:-1]))
+
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        held.append(rb)
+        n += rb.num_rows
+        if n < rows:
+            continue
+        table = pa.Table.from_batches(held, schema).combine_chunks()
+        runs = numbered(table)
+        cut = int(np.searchsorted(runs, runs[-1]))  # the last key may go on
+        if cut:
+            yield table.slice(0, cut).combine_chunks(), runs[:cut]
+        held, n = table.slice(cut).combine_chunks().to_batches(), 0
+    if held:
+        table = pa.Table.from_batches(held, schema).combine_chunks()
+        yield table, numbered(table)
+
+
+def _sorted_by_vector(table: pa.Table, runs: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``order`` with rows of one key, token and position (a key's rows repeat) ordered by their vectors."""
+    pos, token = (table.column(c).combine_chunks().take(order) for c in ("pos", "token"))
+    same = (runs[order][1:] == runs[order][:-1]) & pc.fill_null(pc.equal(pos[1:], pos[:-1]), False).to_numpy(zero_copy_only=False)
+    same &= pc.fill_null(pc.equal(token[1:], token[:-1]), False).to_numpy(zero_copy_only=False)
+    out, firsts = order.copy(), np.flatnonzero(np.append(True, ~same))
+    for a, b in zip(firsts, np.append(firsts[1:], len(order))):
+        if b - a > 1:
+            vecs = table.column("vec").take(order[a:b]).to_pylist()
+            out[a:b] = order[a:b][sorted(range(b - a), key=lambda i: vecs[i])]
+    return out
+
+
+def _tokens_folded(batches, schema: pa.Schema, names: list):
+    for table, runs in _key_runs(batches, schema):
+        code = pc.dictionary_encode(table.column("token").combine_chunks()).indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((table.column("pos").to_numpy(), code, runs))
+        order = _sorted_by_vector(table, runs, order)
+        first = np.flatnonzero(np.append(True, (runs[order][1:] != runs[order][:-1]) | (code[order][1:] != code[order][:-1])))
+        ends = np.append(first, len(order))
+        vectors = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), table.column("vec").combine_chunks().take(order))
+        head = order[first]
+        key, token, pos = (table.column(i).combine_chunks().take(head) for i in (0, 2, 1))
+        out = pa.RecordBatch.from_arrays([key, token, pos, pa.array(np.diff(ends).astype(np.int32)), vectors], names=names)
+        yield from row_slices(out, table.nbytes / max(1, out.num_rows))
+
+
+def vectors_by_token(long: DataFrame, key_col: str = "article_id", in_runs: bool = False) -> DataFrame:
     """Per document and token, its vectors in position order (``token -> [vectors]``).
 
-    A group is one token's occurrences in one document, whose whole text is read.
+    A group is one token's occurrences in one document, whose whole text is read. With ``in_runs``
+    the rows of a key are next to each other (``gathered`` before the vectors were made): they are
+    folded where they are and no vector is shuffled; a task holds one key's rows.
     """
+    if in_runs:
+        schema = T.StructType([long.schema[key_col], long.schema["token"], T.StructField("first_pos", T.IntegerType()),
+                               T.StructField("n_vectors", T.IntegerType()), T.StructField("vectors", T.ArrayType(long.schema["vec"].dataType))])
+        rows = long.select(key_col, "pos", "token", "vec")
+        return rows.mapInArrow(lambda batches: _folded(batches, _tokens_folded, schema.names), schema)
     return (long.groupBy(key_col, "token")
             .agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("occ"))
             .select(key_col, "token", F.col("occ")[0]["pos"].alias("first_pos"),
                     F.size("occ").alias("n_vectors"), F.transform("occ", lambda o: o["vec"]).alias("vectors")))
 
 
-def token_vector_map(by_token: DataFrame, key_col: str = "article_id") -> DataFrame:
-    """Nested view ``map<token, array<vector>>`` per document, built after grouping (keys unique)."""
+def _folded(batches, fold, names: list):
+    """``fold`` over the batches under the first one's schema (none: nothing)."""
+    batches = iter(batches)
+    head = next(batches, None)
+    if head is not None:
+        yield from fold(chain([head], batches), head.schema, names)
+
+
+def _maps_folded(batches, schema: pa.Schema, names: list):
+    for table, runs in _key_runs(batches, schema):
+        keyed = pa.table({"run": runs, "pos": table.column("first_pos"), "token": table.column("token")})
+        order = pc.sort_indices(keyed, [("run", "ascending"), ("pos", "ascending"), ("token", "ascending")])
+        first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+        token, vectors = (table.column(c).combine_chunks().take(order) for c in ("token", "vectors"))
+        maps = pa.MapArray.from_arrays(pa.array(np.append(first, len(runs)).astype(np.int32)), token, vectors)
+        out = pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(pa.array(first)), maps], names=names)
+        yield from row_slices(out, table.nbytes / max(1, out.num_rows))
+
+
+def token_vector_map(by_token: DataFrame, key_col: str = "article_id", in_runs: bool = False) -> DataFrame:
+    """Nested view ``map<token, array<vector>>`` per document, built after grouping (keys unique).
+    ``in_runs`` as in ``vectors_by_token``, whose rows it then takes."""
+    if in_runs:
+        schema = T.StructType([by_token.schema[key_col], T.StructField("token_vectors", T.MapType(
+            by_token.schema["token"].dataType, by_token.schema["vectors"].dataType))])
+        rows = by_token.select(key_col, "token", "first_pos", "vectors")
+        return rows.mapInArrow(lambda batches: _folded(batches, _maps_folded, schema.names), schema)
     entries = F.sort_array(F.collect_list(F.struct("first_pos", "token", "vectors")))
     return by_token.groupBy(key_col).agg(
         F.map_from_entries(F.transform(entries, lambda s: F.struct(s["token"], s["vectors"]))).alias("token_vectors"))

@@ -197,6 +197,17 @@ def _text_embeddings(spark, sf_dir):
     return P.embed_texts(P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull()), enc, "article_id")
 
 
+def _by_token(spark, sf_dir):
+    """Each article's vectors by token. Texts are shuffled by article, the vectors made of them are
+    not; a lookup table beyond the broadcast bound is joined, which loses the order."""
+    enc = P.lookup_encoder(spark, sf_dir)
+    texts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
+    if not enc.fits:
+        return E.vectors_by_token(E.token_vectors_long(P.embed_texts(texts, enc, "article_id"), "article_id"), "article_id"), False
+    long = E.token_vectors_long(P.embed_texts(E.gathered(texts, "article_id"), enc, "article_id"), "article_id")
+    return E.vectors_by_token(long, "article_id", in_runs=True), True
+
+
 def embed_tokens(spark, sf_dir):
     return _vector_checksum(_text_embeddings(spark, sf_dir), "article_id", "vecs")
 
@@ -255,16 +266,14 @@ def micro_batch(spark, sf_dir):
 
 
 def flatten_vectors(spark, sf_dir):
-    e = _text_embeddings(spark, sf_dir)
-    long = E.token_vectors_long(e, "article_id")
-    m = E.token_vector_map(E.vectors_by_token(long, "article_id"), "article_id")
+    by, in_runs = _by_token(spark, sf_dir)
+    m = E.token_vector_map(by, "article_id", in_runs)
     flat = m.select("article_id", E.flatten_vectors(F.col("token_vectors")).alias("v"))
     return _vector_checksum(flat, "article_id", "v")
 
 
 def vectors_by_token(spark, sf_dir):
-    long = E.token_vectors_long(_text_embeddings(spark, sf_dir), "article_id")
-    by = E.vectors_by_token(long, "article_id")
+    by, _ = _by_token(spark, sf_dir)
     return by.select("article_id", "token", "first_pos", "n_vectors", _vec_sum(F.flatten("vectors")).alias(VEC_SUM))
 
 
