@@ -288,7 +288,10 @@ def wordpiece_tokenize(df: DataFrame, vocab: Vocabulary, text_col: str = "text",
                        ) -> DataFrame:
     """Lower-case, split on whitespace and punctuation, greedy longest match against the
     vocabulary (``##`` continuations), unknown word -> ``[UNK]``. One tokenizer per Python
-    worker; texts are encoded in Arrow batches."""
+    worker; texts are encoded in Arrow batches. A vocabulary beyond the broadcast bound is
+    joined to the texts' distinct words and their parts."""
+    if not vocab.fits_broadcast:
+        return _wordpiece_by_join(df, vocab, text_col, out_col)
     bc = vocab.broadcast(df.sparkSession)
     keep = list(df.columns)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.StringType()))])
@@ -304,6 +307,52 @@ def wordpiece_tokenize(df: DataFrame, vocab: Vocabulary, text_col: str = "text",
     return df.mapInArrow(run, schema)
 
 
+MAX_WORD_CHARS = 100  # a longer word is unknown (the library's rule)
+
+
+def _parts(batches):
+    """``(word, token)`` for every part of a word that may be looked up: its beginnings, and ``##`` + others."""
+    for rb in batches:
+        for word in rb.column(0).to_pylist():
+            n = len(word)
+            parts = [word[i:j] if i == 0 else "##" + word[i:j] for i in range(n) for j in range(i + 1, n + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([word] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["word", "token"])
+
+
+def _cut_words(batches):
+    """Pieces of words by the library, whose vocabulary is what was found of a batch's words' parts."""
+    from tokenizers import models
+    for rb in batches:
+        known = dict.fromkeys([UNK, *pc.unique(rb.column(1).flatten()).to_pylist()])
+        model = models.WordPiece(vocab={t: i for i, t in enumerate(known)}, unk_token=UNK, max_input_chars_per_word=MAX_WORD_CHARS)
+        pieces = [[t.value for t in model.tokenize(word)] for word in rb.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(pieces, pa.list_(pa.string()))], names=["word", "pieces"])
+
+
+def _wordpiece_by_join(df: DataFrame, vocab: Vocabulary, text_col: str, out_col: str) -> DataFrame:
+    """WordPiece without a broadcast vocabulary: a distinct word that is an entry is its own piece; the
+    parts of the others are joined to the vocabulary, and the library cuts each word with those found."""
+    from ..session import scratch_path
+    spark, columns = df.sparkSession, list(df.columns)
+    path = scratch_path(spark, "rows")
+    basic_tokenize(df.withColumn("_row", F.monotonically_increasing_id()), text_col, "_words").write.parquet(path)
+    keyed = spark.read.parquet(path)
+    long = keyed.select("_row", F.posexplode("_words").alias("_pos", "word"))
+    entries = vocab.token_table.select("token")
+    words_ = long.select("word").distinct()
+    short = words_.filter(F.length("word") <= MAX_WORD_CHARS)
+    whole = short.join(entries, F.col("word") == F.col("token"), "left_semi").select("word", F.array("word").alias("pieces"))
+    other = short.join(entries, F.col("word") == F.col("token"), "left_anti")
+    found = (other.mapInArrow(_parts, "word string, token string").join(entries, "token", "left_semi")
+             .groupBy("word").agg(F.collect_set("token").alias("tokens")))  # one word's parts, a bounded number
+    cut = found.mapInArrow(_cut_words, "word string, pieces array<string>")
+    pieces = long.join(whole.unionByName(cut), "word", "left").select(
+        "_row", "_pos", F.coalesce("pieces", F.array(F.lit(UNK))).alias("pieces"))  # no part found, or too long
+    rows = pieces.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "pieces"))),
+                                                            lambda p: p["pieces"])).alias("_pieces"))
+    return keyed.join(rows, "_row", "left").select(*columns, F.coalesce("_pieces", F.array().cast("array<string>")).alias(out_col))
+
+
 def special_ids(vocab: Vocabulary) -> dict:
     return {t: vocab.id_of(t) for t in (PAD, UNK, CLS, SEP)}
 
