@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 import html
+import math
 import re
 
+import numpy as np
+
 # Element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -38,7 +40,7 @@ LITTLE_TEXT = 100
 
 #: elements nested deeper count as part of their ancestor at this depth when trees are aligned
 MAX_DEPTH = 100
-#: child lists with more pairs to compare are matched label by label, first come first served
+#: child lists with more pairs to compare get their table a row at a time (the same match, less memory)
 MAX_PAIRS = 40_000
 
 
@@ -234,7 +236,10 @@ def matching(a: tuple, b: tuple, memo: dict) -> int:
     key = (a, b)
     if key not in memo:
         if len(a[1]) * len(b[1]) > MAX_PAIRS:
-            memo[key] = 1 + sum(matching(a[1][i], b[1][j], memo) for i, j in _in_turn(a[1], b[1]))
+            row, weights = np.zeros(len(b[1]) + 1, np.int64), _weights(b[1], memo)
+            for x in a[1]:
+                row = _next_row(row, weights(x))
+            memo[key] = 1 + int(row[-1])
         else:
             memo[key] = 1 + _table(a[1], b[1], memo)[-1][-1]
     return memo[key]
@@ -255,7 +260,7 @@ def aligned(xs: tuple, ys: tuple, memo: dict) -> list:
     if [x[0] for x in xs] == [y[0] for y in ys]:
         return [(i, i) for i in range(len(xs))]
     if len(xs) * len(ys) > MAX_PAIRS:
-        return _in_turn(xs, ys)
+        return _aligned_long(xs, ys, memo)
     rows, i, j, pairs = _table(xs, ys, memo), len(xs), len(ys), []
     while i and j:
         w = matching(xs[i - 1], ys[j - 1], memo)
@@ -269,19 +274,56 @@ def aligned(xs: tuple, ys: tuple, memo: dict) -> list:
     return pairs[::-1]
 
 
-def _in_turn(xs: tuple, ys: tuple) -> list:
-    """Order-keeping pairs of equal labels: each y takes the next x of its label."""
-    by_label: dict = {}
+def _weights(ys: tuple, memo: dict):
+    """Function that gives the matches of a node with all of ``ys``; equal nodes are compared once."""
+    kinds: dict = {}
+    codes = np.array([kinds.setdefault(y, len(kinds)) for y in ys], np.int64)
+    of_label: dict = {}
+    for y, k in kinds.items():
+        of_label.setdefault(y[0], []).append((y, k))
+
+    def weights(x: tuple) -> np.ndarray:
+        found = np.zeros(len(kinds), np.int64)
+        for y, k in of_label.get(x[0], ()):
+            found[k] = matching(x, y, memo)
+        return found[codes]
+    return weights
+
+
+def _next_row(last: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The row of ``_table`` after ``last``."""
+    row = np.zeros_like(last)
+    np.maximum.accumulate(np.maximum(last[1:], last[:-1] + weights), out=row[1:])
+    return row
+
+
+def _aligned_long(xs: tuple, ys: tuple, memo: dict) -> list:
+    """``aligned`` of long lists: the same table, of which every so many rows are kept and the others
+    are made again on the way back."""
+    weights, step = _weights(ys, memo), math.isqrt(len(xs)) + 1
+    row, kept = np.zeros(len(ys) + 1, np.int64), []
     for i, x in enumerate(xs):
-        by_label.setdefault(x[0], []).append(i)
-    pairs, last = [], -1
-    for j, y in enumerate(ys):
-        places_ = by_label.get(y[0], ())
-        k = bisect.bisect_right(places_, last)
-        if k < len(places_) and places_[k] - last <= len(xs) - len(ys) + 50 + j - len(pairs):
-            last = places_[k]
-            pairs.append((last, j))
-    return pairs
+        if i % step == 0:
+            kept.append(row)
+        row = _next_row(row, weights(x))
+    i, j, pairs = len(xs), len(ys), []
+    for s in range((len(kept) - 1) * step, -1, -step):
+        rows, gains = [kept[s // step]], []
+        for x in xs[s:i]:
+            gains.append(weights(x))
+            rows.append(_next_row(rows[-1], gains[-1]))
+        while i > s and j:
+            w, here = gains[i - 1 - s][j - 1], rows[i - s][j]
+            if w and here == rows[i - 1 - s][j - 1] + w:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif here == rows[i - 1 - s][j]:
+                i -= 1
+            else:
+                j -= 1
+        if not j:
+            break
+    return pairs[::-1]
 
 
 def merge(template: tuple, tree: tuple, memo: dict | None = None) -> tuple:
