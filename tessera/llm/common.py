@@ -25,11 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, group_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: cuts the lineage, so a
-    lost executor costs a re-read, and everything above sees the very same rows."""
+    lost executor costs a re-read, and everything above sees the very same rows.
+
+    ``group_rows``: rows of a Parquet row group, for rows of megabytes. Spark reads up to 4,096 rows of
+    a row group at once, and Parquet's writer looks at the size of what it holds every 100 rows.
+    """
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_rows is not None:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

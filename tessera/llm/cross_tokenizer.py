@@ -19,8 +19,10 @@ from .token_counts import WHITE, byte_alphabet
 
 #: characters of text aligned together, as one block (a longer document is a block of its own)
 BLOCK_CHARS = 2 << 20
-#: units that one Python worker remembers before it starts anew
-UNIT_ENTRIES = 400_000
+#: blocks that a task holds at once when it writes or reads them
+BLOCKS_AT_ONCE = 4
+#: units that one Python worker remembers before it starts anew, and bytes of their groups and links
+UNIT_ENTRIES, UNIT_BYTES = 400_000, 64 << 20
 #: white space that no longer piece of B holds (spaces only at its start): all but U+000D
 _GAP = WHITE.replace(r"\t-\r", r"\t-\x0c")
 #: white space and what follows it up to the next white space (U+000D and white space after it
@@ -88,6 +90,10 @@ class TokenizerPair:
         # per unit: tokens of A and B, groups (0 if a side loses bytes), and where its links end
         self.n_a = self.n_b = self.n_groups = np.empty(0, np.int64)
         self.link_ends, self.links = np.zeros(1, np.int64), np.empty(0, np.int64)
+        self.group_bytes = 0
+
+    def full(self) -> bool:
+        return len(self.number) > UNIT_ENTRIES or self.group_bytes + self.links.nbytes > UNIT_BYTES
 
     def _encode_a(self, units: list) -> list:
         """Ids of A, unit by unit; units that end in no white space are encoded in one text."""
@@ -124,6 +130,7 @@ class TokenizerPair:
                     raw[i] = b""
         found = Alignment(self, a, b)
         self.groups += found.groups()
+        self.group_bytes += sum(len(g) for g in islice(self.groups, have, None) if g)
         ends, links = found.links()
         self.n_a, self.n_b = np.append(self.n_a, np.diff(found.cut_a)), np.append(self.n_b, np.diff(found.cut_b))
         self.n_groups = np.append(self.n_groups, np.diff(found.cut_groups))
@@ -232,7 +239,7 @@ class Block:
     """The alignment of some documents, put together from their units."""
 
     def __init__(self, pair: TokenizerPair, texts: list):
-        if len(pair.number) > UNIT_ENTRIES:
+        if pair.full():
             pair.forget()
         number = pair.number.__getitem__
         docs = [list(map(number, units_of(t))) for t in texts]
@@ -312,7 +319,7 @@ def _blocks_written(docs: DataFrame, path_a: str, path_b: str, id_col: str, text
             block += 1
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(read.mapInArrow(run, schema), "aligned")
+    return written(read.mapInArrow(run, schema), "aligned", BLOCKS_AT_ONCE)
 
 
 def link_counts(blocks: DataFrame) -> DataFrame:
