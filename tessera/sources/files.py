@@ -26,6 +26,10 @@ ARTICLE_SCHEMA = T.StructType([
 # The metadata columns that are read
 METADATA_COLUMNS = ["title", "abstract", "authors", "doi", "publish_time"]
 
+# a folder of very many files is put in place by the tasks that wrote them; by default the driver moves
+# every file when all are done, one after another
+MANY_FILES = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 # The strings pandas.read_csv reads as missing by default
 PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
