@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import read_table
+from .files import MANY_FILES
 
 QUERY_TOKENS_PER_LABEL = 3  # FX5: the first three vectors of each label form its query
 
@@ -162,7 +163,7 @@ def raw_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_story_files(spark: SparkSession, sf_dir: str, path: str) -> str:
     """One story file per conversation, in folders ``conv_id=N``."""
-    raw_stories(spark, sf_dir).repartition("conv_id").write.partitionBy("conv_id").text(path)
+    raw_stories(spark, sf_dir).repartition("conv_id").write.options(**MANY_FILES).partitionBy("conv_id").text(path)
     return path
 
 

@@ -31,3 +31,37 @@ def test_units_are_forgotten_by_their_bytes_too(monkeypatch):
     monkeypatch.setattr(X, "UNIT_BYTES", 1000)
     assert [X.Block(bounded, [t]).digests() for t in texts] == want
     assert bounded.group_bytes + bounded.links.nbytes < 2000 < kept.group_bytes + kept.links.nbytes
+
+
+def _two_tasks(spark, fail_after):
+    """Rows 0 and 1 in tasks of their own; the second fails when the first has long ended."""
+    def run(batches):
+        import time
+        for batch in batches:
+            if batch.column(0)[0].as_py() == 1:
+                time.sleep(fail_after)
+                raise ValueError("stopped")
+            yield batch
+    return spark.range(0, 2, 1, 2).select("id", F.lit("{}").alias("value")).mapInArrow(run, "id long, value string")
+
+
+def test_article_files_are_put_in_place_by_their_tasks(spark, tmp_path, monkeypatch):
+    from tessera.plans import text_queries as Q
+    monkeypatch.setattr(Q.D, "article_json_lines", lambda *_: _two_tasks(spark, 6))
+    monkeypatch.setattr(Q, "scratch_path", lambda *_: str(tmp_path / "files"))
+    with pytest.raises(Exception, match="stopped"):
+        Q.scan_article_files(spark, "")
+    assert len(glob.glob(f"{tmp_path}/files/corpus/part/*.txt")) == 1  # the driver moved nothing
+
+
+def test_story_files_are_put_in_place_by_their_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+    from tessera.sources import derived as D
+    from tessera.sources.files import MANY_FILES, scan_story_files
+    given, options = [], DataFrameWriter.options
+    monkeypatch.setattr(DataFrameWriter, "options", lambda self, **kw: (given.append(kw), options(self, **kw))[1])
+    monkeypatch.setattr(D, "raw_stories", lambda spark, _: spark.createDataFrame([(1, "a\nb"), (22, "c")], "conv_id long, raw_story string"))
+    path = D.write_story_files(spark, "", str(tmp_path / "stories"))
+    assert given == [MANY_FILES]
+    found = scan_story_files(spark, path, partitioned=True).select("conv_id", "raw_story").collect()
+    assert sorted(map(tuple, found)) == [(1, "a\nb"), (22, "c")]
