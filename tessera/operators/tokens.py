@@ -112,8 +112,9 @@ def _lookup_by_join(df: DataFrame, vocab_table: DataFrame, src_col: str, out_col
                     default=None) -> DataFrame:
     """Array lookup through a shuffle join (vocabulary too large to broadcast).
 
-    Explode with positions, join on the element (a hot element is split by AQE's skew
-    handling), regroup by row in position order, join the arrays back to their rows. The
+    Explode with positions, join on the element (frequent elements, such as the id of the
+    padding, meet their few entries where they are read and are kept out of the shuffle),
+    regroup by row in position order, join the arrays back to their rows. The
     row-keyed input is written to the shared checkpoint folder first, so both branches
     see the same row keys even when work is redone.
     """
@@ -123,7 +124,7 @@ def _lookup_by_join(df: DataFrame, vocab_table: DataFrame, src_col: str, out_col
     df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     keyed = spark.read.parquet(path)
     long = keyed.select("_row", F.posexplode_outer(src_col).alias("_pos", key))
-    got = long.join(vocab_table.select(key, value), key, "left")
+    got = join_with_hot_keys(long, vocab_table.select(key, value), key)
     val = F.col(value) if default is None else F.coalesce(F.col(value), F.lit(default))
     item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", val.alias("v")))
     arrays = got.groupBy("_row").agg(F.sort_array(F.collect_list(item)).alias("_items"))

@@ -65,3 +65,24 @@ def test_story_files_are_put_in_place_by_their_tasks(spark, tmp_path, monkeypatc
     assert MANY_FILES in given
     found = scan_story_files(spark, path, partitioned=True).select("conv_id", "raw_story").collect()
     assert sorted(map(tuple, found)) == [(1, "a\nb\n"), (22, "c\n")]
+
+
+def test_padding_is_not_shuffled_to_one_task(spark):
+    from tessera.operators import tokens as TK
+    table = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), *[(f"w{i}", i) for i in range(2, 400)]], "token string, id int")
+    vocab = TK.Vocabulary(table, max_entries=0)
+    rows = [(i, [2 + (i * 7 + j) % 398 for j in range(i % 20)] + [0] * 100) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").repartition(8)
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        out = TK.ids_to_tokens(df, vocab, "ids", "back")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.k: r.back for r in out.collect()}
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    name = {0: "[PAD]", **{i: f"w{i}" for i in range(2, 400)}}
+    assert got == {k: [name[i] for i in ids] for k, ids in rows}
+    assert "BroadcastHashJoin" in plan  # the padding meets its entry where it is read
