@@ -121,10 +121,15 @@ def rerank_hypotheses(cands: DataFrame, beam_size: int = BEAM_SIZE, min_length:
     A hypothesis is finished by the end token, by reaching ``max_length``, or by standing in the
     step that closes its document; a document in which nothing has finished comes back with
     its best unfinished one and ``finished`` false.
+
+    Rows are shuffled once, by document, which serves all three windows, and carry the hypothesis as
+    its text: the sequence (24 bytes and more for a token) stays behind.
     """
     scored = block_repeated_trigram(candidate_score(suppress_early_end(cands, min_length), alpha))
+    scored = (scored.withColumn("text", hypothesis_text(F.concat(F.col("alive"), F.array(F.col("token")))))
+              .select("doc_id", "step", "beam", "cand", "token", "token_id", "score", "penalty", "text")
+              .repartition("doc_id"))
     top = candidate_topk(scored, beam_size).withColumn(
         "finished", (F.col("token") == EOS) | (F.col("step") + 1 >= max_length))
     best = best_hypothesis(close_documents(top), keep_unfinished=True)
-    return best.select("doc_id", "beam", "cand", "score", "finished",
-                       hypothesis_text(F.concat(F.col("alive"), F.array(F.col("token")))).alias("text"))
+    return best.select("doc_id", "beam", "cand", "score", "finished", "text")

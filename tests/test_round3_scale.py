@@ -86,3 +86,17 @@ def test_padding_is_not_shuffled_to_one_task(spark):
     name = {0: "[PAD]", **{i: f"w{i}" for i in range(2, 400)}}
     assert got == {k: [name[i] for i in ids] for k, ids in rows}
     assert "BroadcastHashJoin" in plan  # the padding meets its entry where it is read
+
+
+def test_rerank_shuffles_once_and_no_sequences(spark):
+    from tessera.operators import hypotheses as H
+    rows = [(d, s, b, c, tok, b, ["[unused0]", *"abcdefgh"[:s]], -float(b + c), -0.5)
+            for d in range(6) for s in range(1, 5) for b in range(3) for c, tok in enumerate(("x", "[unused1]"))]
+    df = spark.createDataFrame(rows, "doc_id long, step int, beam int, cand int, token string, token_id int, alive array<string>, "
+                                     "beam_logprob double, token_logprob double")
+    out = H.rerank_hypotheses(df, min_length=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "hashpartitioning(doc_id" in exchanges[0]
+    best = {r.doc_id: (r.beam, r.cand, r.finished, r.text) for r in out.collect()}
+    assert best == dict.fromkeys(range(6), (0, 1, True, "a b c d [unused1]"))
