@@ -261,12 +261,13 @@ def broadcast_block(block: DataFrame):
     return block.sparkSession.sparkContext.broadcast(qp)
 
 
-def _passes(source: DataFrame, queries: DataFrame, max_block_bytes: int, schema: str, make_kernel, tag: str) -> DataFrame:
+def _passes(source: DataFrame, queries: DataFrame, max_block_bytes: int, schema: str, make_kernel, tag: str, dealt=None) -> DataFrame:
     """``source`` through ``make_kernel(broadcast query block)``, one block after another.
 
     A single block is scored lazily. Of several, each is collected and broadcast alone, its pass
     written to the shared folder and the broadcast destroyed before the next block is fetched,
     so the driver and the executors hold one block at a time; the source is written once.
+    ``dealt`` deals the source's rows to the tasks of a pass.
     """
     blocks = query_blocks(queries, max_block_bytes)
     out = None
@@ -276,7 +277,7 @@ def _passes(source: DataFrame, queries: DataFrame, max_block_bytes: int, schema:
         bc = broadcast_block(block)
         if bc is None:
             continue
-        scored = source.mapInArrow(make_kernel(bc), schema)
+        scored = (source if dealt is None else dealt(source)).mapInArrow(make_kernel(bc), schema)
         if len(blocks) > 1:
             scored = written(scored, "scored")
             bc.destroy()
@@ -423,30 +424,152 @@ def _combined(out: DataFrame) -> DataFrame:
             .agg((F.min("p").cast("double") / PICO).alias("min_distance")))
 
 
+def _distinct_vectors(V: np.ndarray) -> tuple:
+    """The distinct rows of a float32 matrix and each row's place among them. Rows meet by a hash of
+    their bits; if two different rows share one, all rows are kept."""
+    bits = np.ascontiguousarray(V).view(np.uint32).astype(np.uint64)
+    odd = np.random.default_rng(7).integers(0, 1 << 63, V.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _, first, row_of = np.unique(bits @ odd, return_index=True, return_inverse=True)
+    row_of = row_of.reshape(-1)
+    if (bits[first][row_of] != bits).any():
+        return V, np.arange(len(V))
+    return V[first], row_of
+
+
+def _run_minima(arts: np.ndarray, V: np.ndarray, Q: np.ndarray) -> tuple:
+    """``(articles, minima)``: squared distances of each run of an article's vectors to the query tokens.
+    Equal vectors are scored once."""
+    X, row_of = _distinct_vectors(V)
+    G, rest = _partial_sq_dist(_to_micro(X), Q)
+    starts = np.flatnonzero(np.append(True, arts[1:] != arts[:-1]))
+    row_of, counts = _distinct_tokens(row_of, np.diff(np.append(starts, len(arts))), len(X))
+    stops = np.cumsum(counts)
+    out = np.empty((len(starts), Q.shape[0]))
+    step = max(1, TILE_ELEMENTS // max(1, Q.shape[0]))
+    a = 0
+    while a < len(starts):  # whole runs, about a tile's rows at a time
+        before = int(stops[a] - counts[a])
+        b = max(a + 1, int(np.searchsorted(stops, before + step, "right")))
+        np.minimum.reduceat(G[row_of[before:stops[b - 1]]], stops[a:b] - counts[a:b] - before, axis=0, out=out[a:b])
+        a = b
+    out += rest
+    return arts[starts], out
+
+
+class _BestMinima:
+    """A task's ``k`` closest articles per query, with their minima per distinct query token."""
+
+    def __init__(self, payload: dict, k: int):
+        self.payload, self.k = payload, k
+        n = len(payload["query_ids"])
+        self.limit = np.full(n, np.inf)  # the k-th distance of each query so far
+        self.query, self.row = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.distance = np.empty(0)
+        self.ids, self.pico = np.empty(0, np.int64), np.empty((0, payload["Qu"].shape[0]))
+        self.open = None  # the last article, which may go on: its id and minima
+
+    def add(self, arts: np.ndarray, minima: np.ndarray, last: bool = False) -> None:
+        """Minima of articles in the order of the table; the last article stays open."""
+        if self.open is not None:
+            if len(arts) and arts[0] == self.open[0]:
+                np.minimum(minima[0], self.open[1], out=minima[0])
+            else:
+                arts, minima = np.append(self.open[0], arts), np.vstack([self.open[1], minima])
+        self.open = None
+        if not last and len(arts):
+            self.open = (arts[-1:], minima[-1].copy())
+            arts, minima = arts[:-1], minima[:-1]
+        if len(arts):
+            self._keep(arts, np.floor(np.sqrt(np.maximum(minima, 0.0)) * MICRO + 0.5))
+
+    def _keep(self, arts: np.ndarray, pico: np.ndarray) -> None:
+        p = self.payload
+        # the same operations on the same exact sums as ``mean_best_distance``: ties stay ties
+        distance = np.add.reduceat(pico[:, p["inv"]], p["starts"], axis=1) / p["counts"] / PICO
+        row, query = np.nonzero(distance <= self.limit)
+        if not len(row):
+            return
+        new = np.unique(row)
+        ids, held = np.append(self.ids, arts[new]), np.vstack([self.pico, pico[new]])
+        queries = np.append(self.query, query)
+        rows = np.append(self.row, len(self.ids) + np.searchsorted(new, row))
+        distances = np.append(self.distance, distance[row, query])
+        order = np.lexsort((-ids[rows], distances, queries))
+        first = np.searchsorted(queries[order], np.arange(len(self.limit)))
+        place = np.arange(len(order)) - first[queries[order]]
+        full = order[place == self.k - 1]
+        self.limit[queries[full]] = distances[full]
+        order = order[place < self.k]
+        self.query, self.distance = queries[order], distances[order]
+        used, self.row = np.unique(rows[order], return_inverse=True)
+        self.row = self.row.reshape(-1)
+        self.ids, self.pico = ids[used], held[used]
+
+    def minima(self):
+        """``LONG_SCHEMA`` rows of the pairs held."""
+        p = self.payload
+        sizes = p["counts"][self.query]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(p["starts"][self.query] - (ends - sizes), sizes)
+        rows = np.repeat(self.row, sizes)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(p["tok_query"][at], pa.int64()), pa.array(p["tok_no"][at], pa.int64()), pa.array(self.ids[rows], pa.int64()),
+             pa.array(self.pico[rows, p["inv"][at]].astype(np.int64), pa.int64())], names=["query_id", "tok_no", "article_id", "p"])
+
+
+def _model_vectors(batches, fn, size: int, typed: bool):
+    """``(articles, vectors)`` of the real positions of model input rows, by micro-batches."""
+    for rb in batches:
+        art = rb.column(0).to_numpy(zero_copy_only=False)
+        mats = [np.stack([np.asarray(r, np.int32) for r in rb.column(c).to_pylist()]) for c in (1, 2, 3)] if len(art) else []
+        for s in range(0, len(art), size):
+            ids, mask, types = (m[s:s + size] for m in mats)
+            vecs = np.asarray(fn(ids, mask, types) if typed else fn(ids, mask), dtype=np.float32)
+            real = mask.astype(bool)
+            if real.any():
+                yield np.repeat(art[s:s + size], real.sum(axis=1)), vecs[real]
+
+
 def min_distance_model(inputs: DataFrame, queries: DataFrame, encoder, id_col: str = "article_id",
-                       max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES) -> DataFrame:
+                       max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES, k: int | None = None) -> DataFrame:
     """Like ``min_distance_long`` for model input rows (``input_ids``, ``input_mask``,
     ``input_type_ids``; an article may have several): the encoder runs inside the scoring
-    task on micro-batches, so its vectors never become JVM rows."""
-    from .embed import worker_model
+    task on micro-batches, so its vectors never become JVM rows.
+
+    With ``k``, the minima of pairs that cannot be among a query's ``k`` closest articles are left
+    out: an article's input rows are brought next to each other in one task, which sends the minima
+    of its own ``k`` best per query (by distance, later id first) once.
+    """
+    from .embed import gathered, worker_model
     src = inputs.select(F.col(id_col).cast("long").alias("article_id"), "input_ids", "input_mask", "input_type_ids")
     make, key, size, typed = encoder.make_predict_fn, encoder.key, encoder.batch_size, encoder.with_types
 
     def make_kernel(bc):
         def kernel(batches, bc=bc):
             payload, fn = bc.value, worker_model(key, make)
-            for rb in batches:
-                art = rb.column(0).to_numpy(zero_copy_only=False)
-                mats = [np.stack([np.asarray(r, np.int32) for r in rb.column(c).to_pylist()]) for c in (1, 2, 3)] if len(art) else []
-                for s in range(0, len(art), size):
-                    ids, mask, types = (m[s:s + size] for m in mats)
-                    vecs = np.asarray(fn(ids, mask, types) if typed else fn(ids, mask), dtype=np.float32)
-                    real = mask.astype(bool)
-                    if real.any():
-                        yield _long_minima(np.repeat(art[s:s + size], real.sum(axis=1)), _to_micro(vecs[real]), payload)
-        return kernel
+            for arts, vecs in _model_vectors(batches, fn, size, typed):
+                yield _long_minima(arts, _to_micro(vecs), payload)
 
-    return _combined(_passes(src, queries, max_block_bytes, LONG_SCHEMA, make_kernel, "inputs"))
+        def best_kernel(batches, bc=bc, cells=BATCH_CELLS):
+            payload, fn = bc.value, worker_model(key, make)
+            best, held, n = _BestMinima(payload, k), [], 0
+            most = max(1, cells // max(1, payload["Qu"].shape[0]))  # vectors scored together
+            for arts, vecs in _model_vectors(batches, fn, size, typed):
+                held.append((arts, vecs))
+                n += len(arts)
+                if n >= most:
+                    best.add(*_run_minima(np.concatenate([a for a, _ in held]), np.concatenate([v for _, v in held]), payload["Qu"]))
+                    held, n = [], 0
+            if held:
+                best.add(*_run_minima(np.concatenate([a for a, _ in held]), np.concatenate([v for _, v in held]), payload["Qu"]))
+            if best.open is not None:
+                best.add(np.empty(0, best.open[0].dtype), np.empty((0, payload["Qu"].shape[0])), last=True)
+            if len(best.query):
+                yield best.minima()
+        return kernel if k is None else best_kernel
+
+    return _combined(_passes(src, queries, max_block_bytes, LONG_SCHEMA, make_kernel, "inputs",
+                             None if k is None else lambda rows: gathered(rows, "article_id")))
 
 
 def min_distance_long(tokens: DataFrame, queries: DataFrame, id_col: str = "article_id", vec_col: str = "vec",

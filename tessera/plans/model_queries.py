@@ -250,7 +250,7 @@ def search_model(spark, sf_dir):
     if model is None:  # the table stays distributed: its rows are joined to each window's ids
         minima = SR.min_distance_long(E.token_vectors(_real_ids(inputs, "article_id"), enc, "article_id"), queries)
     else:
-        minima = SR.min_distance_model(inputs, queries, model)
+        minima = SR.min_distance_model(inputs, queries, model, k=P.K)
     return SR.ranked_order(SR.topk_closest(SR.mean_best_distance(minima), P.K))
 
 

@@ -100,3 +100,53 @@ def test_rerank_shuffles_once_and_no_sequences(spark):
     assert len(exchanges) == 1 and "hashpartitioning(doc_id" in exchanges[0]
     best = {r.doc_id: (r.beam, r.cand, r.finished, r.text) for r in out.collect()}
     assert best == dict.fromkeys(range(6), (0, 1, True, "a b c d [unused1]"))
+
+
+def _model(dim):
+    def make():
+        table = np.random.default_rng(3).normal(size=(500, dim)).astype(np.float32).round(6)
+        return lambda ids, mask, types: table[ids + types]
+    return make
+
+
+def test_model_search_sends_each_tasks_best_only(spark):
+    import random
+
+    from tessera.operators import embed as E
+    from tessera.operators import search as SR
+    rnd, dim = random.Random(5), 4
+    rows = []
+    for i in range(300):
+        for _ in range(rnd.randint(1, 4)):  # windows, some of the same article far from each other
+            n = rnd.randint(1, 6)
+            rows.append((i % 250, [rnd.randint(0, 60) for _ in range(n)] + [0] * (6 - n), [1] * n + [0] * (6 - n), [0] * 6))
+    inputs = spark.createDataFrame(rows, "article_id long, input_ids array<int>, input_mask array<int>, input_type_ids array<int>").repartition(5)
+    table = _model(dim)()(np.arange(500), None, np.zeros(500, int))
+    queries = spark.createDataFrame([(q, t, table[rnd.randint(0, 80)].tolist()) for q in range(7) for t in range(1 + q % 3)],
+                                    "query_id long, tok_no long, vec array<float>")
+    model = E.BatchEncoder(_model(dim), batch_size=4, with_types=True)
+    whole = SR.min_distance_model(inputs, queries, model)
+    best = SR.min_distance_model(inputs, queries, model, k=3)
+    top = lambda minima: sorted(map(tuple, SR.topk_closest(SR.mean_best_distance(minima), 3).collect()))
+    assert top(best) == top(whole)
+    assert set(best.collect()) < set(whole.collect())
+    blocks = SR.min_distance_model(inputs, queries, model, k=3, max_block_bytes=200)  # several passes
+    assert top(blocks) == top(whole)
+    assert SR.min_distance_model(inputs.limit(0), queries, model, k=3).count() == 0
+
+
+def test_best_minima_hold_ties_and_open_articles():
+    from tessera.operators.search import _BestMinima, _distinct_vectors, _run_minima
+    payload = {"Qu": np.array([[0.0], [5.0]]), "inv": np.array([0, 1, 0]), "starts": np.array([0, 2]), "counts": np.array([2, 1]),
+               "query_ids": np.array([10, 11]), "tok_query": np.array([10, 10, 11]), "tok_no": np.array([0, 1, 0])}
+    best = _BestMinima(payload, 2)
+    for arts, minima in (([1, 2], [[4.0, 9], [1, 1]]), ([2, 3], [[0.0, 4], [0, 1]]), ([4], [[0.0, 1]])):
+        best.add(np.array(arts), np.array(minima))
+    best.add(np.empty(0, np.int64), np.empty((0, 2)), last=True)
+    pairs = {(r["query_id"], r["article_id"]) for r in best.minima().to_pylist()}
+    assert pairs == {(10, 4), (10, 3), (11, 4), (11, 3)}  # 2, 3 and 4 are equal: the later stay
+    V = np.array([[1.5], [0.25], [1.5], [-0.0], [0.0]], np.float32)
+    X, row_of = _distinct_vectors(V)
+    assert X[row_of].tolist() == V.tolist() and len(X) == 4
+    arts, minima = _run_minima(np.array([7, 7, 8, 8, 8]), V, np.array([[0.0], [1e6]]))
+    assert arts.tolist() == [7, 8] and minima.tolist() == [[0.0625e12, 0.25e12], [0.0, 0.25e12]]
