@@ -127,16 +127,35 @@ class LookupEncoder:
         return self._bc
 
 
+def _kept(df: DataFrame, keep: list | None, out_col: str, extra: list) -> tuple:
+    """``df`` with the columns that the step needs, those it returns, and its schema."""
+    if keep is None:
+        return df, list(df.columns), T.StructType(df.schema.fields + [T.StructField(out_col, VECS_TYPE)])
+    return df.select(*keep, *extra), keep, T.StructType([*[df.schema[c] for c in keep], T.StructField(out_col, VECS_TYPE)])
+
+
+def _in_task(df: DataFrame, make_vectors, schema: T.StructType, fold) -> DataFrame:
+    """Rows with vectors; with ``fold = (function of batches, schema)`` what it makes of them in the same
+    task: vectors that are only folded do not go through the JVM to a second Python worker."""
+    if fold is None:
+        return df.mapInArrow(make_vectors, schema)
+    folded, folded_schema = fold
+    return df.mapInArrow(lambda batches: folded(make_vectors(batches)), folded_schema)
+
+
 def embed_tokens(df: DataFrame, encoder: LookupEncoder, tokens_col: str = "tokens",
-                 out_col: str = "vecs") -> DataFrame:
-    """Add ``out_col`` = one float vector per token of ``tokens_col`` (lookup encoder)."""
+                 out_col: str = "vecs", fold: tuple | None = None, keep: list | None = None) -> DataFrame:
+    """Add ``out_col`` = one float vector per token of ``tokens_col`` (lookup encoder).
+
+    ``keep``: the columns to return beside it (all). ``fold``: see ``_in_task``; needs a table within the bound."""
     if not encoder.fits:
+        if fold is not None:
+            raise ValueError("vectors of a joined table are folded by a step of their own")
         return _embed_by_join(df, encoder, tokens_col, out_col)
     spark = df.sparkSession
     bc = encoder.broadcast(spark)
     tmp = df.withColumn("_tok_ids", encoder.token_ids(F.col(tokens_col)))
-    keep = list(df.columns)
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, VECS_TYPE)])
+    tmp, keep, out_schema = _kept(tmp, list(df.columns) if keep is None else keep, out_col, ["_tok_ids"])
 
     def gather(batches, bc=bc, keep=keep):
         W = bc.value
@@ -145,7 +164,7 @@ def embed_tokens(df: DataFrame, encoder: LookupEncoder, tokens_col: str = "token
             for rb in row_slices(big, n_tok * W.shape[1] * 4 / max(1, big.num_rows)):
                 yield _gather_batch(rb, W, keep, out_col)
 
-    return tmp.mapInArrow(gather, out_schema)
+    return _in_task(tmp, gather, out_schema, fold)
 
 
 def token_vectors(df: DataFrame, encoder: LookupEncoder, key_col: str, ids_col: str = "tok_ids") -> DataFrame:
@@ -206,12 +225,12 @@ class BatchEncoder:
 
 def embed_model_inputs(df: DataFrame, encoder: BatchEncoder, ids_col: str = "input_ids",
                        mask_col: str = "input_mask", out_col: str = "vecs",
-                       type_col: str = "input_type_ids") -> DataFrame:
-    """Vectors of the real (mask = 1) positions of fixed-length model input rows."""
-    keep = list(df.columns)
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, VECS_TYPE)])
+                       type_col: str = "input_type_ids", fold: tuple | None = None, keep: list | None = None) -> DataFrame:
+    """Vectors of the real (mask = 1) positions of fixed-length model input rows.
+    ``fold`` and ``keep`` as in ``embed_tokens``."""
     make, key, bs = encoder.make_predict_fn, encoder.key, encoder.batch_size
     inputs = [ids_col, mask_col] + ([type_col] if encoder.with_types else [])
+    df, keep, out_schema = _kept(df, keep, out_col, inputs)
 
     def infer(batches):
         fn = worker_model(key, make)
@@ -223,7 +242,7 @@ def embed_model_inputs(df: DataFrame, encoder: BatchEncoder, ids_col: str = "inp
             for rb in row_slices(big, L * 1024 * 4):
                 yield _infer_batch(rb, fn, bs, L, inputs, keep, out_col)
 
-    return df.mapInArrow(infer, out_schema)
+    return _in_task(df, infer, out_schema, fold)
 
 
 def _infer_batch(rb, fn, bs, L, inputs, keep, out_col) -> pa.RecordBatch:

@@ -18,6 +18,7 @@ from ..sources import derived as D
 from . import search as P
 
 VEC_SUM = "vec_sum"
+CHECKSUM_BYTES = 4 << 20  # vectors folded at once
 WINDOWS = 1_000_000  # a window's key: article id times this plus the window's number
 
 
@@ -168,15 +169,15 @@ def _vec_sum(vec):
     return _sum_array(micro_units(vec))
 
 
-def _vector_checksum(df: DataFrame, key: str, vecs_col: str) -> DataFrame:
-    """``(key, n_tokens, vec_sum)``: token count and the sum over positions of (position + 1)
-    times the vector's components in micro-units, so the order of vectors counts."""
+def _checksum_fold(key: str):
+    """``(fold, schema)`` of ``_vector_checksum``: batches of (key, vectors) to its rows, a bounded slice
+    of the vectors at a time (their micro-units take several times their own room)."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def sums(batches):
-        for rb in batches:
+        for rb in (part for big in batches if big.num_rows for part in E.row_slices(big, big.nbytes / big.num_rows, CHECKSUM_BYTES)):
             counts = pc.fill_null(pc.list_value_length(rb.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             inner = rb.column(1).flatten()
             flat = inner.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -189,12 +190,13 @@ def _vector_checksum(df: DataFrame, key: str, vecs_col: str) -> DataFrame:
                 np.add.at(out, row, (pos + 1) * per)
             yield pa.record_batch([rb.column(0), pa.array(counts.astype(np.int32)), pa.array(out)], [key, "n_tokens", VEC_SUM])
 
-    return df.select(F.col(key).cast("long").alias(key), vecs_col).mapInArrow(sums, f"{key} long, n_tokens int, {VEC_SUM} long")
+    return sums, f"{key} long, n_tokens int, {VEC_SUM} long"
 
 
-def _text_embeddings(spark, sf_dir):
-    enc = P.lookup_encoder(spark, sf_dir)
-    return P.embed_texts(P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull()), enc, "article_id")
+def _vector_checksum(df: DataFrame, key: str, vecs_col: str) -> DataFrame:
+    """``(key, n_tokens, vec_sum)``: token count and the sum over positions of (position + 1)
+    times the vector's components in micro-units, so the order of vectors counts."""
+    return df.select(F.col(key).cast("long").alias(key), vecs_col).mapInArrow(*_checksum_fold(key))
 
 
 def _by_token(spark, sf_dir):
@@ -209,7 +211,13 @@ def _by_token(spark, sf_dir):
 
 
 def embed_tokens(spark, sf_dir):
-    return _vector_checksum(_text_embeddings(spark, sf_dir), "article_id", "vecs")
+    """A vector for every token of every text; each task folds its vectors to their checksums."""
+    enc = P.lookup_encoder(spark, sf_dir)
+    texts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
+    if not enc.fits:
+        return _vector_checksum(P.embed_texts(texts, enc, "article_id"), "article_id", "vecs")
+    tokens = P.text_tokens(texts.withColumn("article_id", F.col("article_id").cast("long")), "article_id")
+    return E.embed_tokens(tokens, enc, "tokens", "vecs", fold=_checksum_fold("article_id"), keep=["article_id"])
 
 
 def _windowed_inputs(spark, sf_dir, arts):
@@ -258,11 +266,13 @@ def micro_batch(spark, sf_dir):
     """Same vectors through the generic batch-inference path (micro-batches of 32)."""
     arts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
     ids, enc, model = _windowed_inputs(spark, sf_dir, arts)
+    window = (F.col("article_id") * WINDOWS + F.col("win")).cast("long")
     if model is None:
         out = E.vectors_of_ids(_real_ids(ids, "article_id", "win"), enc, "tok_ids", "vecs")
-    else:
-        out = E.embed_model_inputs(ids, model)
-    return _vector_checksum(out.withColumn("article_id", F.col("article_id") * WINDOWS + F.col("win")), "article_id", "vecs")
+        return _vector_checksum(out.withColumn("article_id", window), "article_id", "vecs")
+    # the vectors are folded in the task that makes them
+    return E.embed_model_inputs(ids.withColumn("article_id", window).drop("win"), model, fold=_checksum_fold("article_id"),
+                                keep=["article_id"])
 
 
 def flatten_vectors(spark, sf_dir):

@@ -25,10 +25,14 @@ def lookup_encoder(spark: SparkSession, sf_dir: str) -> LookupEncoder:
     return LookupEncoder(read_table(spark, sf_dir, "embeddings"), vec_col="embedding", order_col="vec_id")
 
 
+def text_tokens(texts: DataFrame, key_col: str) -> DataFrame:
+    """``(key, tokens)``: the encoder's tokens of each text."""
+    return texts.select(key_col, word_tokens(F.col("text"), SEQ_LENGTH).alias("tokens"))
+
+
 def embed_texts(texts: DataFrame, encoder: LookupEncoder, key_col: str) -> DataFrame:
     """``(key, tokens, vecs)``: the encoder's tokens of each text and one vector per token."""
-    tokens = texts.select(key_col, word_tokens(F.col("text"), SEQ_LENGTH).alias("tokens"))
-    return embed_tokens(tokens, encoder, "tokens", "vecs")
+    return embed_tokens(text_tokens(texts, key_col), encoder, "tokens", "vecs")
 
 
 def query_vectors(queries: DataFrame, encoder: LookupEncoder) -> DataFrame:

@@ -150,3 +150,21 @@ def test_best_minima_hold_ties_and_open_articles():
     assert X[row_of].tolist() == V.tolist() and len(X) == 4
     arts, minima = _run_minima(np.array([7, 7, 8, 8, 8]), V, np.array([[0.0], [1e6]]))
     assert arts.tolist() == [7, 8] and minima.tolist() == [[0.0625e12, 0.25e12], [0.0, 0.25e12]]
+
+
+def test_vectors_are_folded_in_slices_where_they_are_made(spark, monkeypatch):
+    import pyarrow as pa
+
+    from conftest import SF
+    from tessera.plans import model_queries as Q
+    monkeypatch.setattr(Q, "CHECKSUM_BYTES", 1000)
+    vecs = [[[float(i), 1.0]] * (i % 5) for i in range(100)]
+    batch = pa.record_batch([pa.array(range(100), pa.int64()), pa.array(vecs, pa.list_(pa.list_(pa.float32())))], ["k", "vecs"])
+    fold, _ = Q._checksum_fold("k")
+    parts = list(fold([batch]))
+    assert len(parts) > 3
+    got = [r for p in parts for r in p.to_pylist()]
+    assert got == [{"k": i, "n_tokens": i % 5, Q.VEC_SUM: sum((p + 1) * (i + 1) * 10 ** 6 for p in range(i % 5))} for i in range(100)]
+    for query in (Q.embed_tokens, Q.micro_batch):
+        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
