@@ -1,51 +1,30 @@
-"""Joins whose frequent keys are found by a sketch, broadcast, and kept out of the shuffle."""
+"""Joins whose frequent keys are found by a count, broadcast, and kept out of the shuffle."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: a key of this share of all rows or more is hot: there are at most 1 / SHARE such keys
 SHARE = 1 / 1000
-#: counters of a task's sketch; a key's count is short by at most rows / COUNTERS
+#: slack of the share: keys are kept from a share less by 1 / COUNTERS
 COUNTERS = 4000
 
 
-def _sketch(batches, counters: int, kind: pa.DataType):
-    """Misra-Gries over a task's rows, a batch at a time: ``(key, n)`` of at most ``counters``
-    keys, and a null key with the number of rows."""
-    held: dict = {}
-    rows = 0
-    for batch in batches:
-        rows += batch.num_rows
-        counted = pc.value_counts(batch.column(0))
-        for key, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
-            if key is not None:
-                held[key] = held.get(key, 0) + n
-        if len(held) > counters:
-            least = sorted(held.values(), reverse=True)[counters]
-            held = {key: n - least for key, n in held.items() if n > least}
-    yield pa.record_batch([pa.array([None, *held], kind), pa.array([rows, *held.values()], pa.int64())], ["key", "n"])
-
-
 def heavy_hitters(df: DataFrame, key: str, share: float = SHARE, counters: int = COUNTERS) -> list:
     """Every key of at least ``share`` of the rows (null apart), and perhaps some of slightly less.
 
-    One pass over the key column; each task sends its sketch, sketches are summed by key. A
-    sum is short by at most rows / counters, so keys are kept from that much below the share. What
-    comes to the driver are at most 1 / (share - 1 / counters) keys.
+    One pass over the key column: rows are counted by key where they are read, then by key over all
+    tasks (Spark's aggregate, which spills). What comes to the driver are at most
+    1 / (share - 1 / counters) keys.
     """
-    kind = df.schema[key].dataType
-    arrow = pa.int64() if kind.typeName() in ("long", "integer", "short", "byte") else pa.string()
-    column = F.col(key).cast("long" if arrow == pa.int64() else "string").alias("key")
-    sent = df.select(column).mapInArrow(lambda batches: _sketch(batches, counters, arrow),
-                                        f"key {'long' if arrow == pa.int64() else 'string'}, n long")
-    most = int(1 / (share - 1 / counters)) + 2
-    found = sent.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(most).collect()
-    rows = max((r["n"] for r in found if r["key"] is None), default=0)
-    return [r["key"] for r in found if r["key"] is not None and r["n"] >= (share - 1 / counters) * rows]
+    column = F.col(key).cast("long" if isinstance(df.schema[key].dataType, T.IntegralType) else "string").alias("key")
+    counted = df.select(column).groupBy("key").agg(F.count(F.lit(1)).alias("n"))  # shuffled once for both uses
+    rows = counted.agg(F.sum("n").alias("rows"))
+    found = (counted.join(F.broadcast(rows), F.col("n") >= (share - 1 / counters) * F.col("rows"))
+             .filter(F.col("key").isNotNull()).orderBy(F.desc("n")))
+    return [r["key"] for r in found.select("key", "n").collect()]
 
 
 def join_with_hot_keys(big: DataFrame, small: DataFrame, key: str, share: float = SHARE) -> DataFrame:
@@ -53,7 +32,7 @@ def join_with_hot_keys(big: DataFrame, small: DataFrame, key: str, share: float
 
     Rows of hot and of null keys meet the few rows of ``small`` for hot keys where they are read;
     only the others are shuffled, and no key among those has more than ``share`` of the rows.
-    ``big`` is computed three times (sketch, hot rows, other rows).
+    ``big`` is computed three times (count, hot rows, other rows).
     """
     hot = heavy_hitters(big, key, share)
     if not hot:

@@ -62,7 +62,7 @@ def _token_ids_long(spark, sf_dir, max_entries=TK.MAX_VOCAB_ENTRIES):
 
 
 def token_to_id_shuffled(spark, sf_dir):
-    """``token_to_id`` with a vocabulary that may not be broadcast: a sketch finds the frequent
+    """``token_to_id`` with a vocabulary that may not be broadcast: a count finds the frequent
     words, whose rows stay where they are; the others are shuffled."""
     return token_to_id(spark, sf_dir, max_entries=0)
 

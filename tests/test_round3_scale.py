@@ -88,6 +88,13 @@ def test_padding_is_not_shuffled_to_one_task(spark):
     assert "BroadcastHashJoin" in plan  # the padding meets its entry where it is read
 
 
+def test_count_of_frequent_keys_is_shuffled_once(spark):
+    from tessera.operators import skew
+    df = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("t"))
+    assert skew.heavy_hitters(df, "t") == ["a"]  # a third is null, a third is all different
+    assert skew.heavy_hitters(df.filter("t is null"), "t") == []
+
+
 def test_rerank_shuffles_once_and_no_sequences(spark):
     from tessera.operators import hypotheses as H
     rows = [(d, s, b, c, tok, b, ["[unused0]", *"abcdefgh"[:s]], -float(b + c), -0.5)
