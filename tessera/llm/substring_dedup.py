@@ -4,7 +4,7 @@ A byte goes if some ``length``-byte string that covers it also starts earlier (a
 document id, or the same document further up). The work is done in four steps:
 
 1. documents are packed into shards and written to the shared folder; a document whose whole
-   text came up under a smaller id goes entirely, so only its size is packed;
+   text came up under a smaller id goes entirely: found by digests, it is skipped from here on;
 2. every window of ``length`` bytes picks the smallest hash of the ``GRAM``-byte strings in it.
    Equal windows pick equal hashes, so a window whose hash occurs nowhere else in the corpus
    is proven unique and never enters an array;
@@ -44,70 +44,85 @@ PLACE_MASK = np.uint64((1 << 21) - 1)
 
 # -- 1. shards
 
-def whole_copies(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """``(id, digest)`` of documents of at least ``length`` bytes whose text a smaller id has as
-    well: all their windows start earlier there, and whatever repeats theirs repeats the
-    other's. Other texts of the same id are not meant."""
-    rows = written(docs.where((F.octet_length(text_col) >= length) & F.col(id_col).isNotNull())
-                   .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("digest")), "digests")
-    # one row per repeated text, written: the join below can then split a text of very many copies
-    first = written(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
-    # also written: a distinct in the join's stage would keep it from being split
-    later = written(rows.join(first, "digest").where("id > first").select("id", "digest"), "later")
-    return written(later.distinct(), "copies")
-
-
 def write_shards(docs: DataFrame, id_col: str, text_col: str, length: int, key_col: str | None = None) -> DataFrame:
-    """``(shard, ids, sizes, full, flags, keys, blob)``: texts of some documents, compressed, one after
-    another; ``flags`` has 1 for a null id and 2 for a whole copy, whose text is left out; ``keys``
-    are the rows' ``key_col``, one a line."""
-    copies = whole_copies(docs, id_col, text_col, length)
-
+    """``(shard, ids, sizes, flags, keys, digests, blob)``: some documents, their texts compressed one
+    after another; ``flags`` has 1 for a null id, ``keys`` are the rows' ``key_col``, one a line,
+    ``digests`` the SHA-256 of each text of at least ``length`` bytes that has an id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         pack = zstandard.ZstdCompressor(level=3)
-        count, ids, full, flags, keys, texts, size = TaskContext.get().partitionId() << 31, [], [], [], [], [], 0
+        count, ids, flags, keys, digests, texts, size = TaskContext.get().partitionId() << 31, [], [], [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal count, ids, full, flags, keys, texts, size
+            nonlocal count, ids, flags, keys, digests, texts, size
             order = np.array([LAST if i is None else i for i in ids], np.int64)
-            parts = [order.tobytes(), np.array(list(map(len, texts)), np.int64).tobytes(), np.array(full, np.int64).tobytes(),
-                     bytes(flags), "\n".join(keys).encode(), pack.compress(b"".join(texts))]
+            parts = [order.tobytes(), np.array(list(map(len, texts)), np.int64).tobytes(), bytes(flags), "\n".join(keys).encode(),
+                     b"".join(digests), pack.compress(b"".join(texts))]
             out = pa.record_batch([pa.array([count], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)],
-                                  ["shard", "ids", "sizes", "full", "flags", "keys", "blob"])
-            count, ids, full, flags, keys, texts, size = count + 1, [], [], [], [], [], 0
+                                  ["shard", "ids", "sizes", "flags", "keys", "digests", "blob"])
+            count, ids, flags, keys, digests, texts, size = count + 1, [], [], [], [], [], 0
             return out
 
         for batch in batches:
-            for i, text, copy, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3))):
-                if ids and (size + (0 if copy else len(text)) > SHARD_BYTES or len(ids) >= MAX_DOCS):
+            for i, text, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+                if ids and (size + len(text) > SHARD_BYTES or len(ids) >= MAX_DOCS):
                     yield shard()
                 ids.append(i)
                 keys.append(key)
-                full.append(len(text))
-                flags.append((i is None) + 2 * bool(copy))
-                texts.append(b"" if copy else text)
-                size += len(texts[-1])
+                flags.append(i is None)
+                texts.append(text)
+                if i is not None and len(text) >= length:
+                    digests.append(hashlib.sha256(text).digest())
+                size += len(text)
         if ids:
             yield shard()
 
-    rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                        (F.col(key_col) if key_col else F.lit("")).alias("key"))
-            .withColumn("digest", F.unhex(F.sha2("text", 256)))
-            .join(copies.withColumn("copy", F.lit(True)), ["id", "digest"], "left").select("id", "text", "copy", "key"))
-    return written(rows.mapInArrow(run, "shard long, ids binary, sizes binary, full binary, flags binary, keys binary, blob binary"), "shards")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.col(key_col) if key_col else F.lit("")).alias("key"))
+    return written(rows.mapInArrow(run, "shard long, ids binary, sizes binary, flags binary, keys binary, digests binary, blob binary"), "shards")
+
+
+def whole_copies(shards: DataFrame, length: int) -> DataFrame:
+    """``(shard, copies)``: the rows of each shard, of at least ``length`` bytes, whose text a smaller id
+    has as well: all their windows start earlier there, and whatever repeats theirs repeats the
+    other's. Other texts of the same id are not meant.
+
+    Only digests and places are shuffled: the texts stay in their shards.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in _unpacked(batch):
+                at = np.flatnonzero((np.frombuffer(r["sizes"], np.int64) >= length) & (np.frombuffer(r["flags"], np.uint8) == 0))
+                if len(at):
+                    digests = [r["digests"][k:k + 32] for k in range(0, len(r["digests"]), 32)]
+                    yield pa.record_batch([pa.array(np.full(len(at), r["shard"])), pa.array(at.astype(np.int32)),
+                                           pa.array(np.frombuffer(r["ids"], np.int64)[at]), pa.array(digests, pa.binary())],
+                                          ["shard", "row", "id", "digest"])
+
+    rows = written(shards.select("shard", "ids", "sizes", "flags", "digests")
+                   .mapInArrow(run, "shard long, row int, id long, digest binary"), "digests")
+    # one row per repeated text, written: the join below can then split a text of very many copies
+    first = written(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    # also written: a grouping in the join's stage would keep it from being split
+    later = written(rows.join(first, "digest").where("id > first").select("shard", "row"), "later")
+    return written(later.groupBy("shard").agg(F.collect_list("row").alias("copies")), "copies")
 
 
 class Shard:
-    """One unpacked shard: the bytes, document bounds and document ids."""
+    """One unpacked shard: the bytes, document bounds and document ids. Of whole copies only
+    the place is left, without bytes."""
 
-    def __init__(self, shard: int, ids: bytes, sizes: bytes, blob: bytes):
+    def __init__(self, shard: int, ids: bytes, sizes: bytes, blob: bytes, copies: list | None = None):
         self.shard = shard
         self.ids = np.frombuffer(ids, np.int64)
         self.sizes = np.frombuffer(sizes, np.int64)
         total = int(self.sizes.sum())
         raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, total))
         self.text = np.frombuffer(raw, np.uint8)
+        if copies:
+            stay = np.ones(len(self.sizes), bool)
+            stay[copies] = False
+            self.text = self.text[np.repeat(stay, self.sizes)]
+            self.sizes = self.sizes * stay
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
         self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
@@ -175,7 +190,7 @@ def block_windows(shard: Shard, lo: int, hi: int, length: int) -> tuple:
     return starts[inside], picked[inside], place[inside]
 
 
-def repeated_hashes(shards: DataFrame, length: int) -> DataFrame:
+def repeated_hashes(shards: DataFrame, copies: DataFrame, length: int) -> DataFrame:
     """``(shard, hashes, modes)``: the picked hashes of each shard that occur again.
 
     Mode 0: only within one block; 1: in other blocks too; 2: so often (``HOT_HASH``) that its
@@ -185,7 +200,7 @@ def repeated_hashes(shards: DataFrame, length: int) -> DataFrame:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _unpacked(batch):
-                shard = Shard(row["shard"], row["ids"], row["sizes"], row["blob"])
+                shard = Shard(row["shard"], row["ids"], row["sizes"], row["blob"], row["copies"])
                 for _, lo, hi in shard.blocks(length):
                     starts, picked, place = block_windows(shard, lo, hi, length)
                     if not len(starts):
@@ -219,7 +234,8 @@ def repeated_hashes(shards: DataFrame, length: int) -> DataFrame:
         if held and sum(len(x[0]) for x in held):
             yield settle(*[np.concatenate(x) for x in zip(*held)])
 
-    rows = shards.select("shard", "ids", "sizes", "blob").mapInArrow(pick, "h long, shard long, n int")
+    marked = shards.join(copies, "shard", "left").select("shard", "ids", "sizes", "blob", "copies")
+    rows = marked.mapInArrow(pick, "h long, shard long, n int")
     found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(again, "shard long, h long, mode tinyint")
     return written(found.groupBy("shard").agg(F.collect_list(F.struct("h", "mode")).alias("found"))
                    .select("shard", F.col("found.h").alias("hashes"), F.col("found.mode").alias("modes")), "hashes")
@@ -291,7 +307,7 @@ PIECES = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("h2", pa.int64()),
 PIECES_DDL = "kind tinyint, h long, h2 long, doc long, shard long, row int, start long, n int, text binary"
 
 
-def settled_pieces(shards: DataFrame, hashes: DataFrame, length: int) -> DataFrame:
+def settled_pieces(shards: DataFrame, copies: DataFrame, hashes: DataFrame, length: int) -> DataFrame:
     """Kind 0: windows ``start .. start + n - 1`` of a row that go. Kind 1: windows to compare
     with other blocks, with their bytes, by picked hash. Kind 2: the same for hot hashes, one
     window each, by 128-bit hash of the window."""
@@ -306,11 +322,12 @@ def settled_pieces(shards: DataFrame, hashes: DataFrame, length: int) -> DataFra
                 if len(found):
                     head = np.concatenate([[True], found[1:] != found[:-1]])
                     found, modes = found[head], np.maximum.reduceat(modes, np.flatnonzero(head))
-                shard = Shard(row["shard"], row["ids"], row["sizes"], row["blob"])
+                shard = Shard(row["shard"], row["ids"], row["sizes"], row["blob"], row["copies"])
                 for _, lo, hi in shard.blocks(length):
                     yield from _block_rows(shard, lo, hi, found, modes, length)
 
-    both = shards.join(hashes, "shard").select("shard", "ids", "sizes", "blob", "hashes", "modes")
+    both = (shards.join(hashes, "shard").join(copies, "shard", "left")
+            .select("shard", "ids", "sizes", "blob", "copies", "hashes", "modes"))
     return written(both.mapInArrow(run, PIECES_DDL), "pieces")
 
 
@@ -450,18 +467,20 @@ def cross_shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, key_col: str | None = None) -> tuple:
-    """``(shards, gone)``: the packed documents and the windows to remove per shard."""
+    """``(shards, copies, gone)``: the packed documents, the whole copies and the windows to remove per shard."""
     shards = write_shards(docs, id_col, text_col, length, key_col)
     _let_go(docs)
-    hashes = repeated_hashes(shards, length)
+    copies = whole_copies(shards, length)
+    _let_go(docs)
+    hashes = repeated_hashes(shards, copies, length)
     _let_go(docs)
-    pieces = settled_pieces(shards, hashes, length)
+    pieces = settled_pieces(shards, copies, hashes, length)
     _let_go(docs)
     all_gone = pieces.where("kind = 0").select("shard", "row", "start", "n").unionByName(cross_shard_repeats(pieces, length))
     gone = written(all_gone.groupBy("shard").agg(F.collect_list(F.struct("row", "start", "n")).alias("g"))
                    .select("shard", F.col("g.row").alias("rows"), F.col("g.start").alias("starts"), F.col("g.n").alias("ns")), "gone")
     _let_go(docs)
-    return shards, gone
+    return shards, copies, gone
 
 
 def _let_go(df: DataFrame) -> None:
@@ -481,20 +500,22 @@ def remaining(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Rows with equal ids count as separate documents, in the order in which they were packed;
     null ids come after all others. Empty tables give an empty result.
     """
-    shards, gone = repeats(docs, id_col, text_col, length, key_col)
+    shards, copies, gone = repeats(docs, id_col, text_col, length, key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in _unpacked(batch):
                 yield _finish(r, length, texts)
 
-    joined = shards.join(gone, "shard", "left").select("shard", "ids", "sizes", "full", "flags", "keys", "blob", "rows", "starts", "ns")
+    joined = (shards.join(gone, "shard", "left").join(copies, "shard", "left")
+              .select("shard", "ids", "sizes", "flags", "keys", "blob", "copies", "rows", "starts", "ns"))
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, key string" if texts else "")
     return joined.mapInArrow(run, ddl)
 
 
 def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
-    shard = Shard(r["shard"], r["ids"], r["sizes"], r["blob"])
+    copies = r.get("copies") or []
+    shard = Shard(r["shard"], r["ids"], r["sizes"], r["blob"], copies)
     raw = shard.text.tobytes()
     change = np.zeros(len(raw) + 1, np.int64)
     if r["rows"]:
@@ -502,12 +523,12 @@ def _finish(r: dict, length: int, texts: bool) -> pa.RecordBatch:
         np.add.at(change, start, 1)
         np.add.at(change, start + np.array(r["ns"], np.int64) + length - 1, -1)
     covered = np.cumsum(change)[:-1] > 0
-    flags, full = r["flags"], np.frombuffer(r["full"], np.int64).tolist()
+    flags, full, copies = r["flags"], np.frombuffer(r["sizes"], np.int64).tolist(), set(copies)
     keys = r["keys"].decode().split("\n") if texts else [None] * len(full)
     out: list = [[], [], [], [], [], [], []]
     for i, (lo, hi) in enumerate(zip(shard.begins.tolist(), shard.ends.tolist())):
         hit = covered[lo:hi]
-        if flags[i] & 2:  # a whole copy: one run of removed bytes
+        if i in copies:  # a whole copy: one run of removed bytes
             n, spans, kept = full[i], 1, b""
         else:
             n = int(hit.sum())

@@ -161,3 +161,26 @@ def test_a_copy_does_not_take_other_texts_of_its_id(spark):
     rows = [(3, a, "", "", ""), (5, a, "", "", ""), (5, b, "", "", ""), (7, b, "", "", "")]
     got = sorted((r.id, r.n_removed, r.kept) for r in substring_dedup.remaining(spark.createDataFrame(rows, DOCS), texts=True).collect())
     assert got == [(3, 0, a), (5, 0, b), (5, 400, ""), (7, 400, "")]
+
+
+def test_texts_are_not_shuffled_to_find_whole_copies(spark, tmp_path, monkeypatch):
+    """Also where no table is small enough to be sent to all tasks: shards are packed without an exchange."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices("abcdefgh ", k=3000)) for _ in range(40)]
+    rows = [(i, texts[i % 40], "", "", "") for i in range(80)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "docs"))
+    docs, plans, written = spark.read.parquet(str(tmp_path / "docs")), {}, substring_dedup.written
+
+    def noted(df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, tag)
+
+    monkeypatch.setattr(substring_dedup, "written", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: (r.n_removed, r.n_spans) for r in substring_dedup.remaining(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plans["shards"]
+    assert got == {i: (0, 0) if i < 40 else (3000, 1) for i in range(80)}
