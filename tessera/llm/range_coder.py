@@ -72,7 +72,7 @@ FLAG_TARGETS = _items(np.array([[TOTAL - 2 * LEAST, TOTAL - LEAST], [LEAST, TOTA
 
 def _moved(rows: np.ndarray, targets: np.ndarray, came: np.ndarray, rate: int) -> np.ndarray:
     """Bounds moved a part of the way to where they would be for what came."""
-    out = _numbers(targets[came])
+    out = _numbers(targets.take(came))
     out -= rows
     out >>= rate
     out += rows
@@ -119,17 +119,17 @@ class _Model:
     def digit_rows(self, k: int, lanes: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Bounds of the k-th digit's distribution under the digits before it."""
         self.row_at = self.row_base[lanes] + (k + before)
-        self.rows = _numbers(self.digits[self.row_at])
+        self.rows = _numbers(self.digits.take(self.row_at))
         if k:
             return self.rows
         self.mixed_at = self.by_id_at[lanes]
-        self.rows_by_id = _numbers(self.first_by_id[self.mixed_at])
+        self.rows_by_id = _numbers(self.first_by_id.take(self.mixed_at))
         return (self.rows >> 1) + (self.rows_by_id >> 1) + (self.rows & self.rows_by_id & 1)
 
     def learn_digit(self, k: int, digit: np.ndarray) -> None:
-        self.digits[self.row_at] = _items(_moved(self.rows, TARGETS, digit, DIGIT_RATE))
+        self.digits.put(self.row_at, _items(_moved(self.rows, TARGETS, digit, DIGIT_RATE)))
         if not k:
-            self.first_by_id[self.mixed_at] = _items(_moved(self.rows_by_id, TARGETS, digit, DIGIT_RATE))
+            self.first_by_id.put(self.mixed_at, _items(_moved(self.rows_by_id, TARGETS, digit, DIGIT_RATE)))
 
     def predict_low(self, lanes: np.ndarray, high: np.ndarray) -> tuple:
         """The lower byte predicted under an upper byte, and the bound of its probability."""
@@ -143,13 +143,13 @@ class _Model:
         target = np.where(hit, np.int16(TOTAL - LEAST), np.int16(LEAST))
         self.low_flags[self.low_flag_at] = self.low_bound + ((target - self.low_bound) >> FLAG_RATE)
         self.low_guess[self.low_at] = np.where(hit | (self.low_sure > 0), self.low, low)
-        self.low_trust[self.low_at] = TRUST[self.low_sure * 2 + hit]
+        self.low_trust[self.low_at] = TRUST.take(self.low_sure * 2 + hit)
 
     def learn_id(self, n: int, x: np.ndarray) -> None:
         for guess, trust, at, ids, sure in zip(self.guess, self.trust, self.at, self.ids, self.sure):
             hit = ids == x
             guess[at] = np.where(hit | (sure > 0), ids, x)
-            trust[at] = TRUST[sure * 2 + hit]
+            trust[at] = TRUST.take(sure * 2 + hit)
         self.two[:n] = self.one[:n]
         self.one[:n] = x
 

@@ -7,10 +7,13 @@ are little-endian; every section states its length and carries a CRC-32.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,46 @@ from .common import ModelFile, TwoGenerationCache, per_worker, utf8, written
 HEAD = struct.Struct("<cIII")  # kind, number of items, CRC-32 of the body, its length
 #: token ids of words remembered by one Python worker, and the longest of them in bytes
 CACHE_ENTRIES, CACHE_BYTES = 250_000, 64
+#: steps of a ``tokenizers`` file before its model for which :class:`WordEncoder` takes words apart itself
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+                                                  {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: a word of Latin-1 letters and ASCII marks behind them: one piece (lower-cased) or two under the steps above
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[!-&(-/:-@\\[-`{-~]"
+#: words between single spaces: letters and marks, or any other word
+PARTS = re.compile(f"(?:({LETTERS}+)({MARKS}*)|([^ ]+))(?: |$)")
+
+
+class IdMemo(TwoGenerationCache):
+    """A bounded memo of words' ids that is asked for many words at once."""
+
+    def all(self, words: list, make: Callable) -> list:
+        """The ids of ``words`` (empty: none); ``make`` gives those of different words not known."""
+        found = list(map(self.get, words))
+        if None not in found:
+            return found
+        missed = [i for i, v in enumerate(found) if v is None]
+        asked = list(dict.fromkeys([words[i] for i in missed]))
+        known = dict(zip(asked, map(self.old.get, asked)))
+        fresh = [w for w, v in known.items() if v is None and w]
+        if fresh:
+            known.update(zip(fresh, make(fresh)))
+        for i in missed:
+            found[i] = known[words[i]] or b""
+        self.update((w, v) for w, v in known.items() if len(w) <= CACHE_BYTES and v is not None)
+        self.rotate()
+        return found
 
 
 class WordEncoder:
     """Ids of whole texts under a ``tokenizers`` file that never merges over white space.
 
     Texts are cut at ASCII white space, which the file's pre-tokenizer drops; every word is
-    encoded by the library once and remembered within a bound.
+    encoded by the library once and remembered within a bound. Under the steps above, words that
+    differ in case or in the marks behind them share their letters' ids: the letters of many
+    words are given to the library's model at once, each word's last id being one that ends words.
     """
 
     def __init__(self, data: bytes):
@@ -43,29 +79,65 @@ class WordEncoder:
             whole = self.library.encode(probe, add_special_tokens=False).ids
             if whole != [i for w in probe.split() for i in self.library.encode(w, add_special_tokens=False).ids]:
                 raise ValueError("this tokenizer's ids depend on white space")
-        self.cache = TwoGenerationCache(CACHE_ENTRIES)
+        self.cache, self.letters, self.marks = (IdMemo(CACHE_ENTRIES) for _ in range(3))
+        self.lowered = self._for_lowered(json.loads(data))
+
+    def _for_lowered(self, file: dict):
+        """The library with the same model, for lower-case letters between spaces only (or None)."""
+        model, steps = file["model"], (file.get("normalizer"), file.get("pre_tokenizer"), file["model"].get("type"))
+        end = model.get("end_of_word_suffix")
+        # an added token of letters, marks behind them or both could be part of a word that is taken apart
+        added = any(re.fullmatch(f"{LETTERS}*{MARKS}*", t["content"]) for t in file.get("added_tokens") or [])
+        if steps != (NORMALIZER, PRE_TOKENIZER, "BPE") or not end or model.get("dropout") or added:
+            return None
+        from tokenizers import Tokenizer
+        self.ends = np.zeros(range_coder.ID_LIMIT, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(end)]] = True
+        split = {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(file | {"normalizer": None, "added_tokens": [],
+                                                     "pre_tokenizer": PRE_TOKENIZER | {"pretokenizers": [split, PRE_TOKENIZER["pretokenizers"][1]]}}))
+
+    def _by_word(self, words: list) -> list:
+        """Ids of some words (strings) as the library gives them, one by one."""
+        return [np.array(e.ids, "<u2").tobytes() for lo in range(0, len(words), 4096)
+                for e in self.library.encode_batch_fast(words[lo:lo + 4096], add_special_tokens=False)]
+
+    def _by_letters(self, words: list) -> list:
+        """Ids of some words of lower-case letters, many at a time."""
+        out = []
+        for lo in range(0, len(words), 4096):
+            part = words[lo:lo + 4096]
+            ids = np.array(self.lowered.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):  # letters that the model does not know
+                out += self._by_word(part)
+                continue
+            raw, cuts = ids.tobytes(), [0, *(cuts * 2).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _fresh(self, words: list) -> list:
+        """Ids of some different words (UTF-8)."""
+        text = b" ".join(words).decode()
+        if self.lowered is None:
+            return self._by_word(text.split(" "))
+        letters, marks, whole = zip(*PARTS.findall(text))
+        letters = list(map(str.lower, letters))
+        heads = self.letters.all(letters, self._by_letters)
+        tails = self.marks.all(marks, self._by_word)
+        # other words are in the memo of words
+        rest = [t for t in whole if t]
+        of = dict(zip(rest, self._by_word(rest)))
+        return [h + t if h or t else of.get(w, b"") for h, t, w in zip(heads, tails, whole)]
 
     def encode(self, texts: list) -> list:
         """16-bit ids of some texts (UTF-8), as bytes."""
         cut = [t.split() for t in texts]
-        lookup, fresh = self.cache.lookup, {}
-        for words in cut:
-            for w in words:
-                if lookup(w) is None and w not in fresh:
-                    fresh[w] = None
-        if fresh:
-            keys = list(fresh)
-            for lo in range(0, len(keys), 4096):
-                found = self.library.encode_batch_fast([k.decode() for k in keys[lo:lo + 4096]], add_special_tokens=False)
-                for k, e in zip(keys[lo:lo + 4096], found):
-                    fresh[k] = np.array(e.ids, "<u2").tobytes()
-            for k, v in fresh.items():
-                if len(k) <= CACHE_BYTES:
-                    self.cache[k] = v
-        out = []
-        for words in cut:
-            out.append(b"".join([lookup(w) or fresh.get(w, b"") for w in words]))
-        self.cache.rotate()
+        found = self.cache.all(list(chain.from_iterable(cut)), self._fresh)
+        out, at = [], 0
+        for w in cut:
+            out.append(b"".join(found[at:at + len(w)]))
+            at += len(w)
         return out
 
 

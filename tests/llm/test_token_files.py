@@ -41,6 +41,40 @@ def test_words_equal_the_library():
         assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_that_share_letters_are_encoded_once(monkeypatch):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_str(ModelFile(WORDS).data.decode())
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 300)  # memos forget while texts are read
+    mine, alone = token_files.WordEncoder(ModelFile(WORDS).data), []
+
+    class Noted:
+        def encode_batch_fast(self, words, **how):
+            alone.extend(words)
+            return library.encode_batch_fast(words, **how)
+
+    mine.library = Noted()
+    rnd = random.Random(5)
+    stems = ["".join(rnd.choices("abcdeéñÀß", k=rnd.randint(1, 12))) for _ in range(900)]
+    forms = [f for w in stems for f in (w, w.upper(), w.capitalize() + ".", w + '!?"', w + ",")]
+    texts = [" ".join(forms[i:i + 500]) for i in range(0, len(forms), 500)] + ["<|endoftext|> a<|b|> it's, '' \u0301. a\u0301. Ωσ ΟΔΟΣ. aª ×a ı İ. \x85x\x1c. " + "Y" * 3000 + "."]
+    for lot in (texts, texts[::-1]):
+        for t, got in zip(lot, mine.encode([t.encode() for t in lot])):
+            assert np.frombuffer(got, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(alone) < 60
+
+
+def test_other_steps_before_the_model_go_word_by_word():
+    import json
+
+    from tokenizers import Tokenizer
+    file = json.loads(ModelFile(WORDS).data)
+    file["normalizer"] = {"type": "NFC"}  # upper case stays
+    data = json.dumps(file)
+    library, mine = Tokenizer.from_str(data), token_files.WordEncoder(data.encode())
+    for t in ("The END. the end, Été", ""):
+        assert np.frombuffer(mine.encode([t.encode()])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_damaged_files_raise():
     writer = token_files.FileWriter(4)
     for i in range(5):
