@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,14 @@ from ..session import scratch_path
 from . import range_coder
 from .common import ModelFile, TwoGenerationCache, per_worker, utf8, written
 
+#: text taken at a time, in bytes (and on to the next white space)
+CHUNK, WHITE = 4 << 20, re.compile(rb"[ \t-\r]")
+#: the first 0 to 8 bytes of a number, and odd factors
+EIGHTS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 HEAD = struct.Struct("<cIII")  # kind, number of items, CRC-32 of the body, its length
 #: token ids of words remembered by one Python worker, and the longest of them in bytes
-CACHE_ENTRIES, CACHE_BYTES = 250_000, 64
+CACHE_ENTRIES, CACHE_BYTES = 300_000, 64
 #: steps of a ``tokenizers`` file before its model for which :class:`WordEncoder` takes words apart itself
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
                                                   {"type": "Lowercase"}]}
@@ -39,6 +45,45 @@ LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[!-&(-/:-@\\[-`{-~]"
 PARTS = re.compile(f"(?:({LETTERS}+)({MARKS}*)|([^ ]+))(?: |$)")
 
 
+def cut_words(data: bytes) -> tuple:
+    """The words of a text that ends with white space, each different word once.
+
+    ``(starts, sizes, words, codes)``: where the words start, their sizes, the different words (in
+    no order), and the number in ``words`` of each. Words of up to 24 bytes meet by a hash of
+    three numbers; those whose numbers are not the ones of the word they met are taken singly, as longer ones are.
+    """
+    text = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero((text == 32) | (text - np.uint8(9) < 5))
+    starts = np.append(0, ends[:-1] + 1)
+    some = starts < ends
+    starts, ends = starts[some], ends[some]
+    sizes = ends - starts
+    eights = np.frombuffer(data + bytes(40 - len(data) % 8), "<u8")
+    at, off = starts >> 3, (starts & 7).astype(np.uint64) << np.uint64(3)
+    keys, hashes = [], sizes.astype(np.uint64)
+    part = eights.take(at)
+    for k, odd in enumerate(HASH):
+        after = eights.take(np.minimum(at + k + 1, len(eights) - 1))
+        # a shift by 64 gives 0
+        key = (part >> off | after << np.uint64(64) - off) & EIGHTS.take(sizes - 8 * k, mode="clip")
+        hashes = (hashes ^ hashes >> np.uint64(29)) * odd + key
+        keys.append(key)
+        part = after
+    codes, different = pd.factorize(hashes * HASH[0])
+    place = np.empty(len(different), np.int64)
+    place[codes] = np.arange(len(codes))
+    alone, met = sizes > 24, place.take(codes)
+    for values in (*keys, sizes):
+        alone |= values != values.take(met)
+    words = [data[a:b] for a, b in zip(starts.take(place).tolist(), ends.take(place).tolist())]
+    single = np.flatnonzero(alone)
+    if len(single):
+        number = {w: i for i, w in enumerate(words)}
+        codes[single] = [number.setdefault(data[a:b], len(number)) for a, b in zip(starts[single].tolist(), ends[single].tolist())]
+        words = list(number)
+    return starts, sizes, words, codes
+
+
 class IdMemo(TwoGenerationCache):
     """A bounded memo of words' ids that is asked for many words at once."""
 
@@ -63,8 +108,8 @@ class IdMemo(TwoGenerationCache):
 class WordEncoder:
     """Ids of whole texts under a ``tokenizers`` file that never merges over white space.
 
-    Texts are cut at ASCII white space, which the file's pre-tokenizer drops; every word is
-    encoded by the library once and remembered within a bound. Under the steps above, words that
+    Texts are cut at ASCII white space, which the file's pre-tokenizer drops; the different words
+    of a stretch of text are found in numpy, encoded by the library once and remembered within a bound. Under the steps above, words that
     differ in case or in the marks behind them share their letters' ids: the letters of many
     words are given to the library's model at once, each word's last id being one that ends words.
     """
@@ -130,15 +175,33 @@ class WordEncoder:
         of = dict(zip(rest, self._by_word(rest)))
         return [h + t if h or t else of.get(w, b"") for h, t, w in zip(heads, tails, whole)]
 
+    def _ids(self, data: bytes) -> tuple:
+        """Ids of a stretch of text that ends with white space: all ids, the words' starts, and their numbers of ids."""
+        starts, sizes, words, codes = cut_words(data)
+        found = self.cache.all(words, self._fresh)
+        pool, n = np.frombuffer(b"".join(found), "<u2"), np.fromiter(map(len, found), np.int64, len(found)) // 2
+        counts = n.take(codes)
+        # places in the pool, word by word
+        first = (np.cumsum(n) - n).take(codes) - (np.cumsum(counts) - counts)
+        return pool.take(np.repeat(first, counts) + np.arange(int(counts.sum()))), starts, counts
+
     def encode(self, texts: list) -> list:
         """16-bit ids of some texts (UTF-8), as bytes."""
-        cut = [t.split() for t in texts]
-        found = self.cache.all(list(chain.from_iterable(cut)), self._fresh)
-        out, at = [], 0
-        for w in cut:
-            out.append(b"".join(found[at:at + len(w)]))
-            at += len(w)
-        return out
+        data = b" ".join(texts) + b" "
+        ids, starts, counts, at = [], [], [], 0
+        while at < len(data):
+            upto = at + CHUNK
+            if upto < len(data):  # on to the next white space
+                upto = WHITE.search(data, upto - 1).end()
+            part = self._ids(data[at:upto])
+            for column, values in zip((ids, starts, counts), (part[0], part[1] + at, part[2])):
+                column.append(values)
+            at = upto
+        raw = np.concatenate(ids).tobytes()
+        before = np.append(0, np.cumsum(np.concatenate(counts))) * 2
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        cuts = [0, *before.take(np.searchsorted(np.concatenate(starts), ends)).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _section(kind: bytes, items: int, body: bytes) -> bytes:
@@ -179,7 +242,7 @@ class FileWriter:
         return self.n_ids >= range_coder.LANES * range_coder.BLOCK_IDS
 
     def sections(self, last: bool) -> Iterator[bytes]:
-        """What can be written now; whole blocks only, until the last."""
+        """What can be written now; whole groups of blocks only, until the last."""
         if self.docs:
             ids = np.array([d or 0 for d, _ in self.docs], "<i8").tobytes()
             nulls = np.array([d is None for d, _ in self.docs], np.uint8).tobytes()
@@ -187,7 +250,8 @@ class FileWriter:
             yield _section(b"D", len(self.docs), struct.pack("<I", self.part) + zlib.compress(ids + nulls + sizes, 1))
         stream = np.frombuffer(b"".join(self.ids), "<u2")
         step = range_coder.BLOCK_IDS
-        upto = len(stream) if last else len(stream) // step * step
+        group = range_coder.LANES * step
+        upto = len(stream) if last else len(stream) // group * group
         blocks = [stream[i:i + step] for i in range(0, upto, step)]
         for ids_, coded in zip(blocks, range_coder.encode_blocks(blocks)):
             yield _section(b"B", len(ids_), struct.pack("<I", range_coder.checksum(ids_)) + coded)
@@ -259,8 +323,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
                 yield pa.record_batch([pa.array(out, pa.binary())], ["section"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            rows = max(1, batch.num_rows * CHUNK // max(1, batch.column(1).nbytes))
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(utf8(part.column(1)))):
                     writer.add(doc_id, ids + end)
                     empty = False

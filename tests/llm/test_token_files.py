@@ -30,6 +30,41 @@ def test_blocks_round_trip(monkeypatch, lanes):
         range_coder.encode_blocks([np.array([65536])])
 
 
+def test_lower_bytes_are_modelled():
+    rng = np.random.default_rng(2)
+    blocks = [0x1230 + rng.integers(0, 16, 1024), rng.integers(0, 4, 1024) * 4096 + 0x567]
+    coded = range_coder.encode_blocks(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode_blocks(coded, [1024, 1024])))
+    assert len(coded[0]) < 1024 * 5.5 / 8 and len(coded[1]) < 1024 * 3.5 / 8  # 4 and 2 bits an id without predictions
+
+
+@pytest.mark.parametrize("factors", [None, 0])
+def test_different_words_are_cut_once(monkeypatch, factors):
+    if factors is not None:  # all words have equal hashes
+        monkeypatch.setattr(token_files, "HASH", np.full(3, factors, np.uint64))
+    rnd = random.Random(4)
+    some = ["", "a", "b\0", "b", "a\0\0", "é" * 4, "12345678", "123456789", "x" * 24, "x" * 25, "x" * 23 + "y", "y" * 70, "中" * 90, "\x85z"]
+    for n in (0, 1, 5, 3000):
+        data = ("".join(rnd.choice(some) + rnd.choice(" \t\n\x0b\x0c\r") for _ in range(n)) + " ").encode()
+        starts, sizes, words, codes = token_files.cut_words(data)
+        assert [words[c] for c in codes] == data.split() == [data[a:a + k] for a, k in zip(starts, sizes)]
+        assert len(set(words)) == len(words) and set(words) >= set(data.split())
+
+
+def test_stretches_of_text_ask_for_different_words_only(monkeypatch):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_str(ModelFile(WORDS).data.decode())
+    texts = ["", "the cat, the dog " * 400, "", "one two\n" * 300, "z" * 5000, " ", "the " * 7]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for chunk in (1, 50, 4000, 1 << 20):
+        monkeypatch.setattr(token_files, "CHUNK", chunk)
+        mine, asked = token_files.WordEncoder(ModelFile(WORDS).data), []
+        look_up = mine.cache.all
+        mine.cache.all = lambda words, make: asked.append(len(words)) or look_up(words, make)
+        assert [np.frombuffer(b, "<u2").tolist() for b in mine.encode([t.encode() for t in texts])] == want
+    assert asked == [6] and mine.encode([]) == []
+
+
 def test_words_equal_the_library():
     from tokenizers import Tokenizer
     library = Tokenizer.from_str(ModelFile(WORDS).data.decode())
