@@ -16,6 +16,7 @@ distinct token ids are joined to it (``token_vectors``), so its size has no limi
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from itertools import chain
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import CLS, SEP
 from ..functions.strings import words
-from ..functions.vectors import round_vector
+from ..functions.vectors import MICRO, round_vector
 
 VECS_TYPE = T.ArrayType(T.ArrayType(T.FloatType()))
 MAX_MODEL_BYTES = 256 << 20  # a larger lookup table is joined instead of broadcast
@@ -46,6 +47,7 @@ def worker_model(key: str, make):
 
 
 OUTPUT_BATCH_BYTES = 16 * 1024 * 1024  # cap of one Arrow batch of vectors sent back to the JVM
+IN_TASK_BYTES = 1 << 20  # of vectors that the next step takes over in the same task: they stay in the processor's cache
 
 
 def row_slices(rb: pa.RecordBatch, bytes_per_row: float, cap: int = OUTPUT_BATCH_BYTES):
@@ -70,6 +72,13 @@ def lookup_token_ids(tokens: Column, n_rows: int) -> Column:
                                                 F.lit(n_rows)))
 
 
+def hashed_rows(tokens: pa.Array, n_rows: int) -> np.ndarray:
+    """``lookup_token_ids`` of an Arrow array of tokens; each of its distinct tokens is hashed once."""
+    coded = pc.dictionary_encode(tokens)
+    digests = b"".join([hashlib.md5(t).digest() for t in coded.dictionary.cast(pa.large_binary()).to_pylist()])
+    return (np.frombuffer(digests, ">u4")[::4].astype(np.int64) % n_rows)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 class LookupEncoder:
     """Token-vector table used as the encoder (row order = ``order_col``)."""
 
@@ -134,37 +143,56 @@ def _kept(df: DataFrame, keep: list | None, out_col: str, extra: list) -> tuple:
     return df.select(*keep, *extra), keep, T.StructType([*[df.schema[c] for c in keep], T.StructField(out_col, VECS_TYPE)])
 
 
+class InTask:
+    """Rows that a task makes of a DataFrame's Arrow batches. A later step takes them over as they are
+    (``then``) in the same task, so that vectors do not go through the JVM from step to step."""
+
+    def __init__(self, df: DataFrame, make, schema):
+        self.df, self.make, self.schema = df, make, schema
+
+    def then(self, fold, schema) -> "InTask":
+        make = self.make
+        return InTask(self.df, lambda batches: fold(make(batches)), schema)
+
+    def rows(self) -> DataFrame:
+        return self.df.mapInArrow(self.make, self.schema)
+
+
 def _in_task(df: DataFrame, make_vectors, schema: T.StructType, fold) -> DataFrame:
     """Rows with vectors; with ``fold = (function of batches, schema)`` what it makes of them in the same
     task: vectors that are only folded do not go through the JVM to a second Python worker."""
-    if fold is None:
-        return df.mapInArrow(make_vectors, schema)
-    folded, folded_schema = fold
-    return df.mapInArrow(lambda batches: folded(make_vectors(batches)), folded_schema)
+    made = InTask(df, make_vectors, schema)
+    return (made if fold is None else made.then(*fold)).rows()
 
 
-def embed_tokens(df: DataFrame, encoder: LookupEncoder, tokens_col: str = "tokens",
-                 out_col: str = "vecs", fold: tuple | None = None, keep: list | None = None) -> DataFrame:
+def embed_tokens(df: DataFrame, encoder: LookupEncoder, tokens_col: str = "tokens", out_col: str = "vecs",
+                 fold: tuple | None = None, keep: list | None = None, in_task: bool = False) -> DataFrame | InTask:
     """Add ``out_col`` = one float vector per token of ``tokens_col`` (lookup encoder).
 
-    ``keep``: the columns to return beside it (all). ``fold``: see ``_in_task``; needs a table within the bound."""
+    ``keep``: the columns to return beside it (all). ``fold``: see ``_in_task``; needs a table within the bound,
+    as does ``in_task``, which returns the rows as ``InTask``."""
     if not encoder.fits:
-        if fold is not None:
+        if fold is not None or in_task:
             raise ValueError("vectors of a joined table are folded by a step of their own")
         return _embed_by_join(df, encoder, tokens_col, out_col)
     spark = df.sparkSession
-    bc = encoder.broadcast(spark)
-    tmp = df.withColumn("_tok_ids", encoder.token_ids(F.col(tokens_col)))
-    tmp, keep, out_schema = _kept(tmp, list(df.columns) if keep is None else keep, out_col, ["_tok_ids"])
+    bc, n_rows = encoder.broadcast(spark), encoder.n_rows
+    cap = IN_TASK_BYTES if in_task or fold is not None else OUTPUT_BATCH_BYTES
+    keep = list(df.columns) if keep is None else keep
+    tmp, keep, out_schema = _kept(df, keep, out_col, [c for c in [tokens_col] if c not in keep])
 
     def gather(batches, bc=bc, keep=keep):
         W = bc.value
         for big in batches:
-            n_tok = pc.sum(pc.list_value_length(big.column("_tok_ids"))).as_py() or 0
-            for rb in row_slices(big, n_tok * W.shape[1] * 4 / max(1, big.num_rows)):
-                yield _gather_batch(rb, W, keep, out_col)
+            tokens = big.column(tokens_col)
+            rows, at = hashed_rows(tokens.flatten(), n_rows), 0
+            for rb in row_slices(big, len(rows) * W.shape[1] * 4 / max(1, big.num_rows), cap):
+                lengths = pc.fill_null(pc.list_value_length(rb.column(tokens_col)), 0).to_numpy(zero_copy_only=False)
+                some = rows[at:at + int(lengths.sum())]
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), _nested_vectors(W[some], lengths)], names=keep + [out_col])
 
-    return _in_task(tmp, gather, out_schema, fold)
+    return InTask(tmp, gather, out_schema) if in_task else _in_task(tmp, gather, out_schema, fold)
 
 
 def token_vectors(df: DataFrame, encoder: LookupEncoder, key_col: str, ids_col: str = "tok_ids") -> DataFrame:
@@ -197,15 +225,6 @@ def vectors_of_ids(df: DataFrame, encoder: LookupEncoder, ids_col: str, out_col:
             .drop("_row", "_v"))
 
 
-def _gather_batch(rb: pa.RecordBatch, W: np.ndarray, keep: list, out_col: str) -> pa.RecordBatch:
-    """Rows of ``W`` for every token id of the batch, as one nested vector list per row."""
-    ids = rb.column("_tok_ids")
-    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    vecs = _nested_vectors(W[flat] if len(flat) else np.zeros((0, W.shape[1]), np.float32), lengths)
-    return pa.RecordBatch.from_arrays([rb.column(c) for c in keep] + [vecs], names=keep + [out_col])
-
-
 class BatchEncoder:
     """A user's encoder model run in micro-batches on padded model input rows.
 
@@ -298,14 +317,46 @@ def first_vector_per_token(df: DataFrame, key_col: str = "query_id", tokens_col:
                     F.get(vecs_col, "_place").alias("vec")))
 
 
-def token_vectors_long(df: DataFrame, key_col: str = "article_id", tokens_col: str = "tokens",
-                       vecs_col: str = "vecs") -> DataFrame:
+def token_vectors_long(df: DataFrame | InTask, key_col: str = "article_id", tokens_col: str = "tokens",
+                       vecs_col: str = "vecs") -> DataFrame | InTask:
     """Long table ``(key, pos, token, vec)`` (vectors rounded to 6 places as doubles)."""
+    if isinstance(df, InTask):
+        schema = T.StructType([df.schema[key_col], T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType()),
+                               T.StructField("vec", T.ArrayType(T.DoubleType()))])
+        return df.then(lambda batches: _exploded(batches, [key_col, tokens_col, vecs_col], schema.names), schema)
     return (df.select(key_col, F.posexplode(F.arrays_zip(F.col(tokens_col).alias("token"),
                                                          F.col(vecs_col).alias("vec"))).alias("pos", "z"))
             .select(key_col, "pos", F.col("z.token").alias("token"), round_vector("z.vec").alias("vec")))
 
 
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """Single precision numbers rounded to 6 places, halves away from zero, as doubles: their products
+    with a million are exact."""
+    out = values.astype(np.float64)
+    out *= MICRO
+    whole = np.abs(out)
+    whole += 0.5
+    np.floor(whole, out=whole)
+    np.copysign(whole, out, out=out)
+    out /= MICRO
+    return out
+
+
+def _exploded(batches, columns: list, names: list):
+    """Batches of (key, tokens, vectors) as one row per token, with its position and rounded vector."""
+    for rb in batches:
+        key, tokens, vecs = (rb.column(c) for c in columns)
+        counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = int(counts.sum())
+        if not n:
+            continue
+        row = np.repeat(np.arange(len(counts)), counts)
+        pos = np.arange(n) - (np.cumsum(counts) - counts)[row]
+        flat = _rounded(vecs.flatten().flatten().to_numpy(zero_copy_only=False))
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(flat) // n, dtype=np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([key.take(pa.array(row)), pa.array(pos.astype(np.int32)), tokens.flatten(), vec], names=names)
+
+
 def gathered(df: DataFrame, key_col: str) -> DataFrame:
     """``df`` with the rows of a key next to each other in one task, which later row-wise steps keep."""
     return df.repartition(key_col).sortWithinPartitions(key_col)
@@ -343,13 +394,24 @@ def _sorted_by_vector(table: pa.Table, runs: np.ndarray, order: np.ndarray) -> n
     same = (runs[order][1:] == runs[order][:-1]) & pc.fill_null(pc.equal(pos[1:], pos[:-1]), False).to_numpy(zero_copy_only=False)
     same &= pc.fill_null(pc.equal(token[1:], token[:-1]), False).to_numpy(zero_copy_only=False)
     out, firsts = order.copy(), np.flatnonzero(np.append(True, ~same))
-    for a, b in zip(firsts, np.append(firsts[1:], len(order))):
-        if b - a > 1:
-            vecs = table.column("vec").take(order[a:b]).to_pylist()
-            out[a:b] = order[a:b][sorted(range(b - a), key=lambda i: vecs[i])]
+    ends = np.append(firsts[1:], len(order))
+    several = np.flatnonzero(ends - firsts > 1)
+    for a, b in zip(firsts[several], ends[several]):
+        vecs = table.column("vec").take(order[a:b]).to_pylist()
+        out[a:b] = order[a:b][sorted(range(b - a), key=lambda i: vecs[i])]
     return out
 
 
+def _taken(vecs: pa.Array, order: np.ndarray) -> pa.Array:
+    """``vecs.take(order)``; vectors of one length are rows of a matrix."""
+    flat = vecs.flatten()
+    dim = len(flat) // max(1, len(vecs))
+    if not dim or vecs.null_count or flat.null_count or not pc.all(pc.equal(pc.list_value_length(vecs), dim)).as_py():
+        return vecs.take(pa.array(order))
+    rows = flat.to_numpy().reshape(-1, dim)[order]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, dim, dtype=np.int32)), pa.array(rows.reshape(-1)))
+
+
 def _tokens_folded(batches, schema: pa.Schema, names: list):
     for table, runs in _key_runs(batches, schema):
         code = pc.dictionary_encode(table.column("token").combine_chunks()).indices.to_numpy(zero_copy_only=False)
@@ -357,25 +419,26 @@ def _tokens_folded(batches, schema: pa.Schema, names: list):
         order = _sorted_by_vector(table, runs, order)
         first = np.flatnonzero(np.append(True, (runs[order][1:] != runs[order][:-1]) | (code[order][1:] != code[order][:-1])))
         ends = np.append(first, len(order))
-        vectors = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), table.column("vec").combine_chunks().take(order))
+        vectors = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _taken(table.column("vec").combine_chunks(), order))
         head = order[first]
         key, token, pos = (table.column(i).combine_chunks().take(head) for i in (0, 2, 1))
         out = pa.RecordBatch.from_arrays([key, token, pos, pa.array(np.diff(ends).astype(np.int32)), vectors], names=names)
         yield from row_slices(out, table.nbytes / max(1, out.num_rows))
 
 
-def vectors_by_token(long: DataFrame, key_col: str = "article_id", in_runs: bool = False) -> DataFrame:
+def vectors_by_token(long: DataFrame | InTask, key_col: str = "article_id", in_runs: bool = False) -> DataFrame | InTask:
     """Per document and token, its vectors in position order (``token -> [vectors]``).
 
     A group is one token's occurrences in one document, whose whole text is read. With ``in_runs``
     the rows of a key are next to each other (``gathered`` before the vectors were made): they are
-    folded where they are and no vector is shuffled; a task holds one key's rows.
+    folded where they are and no vector is shuffled; a task holds one key's rows. Rows that are
+    ``InTask`` must be so, and stay in their task.
     """
     if in_runs:
         schema = T.StructType([long.schema[key_col], long.schema["token"], T.StructField("first_pos", T.IntegerType()),
                                T.StructField("n_vectors", T.IntegerType()), T.StructField("vectors", T.ArrayType(long.schema["vec"].dataType))])
-        rows = long.select(key_col, "pos", "token", "vec")
-        return rows.mapInArrow(lambda batches: _folded(batches, _tokens_folded, schema.names), schema)
+        fold = lambda batches: _folded(batches, _tokens_folded, schema.names)
+        return long.then(fold, schema) if isinstance(long, InTask) else long.select(key_col, "pos", "token", "vec").mapInArrow(fold, schema)
     return (long.groupBy(key_col, "token")
             .agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("occ"))
             .select(key_col, "token", F.col("occ")[0]["pos"].alias("first_pos"),
@@ -395,25 +458,35 @@ def _maps_folded(batches, schema: pa.Schema, names: list):
         keyed = pa.table({"run": runs, "pos": table.column("first_pos"), "token": table.column("token")})
         order = pc.sort_indices(keyed, [("run", "ascending"), ("pos", "ascending"), ("token", "ascending")])
         first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
-        token, vectors = (table.column(c).combine_chunks().take(order) for c in ("token", "vectors"))
+        order = order.to_numpy()
+        lists = table.column("vectors").combine_chunks()
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)  # at least one vector each
+        ends = np.cumsum(counts[order])
+        places = np.arange(ends[-1]) + np.repeat((np.cumsum(counts) - counts)[order] - (ends - counts[order]), counts[order])
+        vectors = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), _taken(lists.flatten(), places))
+        token = table.column("token").combine_chunks().take(pa.array(order))
         maps = pa.MapArray.from_arrays(pa.array(np.append(first, len(runs)).astype(np.int32)), token, vectors)
         out = pa.RecordBatch.from_arrays([table.column(0).combine_chunks().take(pa.array(first)), maps], names=names)
         yield from row_slices(out, table.nbytes / max(1, out.num_rows))
 
 
-def token_vector_map(by_token: DataFrame, key_col: str = "article_id", in_runs: bool = False) -> DataFrame:
+def token_vector_map(by_token: DataFrame | InTask, key_col: str = "article_id", in_runs: bool = False) -> DataFrame | InTask:
     """Nested view ``map<token, array<vector>>`` per document, built after grouping (keys unique).
     ``in_runs`` as in ``vectors_by_token``, whose rows it then takes."""
     if in_runs:
         schema = T.StructType([by_token.schema[key_col], T.StructField("token_vectors", T.MapType(
             by_token.schema["token"].dataType, by_token.schema["vectors"].dataType))])
-        rows = by_token.select(key_col, "token", "first_pos", "vectors")
-        return rows.mapInArrow(lambda batches: _folded(batches, _maps_folded, schema.names), schema)
+        fold = lambda batches: _folded(batches, _maps_folded, schema.names)
+        return (by_token.then(fold, schema) if isinstance(by_token, InTask)
+                else by_token.select(key_col, "token", "first_pos", "vectors").mapInArrow(fold, schema))
     entries = F.sort_array(F.collect_list(F.struct("first_pos", "token", "vectors")))
     return by_token.groupBy(key_col).agg(
         F.map_from_entries(F.transform(entries, lambda s: F.struct(s["token"], s["vectors"]))).alias("token_vectors"))
 
 
-def flatten_vectors(token_map: Column) -> Column:
-    """All vectors of a ``token -> [vectors]`` map as one list."""
+def flatten_vectors(token_map: Column | pa.Array) -> Column | pa.Array:
+    """All vectors of a ``token -> [vectors]`` map as one list (of a column, or of an Arrow array of maps)."""
+    if isinstance(token_map, pa.Array):
+        entries = token_map.items  # one list of vectors per token
+        return pa.ListArray.from_arrays(entries.offsets.take(token_map.offsets), entries.values)
     return F.flatten(F.map_values(token_map))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as AR
 from ..functions.vectors import l2_distance_exact, micro_units, round_vector
@@ -193,21 +194,46 @@ def _checksum_fold(key: str):
     return sums, f"{key} long, n_tokens int, {VEC_SUM} long"
 
 
-def _vector_checksum(df: DataFrame, key: str, vecs_col: str) -> DataFrame:
+def _sums_fold(batches):
+    """Batches of vectors by token with the sum of their components in micro-units instead, a bounded
+    slice of the vectors at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    for rb in (part for big in batches if big.num_rows for part in E.row_slices(big, big.nbytes / big.num_rows, CHECKSUM_BYTES)):
+        counts = rb.column(3).to_numpy().astype(np.int64)  # every group has a vector
+        flat = rb.column(4).flatten().flatten().to_numpy(zero_copy_only=False) * 1e6
+        whole = np.floor(np.abs(flat) + 0.5)
+        each = np.copysign(whole, flat, out=whole).astype(np.int64).reshape(int(counts.sum()), -1).sum(axis=1)
+        sums = np.add.reduceat(each, np.cumsum(counts) - counts)
+        yield pa.RecordBatch.from_arrays([*rb.columns[:4], pa.array(sums)], names=[*rb.schema.names[:4], VEC_SUM])
+
+
+def _flat_fold(batches):
+    """Batches of (key, map of vectors by token) as (key, all vectors)."""
+    import pyarrow as pa
+
+    for rb in batches:
+        yield pa.RecordBatch.from_arrays([rb.column(0), E.flatten_vectors(rb.column(1))], names=[rb.schema.names[0], "v"])
+
+
+def _vector_checksum(df: DataFrame | E.InTask, key: str, vecs_col: str) -> DataFrame:
     """``(key, n_tokens, vec_sum)``: token count and the sum over positions of (position + 1)
     times the vector's components in micro-units, so the order of vectors counts."""
+    if isinstance(df, E.InTask):  # (key, vectors)
+        return df.then(*_checksum_fold(key)).rows()
     return df.select(F.col(key).cast("long").alias(key), vecs_col).mapInArrow(*_checksum_fold(key))
 
 
 def _by_token(spark, sf_dir):
-    """Each article's vectors by token. Texts are shuffled by article, the vectors made of them are
-    not; a lookup table beyond the broadcast bound is joined, which loses the order."""
+    """Each article's vectors by token. Texts are shuffled by article; the vectors made of them stay in
+    their task. A lookup table beyond the broadcast bound is joined, which loses the order."""
     enc = P.lookup_encoder(spark, sf_dir)
     texts = P.text_articles(spark, sf_dir).filter(F.col("text").isNotNull())
     if not enc.fits:
-        return E.vectors_by_token(E.token_vectors_long(P.embed_texts(texts, enc, "article_id"), "article_id"), "article_id"), False
-    long = E.token_vectors_long(P.embed_texts(E.gathered(texts, "article_id"), enc, "article_id"), "article_id")
-    return E.vectors_by_token(long, "article_id", in_runs=True), True
+        return E.vectors_by_token(E.token_vectors_long(P.embed_texts(texts, enc, "article_id"), "article_id"), "article_id")
+    made = P.embed_texts(E.gathered(texts, "article_id"), enc, "article_id", in_task=True)
+    return E.vectors_by_token(E.token_vectors_long(made, "article_id"), "article_id", in_runs=True)
 
 
 def embed_tokens(spark, sf_dir):
@@ -276,14 +302,20 @@ def micro_batch(spark, sf_dir):
 
 
 def flatten_vectors(spark, sf_dir):
-    by, in_runs = _by_token(spark, sf_dir)
-    m = E.token_vector_map(by, "article_id", in_runs)
+    by = _by_token(spark, sf_dir)
+    if isinstance(by, E.InTask):
+        maps = E.token_vector_map(by, "article_id", in_runs=True)
+        flat = maps.then(_flat_fold, T.StructType([maps.schema["article_id"], T.StructField("v", E.VECS_TYPE)]))
+        return _vector_checksum(flat, "article_id", "v")
+    m = E.token_vector_map(by, "article_id")
     flat = m.select("article_id", E.flatten_vectors(F.col("token_vectors")).alias("v"))
     return _vector_checksum(flat, "article_id", "v")
 
 
 def vectors_by_token(spark, sf_dir):
-    by, _ = _by_token(spark, sf_dir)
+    by = _by_token(spark, sf_dir)
+    if isinstance(by, E.InTask):
+        return by.then(_sums_fold, T.StructType([*by.schema.fields[:4], T.StructField(VEC_SUM, T.LongType())])).rows()
     return by.select("article_id", "token", "first_pos", "n_vectors", _vec_sum(F.flatten("vectors")).alias(VEC_SUM))
 
 

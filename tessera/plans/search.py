@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.articles import drop_empty_articles
-from ..operators.embed import LookupEncoder, distinct_word_tokens, embed_tokens, first_vector_per_token, token_vectors, word_tokens
+from ..operators.embed import InTask, LookupEncoder, distinct_word_tokens, embed_tokens, first_vector_per_token, token_vectors, word_tokens
 from ..operators.search import mean_best_distance, min_distance_long, nearest_articles, ranked_order, topk_closest
 from ..session import read_table
 from ..sources.derived import articles_from_long, text_articles, text_queries, vector_search_inputs
@@ -30,9 +30,9 @@ def text_tokens(texts: DataFrame, key_col: str) -> DataFrame:
     return texts.select(key_col, word_tokens(F.col("text"), SEQ_LENGTH).alias("tokens"))
 
 
-def embed_texts(texts: DataFrame, encoder: LookupEncoder, key_col: str) -> DataFrame:
+def embed_texts(texts: DataFrame, encoder: LookupEncoder, key_col: str, in_task: bool = False) -> DataFrame | InTask:
     """``(key, tokens, vecs)``: the encoder's tokens of each text and one vector per token."""
-    return embed_tokens(text_tokens(texts, key_col), encoder, "tokens", "vecs")
+    return embed_tokens(text_tokens(texts, key_col), encoder, "tokens", "vecs", in_task=in_task)
 
 
 def query_vectors(queries: DataFrame, encoder: LookupEncoder) -> DataFrame:
