@@ -37,8 +37,7 @@ def scan_article_json(spark, sf_dir):
 def scan_article_files(spark, sf_dir):
     """One article per file, in sub-folders below the corpus folder."""
     path = scratch_path(spark, "article-files")
-    (D.article_json_lines(spark, sf_dir).select("value").write.options(**FS.MANY_FILES).option("maxRecordsPerFile", 1)
-     .text(f"{path}/corpus/part"))
+    FS.write_one_per_file(D.article_json_lines(spark, sf_dir), "value", f"{path}/corpus/part")
     a = FS.scan_article_json(spark, path, multi_line=True, glob="*.txt")
     return a.select("paper_id", F.col("metadata.title").alias("title"), _size("abstract").alias("n_abstract"),
                     _size("body_text").alias("n_body"), _size("metadata.authors").alias("n_authors"))
@@ -47,7 +46,7 @@ def scan_article_files(spark, sf_dir):
 def scan_story_folder(spark, sf_dir):
     """One story per file, all directly in one folder."""
     path = scratch_path(spark, "story-files")
-    D.raw_stories(spark, sf_dir).select("raw_story").write.options(**FS.MANY_FILES).option("maxRecordsPerFile", 1).text(path)
+    FS.write_one_per_file(D.raw_stories(spark, sf_dir), "raw_story", path)
     s = ST.process_story(FS.scan_story_files(spark, path))
     return s.select(F.size("story_lines").alias("n_story"), F.size("summary_lines").alias("n_summary"),
                     F.md5(F.array_join("story_lines", "\n")).alias("story_md5"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import py_strip, split_pair_a, split_pair_b, story_lines, story_part, summary_part
 from ..operators.ids import sequence_ids
+from ..session import packed
 
 # Article JSON (one article per file). ``middle`` may be a string or a list of strings in the
 # data; declared as string, a list arrives as its JSON text and is folded later.
@@ -26,7 +30,7 @@ ARTICLE_SCHEMA = T.StructType([
 # The metadata columns that are read
 METADATA_COLUMNS = ["title", "abstract", "authors", "doi", "publish_time"]
 
-# a folder of very many files is put in place by the tasks that wrote them; by default the driver moves
+# a folder of very many files that Spark writes is put in place by the tasks that wrote them; by default the driver moves
 # every file when all are done, one after another
 MANY_FILES = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
@@ -36,6 +40,42 @@ PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
                     "nan", "null"]
 
 
+def write_one_per_file(df: DataFrame, column: str, path: str) -> None:
+    """Each row's text and a line feed as a ``.txt`` file of its own directly in ``path``.
+
+    A task writes into a folder of its attempt and puts its files in place at its end, under names that a second
+    attempt takes too. Spark's writer starts several processes for every local file (its permissions are set
+    by a command), so tasks write those themselves; other stores are left to it.
+    """
+    spark = df.sparkSession
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = store.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        df.select(column).write.options(**MANY_FILES).option("maxRecordsPerFile", 1).text(path)
+        return
+    if fs.exists(store):
+        raise FileExistsError(path)
+    folder = store.toUri().getPath()
+
+    def write(batches):
+        from pyspark import TaskContext
+        task = TaskContext.get()
+        own, n = f"{folder}/_task-{task.partitionId()}-{task.taskAttemptId()}", 0
+        os.makedirs(own)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                with open(f"{own}/{n}", "wb") as f:
+                    f.write((text.as_py() or b"") + b"\n")
+                n += 1
+        for i in range(n):
+            os.replace(f"{own}/{i}", f"{folder}/part-{task.partitionId():05d}-{i:07d}.txt")
+        os.rmdir(own)
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    fs.mkdirs(store)
+    df.select(column).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def with_file_order(df: DataFrame) -> DataFrame:
     """Add the ``FILE_ORDER`` columns: sorting by them gives the order rows have in the files.
 
@@ -61,14 +101,15 @@ def scan_article_json(spark: SparkSession, root: str, multi_line: bool = True, g
     """
     schema = ARTICLE_SCHEMA if mode == "FAILFAST" else T.StructType(
         ARTICLE_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    return (spark.read.schema(schema)
-            .option("multiLine", multi_line)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", glob)
-            .option("mode", mode)
-            .json(root)
-            .select("*", F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_name").alias("document_name")))
+    found = (spark.read.schema(schema)
+             .option("multiLine", multi_line)
+             .option("recursiveFileLookup", True)
+             .option("pathGlobFilter", glob)
+             .option("mode", mode)
+             .json(root)
+             .select("*", F.col("_metadata.file_path").alias("file_path"),
+                     F.col("_metadata.file_name").alias("document_name")))
+    return packed(found) if multi_line else found
 
 
 def scan_article_bodies(spark: SparkSession, root: str, multi_line: bool = True, glob: str = "*.json") -> DataFrame:
@@ -128,7 +169,7 @@ def scan_story_files(spark: SparkSession, folder: str, partitioned: bool = False
     df = df.filter(~F.col("document_name").contains("summary"))
     if not partitioned:
         df = df.filter(F.regexp_replace("_parent", "^file:(//(?=/))?", "") == norm_root)
-    return df.drop("_parent")
+    return packed(df.drop("_parent"))
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -55,3 +55,32 @@ def test_rounding_in_numpy_is_that_of_the_expression(spark):
     values = np.array([0.0078125, -0.0078125, 1e-7, 5e-7, -0.3, 123.4567891, 0.5], np.float32)
     df = spark.createDataFrame([(values.tolist(),)], "v array<float>")
     assert E._rounded(values).tolist() == df.select(E.round_vector("v")).first()[0]
+
+
+def test_one_file_per_row_is_written_by_the_task_itself(spark, tmp_path, monkeypatch):
+    import glob
+
+    from pyspark.sql.readwriter import DataFrameWriter
+    from tessera.sources import files as FS
+    monkeypatch.setattr(DataFrameWriter, "text", None)  # Spark's writer starts processes for every local file
+    path = str(tmp_path / "a" / "files")
+    rows = spark.createDataFrame([(t,) for t in ["{}", "é\nb", "", None, "{}"]], "value string").repartition(2)
+    FS.write_one_per_file(rows, "value", path)
+    found = [open(f, "rb").read() for f in glob.glob(f"{path}/*")]
+    assert sorted(found) == sorted([b"{}\n", "é\nb\n".encode(), b"\n", b"\n", b"{}\n"])
+    got = FS.scan_story_files(spark, path).select("raw_story").collect()
+    assert sorted(r[0] for r in got) == ["\n", "\n", "{}\n", "{}\n", "é\nb\n"]
+
+
+def test_small_files_are_read_in_few_tasks(spark, tmp_path):
+    from tessera.sources import files as FS
+    FS.write_one_per_file(spark.range(300).select(F.concat(F.lit('{"paper_id": "'), "id", F.lit('"}')).alias("value")), "value", str(tmp_path / "f"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes",)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # one file a split
+    try:
+        scanned = FS.scan_article_json(spark, str(tmp_path), glob="*.txt")
+        assert scanned.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(int(r["paper_id"]) for r in scanned.collect()) == list(range(300))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
