@@ -8,8 +8,10 @@ comparison per ball instead of one per token. Articles of the smallest bounds ar
 first; after that a pair of article and query whose bound is above the query's k-th
 distance so far is never scored.
 
-Where articles share few vectors (a token-wise encoder), the distances of those are there anyhow:
-their minima in single precision, lowered by the rounding, are a second and tight bound.
+Where articles share vectors (a token-wise encoder), each distinct vector meets the query tokens once
+(``NearRows``): only the pairs nearer than a query token's radius are kept. An article's smallest distance
+to a query token is that of a kept pair, or at least the radius, which is a tight bound at the cost
+of a few kept pairs per query token instead of a distance per pair of tokens.
 
 The k best per query are kept over all batches of the task and sent once. Bounds are lowered by
 more than the rounding of their arithmetic, so results equal those of full scoring.
@@ -26,6 +28,84 @@ BALLS, PICKED = 64, 2048
 WORTH, PAUSE = 0.2, 16
 #: articles taken at a time
 CHUNK = 256
+#: vectors of an article that are to be within a query token's radius, on average; vectors that radii are taken
+#: from; pairs of a vector and a query token kept at most, and distances computed at once
+HITS, SAMPLE, PAIRS, BLOCK = 3.0, 2048, 16 << 20, 1 << 20
+
+
+class NearRows:
+    """The pairs of vectors (rows, numbered as they come) and query tokens whose distance is below the
+    token's radius, with distances in single precision lowered by more than all rounding."""
+
+    def __init__(self, Q: np.ndarray):
+        self.Q = Q
+        self.qq = np.einsum("ij,ij->i", Q, Q)
+        self.radius = None
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.column, self.distance = np.empty(0, np.int32), np.empty(0, np.float32)
+
+    def _lowered(self, X: np.ndarray) -> np.ndarray:
+        """Lower bounds of the squared distances of some vectors to all query tokens."""
+        xx = np.einsum("ij,ij->i", X, X)
+        kind = np.float32 if xx.max(initial=0.0) + self.qq.max(initial=0.0) < 1e36 else np.float64
+        # a sum of n products is off by less than n times the rounding of all of them
+        left = 1 - 3 * (X.shape[1] + 8) * np.finfo(kind).eps
+        with np.errstate(invalid="ignore", over="ignore"):
+            out = X.astype(kind) @ (-2.0 * self.Q).astype(kind).T
+            out += (xx * left).astype(kind)[:, None]
+            out += (self.qq * left).astype(kind)
+        return out
+
+    def grow(self, X: np.ndarray, tokens: float) -> None:
+        """Takes in the next vectors (micro-units) of articles that have so many ``tokens`` each."""
+        if not len(X):
+            return
+        if self.radius is None:
+            some = X[np.linspace(0, len(X) - 1, min(SAMPLE, len(X))).astype(np.int64)]
+            place = min(len(some) - 1, int(np.ceil(len(some) * HITS / max(tokens, 1.0))))
+            step = max(1, BLOCK // len(some))
+            radius = [np.partition(NearRows(self.Q[c:c + step])._lowered(some), place, axis=0)[place] for c in range(0, len(self.Q), step)]
+            radius = np.maximum(np.nan_to_num(np.concatenate(radius).astype(np.float64), nan=0.0, posinf=0.0), 0)
+            self.radius = np.minimum(np.sqrt(radius), 1e38).astype(np.float32)
+        columns, distances, lengths = [self.column], [self.distance], [self.length]
+        held, step = len(self.column), max(1, BLOCK // len(self.Q))
+        for a in range(0, len(X), step):
+            low = self._lowered(X[a:a + step])
+            row, column = np.nonzero(low < np.square(self.radius, dtype=np.float64).astype(low.dtype))
+            distances.append(np.sqrt(np.maximum(low[row, column], 0)).astype(np.float32))
+            columns.append(column.astype(np.int32))
+            lengths.append(np.bincount(row, minlength=len(low)))
+            held += len(row)
+            if held > PAIRS:
+                columns, distances, lengths = self._nearer(*map(np.concatenate, (columns, distances, lengths)))
+                held = len(columns[0])
+        self.column, self.distance, self.length = map(np.concatenate, (columns, distances, lengths))
+        self.start = np.cumsum(self.length) - self.length
+
+    def _nearer(self, column: np.ndarray, distance: np.ndarray, length: np.ndarray) -> tuple:
+        """Smaller radii, until half of the pairs that may be kept are left."""
+        row = np.repeat(np.arange(len(length)), length)
+        for factor in (0.95, 0.9, 0.8, 0.5, 0.0):
+            self.radius = (self.radius * np.float32(factor)).astype(np.float32)
+            left = distance < self.radius[column]
+            row, column, distance = row[left], column[left], distance[left]
+            if len(column) <= PAIRS // 2:
+                break
+        return [column], [distance], [np.bincount(row, minlength=len(length))]
+
+    def minima(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Lower bound of the smallest distance of every article (with ``counts`` vectors each, in turn) to
+        every query token."""
+        n, width = len(counts), len(self.Q)
+        out = np.empty((n, width), np.float32)
+        out[:] = self.radius
+        lengths = self.length[rows]
+        if lengths.any():
+            cell = np.repeat(np.repeat(np.arange(0, n * width, width), counts), lengths)
+            places = _places(self.start[rows], lengths)
+            cell += self.column[places]
+            np.minimum.at(out.reshape(-1), cell, self.distance[places])
+        return out
 
 
 class RunningTopK:
@@ -35,7 +115,7 @@ class RunningTopK:
     ``seen_articles`` articles.
     """
 
-    def __init__(self, payload: dict, k: int, tile: int, cells: int, sq_dist, micro: float, pico: float):
+    def __init__(self, payload: dict, k: int, tile: int, cells: int, sq_dist, micro: float, pico: float, minima: bool = False):
         n = len(payload["query_ids"])
         self.payload, self.k, self.tile, self.cells = payload, k, tile, cells
         self.sq_dist, self.micro, self.pico = sq_dist, micro, pico
@@ -43,7 +123,10 @@ class RunningTopK:
         self.scored = self.seen = self.scored_articles = self.seen_articles = self.chunks = 0
         self.tried = self.worth = False
         ends = np.append(payload["starts"][1:], len(payload["inv"]))
-        self.columns = [payload["inv"][a:b] for a, b in zip(payload["starts"], ends)]
+        self.spans = list(zip(payload["starts"], ends))
+        self.columns = [payload["inv"][a:b] for a, b in self.spans]
+        # of the best articles, the distances of the query's tokens too
+        self.parts = [np.empty((0, len(c))) for c in self.columns] if minima else None
 
     @property
     def limit(self) -> np.ndarray:
@@ -56,19 +139,37 @@ class RunningTopK:
             [pa.array(self.payload["query_ids"][query], pa.int64()), pa.array(self.ids[query, place], pa.int64()),
              pa.array(self.dist[query, place], pa.float64())], names=["query_id", "article_id", "distance"])
 
-    def _offer(self, query: int, ids: np.ndarray, dist: np.ndarray) -> None:
+    def minima(self) -> pa.RecordBatch:
+        """``(query_id, tok_no, article_id, p)`` of the best articles."""
+        p, found = self.payload, [int(r.sum()) for r in self.real]
+        at = np.concatenate([np.tile(np.arange(a, b), n) for (a, b), n in zip(self.spans, found)])
+        ids = np.concatenate([np.repeat(i[:n], b - a) for (a, b), n, i in zip(self.spans, found, self.ids)])
+        pico = np.concatenate([x.reshape(-1) for x in self.parts])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(p["tok_query"][at], pa.int64()), pa.array(p["tok_no"][at], pa.int64()), pa.array(ids, pa.int64()),
+             pa.array(pico.astype(np.int64), pa.int64())], names=["query_id", "tok_no", "article_id", "p"])
+
+    def _offer(self, query: int, ids: np.ndarray, dist: np.ndarray, parts: np.ndarray) -> None:
         """Takes what belongs to a query's best: smaller distance, then later id."""
-        near = ~(dist > self.limit[query])
-        if not near.any():
+        near = np.flatnonzero(~(dist > self.limit[query]))
+        if not len(near):
             return
-        ids, dist = np.append(self.ids[query][self.real[query]], ids[near]), np.append(self.dist[query][self.real[query]], dist[near])
+        held = int(self.real[query].sum())
+        ids, dist = np.append(self.ids[query][:held], ids[near]), np.append(self.dist[query][:held], dist[near])
+        place = np.append(np.arange(held), held + near)
         if len(ids) > 4 * self.k:  # a partition by the k-th distance first
             edge = np.partition(dist, self.k - 1)[self.k - 1]
             few = ~(dist > edge)
-            ids, dist = ids[few], dist[few]
+            ids, dist, place = ids[few], dist[few], place[few]
         best = np.lexsort((-ids, dist))[:self.k]
         m = len(best)
         self.ids[query, :m], self.dist[query, :m], self.real[query, :m] = ids[best], dist[best], True
+        if self.parts is not None:
+            place = place[best]
+            kept = np.empty((m, parts.shape[1]))
+            kept[place < held] = self.parts[query][place[place < held]]
+            kept[place >= held] = parts[place[place >= held] - held]
+            self.parts[query] = kept
 
     # -- bounds
 
@@ -109,42 +210,47 @@ class RunningTopK:
 
     # -- scoring
 
-    def add(self, ids: np.ndarray, X: np.ndarray, row_of: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, X, row_of: np.ndarray, counts: np.ndarray, index: NearRows | None = None) -> None:
         """Articles ``ids`` with ``counts`` tokens each (in turn), a token being a row of ``X``
-        (micro-units). They are taken ``CHUNK`` at a time, so that the limits fall and the worth of
-        bounds is known early."""
+        (micro-units), whose ``index`` may be given. Without one, articles are taken ``CHUNK`` at a time,
+        so that the limits fall and the worth of bounds is known early."""
         starts = np.append(0, np.cumsum(counts)[:-1]).astype(np.int64)
-        table = near = balls = least = None
-        if len(X) < len(row_of) and len(X) * self.payload["Qu"].shape[0] <= self.cells:
-            # vectors that articles share, and few: squared distances of all, and their roots in single precision
-            table = self.sq_dist(X, self.payload["Qu"])
-            near = np.sqrt(np.maximum(table[0] + table[1][None, :], 0)).astype(np.float32)
-        elif len(X) < len(row_of):  # too many for one table: their minima a block of query tokens at a time
-            least = self._shared_minima(X, row_of, counts)
+        if index is None and len(X) < len(row_of):  # vectors that articles share
+            index = NearRows(self.payload["Qu"])
+            index.grow(X, len(row_of) / len(counts))
+        if index is not None:
+            self._add_indexed(ids, X, row_of, starts, counts, index)
+            return
+        balls = None
         for a in range(0, len(ids), CHUNK):
             some = np.arange(a, min(a + CHUNK, len(ids)))
             tokens = row_of[starts[a]:starts[some[-1]] + counts[some[-1]]]
             self.seen += len(some) * len(self.columns)
             self.seen_articles += len(some)
             self.chunks += 1
-            if least is not None:
-                bounds = self._lowered_mean(least[some].astype(np.float64), 2e-7)
-                self._score_bounded(some, bounds, ids, X, row_of, starts, counts, table)
-                continue
             bounds = np.zeros((len(some), len(self.columns)))
             if self.chunks > 1 and (self.worth or not self.tried or self.chunks % PAUSE == 0):
                 balls = balls or self._balls(X)
                 bounds = self._bounds(balls, tokens, counts[some])
                 self.tried, self.worth = True, (bounds > self.limit[None, :]).mean() >= WORTH
-            if near is not None:
-                left = np.flatnonzero(~(bounds > self.limit[None, :]).all(axis=1))
-                bounds[left] = np.fmax(bounds[left], self._single(near, tokens, counts[some], left))
-            elif self.chunks == 1 or not self.worth or len(some) <= self.k:
-                self._score_all(some, ids, X, row_of, starts, counts, table)
+            if self.chunks == 1 or not self.worth or len(some) <= self.k:
+                self._score_all(some, ids, X, row_of, starts, counts)
                 continue
-            self._score_bounded(some, bounds, ids, X, row_of, starts, counts, table)
+            self._score_bounded(some, bounds, ids, X, row_of, starts, counts)
+
+    def _add_indexed(self, ids, X, row_of, starts, counts, index: NearRows) -> None:
+        """Bounds of all articles first, then the nearest by them are scored."""
+        bounds = np.empty((len(ids), len(self.columns)))
+        stops = starts + counts
+        for some in _slices(np.full(len(ids), len(self.payload["Qu"])), self.tile):
+            tokens = row_of[starts[some.start]:stops[some.stop - 1]]
+            bounds[some] = self._lowered_mean(index.minima(tokens, counts[some]), 2e-7)
+        self.seen += bounds.size
+        self.seen_articles += len(ids)
+        self.chunks += 1
+        self._score_bounded(np.arange(len(ids)), bounds, ids, X, row_of, starts, counts)
 
-    def _score_bounded(self, some, bounds, ids, X, row_of, starts, counts, table) -> None:
+    def _score_bounded(self, some, bounds, ids, X, row_of, starts, counts) -> None:
         """Scores the articles of each query's smallest bounds, then those that the limits leave."""
         open_ = ~(bounds > self.limit[None, :])
         first = np.zeros_like(open_)
@@ -153,65 +259,32 @@ class RunningTopK:
         done = first & open_
         marked = np.zeros((len(ids), len(self.columns)), bool)
         marked[some] = done
-        self._score(marked, ids, X, row_of, starts, counts, table)
+        self._score(marked, ids, X, row_of, starts, counts)
         more = open_ & ~first & ~(bounds > self.limit[None, :])
         marked[some] = more
-        self._score(marked, ids, X, row_of, starts, counts, table)
+        self._score(marked, ids, X, row_of, starts, counts)
         self.scored_articles += int((done | more).any(axis=1).sum())
 
-    def _shared_minima(self, X: np.ndarray, row_of: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Lower bound of the smallest distance of every article (rows) to every distinct query token
-        (columns), in single precision, from tables of at most ``cells`` squared distances."""
-        Q = self.payload["Qu"]
-        xx, qq = np.einsum("ij,ij->i", X, X), np.einsum("ij,ij->i", Q, Q)
-        most = xx.max(initial=0.0)
-        kind = np.float32 if most + qq.max(initial=0.0) < 1e36 else np.float64
-        # a sum of n products is off by less than n times the rounding of the largest of them
-        slack = 2 * (Q.shape[1] + 8) * np.finfo(kind).eps * (most + qq)
-        X, Q, xx = X.astype(kind), (-2.0 * Q).astype(kind), xx.astype(kind)
-        out = np.empty((len(counts), len(qq)), np.float32)
-        stops, step = np.cumsum(counts), max(1, self.cells // max(1, len(X)))
-        for c in range(0, len(qq), step):
-            part = slice(c, c + step)
-            table = X @ Q[part].T
-            table += xx[:, None]
-            mins = np.empty((len(counts), table.shape[1]), kind)
-            for i, (n, stop) in enumerate(zip(counts, stops)):
-                table[row_of[stop - n:stop]].min(axis=0, out=mins[i])
-            out[:, part] = np.sqrt(np.maximum(mins + (qq[part] - slack[part]), 0))
-        return out
-
-    def _single(self, near: np.ndarray, tokens: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np.ndarray:
-        """Bounds of some articles from distances in single precision, lowered by its rounding."""
-        stops = np.cumsum(counts)
-        mins = np.empty((len(some), near.shape[1]), np.float32)
-        for i, article in enumerate(some):
-            near[tokens[stops[article] - counts[article]:stops[article]]].min(axis=0, out=mins[i])
-        return self._lowered_mean(mins.astype(np.float64), 2e-7)
-
     def _lowered_mean(self, least: np.ndarray, relative: float) -> np.ndarray:
         """Mean over each query's tokens (micro-units in, distances out), lowered by more than all rounding."""
-        mean = np.add.reduceat(least[:, self.payload["inv"]], self.payload["starts"], axis=1) / self.payload["counts"]
-        return np.maximum(mean * (1 - relative) - 1.0, 0) / self.micro
+        sums = np.add.reduceat(least[:, self.payload["inv"]], self.payload["starts"], axis=1, dtype=np.float64)
+        return np.maximum(sums / self.payload["counts"] * (1 - relative) - 1.0, 0) / self.micro
 
-    def _score(self, pairs: np.ndarray, ids, X, row_of, starts, counts, table) -> None:
+    def _score(self, pairs: np.ndarray, ids, X, row_of, starts, counts) -> None:
         """Scores the marked pairs: all queries of an article at once where most are marked, else query by query."""
         articles = np.flatnonzero(pairs.any(axis=1))
         if not len(articles):
             return
         if pairs[articles].mean() > 0.5:
-            self._score_all(articles, ids, X, row_of, starts, counts, table, pairs)
+            self._score_all(articles, ids, X, row_of, starts, counts, pairs)
             return
         self.scored += int(pairs.sum())
         for query in np.flatnonzero(pairs.any(axis=0)):
             columns, mine = self.columns[query], np.flatnonzero(pairs[:, query])
-            part = None if table is None else (np.ascontiguousarray(table[0][:, columns]), table[1][columns])
             for some in _slices(counts[mine], max(1, self.tile // len(columns))):
                 chosen = mine[some]
                 tokens = row_of[_places(starts[chosen], counts[chosen])]
-                if part is not None:
-                    G, rest = part[0][tokens], part[1]
-                elif len(X) < len(tokens):  # shared vectors once
+                if len(X) < len(tokens):  # shared vectors once
                     used = np.zeros(len(X), bool)
                     used[tokens] = True
                     G, rest = self.sq_dist(X[used], self.payload["Qu"][columns])
@@ -220,9 +293,9 @@ class RunningTopK:
                     G, rest = self.sq_dist(X[tokens], self.payload["Qu"][columns])
                 mins = np.minimum.reduceat(G, np.cumsum(counts[chosen]) - counts[chosen], axis=0) + rest[None, :]
                 dist = np.floor(np.sqrt(np.maximum(mins, 0)) * self.micro + 0.5)
-                self._offer(query, ids[chosen], dist.sum(axis=1) / len(columns) / self.pico)
+                self._offer(query, ids[chosen], dist.sum(axis=1) / len(columns) / self.pico, dist)
 
-    def _score_all(self, articles, ids, X, row_of, starts, counts, table, pairs=None) -> None:
+    def _score_all(self, articles, ids, X, row_of, starts, counts, pairs=None) -> None:
         """Scores some articles for all queries, a bounded tile at a time; only marked pairs are
         offered (the others were, or will be, on their own)."""
         p = self.payload
@@ -231,8 +304,7 @@ class RunningTopK:
             self.scored_articles += len(articles)
         for some in _slices(counts[articles], max(1, self.tile // max(1, p["Qu"].shape[0]))):
             chosen = articles[some]
-            tokens = row_of[_places(starts[chosen], counts[chosen])]
-            G, rest = (table[0][tokens], table[1]) if table is not None else self.sq_dist(X[tokens], p["Qu"])
+            G, rest = self.sq_dist(X[row_of[_places(starts[chosen], counts[chosen])]], p["Qu"])
             mins = np.minimum.reduceat(G, np.cumsum(counts[chosen]) - counts[chosen], axis=0) + rest[None, :]
             dist = np.floor(np.sqrt(np.maximum(mins, 0)) * self.micro + 0.5)[:, p["inv"]]
             mean = np.add.reduceat(dist, p["starts"], axis=1) / p["counts"][None, :] / self.pico
@@ -240,7 +312,8 @@ class RunningTopK:
             if pairs is not None:
                 good &= pairs[chosen]
             for query in np.flatnonzero(good.any(axis=0)):
-                self._offer(query, ids[chosen][good[:, query]], mean[good[:, query], query])
+                mine, (a, b) = good[:, query], self.spans[query]
+                self._offer(query, ids[chosen][mine], mean[mine, query], dist[mine, a:b])
 
 
 def _spread_out(X: np.ndarray, sq_dist) -> np.ndarray:

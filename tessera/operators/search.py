@@ -16,6 +16,8 @@ most ``k`` rows per task and query.
 from __future__ import annotations
 
 import math
+import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import MICRO, round_half_away
-from .pruning import RunningTopK
+from .pruning import NearRows, RunningTopK
 
 DIST_SCHEMA = "query_id long, article_id long, distance double"
 TOKEN_SCHEMA = ("query_id long, tok_no long, article_id long, nearest_pos int, "
@@ -38,6 +40,10 @@ DEFAULT_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 TILE_ELEMENTS = 1024 * 1024
 # cap of the (articles x query tokens) result matrices of one kernel call
 BATCH_CELLS = 8 * 1024 * 1024
+# articles of token ids in one kernel call, and token ids encoded at once
+ID_ARTICLES, NEW_ROWS = 4096, 16384
+# model vectors taken together, and bytes of different ones that a worker remembers
+MODEL_VECTORS, MET_BYTES = 256 * 1024, 64 * 1024 * 1024
 
 
 def _to_micro(x: np.ndarray) -> np.ndarray:
@@ -124,22 +130,73 @@ def _encoded_matrix(tok_ids: pa.Array, gather, dim: int):
 
 def _distinct_tokens(row_of: np.ndarray, counts: np.ndarray, n: int) -> tuple:
     """Each article's distinct vectors only (rows of ``n``): a repeated one changes no minimum."""
-    code = np.unique(np.repeat(np.arange(len(counts)), counts) * n + row_of)
-    return code % n, np.bincount(code // n, minlength=len(counts))
+    code = np.repeat(np.arange(len(counts)), counts) * n + row_of
+    code.sort()
+    code = code[np.append(True, code[1:] != code[:-1])] if len(code) else code
+    article = code // n
+    return code - article * n, np.bincount(article, minlength=len(counts))
+
+
+class _EncodedRows:
+    """The vectors of the token ids that a worker has met, as rows of a matrix in micro-units that is
+    made where it is read, and their index. A token-wise encoder gives equal vectors to equal ids."""
+
+    def __init__(self, payload: dict):
+        self.dim, self.index = payload["dim"], NearRows(payload["Qu"])
+        self.row, self.ids, self.gather = np.empty(0, np.int32), np.empty(0, np.int64), None
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        return _to_micro(self.gather(self.ids[rows]))
+
+    def rows_of(self, ids: np.ndarray, articles: int) -> np.ndarray:
+        """Row of each of the token ids of so many articles."""
+        more = int(ids.max(initial=-1)) + 1 - len(self.row)
+        if more > 0:
+            self.row = np.append(self.row, np.full(more, -1, np.int32))
+        new = np.unique(ids[self.row[ids] < 0])
+        for s in range(0, len(new), NEW_ROWS):
+            part = new[s:s + NEW_ROWS]
+            V = self.gather(part)
+            if V.shape[1] != self.dim:
+                raise ValueError(f"encoder vectors must have {self.dim} components")
+            self.index.grow(_to_micro(V), len(ids) / articles)
+            self.row[part] = np.arange(len(self.ids), len(self.ids) + len(part))
+            self.ids = np.append(self.ids, part)
+        return self.row[ids].astype(np.int64)
+
+
+_MET: dict = {}  # by a query block's key, what a worker has met; tasks run one after another in it
+
+
+def _met(payload: dict, make):
+    if (key := payload.get("key")) is None:
+        return make(payload)
+    if key not in _MET:
+        _MET.clear()  # of one block at a time
+        _MET[key] = make(payload)
+    return _MET[key]
 
 
 def _add_batch(best: RunningTopK, ids: np.ndarray, vecs: pa.Array, gather=None) -> None:
     """One Arrow batch of articles into a task's running top-k."""
+    index = None
     if gather is None:
         X, counts = _article_matrix(vecs, best.payload["dim"])
         row_of = np.arange(len(X))
     else:
-        X, row_of, counts = _encoded_matrix(vecs, gather, best.payload["dim"])
-        if len(row_of):
-            row_of, counts = _distinct_tokens(row_of, counts, len(X))
+        counts = pc.fill_null(pc.list_value_length(vecs), 0).to_numpy(zero_copy_only=False)
+        flat = vecs.flatten().to_numpy(zero_copy_only=False)
+        if not len(flat):
+            return
+        X = _met(best.payload, _EncodedRows)
+        X.gather, index = gather, X.index
+        row_of, counts = _distinct_tokens(X.rows_of(flat, len(counts)), counts, len(X))
     keep = counts > 0  # an article without tokens has no distance
     if keep.any():
-        best.add(ids[keep], X, row_of, counts[keep])
+        best.add(ids[keep], X, row_of, counts[keep], index)
 
 
 def _score_batch(ids: np.ndarray, vecs: pa.Array, qp: dict, mode: str = "mean", gather=None, cells_cap: int = BATCH_CELLS):
@@ -257,7 +314,7 @@ def broadcast_block(block: DataFrame):
         Qu, inv = np.unique(qp["Q"], axis=0, return_inverse=True)
     else:
         Qu, inv = qp["Q"], np.zeros(0, dtype=np.int64)
-    qp["Qu"], qp["inv"] = Qu, np.asarray(inv).reshape(-1)
+    qp["Qu"], qp["inv"], qp["key"] = Qu, np.asarray(inv).reshape(-1), uuid.uuid4().hex
     return block.sparkSession.sparkContext.broadcast(qp)
 
 
@@ -326,8 +383,9 @@ def topk_kernel(bc, k: int, gather=None, counters=None):
     """A task's ``k`` best articles per query of the broadcast block, sent once at its end."""
     def kernel(batches, tile=TILE_ELEMENTS, cells=BATCH_CELLS):
         best = RunningTopK(bc.value, k, tile, cells, _partial_sq_dist, MICRO, PICO)
-        # articles per call so that (articles x query tokens) matrices stay bounded
-        step = max(1, cells // max(1, len(best.payload["inv"])))
+        # articles per call so that (articles x query tokens) matrices stay bounded; of ids, (articles x queries)
+        step = max(1, cells // max(1, len(best.payload["inv" if gather is None else "query_ids"])))
+        step = step if gather is None else min(step, ID_ARTICLES)
         for big in batches:
             for s0 in range(0, big.num_rows, step):
                 rb = big.slice(s0, step)
@@ -424,16 +482,22 @@ def _combined(out: DataFrame) -> DataFrame:
             .agg((F.min("p").cast("double") / PICO).alias("min_distance")))
 
 
+def _bit_hashes(V: np.ndarray) -> np.ndarray:
+    """A hash of the bits of each row of a float32 matrix."""
+    bits = np.ascontiguousarray(V).view(np.uint32)
+    odd = np.random.default_rng(7).integers(0, 1 << 63, V.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.einsum("ij,j->i", bits, odd, dtype=np.uint64, casting="safe")
+
+
 def _distinct_vectors(V: np.ndarray) -> tuple:
     """The distinct rows of a float32 matrix and each row's place among them. Rows meet by a hash of
     their bits; if two different rows share one, all rows are kept."""
-    bits = np.ascontiguousarray(V).view(np.uint32).astype(np.uint64)
-    odd = np.random.default_rng(7).integers(0, 1 << 63, V.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    _, first, row_of = np.unique(bits @ odd, return_index=True, return_inverse=True)
+    _, first, row_of = np.unique(_bit_hashes(V), return_index=True, return_inverse=True)
     row_of = row_of.reshape(-1)
-    if (bits[first][row_of] != bits).any():
+    X = V[first]
+    if (X.view(np.uint32)[row_of] != np.ascontiguousarray(V).view(np.uint32)).any():
         return V, np.arange(len(V))
-    return V[first], row_of
+    return X, row_of
 
 
 def _run_minima(arts: np.ndarray, V: np.ndarray, Q: np.ndarray) -> tuple:
@@ -521,7 +585,7 @@ def _model_vectors(batches, fn, size: int, typed: bool):
     """``(articles, vectors)`` of the real positions of model input rows, by micro-batches."""
     for rb in batches:
         art = rb.column(0).to_numpy(zero_copy_only=False)
-        mats = [np.stack([np.asarray(r, np.int32) for r in rb.column(c).to_pylist()]) for c in (1, 2, 3)] if len(art) else []
+        mats = [rb.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(art), -1) for c in (1, 2, 3)] if len(art) else []
         for s in range(0, len(art), size):
             ids, mask, types = (m[s:s + size] for m in mats)
             vecs = np.asarray(fn(ids, mask, types) if typed else fn(ids, mask), dtype=np.float32)
@@ -530,6 +594,70 @@ def _model_vectors(batches, fn, size: int, typed: bool):
                 yield np.repeat(art[s:s + size], real.sum(axis=1)), vecs[real]
 
 
+def _vector_groups(pairs, most: int):
+    """``(articles, vectors)`` of whole articles, about ``most`` vectors together (or one article's); what goes on of a
+    longer article is held as its distinct vectors."""
+    held, n = [], 0
+    for arts, vecs in pairs:
+        held.append((arts, vecs))
+        n += len(arts)
+        if n < most:
+            continue
+        arts, vecs = (np.concatenate(x) for x in zip(*held))
+        cut = int(np.flatnonzero(np.append(True, arts[1:] != arts[:-1]))[-1])  # the last article may go on
+        if cut:
+            yield arts[:cut], vecs[:cut]
+        rest = vecs[cut:] if cut else _distinct_vectors(vecs)[0]
+        held, n = [(arts[cut:cut + len(rest)], rest)], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+class _MetVectors:
+    """The different model vectors that a worker has met, as rows of a matrix in micro-units that is made
+    where it is read, and their index. Vectors meet by a hash of their bits and are compared."""
+
+    def __init__(self, payload: dict):
+        self.index = NearRows(payload["Qu"])
+        self.vectors, self.used = np.empty((0, payload["dim"]), np.float32), 0
+        self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def __len__(self) -> int:
+        return self.used
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        return _to_micro(self.vectors[:self.used][rows])
+
+    def _add(self, V: np.ndarray, tokens: float) -> np.ndarray:
+        rows = np.arange(self.used, self.used + len(V))
+        if len(rows) and rows[-1] >= len(self.vectors):
+            self.vectors = np.concatenate([self.vectors[:self.used], V, np.empty((self.used + len(V), V.shape[1]), np.float32)])
+        self.vectors[rows] = V
+        self.used += len(V)
+        for s in range(0, len(V), NEW_ROWS):
+            self.index.grow(_to_micro(V[s:s + NEW_ROWS]), tokens)
+        return rows
+
+    def rows_of(self, V: np.ndarray, articles: int) -> np.ndarray:
+        """Row of each of the vectors of so many articles."""
+        X, place = _distinct_vectors(V)
+        if V.shape[1] != self.vectors.shape[1]:
+            raise ValueError(f"token vectors must have {self.vectors.shape[1]} components")
+        codes = _bit_hashes(X)
+        at = np.minimum(np.searchsorted(self.hashes, codes), max(0, len(self.hashes) - 1))
+        rows = np.full(len(X), -1)
+        if len(self.hashes):
+            known = np.flatnonzero(self.hashes[at] == codes)
+            same = (self.vectors[self.rows[at[known]]].view(np.uint32) == X[known].view(np.uint32)).all(axis=1)
+            rows[known[same]] = self.rows[at[known[same]]]
+        new = np.flatnonzero(rows < 0)
+        rows[new] = self._add(X[new], len(V) / articles)
+        self.hashes, self.rows = np.append(self.hashes, codes[new]), np.append(self.rows, rows[new])
+        order = np.argsort(self.hashes, kind="stable")  # of equal hashes the first one meets
+        self.hashes, self.rows = self.hashes[order], self.rows[order]
+        return rows[place]
+
+
 def min_distance_model(inputs: DataFrame, queries: DataFrame, encoder, id_col: str = "article_id",
                        max_block_bytes: int = DEFAULT_QUERY_BLOCK_BYTES, k: int | None = None) -> DataFrame:
     """Like ``min_distance_long`` for model input rows (``input_ids``, ``input_mask``,
@@ -550,21 +678,32 @@ def min_distance_model(inputs: DataFrame, queries: DataFrame, encoder, id_col: s
             for arts, vecs in _model_vectors(batches, fn, size, typed):
                 yield _long_minima(arts, _to_micro(vecs), payload)
 
-        def best_kernel(batches, bc=bc, cells=BATCH_CELLS):
+        def best_kernel(batches, bc=bc, cells=BATCH_CELLS, tile=TILE_ELEMENTS):
             payload, fn = bc.value, worker_model(key, make)
-            best, held, n = _BestMinima(payload, k), [], 0
-            most = max(1, cells // max(1, payload["Qu"].shape[0]))  # vectors scored together
-            for arts, vecs in _model_vectors(batches, fn, size, typed):
-                held.append((arts, vecs))
-                n += len(arts)
-                if n >= most:
-                    best.add(*_run_minima(np.concatenate([a for a, _ in held]), np.concatenate([v for _, v in held]), payload["Qu"]))
-                    held, n = [], 0
-            if held:
-                best.add(*_run_minima(np.concatenate([a for a, _ in held]), np.concatenate([v for _, v in held]), payload["Qu"]))
-            if best.open is not None:
-                best.add(np.empty(0, best.open[0].dtype), np.empty((0, payload["Qu"].shape[0])), last=True)
-            if len(best.query):
+            groups = _vector_groups(_model_vectors(batches, fn, size, typed), MODEL_VECTORS)
+            first = next(groups, None)
+            if first is None:
+                return
+            groups = chain([first], groups)
+            if 2 * len(_distinct_vectors(first[1])[0]) > len(first[1]):  # vectors that articles seldom share
+                best, most = _BestMinima(payload, k), max(1, cells // max(1, payload["Qu"].shape[0]))
+                for arts, vecs in groups:
+                    for s in range(0, len(arts), most):  # vectors scored together
+                        best.add(*_run_minima(arts[s:s + most], vecs[s:s + most], payload["Qu"]))
+                if best.open is not None:
+                    best.add(np.empty(0, best.open[0].dtype), np.empty((0, payload["Qu"].shape[0])), last=True)
+                if len(best.query):
+                    yield best.minima()
+                return
+            best = RunningTopK(payload, k, tile, cells, _partial_sq_dist, MICRO, PICO, minima=True)
+            for arts, vecs in groups:
+                met = _met(payload, _MetVectors)
+                starts = np.flatnonzero(np.append(True, arts[1:] != arts[:-1]))
+                rows, counts = _distinct_tokens(met.rows_of(vecs, len(starts)), np.diff(np.append(starts, len(arts))), len(met))
+                best.add(arts[starts], met, rows, counts, met.index)
+                if met.vectors[:met.used].nbytes > MET_BYTES:
+                    _MET.clear()
+            if best.real.any():
                 yield best.minima()
         return kernel if k is None else best_kernel
 

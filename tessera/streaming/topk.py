@@ -212,6 +212,7 @@ def stream_topk_keyed(spark: SparkSession, source_dir: str, queries: DataFrame,
         schema = TOKEN_ID_ARTICLES
     gather = encoder.gather_fn() if encoder is not None else None
     parts = str(state_partitions or spark.sparkContext.defaultParallelism)
+    thin = max_files_per_trigger < spark.sparkContext.defaultParallelism  # a batch's files may be fewer than the task slots
     states = []
     for name, block in query_blocks(queries, max_block_bytes):
         bc = broadcast_block(block)
@@ -219,6 +220,8 @@ def stream_topk_keyed(spark: SparkSession, source_dir: str, queries: DataFrame,
             continue
         folder = f"{checkpoint_dir}/{name}"
         arrived = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).format(fmt).load(source_dir))
+        if thin:  # articles are dealt to all task slots
+            arrived = arrived.repartition(int(parts))
         near = arrived.mapInArrow(topk_kernel(bc, k, gather), DIST_SCHEMA)
         changed = near.groupBy("query_id").transformWithStateInPandas(BestArticles(k), DIST_SCHEMA, "Update", "None")
         with _Settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": parts}):
