@@ -30,7 +30,7 @@ WORTH, PAUSE = 0.2, 16
 CHUNK = 256
 #: vectors of an article that are to be within a query token's radius, on average; vectors that radii are taken
 #: from; pairs of a vector and a query token kept at most, and distances computed at once
-HITS, SAMPLE, PAIRS, BLOCK = 3.0, 2048, 16 << 20, 1 << 20
+HITS, SAMPLE, PAIRS, BLOCK = 2.0, 2048, 16 << 20, 1 << 20
 
 
 class NearRows:
@@ -41,6 +41,7 @@ class NearRows:
         self.Q = Q
         self.qq = np.einsum("ij,ij->i", Q, Q)
         self.radius = None
+        self.largest, self.most = 0.0, np.abs(Q).max(initial=0.0)
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.column, self.distance = np.empty(0, np.int32), np.empty(0, np.float32)
 
@@ -69,6 +70,8 @@ class NearRows:
             self.radius = np.minimum(np.sqrt(radius), 1e38).astype(np.float32)
         columns, distances, lengths = [self.column], [self.distance], [self.length]
         held, step = len(self.column), max(1, BLOCK // len(self.Q))
+        self.most = np.maximum(self.most, np.abs(X).max())  # NaN stays
+        self.largest = np.maximum(self.largest, np.einsum("ij,ij->i", X, X).max())
         for a in range(0, len(X), step):
             low = self._lowered(X[a:a + step])
             row, column = np.nonzero(low < np.square(self.radius, dtype=np.float64).astype(low.dtype))
@@ -93,6 +96,34 @@ class NearRows:
                 break
         return [column], [distance], [np.bincount(row, minlength=len(length))]
 
+    @property
+    def exact(self) -> bool:
+        """Whether squared distances of the vectors are exact in double precision, in whatever order they are summed."""
+        return 4.0 * self.most * self.most * self.Q.shape[1] < 2.0 ** 53
+
+    def nearest(self, rows: np.ndarray, X) -> np.ndarray:
+        """Smallest squared distance of one article's vectors (``rows`` of ``X``) to every query token, exactly;
+        infinite where it may be that of a pair that is not kept. Needs ``exact``."""
+        out = np.full(len(self.Q), np.inf)
+        lengths = self.length[rows]
+        if not lengths.any():
+            return out
+        places = _places(self.start[rows], lengths)
+        column, square = self.column[places], np.square(self.distance[places], dtype=np.float64)
+        least = np.full(len(self.Q), np.inf)
+        np.minimum.at(least, column, square)
+        # the kept squares are lowered by at most twice the bound of the rounding
+        above = least * (1 + 1e-6) + 7 * (self.Q.shape[1] + 8) * np.finfo(np.float32).eps * (self.largest + self.qq)
+        near = np.flatnonzero(square <= above[column])
+        column, row = column[near], np.repeat(rows, lengths)[near]
+        sure = (above < np.square(self.radius, dtype=np.float64) * (1 - 1e-6))[column]
+        column, row = column[sure], row[sure]
+        if len(row):
+            vectors, place = np.unique(row, return_inverse=True)
+            away = X[vectors][place.reshape(-1)] - self.Q[column]
+            np.minimum.at(out, column, np.einsum("ij,ij->i", away, away))
+        return out
+
     def minima(self, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Lower bound of the smallest distance of every article (with ``counts`` vectors each, in turn) to
         every query token."""
@@ -248,9 +279,29 @@ class RunningTopK:
         self.seen += bounds.size
         self.seen_articles += len(ids)
         self.chunks += 1
-        self._score_bounded(np.arange(len(ids)), bounds, ids, X, row_of, starts, counts)
-
-    def _score_bounded(self, some, bounds, ids, X, row_of, starts, counts) -> None:
+        self._score_bounded(np.arange(len(ids)), bounds, ids, X, row_of, starts, counts, index)
+
+    def _score_nearest(self, pairs: np.ndarray, ids, X, row_of, starts, counts, index: NearRows | None) -> np.ndarray:
+        """Scores marked pairs all of whose distances are those of kept pairs, an article at a time; returns the others."""
+        if index is None or not index.exact:
+            return pairs
+        p, found, left = self.payload, [], np.flatnonzero(pairs.any(axis=1))
+        for article in left.tolist():
+            least = index.nearest(row_of[starts[article]:starts[article] + counts[article]], X)
+            found.append(np.floor(np.sqrt(np.maximum(least, 0)) * self.micro + 0.5))
+            if len(found) * len(least) >= self.tile or article == left[-1]:
+                chosen, whole = left[:len(found)], np.stack(found)[:, p["inv"]]
+                left, found = left[len(found):], []
+                mean = np.add.reduceat(whole, p["starts"], axis=1) / p["counts"] / self.pico
+                good = pairs[chosen] & np.isfinite(mean)
+                pairs[chosen] &= ~good
+                self.scored += int(good.sum())
+                for query in np.flatnonzero(good.any(axis=0)):
+                    mine, (a, b) = good[:, query], self.spans[query]
+                    self._offer(query, ids[chosen][mine], mean[mine, query], whole[mine, a:b])
+        return pairs
+
+    def _score_bounded(self, some, bounds, ids, X, row_of, starts, counts, index=None) -> None:
         """Scores the articles of each query's smallest bounds, then those that the limits leave."""
         open_ = ~(bounds > self.limit[None, :])
         first = np.zeros_like(open_)
@@ -259,10 +310,10 @@ class RunningTopK:
         done = first & open_
         marked = np.zeros((len(ids), len(self.columns)), bool)
         marked[some] = done
-        self._score(marked, ids, X, row_of, starts, counts)
+        self._score(self._score_nearest(marked, ids, X, row_of, starts, counts, index), ids, X, row_of, starts, counts)
         more = open_ & ~first & ~(bounds > self.limit[None, :])
         marked[some] = more
-        self._score(marked, ids, X, row_of, starts, counts)
+        self._score(self._score_nearest(marked, ids, X, row_of, starts, counts, index), ids, X, row_of, starts, counts)
         self.scored_articles += int((done | more).any(axis=1).sum())
 
     def _lowered_mean(self, least: np.ndarray, relative: float) -> np.ndarray:

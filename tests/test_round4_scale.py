@@ -84,3 +84,114 @@ def test_small_files_are_read_in_few_tasks(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def _payload(rng, X, queries=8, tokens=3, far=1e3):
+    n = queries * tokens
+    Q = X[rng.integers(0, len(X), n)] + np.round(rng.normal(0, far, (n, X.shape[1])))
+    return {"Q": Q, "Qu": Q, "inv": np.arange(n), "starts": np.arange(0, n, tokens), "counts": np.full(queries, tokens),
+            "dim": X.shape[1], "query_ids": np.arange(queries), "tok_query": np.repeat(np.arange(queries), tokens),
+            "tok_no": np.tile(np.arange(tokens), queries)}
+
+
+def _best(payload, X, row_of, counts, parts=1, **kw):
+    from tessera.operators import pruning
+    from tessera.operators import search as SR
+    best = pruning.RunningTopK(payload, 4, 1000, 10 ** 6, SR._partial_sq_dist, SR.MICRO, SR.PICO, minima=True)
+    stops = np.append(0, np.cumsum(counts))
+    for part in np.array_split(np.arange(len(counts)), parts):
+        best.add(part, X, row_of[stops[part[0]]:stops[part[-1] + 1]], counts[part], **kw)
+    return best
+
+
+def test_near_rows_bound_and_find_all_minima(monkeypatch):
+    from tessera.operators import pruning
+    from tessera.operators import search as SR
+    rng = np.random.default_rng(11)
+    X = np.round(rng.normal(0, 1, (400, 16)) * 1e6)
+    X[50:80] = X[20]  # equal vectors
+    payload = _payload(rng, X, far=3e5)
+    for most in (pruning.PAIRS, 600):  # radii shrink where more pairs would be kept
+        monkeypatch.setattr(pruning, "PAIRS", most)
+        monkeypatch.setattr(pruning, "BLOCK", 24 * 50)
+        index = pruning.NearRows(payload["Qu"])
+        index.grow(X[:150], 20)
+        index.grow(X[150:], 20)
+        assert len(index.column) <= most
+        counts = rng.integers(1, 40, 200)
+        row_of = rng.integers(0, 400, int(counts.sum()))
+        G, rest = SR._partial_sq_dist(X[row_of], payload["Qu"])
+        want = np.minimum.reduceat(G + rest, np.cumsum(counts) - counts, axis=0)
+        assert (index.minima(row_of, counts).astype(float) * (1 - 2e-7) <= np.sqrt(want) + 1).all()
+        got = np.array([index.nearest(r, X) for r in np.split(row_of, np.cumsum(counts)[:-1])])
+        found = np.isfinite(got)
+        assert (got[found] == want[found]).all() and found.mean() > (0.6 if most > 600 else 0.0)
+
+
+def test_shared_vectors_are_scored_by_few_pairs_with_equal_results(monkeypatch):
+    from tessera.operators import search as SR
+    rng = np.random.default_rng(5)
+    for scale in (1, 30):  # squares beyond 2 ** 53: only bounds come from the index
+        X = np.round(rng.normal(0, 1, (500, 8)) * 1e6 * scale)
+        payload = _payload(rng, X)
+        counts = rng.integers(1, 30, 900)
+        row_of = rng.integers(0, 500, int(counts.sum()))
+        shared = _best(payload, X, row_of, counts, parts=3)
+        plain = _best(payload, X[row_of], np.arange(len(row_of)), counts)
+        assert (shared.ids == plain.ids).all() and (shared.dist == plain.dist).all() and shared.real.all()
+        assert shared.minima().equals(plain.minima()) and shared.scored < shared.seen / 10
+        for q in range(8):  # the distances sent are those of the pairs
+            assert (shared.parts[q].sum(axis=1) / 3 / SR.PICO == shared.dist[q]).all()
+
+
+def test_a_worker_remembers_vectors_by_their_bits():
+    from tessera.operators import search as SR
+    rng = np.random.default_rng(2)
+    V = rng.normal(0, 1, (50, 4)).astype(np.float32)
+    met = SR._MetVectors({"Qu": np.zeros((3, 4)), "dim": 4})
+    first = met.rows_of(V[[3, 1, 3, 7]], 2)
+    again = met.rows_of(V[[7, 9, 1, 3]], 2)
+    assert first.tolist()[0] == first.tolist()[2] == again.tolist()[3] and again.tolist()[0] == first.tolist()[3]
+    assert len(met) == 4 and (met[again] == SR._to_micro(V[[7, 9, 1, 3]])).all()
+    assert (met[met.rows_of(V, 5)] == SR._to_micro(V)).all() and len(met) == 50
+
+
+def test_groups_of_vectors_hold_whole_articles():
+    from tessera.operators import search as SR
+    arts = np.repeat([1, 2, 3, 4], [3, 9, 2, 1])
+    V = np.arange(15, dtype=np.float32)[:, None] % 4
+    pairs = [(arts[s:s + 2], V[s:s + 2]) for s in range(0, 15, 2)]
+    groups = list(SR._vector_groups(pairs, 4))
+    assert len(groups) > 1 and sum(([*dict.fromkeys(a.tolist())] for a, _ in groups), []) == [1, 2, 3, 4]
+    got = {int(i): set(v[a == i].ravel().tolist()) for a, v in groups for i in set(a)}
+    assert got == {i: set(V[arts == i].ravel().tolist()) for i in (1, 2, 3, 4)}
+
+
+def test_few_arriving_files_are_dealt_to_all_task_slots(spark, tmp_path):
+    from tessera.operators import search as SR
+    from tessera.streaming import topk as ST
+    rng = np.random.default_rng(3)
+    arts = [(i, rng.normal(0, 1, (3, 4)).round(3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(arts, "article_id long, vecs array<array<float>>")
+    queries = spark.createDataFrame([(q, t, rng.normal(0, 1, 4).round(3).tolist()) for q in range(3) for t in range(2)],
+                                    "query_id long, tok_no long, vec array<float>")
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    tasks = spark.sparkContext.accumulator(0)
+    kernel = ST.topk_kernel
+
+    def counted(bc, k, gather=None):
+        run = kernel(bc, k, gather)
+
+        def body(batches):
+            batches = list(batches)
+            tasks.add(any(b.num_rows for b in batches))
+            yield from run(batches)
+        return body
+    ST.topk_kernel = counted
+    try:
+        got = ST.stream_topk_keyed(spark, str(tmp_path / "in"), queries, str(tmp_path / "ck"), k=5, max_files_per_trigger=1).collect()
+    finally:
+        ST.topk_kernel = kernel
+    want = SR.nearest_articles(df, queries, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert tasks.value > 4 or spark.sparkContext.defaultParallelism <= 1
