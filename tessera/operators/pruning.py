@@ -273,7 +273,7 @@ class RunningTopK:
         """Bounds of all articles first, then the nearest by them are scored."""
         bounds = np.empty((len(ids), len(self.columns)))
         stops = starts + counts
-        for some in _slices(np.full(len(ids), len(self.payload["Qu"])), self.tile):
+        for some in _slices(counts + len(self.payload["Qu"]) // 32, self.tile // 32):  # of their kept pairs, too
             tokens = row_of[starts[some.start]:stops[some.stop - 1]]
             bounds[some] = self._lowered_mean(index.minima(tokens, counts[some]), 2e-7)
         self.seen += bounds.size

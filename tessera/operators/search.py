@@ -43,7 +43,7 @@ BATCH_CELLS = 8 * 1024 * 1024
 # articles of token ids in one kernel call, and token ids encoded at once
 ID_ARTICLES, NEW_ROWS = 4096, 16384
 # model vectors taken together, and bytes of different ones that a worker remembers
-MODEL_VECTORS, MET_BYTES = 256 * 1024, 64 * 1024 * 1024
+MODEL_VECTORS, MET_BYTES = 64 * 1024, 64 * 1024 * 1024
 
 
 def _to_micro(x: np.ndarray) -> np.ndarray:
@@ -585,9 +585,9 @@ def _model_vectors(batches, fn, size: int, typed: bool):
     """``(articles, vectors)`` of the real positions of model input rows, by micro-batches."""
     for rb in batches:
         art = rb.column(0).to_numpy(zero_copy_only=False)
-        mats = [rb.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(len(art), -1) for c in (1, 2, 3)] if len(art) else []
         for s in range(0, len(art), size):
-            ids, mask, types = (m[s:s + size] for m in mats)
+            part = rb.slice(s, size)
+            ids, mask, types = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(part.num_rows, -1) for c in (1, 2, 3))
             vecs = np.asarray(fn(ids, mask, types) if typed else fn(ids, mask), dtype=np.float32)
             real = mask.astype(bool)
             if real.any():
