@@ -273,7 +273,7 @@ class RunningTopK:
         """Bounds of all articles first, then the nearest by them are scored."""
         bounds = np.empty((len(ids), len(self.columns)))
         stops = starts + counts
-        for some in _slices(counts + len(self.payload["Qu"]) // 32, self.tile // 32):  # of their kept pairs, too
+        for some in _slices(counts + len(self.payload["Qu"]) // 32, self.tile // 64):  # of their kept pairs, too
             tokens = row_of[starts[some.start]:stops[some.stop - 1]]
             bounds[some] = self._lowered_mean(index.minima(tokens, counts[some]), 2e-7)
         self.seen += bounds.size
@@ -289,7 +289,7 @@ class RunningTopK:
         for article in left.tolist():
             least = index.nearest(row_of[starts[article]:starts[article] + counts[article]], X)
             found.append(np.floor(np.sqrt(np.maximum(least, 0)) * self.micro + 0.5))
-            if len(found) * len(least) >= self.tile or article == left[-1]:
+            if len(found) * len(least) >= self.tile // 4 or article == left[-1]:
                 chosen, whole = left[:len(found)], np.stack(found)[:, p["inv"]]
                 left, found = left[len(found):], []
                 mean = np.add.reduceat(whole, p["starts"], axis=1) / p["counts"] / self.pico

@@ -41,7 +41,7 @@ TILE_ELEMENTS = 1024 * 1024
 # cap of the (articles x query tokens) result matrices of one kernel call
 BATCH_CELLS = 8 * 1024 * 1024
 # articles of token ids in one kernel call, and token ids encoded at once
-ID_ARTICLES, NEW_ROWS = 4096, 16384
+ID_ARTICLES, NEW_ROWS = 1024, 8192
 # model vectors taken together, and bytes of different ones that a worker remembers
 MODEL_VECTORS, MET_BYTES = 64 * 1024, 64 * 1024 * 1024
 
